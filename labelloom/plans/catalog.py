@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from labelloom.plans import curation  # noqa: F401  each module registers its queries
+from labelloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "E3_balanced_selection"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
