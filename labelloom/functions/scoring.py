@@ -77,7 +77,7 @@ def confidence_by_size(n_cells: str | Column, mean_lfc: str | Column) -> Column:
 
 def overlap_score(query: str | Column, known: str | Column, top: int = 5) -> Column:
     """Jaccard of two feature lists, plus 0.3 times the share of the query's first ones that are known; 1 at most."""
-    up = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.upper)
+    up = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower)
     q, k = up(col(query)), up(col(known))
     first = F.array_distinct(F.slice(q, 1, top))
     jaccard = F.size(F.array_intersect(q, k)) / F.size(F.array_union(q, k))

@@ -10,7 +10,7 @@ from labelloom.functions.text import col, folded, label_text, short_id
 
 def external_entries(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries from an outside list, with id and parent from labels (key, id, parent_label), genes trimmed, weight rounded."""
-    genes = F.filter(F.transform("marker_genes", F.trim), lambda g: g != "")
+    genes = F.filter(F.transform("marker_genes", lambda g: F.trim(g)), lambda g: g != "")
     rows = df.select("*", label_text("label").alias("key")).join(labels.select("key", F.col("id").alias("_id"), F.col("parent_label").alias("_parent")), "key", "left")
     return rows.select(
         short_id("species", "tissue", "key").alias("entry_id"), "species", F.lower("tissue").alias("tissue"), F.col("key").alias("label"),
@@ -35,7 +35,7 @@ def merged_entries(entries: DataFrame, most_genes: int = 20) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy((F.col("entry_type") != "external").cast("int"), F.desc("weight"), "entry_id")
     turn = keyed.withColumn("_turn", F.row_number().over(order))
     genes = turn.select(*keys, "_turn", F.posexplode("genes").alias("_pos", "gene"))
-    first = genes.groupBy(*keys, F.upper("gene").alias("_g")).agg(F.min(F.struct("_turn", "_pos", "gene")).alias("g"))
+    first = genes.groupBy(*keys, F.lower("gene").alias("_g")).agg(F.min(F.struct("_turn", "_pos", "gene")).alias("g"))
     union = first.groupBy(*keys).agg(F.slice(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["gene"]), 1, most_genes).alias("genes"))
     lead = turn.where("_turn = 1").drop("genes", "_turn")
     n = turn.groupBy(*keys).agg(F.count("*").alias("n_sources"))
@@ -54,7 +54,7 @@ def overlaps(queries: DataFrame, entries: DataFrame, query: str = "query_id", en
     queries and entries: id and array genes. Genes count as sets, whatever the case. Genes are joined, not ids, so
     nothing is compared that shares nothing; sizes are joined afterwards.
     """
-    up = lambda df, key: df.select(key, F.array_distinct(F.transform("genes", F.upper)).alias("g"))
+    up = lambda df, key: df.select(key, F.array_distinct(F.transform("genes", F.lower)).alias("g"))
     q, e = up(queries, query), up(entries, entry)
     shared = q.select(query, F.explode("g").alias("gene")).join(e.select(entry, F.explode("g").alias("gene")), "gene").groupBy(query, entry).agg(F.count("*").alias("shared"))
     sized = shared.join(q.select(query, F.size("g").alias("nq")), query).join(e.select(entry, F.size("g").alias("ne")), entry)

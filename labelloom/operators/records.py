@@ -87,7 +87,7 @@ def json_text(text: str | Column) -> Column:
 
 def _listed(c: Column) -> Column:
     """A JSON list of strings, or a comma-separated string, as an array."""
-    return F.coalesce(F.from_json(c, "array<string>"), F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.coalesce(F.from_json(c, "array<string>"), F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def _one_of(c: Column, values: tuple[str, ...], default: str) -> Column:

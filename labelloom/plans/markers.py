@@ -125,9 +125,9 @@ def h13(t):
     return rows.select("label", "n_markers", F.array_join(F.transform("markers", lambda m: m["gene"]), "|").alias("genes"), F.round("mean_score", 6).alias("mean_score"), F.round("quality", 3).alias("quality"))
 
 
-@query("D16_mean_of_first", "SELECT vec_id, round(round((CAST(embedding[1] AS DOUBLE) + embedding[2] + embedding[3] + embedding[4] + embedding[5]) / 5, 6), 5) AS m FROM embeddings")
+@query("D16_mean_of_first", "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + embedding[2] + embedding[3] + embedding[4] + embedding[5]) / 5, 6) AS m FROM embeddings")
 def d16(t):
-    return t.embeddings.select("vec_id", F.round(sc.mean_of_first("embedding", 5), 5).alias("m"))
+    return t.embeddings.select("vec_id", sc.mean_of_first("embedding", 5).alias("m"))
 
 
 @query("D17_array_summary", "SELECT vec_id, round(list_max(CAST(embedding[1:10] AS DOUBLE[])), 6) AS hi, round(list_min(CAST(embedding[1:10] AS DOUBLE[])), 6) AS lo, round(list_min(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x > 0)), 6) AS least_positive FROM embeddings")

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from labelloom.session import session
 
-    s = session("local[4]", "tests", **{
+    s = session(f"local[{os.environ.get('TEST_CPUS', '4')}]", "tests", **{
         "spark__sql__shuffle__partitions": "4", "spark__ui__enabled": "false", "spark__driver__memory": "6g",
         "spark__checkpoint__dir": f"file://{tmp_path_factory.mktemp('shared')}", "spark__sql__warehouse__dir": str(tmp_path_factory.mktemp("warehouse")),
     })
