@@ -36,14 +36,19 @@ def read_json_lines(spark: SparkSession, path: str, ddl: str, strict: bool = Fal
     """JSON lines. strict: a malformed line fails the read; else such lines are left out (see malformed_lines)."""
     if strict:
         return spark.read.schema(ddl).option("mode", "FAILFAST").json(path)
+    lines = _parsed_lines(spark, path, ddl).where("p._corrupt is null")
+    return lines.select("p.*").drop("_corrupt")
+
+
+def _parsed_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     schema = _schema(spark, ddl).add("_corrupt", StringType())
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null").drop("_corrupt")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.withColumn("p", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
 
 
 def malformed_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """The lines that read_json_lines leaves out, as text."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.where(F.from_json("value", _schema(spark, ddl).add("_corrupt", StringType()), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})["_corrupt"].isNotNull())
+    return _parsed_lines(spark, path, ddl).where("p._corrupt is not null").select("value")
 
 
 def accepted_records(df: DataFrame, array: str, label: str) -> DataFrame:
