@@ -116,13 +116,14 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
         rows = rows.union(more.select("doc_id", "source", "size", "up"))
     copies = F.col("whole").cast("int") + F.col("up").cast("int")
     return rows.join(near, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+        "doc_id", F.col("source").alias("source_name"), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (rows without words once a sure copy), in their own columns."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text"))))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")))
+    keyed = docs.select(key.alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     taken = mixed(docs, weights, share, most).select(F.xxhash64("doc_id", "source_name", "size").alias("_key"), "copies")
     nth = lambda df, c: df.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(c)))
-    met = nth(keyed, "text").join(nth(taken, "copies"), ["_key", "_nth"])
-    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    met = nth(keyed, "doc.text").join(nth(taken, "copies"), ["_key", "_nth"])
+    return met.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("doc.*")

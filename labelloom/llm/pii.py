@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import written
+from labelloom.llm.common import fresh, written
 
 WINDOW, SUPPORT, THRESHOLD = 6, 3, 0.9
 #: Most hashed terms that are sent to every executor (8 bytes each); beyond that terms and documents are joined.
@@ -141,18 +141,19 @@ def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUP
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, frozenset | None]:
-    """docs with a column _told of the telling terms in each text, if they are too many to send; else the terms."""
+    """docs with a last column of the telling terms in each text, if they are too many to send; else the terms."""
+    told, own = fresh(docs, "told"), fresh(docs, "own")
     if terms.limit(SENT + 1).count() <= SENT:
-        return docs.withColumn("_told", F.lit(None).cast("array<bigint>")), frozenset(r[0] for r in terms.collect())
+        return docs.withColumn(told, F.lit(None).cast("array<bigint>")), frozenset(r[0] for r in terms.collect())
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(own, t) for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for t in set(map(_hash, set(TERM.findall((text.as_py() or "").lower()))))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["_own", "term"])
+            rows = [(k, t) for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for t in set(map(_hash, set(TERM.findall((text.as_py() or "").lower()))))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["own", "term"])
 
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    told = keyed.select("_own", "text").mapInArrow(words, "_own long, term long").distinct().join(terms, "term").groupBy("_own").agg(F.collect_set("term").alias("_told"))
-    return keyed.join(told, "_own", "left").drop("_own"), None
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    found = keyed.select(own, "text").mapInArrow(words, "own long, term long").distinct().join(terms, "term").groupBy(F.col("own").alias(own)).agg(F.collect_set("term").alias(told))
+    return keyed.join(found, own, "left").drop(own), None
 
 
 def _term_spans(text: str, told, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -201,19 +202,18 @@ def generalised(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitised(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """docs with the personal data in text generalised; n_chars, where there is one, counted again. Null texts stay null."""
     rows, sent = _with_terms(docs, disclosing(docs, threshold, support))
-    names = [c for c in rows.columns if c != "_told"]
+    names = docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, own in zip(batch.column("text"), batch.column("_told"), strict=True):
+            for text, own in zip(batch.column(names.index("text")), batch.column(len(names)), strict=True):
                 text = text.as_py()
                 if text:
                     base = base_spans(text)
                     text = generalised(text, base + _term_spans(text, own.as_py() if sent is None else sent, base))
                 out.append(text)
-            cols = {c: batch.column(c) for c in names} | {"text": pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(k) for k, c in enumerate(names)], names)
 
-    done = rows.select(*names, "_told").mapInArrow(clean, docs.schema)
+    done = rows.select(*(f"`{c}`" for c in [*names, next(c for c in rows.columns if c not in names)])).mapInArrow(clean, docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else done

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import components, written
+from labelloom.llm.common import components, fresh, written
 
 SEED = 42
 #: Keys with more fingerprints than FEW are compared in blocks of about BLOCK.
@@ -143,5 +143,6 @@ def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
     twice = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if twice.isEmpty():
         return found
-    firsts = found.join(twice, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return found.join(twice, "doc_id", "left_anti").unionByName(firsts.where("_nth = 1").drop("_nth"))
+    nth = fresh(docs, "nth")
+    firsts = found.join(twice, "doc_id", "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return found.join(twice, "doc_id", "left_anti").unionByName(firsts.where(F.col(nth) == 1).drop(nth))
