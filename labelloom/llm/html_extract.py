@@ -40,6 +40,7 @@ BAD = frozenset("ad ads advert advertisement banner promo sponsor sponsored nav
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+UNENDED = re.compile(r"<[a-zA-Z/!?].*", re.S)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -66,7 +67,7 @@ class Page:
                     self._end(tag)
                 else:
                     self._start(tag, m[3])
-        self._say(html[at:] if "<" not in html[at:] else TOKEN.sub("", html[at:]).split("<")[0])
+        self._say(UNENDED.sub("", html[at:]))
         self._flush()
 
     def _say(self, raw: str) -> None:
