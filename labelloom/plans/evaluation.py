@@ -53,7 +53,7 @@ def d22(t):
     return judged(t).agg(F.count_if(F.col("quality").isNull()).alias("n_unmapped"), F.round(F.avg(F.when(F.col("quality").isNull(), F.col("score"))), 4).alias("score_unmapped"), F.round(F.avg(F.when(F.col("toxic") == 1, F.col("score"))), 4).alias("score_toxic"))
 
 
-@query("D23_calibration", f"""WITH {JUDGED}, k AS (SELECT score AS p, exact::INT AS y FROM j WHERE exact IS NOT NULL), edges(b, lo, hi) AS (VALUES (0, 0.0::DOUBLE, 0.1::DOUBLE), (1, 0.1, 0.2), (2, 0.2, 0.1 + 0.2::DOUBLE), (3, 0.1 + 0.2::DOUBLE, 0.4), (4, 0.4, 0.5), (5, 0.5, 0.6), (6, 0.6, 0.7), (7, 0.7, 0.8), (8, 0.8, 0.9), (9, 0.9, 1.0)),
+@query("D23_calibration", f"""WITH {JUDGED}, k AS (SELECT score AS p, exact::INT AS y FROM j WHERE exact IS NOT NULL), edges(b, lo, hi) AS (VALUES (0, 0.0::DOUBLE, 0.1::DOUBLE), (1, 0.1, 0.2), (2, 0.2, 0.1 + 0.2::DOUBLE), (3, 0.1 + 0.2::DOUBLE, 0.4), (4, 0.4, 0.5), (5, 0.5, '0.6000000000000001'::DOUBLE), (6, '0.6000000000000001'::DOUBLE, '0.7000000000000001'::DOUBLE), (7, '0.7000000000000001'::DOUBLE, 0.8), (8, 0.8, 0.9), (9, 0.9, 1.0)),
 x AS (SELECT b, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM k JOIN edges ON p >= lo AND p < hi GROUP BY b)
 SELECT (SELECT count(*) FROM k) AS n, (SELECT round(avg((p - y) * (p - y)), 4) FROM k) AS brier, round(sum(n * abs(mp - my)) / (SELECT count(*) FROM k), 4) AS ece FROM x""")
 def d23(t):

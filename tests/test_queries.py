@@ -1,11 +1,13 @@
 """Every query with SQL against that SQL; the others must run and give rows."""
 
+import os
+
 import pytest
 
 from labelloom.plans import catalog
 from tests.compare import both, connection
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("TEST_FOLDER", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
