@@ -157,3 +157,30 @@ def ontology_status(model_id: Column, model_label: Column, found: Column, found_
         .when((blank(found_id) != "") & (blank(found_id) == blank(model_id)), "matched").when(label == known, "matched")
         .when(label == parent, "parent_match").when((known != "") & known.contains(label), "parent_match").otherwise("unmatched")
     )
+
+
+def answer_evidence(n_markers: str | Column, quality: str | Column) -> dict[str, Column]:
+    """For a training answer: stand-ins for the overlap that retrieval would give, from marker count and quality."""
+    cover, q = F.least(col(n_markers) / 10.0, F.lit(1.0)), F.coalesce(col(quality), F.lit(0.0))
+    return {"for_confidence": q * 0.6 + cover * 0.4, "for_evidence": cover * 0.5 + q * 0.5}
+
+
+def training_confidence(n_markers: str | Column, quality: str | Column, n_cells: str | Column, flags: str) -> Column:
+    """confidence_score on the stand-in overlap, less for small, unmapped and rare groups."""
+    base = confidence_score(answer_evidence(n_markers, quality)["for_confidence"], quality, n_cells)
+    for flag, factor in (("low_cells", 0.8), ("ontology_unmapped", 0.9), ("rare_label_in_dataset", 0.85)):
+        base = base * F.when(F.coalesce(F.col(f"{flags}.{flag}"), F.lit(False)), factor).otherwise(1.0)
+    return F.round(F.least(base, F.lit(1.0)), 4)
+
+
+def training_answer(label: str, known_id: str, parent: str, markers: Column, n_markers: str, quality: str, n_cells: str, flags: str) -> Column:
+    """The answer to learn, with confidence, evidence, decision and review flag that its markers justify."""
+    score = training_confidence(n_markers, quality, n_cells, flags)
+    evidence = evidence_level(answer_evidence(n_markers, quality)["for_evidence"], n_markers, quality)
+    novel = F.coalesce(F.col(f"{flags}.ontology_unmapped") & F.col(f"{flags}.rare_label_in_dataset"), F.lit(False))
+    act = action(confidence_label(score), novel, evidence)
+    return F.struct(
+        col(label).alias("cell_type"), col(known_id).alias("cell_ontology_id"), col(parent).alias("parent_cell_type"), markers.alias("supporting_markers"),
+        confidence_label(score).alias("confidence_label"), score.alias("confidence_score"), act.isin("review", "unresolved", "novel_candidate").alias("need_manual_review"),
+        act.alias("decision"), novel.alias("novelty_flag"), evidence.alias("evidence_support_level"),
+    )

@@ -257,3 +257,20 @@ def test_selection_is_pushed_to_the_scan(spark):
 
     plan = catalog.QUERIES["A1_pushed_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "l_returnflag" in plan and "l_extendedprice" not in plan
+
+
+@pytest.mark.parametrize("method", ["logistic", "isotonic"])
+def test_calibrator_learns_saves_and_loads(spark, tmp_path, method):
+    from labelloom.operators.calibration import FEATURES, Calibrator
+
+    rows = [(k, k % 100 / 100, (k * 37 % 100) < k % 100) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k int, s double, y boolean").select("k", "y", *(F.col("s").alias(c) if c == "f_score" else F.lit(0.5).alias(c) for c in FEATURES))
+    assert Calibrator(method).calibrated(df).where("calibrated <> f_score").count() == 0
+    model = Calibrator(method).fit(df, "y")
+    got = {r["f_score"]: r["calibrated"] for r in model.calibrated(df).select("f_score", "calibrated").distinct().collect()}
+    assert got[0.9] > 0.7 > 0.3 > got[0.1]
+    model.save(str(tmp_path / "m"))
+    again = Calibrator(method).load(str(tmp_path / "m")).calibrated(df)
+    assert {r["f_score"]: r["calibrated"] for r in again.select("f_score", "calibrated").distinct().collect()} == got
+    with pytest.raises(ValueError):
+        Calibrator("other")
