@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import components, written
 
-COSINE, BLOCK, LEAF, LEADING = 0.93, 512, 64, 6
+COSINE, BLOCK, LEAF, LEADING = 0.93, 2048, 64, 6
 
 
 def usable(v: str | Column) -> Column:
