@@ -31,6 +31,14 @@ def written(df: DataFrame, name: str, *cols: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame, most: int = 1_000) -> DataFrame:
+    """df, whose session from now on sends Python at most `most` rows at once: rows that hold whole texts are large."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= most:
+        conf.set(name, str(most))
+    return df
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most most_rows rows (counted); otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
@@ -59,6 +67,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, "[ \\t-\\r]+"), "")), F.lit(0)).cast("long")
 
 
+def hash_sample(df: DataFrame, most: int, seed: int, *keys: str) -> DataFrame:
+    """The `most` rows of df with the smallest hashes of keys (repeatable, whatever the partitions).
+
+    Of a large table only about twice as many rows, those with small hashes, get into the sort.
+    """
+    n, h = df.count(), F.xxhash64(*keys, F.lit(seed))
+    if n > 4 * most:
+        df = df.where(h < F.lit(int(-(2**63) + 2 * most / n * 2**64)))
+    return df.orderBy(h, *keys).limit(most)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
     """Up to `most` labelled (doc_id, text, label) rows outside the held-out fold, chosen by hash of the id.
 
@@ -67,8 +86,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     wanted = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
     )
+    wanted = hash_sample(wanted, most, 11, "doc_id")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(small(wanted, most), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.llm.common import hash_sample, in_small_batches
+
 # Elements of HTML by kind.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table thead tbody tfoot tr td th blockquote pre figure figcaption address details summary hgroup search dialog menu center".split())
 VOID = frozenset("br hr img input meta link area base col embed param source track wbr".split())
@@ -373,7 +375,7 @@ def _learn(layouts: int):
 def train(pages: DataFrame, most: int = 200, layouts: int = 900) -> Trees:
     """Trees learnt from `layouts` layouts of the texts of at most `most` pages, chosen by hash of the url."""
     rows = pages.select(F.coalesce("page_id", F.lit(0)).alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.where(F.length("html") < 200_000).orderBy(F.xxhash64("page_id", F.lit(23)), "html").limit(most)
+    rows = hash_sample(rows.where(F.length("html") < 200_000), most, 23, "page_id", "html")
     got = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_learn(layouts), "model string").first()
     cuts, trees = json.loads(got[0]) if got else json.loads(_learn(layouts)(pd.DataFrame({"page_id": [], "html": []}))["model"][0])
     return Trees(cuts, trees)
@@ -393,5 +395,5 @@ def extracted(pages: DataFrame, model: Trees | None = None) -> DataFrame:
                 texts += [main_text(p, o) for p, o in zip(parsed, np.split(odds, ends[:-1]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    done = pages.select("page_id", "url", "html").mapInArrow(extract, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string")
+    done = in_small_batches(pages.select("page_id", "url", "html")).mapInArrow(extract, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string")
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

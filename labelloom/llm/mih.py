@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import written
+from labelloom.llm.common import hash_sample, written
 from labelloom.llm.ego_join import usable, vectors
 
 NEAREST, EVERY, PART, QUERIES, COVER, PROBES = 20, 20, 16_384, 512, 0.985, 96
@@ -158,7 +158,7 @@ def nearest(table: DataFrame, every: int = EVERY, most: int = NEAREST, sample: i
     asked = written(asked.distinct(), "asked")
     queries = written(classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v"), "queries")
 
-    part = lambda df, k: df.orderBy(F.xxhash64("class", F.lit(k)), "class").limit(sample if k else PROBES).toPandas()  # noqa: E731  bounded
+    part = lambda df, k: hash_sample(df, sample if k else PROBES, k, "class").toPandas()  # noqa: E731  bounded
     mean, turn = learn(completed(np.stack(part(classes.select("class", "v"), 1)["v"].to_numpy()).astype(np.float64), longest))
     probes = part(queries, 0)
     if not len(probes):

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import written
+from labelloom.llm.common import in_small_batches, written
 
 LENGTH, CLOSE, GROUP = 1024, 2, 6_000
 #: What a sequence may leave free and yet not be packed again.
@@ -173,7 +173,7 @@ OUT = PIECES + ", sequence_id long, offset long, filled long"
 
 def packed(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of docs."""
-    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(length), PIECES), "pieces")
+    pieces = written(in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_pieces(length), PIECES), "pieces")
     whole = pieces.where(F.col("length") == length).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     parts = pieces.where(F.col("length") < length)
     out = [whole]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import fresh, written
+from labelloom.llm.common import fresh, in_small_batches, written
 
 WINDOW, SUPPORT, THRESHOLD = 6, 3, 0.9
 #: Most hashed terms that are sent to every executor (8 bytes each); beyond that terms and documents are joined.
@@ -123,7 +123,7 @@ def _counted(wanted: np.ndarray | None):
 
 def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """Hashed terms that reveal a protected value: one column, term."""
-    texts = docs.select("text")
+    texts = in_small_batches(docs.select("text"))
     by_text = texts.mapInArrow(_pairs, "value long, term long, own long").groupBy("value", "term", "own").agg(F.count("*").alias("n"))
     pairs = written(by_text.groupBy("value", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
     values = pairs.where("term is null").select("value", F.col("n").alias("n_value"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import fold, labelled_sample, written
+from labelloom.llm.common import fold, in_small_batches, labelled_sample, written
 
 PASSAGE, HASHED, HIDDEN, GATE, SHARDS = 48, 16, 16, 8, 4
 WIDTH = 15 + HASHED
@@ -122,7 +122,7 @@ def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6_000, rounds: int = 4, passes: int = 5, folds: int = 5, held: int = 0) -> list[np.ndarray]:
     """Parameters learnt from at most `most` labelled texts outside the held-out fold."""
-    rows = labelled_sample(docs, labels, label, folds, held, most).select("doc_id", "label", "text").mapInArrow(_bag_rows, "doc_id long, label int, bag binary")
+    rows = in_small_batches(labelled_sample(docs, labels, label, folds, held, most).select("doc_id", "label", "text")).mapInArrow(_bag_rows, "doc_id long, label int, bag binary")
     rows = written(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))), "bags")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     p = start()
@@ -148,7 +148,7 @@ def scored(docs: DataFrame, p: list[np.ndarray]) -> DataFrame:
                 out.append(forward(p, *_bags([passages(t.as_py()) for t in batch.column(1)[at : at + 512]]))[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(score, "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held: int = 0, most: int = 6_000) -> DataFrame:
@@ -168,4 +168,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: i
                 out.append(forward(p, *_bags([passages(t.as_py()) for t in texts[at : at + 512]]))[0])
             yield batch.filter(pa.array(np.concatenate(out) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_small_batches(docs).mapInArrow(keep, docs.schema)

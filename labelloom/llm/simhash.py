@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import components, fresh, written
+from labelloom.llm.common import components, fresh, in_small_batches, written
 
 SEED = 42
 #: Keys with more fingerprints than FEW are compared in blocks of about BLOCK.
@@ -126,7 +126,7 @@ def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of docs."""
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    rows = written(in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     roots = components(near_links(nodes.where("node is not null"), distance)).withColumnRenamed("node", "of")
     classes = nodes.join(roots, F.col("node") == F.col("of"), "left").select(F.col("fp").alias("own"), F.coalesce("root", "node").alias("component_id"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import fold, labelled_sample, written
+from labelloom.llm.common import fold, in_small_batches, labelled_sample, written
 
 BITS, STEM = 20, 5
 #: A-Z lower-cased; ASCII that is neither letter nor digit a space.
@@ -99,7 +99,7 @@ def scored(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame
             sums = np.array([dense[np.unique(f)].sum() for f in at]) + dense[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(score, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1, most: int = 10_000) -> DataFrame:

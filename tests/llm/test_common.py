@@ -66,3 +66,17 @@ def test_small_sides_only_are_broadcast(spark):
 def test_uniform_numbers(spark):
     r = spark.range(10_000).select(common.uniform(F.col("id")).alias("u")).agg(F.min("u"), F.max("u"), F.avg("u")).first()
     assert 0 <= r[0] < 0.01 and 0.99 < r[1] < 1 and abs(r[2] - 0.5) < 0.02
+
+
+def test_hash_sample_takes_the_smallest_hashes(spark):
+    df = spark.range(5000)
+    h = F.xxhash64("id", F.lit(3))
+    want = [r["id"] for r in df.orderBy(h).limit(50).collect()]
+    assert [r["id"] for r in common.hash_sample(df, 50, 3, "id").collect()] == want
+    assert [r["id"] for r in common.hash_sample(df.repartition(7), 50, 3, "id").collect()] == want
+    assert common.hash_sample(df, 9000, 3, "id").count() == 5000 and common.hash_sample(df.where("false"), 5, 3, "id").count() == 0
+
+
+def test_small_batches(spark):
+    common.in_small_batches(spark.range(1))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
