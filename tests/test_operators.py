@@ -274,3 +274,21 @@ def test_calibrator_learns_saves_and_loads(spark, tmp_path, method):
     assert {r["f_score"]: r["calibrated"] for r in again.select("f_score", "calibrated").distinct().collect()} == got
     with pytest.raises(ValueError):
         Calibrator("other")
+
+
+def test_sidecars(spark, tmp_path):
+    rows = [("d1", "T Cells", "t cell", "blood", "normal"), ("d1", "t cell", "t cell", "blood", "normal"), ("d2", "B", "b", "lung", None)]
+    df = spark.createDataFrame(rows, "dataset_id string, raw string, clean string, tissue string, disease string")
+    files.write_sidecars(df, str(tmp_path), "dataset_id", "raw", "clean")
+    read = lambda name: {tuple(r) for r in spark.read.parquet(str(tmp_path / name)).collect()}
+    assert read("clean_counts") == {("t cell", 2, "d1"), ("b", 1, "d2")}
+    assert read("mapping") == {("T Cells", "t cell", 1, "d1"), ("t cell", "t cell", 1, "d1"), ("B", "b", 1, "d2")}
+    (one_, two) = sorted(spark.read.parquet(str(tmp_path / "profile")).collect(), key=lambda r: r["dataset_id"])
+    assert (one_["n_records"], one_["main_tissue"], two["main_disease"]) == (2, "blood", "unknown")
+
+
+def test_tsv_appends_only_unseen_keys(spark):
+    old = spark.createDataFrame([("T cell", "x")], "raw string, id string")
+    new = spark.createDataFrame([(" t CELL ", "y"), ("nk", "z"), ("NK", "w"), ("", "v")], "raw string, id string")
+    got = sorted((r["raw"].lower(), r["id"]) for r in manifest.appended(old, new, "raw").collect())
+    assert [k for k, _ in got] == ["nk", "t cell"]
