@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from labelloom.llm.common import in_small_batches, written
 
 LENGTH, CLOSE, GROUP = 1024, 2, 6_000
-#: What a sequence may leave free and yet not be packed again.
-ROOM = 48
+#: What a sequence may leave free and yet not be packed again; after how many sequences in a row that can't be emptied
+#: the search ends.
+ROOM, GIVE_UP = 48, 3
 #: Texts that the two tokenizer libraries surely cut alike: assigned Latin letters and marks, and no very long run.
 PLAIN = regex.compile(r"[\t-\r\x20-ɏ‐-‧‰-⁞€]*+")
 RUN = regex.compile(r"\S{2000}|\s{2000}")
@@ -101,25 +102,30 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], most: int) -> list[li
     for b, items in enumerate(bins):
         bin_of[items] = b
     fill = np.bincount(bin_of, sizes, len(bins)).astype(np.int64)
-    tried = 0
+    missed = 0
     for giver in np.argsort(fill, kind="stable").tolist():
+        if missed == GIVE_UP:
+            break
+        if fill[giver] == most:
+            continue
         others = (fill > 0) & (fill < most)
         others[giver] = False
-        if not fill[giver] or tried >= 3 or (most - fill[others]).sum() < fill[giver]:
-            tried += 1
-            if tried > 3:
-                break
+        if (most - fill[others]).sum() < fill[giver]:
+            missed += 1
             continue
-        before = fill[giver]
         while fill[giver]:
-            mine = np.flatnonzero(bin_of == giver)
-            singles = [(int(sizes[k]), (k,)) for k in mine]
-            pairs = [(int(sizes[a] + sizes[b]), (a, b)) for i, a in enumerate(mine) for b in mine[i + 1 : i + 40]]
+            # Of documents of one size in one sequence one speaks for all: a sequence has few different sizes.
+            mine: dict[int, list[int]] = {}
+            for k in np.flatnonzero(bin_of == giver).tolist():
+                mine.setdefault(int(sizes[k]), []).append(k)
+            singles = {a: (ks[0],) for a, ks in mine.items()}
+            pairs = {a + b: (mine[a][0], mine[b][-1]) for a in mine for b in mine if a < b or a == b and len(mine[a]) > 1}
             theirs = np.flatnonzero(others[bin_of])
+            theirs = theirs[np.unique(bin_of[theirs] * (most + 1) + sizes[theirs], return_index=True)[1]]
             room, back = (most - fill)[bin_of[theirs]], sizes[theirs]
             open_bins = np.flatnonzero(others)
             best = (0, None, None, None)
-            for amount, given in singles + pairs:
+            for amount, given in [*singles.items(), *pairs.items()]:
                 fit = most - fill[open_bins]
                 ok = fit >= amount
                 if len(given) == 1 and ok.any():
@@ -145,8 +151,7 @@ def local_search(sizes: np.ndarray, bins: list[list[int]], most: int) -> list[li
             fill[to] += moved
             fill[giver] -= moved
             others[to] = fill[to] < most
-        tried = 0 if not fill[giver] else tried + 1
-        _ = before
+        missed = missed + 1 if fill[giver] else 0
     order = np.argsort(bin_of, kind="stable")
     cuts = np.flatnonzero(np.diff(bin_of[order])) + 1
     return [x.tolist() for x in np.split(order, cuts)] if len(order) else []

@@ -83,3 +83,12 @@ def test_local_search_empties_a_bin():
     sizes = np.array([rng.randint(5, 60) for _ in range(300)])
     spread = [[k] for k in range(300)]
     assert len(packing.local_search(sizes, spread, 100)) < 300
+
+
+def test_very_many_short_documents():
+    import time
+
+    sizes = np.array([1] * 4000 + [2] * 1500 + [700] * 40)
+    began = time.time()
+    bins = packing.local_search(sizes, packing.best_fit(sizes, 1024), 1024)
+    assert len(bins) == 40 and time.time() - began < 30  # no two of the long ones fit together
