@@ -48,11 +48,15 @@ def partial_stats(obs: DataFrame, group: str, part: str, kind: str, tissue: str,
         F.count("*").alias("n_rows"), F.count_distinct(kind).alias("n_types"), distinct(tissue).alias("tissues"), diseases.alias("diseases"))
 
 
-def merged_stats(parts: DataFrame, group: str) -> DataFrame:
-    """For each group over its parts: rows summed, the largest number of kinds, and the union of tissues and of diseases."""
+def merged_stats(parts: DataFrame, group: str, part: str | None = None) -> DataFrame:
+    """For each group over its parts: rows summed, the largest number of kinds, and the union of tissues and of diseases.
+
+    part: the column that names the parts, for a sorted array of them (parts).
+    """
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    names = [F.array_sort(F.collect_set(part)).alias("parts")] if part else []
     return parts.groupBy(group).agg(
-        F.sum("n_rows").alias("n_rows"), F.max("n_types").alias("n_types"), union("tissues").alias("tissues"), union("diseases").alias("diseases"))
+        F.sum("n_rows").alias("n_rows"), F.max("n_types").alias("n_types"), union("tissues").alias("tissues"), union("diseases").alias("diseases"), *names)
 
 
 def within_thresholds(rows: str | Column, types: str | Column, cfg: Curation = Curation()) -> Column:
@@ -113,17 +117,21 @@ def balanced_selection(scored: DataFrame, key: str, tissues: str, targets: list[
     """The best of each target tissue, filled up to cfg.least_selected with the best others, cut to cfg.most_selected.
 
     scored: one row a dataset with an array of tissues. Adds selected_reason and matched_tissues (empty for fill-ups).
-    Both cuts are sorts with a limit, so each task returns only its best rows.
+    One pass: ranks within targets, then a sort with a limit that surely holds all that can be selected; how many
+    fill-ups are needed is decided on those few rows.
     """
     order = order or (F.desc("auto_score"), F.desc("n_types"), F.desc("n_rows"), F.col(key).asc())
-    wanted = F.array(*map(F.lit, targets))
-    met = scored.withColumn("_target", F.explode(F.array_intersect(F.col(tissues), wanted)))
-    top = top_per_group(met, "_target", cfg.per_tissue, *order).groupBy(key).agg(F.array_sort(F.collect_set("_target")).alias("matched_tissues"))
-    chosen = scored.join(top, key).withColumn("selected_reason", F.lit("top_of_tissue"))
-    lack = max(0, cfg.least_selected - chosen.count())
-    rest = scored.join(top, key, "left_anti").orderBy(*order).limit(lack)
-    fill = rest.withColumn("matched_tissues", F.array().cast("array<string>")).withColumn("selected_reason", F.lit("fill_up"))
-    return chosen.unionByName(fill).orderBy(*order).limit(cfg.most_selected)
+    target = F.explode_outer(F.array_intersect(F.col(tissues), F.array(*map(F.lit, targets)))).alias("_target")
+    rank = F.row_number().over(Window.partitionBy("_target").orderBy(*order))
+    ranked = scored.select("*", target).withColumn("_top", F.col("_target").isNotNull() & (rank <= cfg.per_tissue))
+    matched = F.array_sort(F.collect_set(F.when(F.col("_top"), F.col("_target"))))
+    rows = ranked.groupBy(key).agg(F.any_value(F.struct(*scored.columns)).alias("_row"), matched.alias("matched_tissues")).select("_row.*", "matched_tissues")
+    rows = rows.withColumn("_top", F.size("matched_tissues") > 0)
+    few = rows.orderBy(F.desc("_top"), *order).limit(len(targets) * cfg.per_tissue + cfg.least_selected)
+    place = F.row_number().over(Window.orderBy(F.desc("_top"), *order))  # of these few rows
+    kept = few.withColumn("_place", place).where(F.col("_top") | (F.col("_place") <= cfg.least_selected))
+    reason = F.when(F.col("_top"), "top_of_tissue").otherwise("fill_up")
+    return kept.withColumn("selected_reason", reason).drop("_top", "_place").orderBy(*order).limit(cfg.most_selected)
 
 
 def template_selection(scored: DataFrame, key: str, tissues: str, targets: list[str], k: int = 2, fallback: int = 5, *order: Column) -> DataFrame:

@@ -49,7 +49,7 @@ def partial(t: Tables) -> DataFrame:
 
 
 def stats(t: Tables) -> DataFrame:
-    return op.merged_stats(partial(t), "dataset_id")
+    return op.merged_stats(partial(t), "dataset_id", "tissue_general")
 
 
 def titled(t: Tables) -> DataFrame:
@@ -70,7 +70,7 @@ def d1(t):
 
 @query("D2_final_stats", f"WITH {STATS} SELECT dataset_id, n_rows, n_types, tissues, diseases FROM stats")
 def d2(t):
-    return stats(t).withColumns({c: F.array_join(c, ";") for c in ("tissues", "diseases")})
+    return stats(t).drop("parts").withColumns({c: F.array_join(c, ";") for c in ("tissues", "diseases")})
 
 
 @query("B1_range_filter", f"WITH {STATS} SELECT dataset_id, n_rows, n_types FROM stats WHERE n_rows BETWEEN 100 AND 3000 AND n_types >= 6")
@@ -147,10 +147,8 @@ SELECT dataset_id, matched_tissues, selected_reason, round(CAST(auto_score AS DO
 
 @query("E3_balanced_selection", f"WITH {STATS}, {SCORED}, {SELECTION}")
 def e3(t):
-    general = partial(t).groupBy("dataset_id").agg(F.array_sort(F.collect_set("tissue_general")).alias("general"))
-    rows = scored(t).join(general, "dataset_id")
     order = (F.desc(F.round("auto_score", 9)), F.desc("n_types"), F.desc("n_rows"), F.col("dataset_id"))
-    picked = op.balanced_selection(rows, "dataset_id", "general", TARGETS, CFG, *order)
+    picked = op.balanced_selection(scored(t), "dataset_id", "parts", TARGETS, CFG, *order)
     return picked.select("dataset_id", F.array_join("matched_tissues", ";").alias("matched_tissues"), "selected_reason", F.round("auto_score", 6).alias("auto_score"))
 
 
