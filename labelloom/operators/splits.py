@@ -13,6 +13,22 @@ def hash_order(key: str, seed: int) -> list[Column]:
     return [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
 
 
+def with_hash_rank(rows: DataFrame, key: str, seed: int, part: str | None = None) -> DataFrame:
+    """rows with _k, the place (from 1) in the hash order of its part, and _n, the part's size; without part, of all rows.
+
+    Rows are counted by part and the hash's first digits; a row's place is what comes before its digits, and its place
+    among them. So windows hold a four-thousandth of a part, and a part may be as large as the table.
+    """
+    one = F.col(part) if part else F.lit(0)
+    rows = rows.withColumn("_h", hash_order(key, seed)[0]).withColumn("_d", F.substring("_h", 1, 3)).withColumn("_part", one)
+    w = Window.partitionBy("_part2")
+    n = rows.groupBy(F.col("_part").alias("_part2"), F.col("_d").alias("_d2")).agg(F.count("*").alias("_c"))
+    n = n.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_d2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(w))
+    met = rows.join(n, F.col("_part").eqNullSafe(F.col("_part2")) & (F.col("_d") == F.col("_d2")))
+    place = F.row_number().over(Window.partitionBy("_part", "_d").orderBy("_h", key))
+    return met.withColumn("_k", F.col("_before") + place).drop("_h", "_d", "_part", "_part2", "_d2", "_c", "_before")
+
+
 def _cuts(n: Column, val: float, test: float) -> tuple[Column, Column]:
     """Sizes of train and val among n groups: at least one test and one val from three groups on, and one train always."""
     n_test, n_val = F.greatest(F.lit(1), F.bround(n * test).cast("int")), F.greatest(F.lit(1), F.bround(n * val).cast("int"))
@@ -25,22 +41,17 @@ def _cuts(n: Column, val: float, test: float) -> tuple[Column, Column]:
 def group_split(groups: DataFrame, key: str, val: float = 0.10, test: float = 0.15, seed: int = 42, strata: str | None = None) -> DataFrame:
     """groups (one row each) with split train, val or test, by hash order; with strata, inside each stratum.
 
-    The number of groups comes from an aggregation. Without strata the order is global, so this is for group tables
-    (datasets, sources), not for records; records then join on the group.
+    Records then join on the group.
     """
-    part = strata or "_one"
-    rows = groups if strata else groups.withColumn("_one", F.lit(0))
-    w = Window.partitionBy(part)
-    rows = rows.withColumn("_k", F.row_number().over(w.orderBy(*hash_order(key, seed)))).withColumn("_n", F.count("*").over(w))
+    rows = with_hash_rank(groups, key, seed, strata)
     n_train, n_val = _cuts(F.col("_n"), val, test)
     split = F.when(F.col("_k") <= n_train, "train").when(F.col("_k") <= n_train + n_val, "val").otherwise("test")
-    return rows.withColumn("split", split).drop("_k", "_n", "_one")
+    return rows.withColumn("split", split).drop("_k", "_n")
 
 
 def small_stratified_split(groups: DataFrame, key: str, strata: str, seed: int = 42) -> DataFrame:
     """For few groups: of a stratum the first goes to train, the second to test, with four or more the third to val, the rest to train."""
-    w = Window.partitionBy(strata)
-    rows = groups.withColumn("_k", F.row_number().over(w.orderBy(*hash_order(key, seed)))).withColumn("_n", F.count("*").over(w))
+    rows = with_hash_rank(groups, key, seed, strata)
     split = F.when(F.col("_k") == 2, "test").when((F.col("_k") == 3) & (F.col("_n") >= 4), "val").otherwise("train")
     return rows.withColumn("split", split).drop("_k", "_n")
 
@@ -88,6 +99,5 @@ def unmapped_subset(test: DataFrame, known_id: str, status: str | Column, flag:
 
 def stratified_sample(rows: DataFrame, label: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """rows with part test for a share of each class, by hash order, else train."""
-    w = Window.partitionBy(label)
-    out = rows.withColumn("_k", F.row_number().over(w.orderBy(*hash_order(key, seed)))).withColumn("_n", F.count("*").over(w))
+    out = with_hash_rank(rows, key, seed, label)
     return out.withColumn("part", F.when(F.col("_k") <= F.ceil(F.col("_n") * share), "test").otherwise("train")).drop("_k", "_n")

@@ -292,3 +292,16 @@ def test_tsv_appends_only_unseen_keys(spark):
     new = spark.createDataFrame([(" t CELL ", "y"), ("nk", "z"), ("NK", "w"), ("", "v")], "raw string, id string")
     got = sorted((r["raw"].lower(), r["id"]) for r in manifest.appended(old, new, "raw").collect())
     assert [k for k, _ in got] == ["nk", "t cell"]
+
+
+def test_hash_rank_with_null_parts(spark):
+    rows = [(k, None if k % 3 == 0 else f"p{k % 3}") for k in range(500)]
+    df = spark.createDataFrame(rows, "id int, p string")
+    got = {}
+    for r in splits.with_hash_rank(df, "id", 7, "p").collect():
+        got.setdefault(r["p"], []).append((r["_k"], r["id"], r["_n"]))
+    import hashlib
+
+    for p, found in got.items():
+        ids = sorted((k for k, q in rows if q == p), key=lambda k: hashlib.md5(f"7|{k}".encode()).hexdigest())
+        assert sorted(found) == [(k + 1, i, len(ids)) for k, i in enumerate(ids)]
