@@ -39,13 +39,15 @@ def partial_stats(obs: DataFrame, group: str, part: str, kind: str, tissue: str,
     """For each group and part: rows, distinct kinds, and sorted distinct tissues and diseases as arrays.
 
     disease_chars: cut the joined diseases to so many characters before they are split again.
+    Rows are counted by all five columns first: a hot group is spread over many keys, and sets see each value once.
     """
     distinct = lambda c: F.array_sort(F.collect_set(c))
     diseases = distinct(disease)
     if disease_chars:
         diseases = F.filter(F.split(F.substring(F.array_join(diseases, ";"), 1, disease_chars), ";"), lambda x: F.trim(x) != "")
-    return obs.groupBy(group, part).agg(
-        F.count("*").alias("n_rows"), F.count_distinct(kind).alias("n_types"), distinct(tissue).alias("tissues"), diseases.alias("diseases"))
+    seen = obs.groupBy(group, part, kind, tissue, disease).agg(F.count("*").alias("_n"))
+    return seen.groupBy(group, part).agg(
+        F.sum("_n").alias("n_rows"), F.count_distinct(kind).alias("n_types"), distinct(tissue).alias("tissues"), diseases.alias("diseases"))
 
 
 def merged_stats(parts: DataFrame, group: str, part: str | None = None) -> DataFrame:
