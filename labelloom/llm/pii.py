@@ -25,6 +25,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,11 +107,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["value", "term", "own"])
 
 
-def _counted(wanted: np.ndarray | None):
+def _counted(wanted: Broadcast | None):
     """Number of documents with each term, of those in wanted (None: all)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sought = None if wanted is None else frozenset(wanted.tolist())
+        sought = None if wanted is None else frozenset(wanted.value.tolist())
         for batch in batches:
             n: Counter[int] = Counter()
             for text in batch.column(0):
@@ -121,6 +122,11 @@ def _counted(wanted: np.ndarray | None):
     return count
 
 
+def _sent(terms: DataFrame) -> Broadcast:
+    """Hashed terms, SENT at most, as an array on every executor."""
+    return terms.sparkSession.sparkContext.broadcast(terms.toPandas()["term"].to_numpy(np.int64))
+
+
 def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """Hashed terms that reveal a protected value: one column, term."""
     texts = in_small_batches(docs.select("text"))
@@ -132,7 +138,7 @@ def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUP
     few = sought.limit(SENT + 1).count()
     if not few:
         return sought
-    wanted = np.array([r[0] for r in sought.collect()], np.int64) if few <= SENT else None
+    wanted = _sent(sought) if few <= SENT else None
     counts = texts.mapInArrow(_counted(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     log_n = float(np.log(max(2, docs.count())))
     share = (log_n + F.log("n") - F.log("n_term") - F.log("n_value")) / (log_n - F.log("n_value"))
@@ -140,11 +146,11 @@ def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUP
     return written(told.select("term").distinct(), "disclosing")
 
 
-def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, frozenset | None]:
+def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, Broadcast | None]:
     """docs with a last column of the telling terms in each text, if they are too many to send; else the terms."""
     told, own = fresh(docs, "told"), fresh(docs, "own")
     if terms.limit(SENT + 1).count() <= SENT:
-        return docs.withColumn(told, F.lit(None).cast("array<bigint>")), frozenset(r[0] for r in terms.collect())
+        return docs.withColumn(told, F.lit(None).cast("array<bigint>")), _sent(terms)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,12 +180,13 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: int =
     rows, sent = _with_terms(rows, disclosing(rows, threshold, support))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if sent is None else frozenset(sent.value.tolist())
         for batch in batches:
             out = []
             for text, own in zip(batch.column(1), batch.column(2), strict=True):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                more = _term_spans(text, own.as_py() if sent is None else sent, base)
+                more = _term_spans(text, own.as_py() if known is None else known, base)
                 n = Counter(k for k, _, _ in base)
                 out.append((*(n[k] for k in KINDS), sha256(_join(base).encode()).hexdigest(), _join(base + more), len(more)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
@@ -205,13 +212,14 @@ def sanitised(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPP
     names = docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if sent is None else frozenset(sent.value.tolist())
         for batch in batches:
             out = []
             for text, own in zip(batch.column(names.index("text")), batch.column(len(names)), strict=True):
                 text = text.as_py()
                 if text:
                     base = base_spans(text)
-                    text = generalised(text, base + _term_spans(text, own.as_py() if sent is None else sent, base))
+                    text = generalised(text, base + _term_spans(text, own.as_py() if known is None else known, base))
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(k) for k, c in enumerate(names)], names)
 
