@@ -18,6 +18,7 @@ blanks take linear time.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -81,15 +82,33 @@ def _hash(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+class Covered:
+    """The stretches of a text that spans cover, merged, so that a look-up takes logarithmic time."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        self.starts, self.ends = [], []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether a stretch shares a character with [a, b)."""
+        k = bisect_right(self.ends, a)
+        return k < len(self.ends) and self.starts[k] < b
+
+
 def _beside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
     """(value, term) hashes for each protected value and each term within WINDOW words of it."""
-    covered = [(a, b) for _, a, b in spans]
+    covered = Covered(spans)
     for kind, a, b in spans:
         value = _hash(kind + ":" + (re.sub(r"\D", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()))
         left = [m for m in TERM.finditer(text, max(0, a - 200), a)][-WINDOW:]
         right = [m for m, _ in zip(TERM.finditer(text, b, b + 200), range(WINDOW), strict=False)]
         for m in left + right:
-            if not any(x <= m.start() < y or x < m.end() <= y for x, y in covered):
+            if not covered.meets(m.start(), m.end()):
                 yield value, _hash(m[0].lower())
 
 
@@ -165,9 +184,8 @@ def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, Broadcast
 def _term_spans(text: str, told, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     if not told:
         return []
-    inside = sorted((a, b) for _, a, b in spans)
-    out = [("term", m.start(), m.end()) for m in TERM.finditer(text) if _hash(m[0].lower()) in told]
-    return [x for x in out if not any(a < x[2] and x[1] < b for a, b in inside)]
+    covered = Covered(spans)
+    return [("term", m.start(), m.end()) for m in TERM.finditer(text) if _hash(m[0].lower()) in told and not covered.meets(m.start(), m.end())]
 
 
 def _join(spans: list[tuple[str, int, int]]) -> str:

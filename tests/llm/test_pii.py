@@ -46,6 +46,21 @@ def test_long_runs_take_linear_time():
         pii.base_spans(text)
 
 
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=8), st.integers(0, 35), st.integers(1, 5))
+@settings(max_examples=500, deadline=None)
+def test_covered(found, a, n):
+    spans = [("x", start, start + length) for start, length in found]
+    assert pii.Covered(spans).meets(a, a + n) == any(x < a + n and a < y for _, x, y in spans)
+
+
+def test_very_many_values_in_one_text():
+    text = " ".join(f"write to user{k}@mail.example or call" for k in range(20_000))
+    spans = pii.base_spans(text)
+    assert len(spans) == 20_000
+    assert len(list(pii._beside(text, spans))) > 20_000
+    assert len(pii._term_spans(text, {pii._hash("write")}, spans)) == 20_000
+
+
 def test_odd_documents(spark):
     docs = edges.documents(spark)
     texts = {}
