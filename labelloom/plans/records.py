@@ -46,7 +46,7 @@ def a19(t):
     return mf.upserted(old, old.where("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("NEW")), "c_custkey")
 
 
-@query("A9_append_unseen", "SELECT DISTINCT lower(c_mktsegment) AS label FROM customer WHERE c_custkey > 5 OR true")
+@query("A9_append_unseen", "SELECT DISTINCT lower(c_mktsegment) AS label FROM customer")
 def a9(t):
     old = t.customer.where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.lower("c_mktsegment").alias("label")).distinct()
     return mf.appended(old, t.customer.select(F.lower(F.concat(F.lit(" "), F.col("c_mktsegment"))).alias("label")).distinct(), "label").select(F.trim("label").alias("label"))

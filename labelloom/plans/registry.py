@@ -15,10 +15,10 @@ class Tables:
     """The tables of a folder by name."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self._folder = spark, folder
+        self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 def query(name: str, sql: str | None = None):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -11,6 +14,15 @@ def _schema(spark: SparkSession, ddl: str) -> StructType:
     return spark.createDataFrame([], ddl).schema
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where that is unset)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        shared = "file://" + tempfile.mkdtemp(prefix="labelloom-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
     """Parquet, with the columns and rows asked for; both reach the scan."""
     df = spark.read.parquet(path)
@@ -67,6 +79,17 @@ def read_map_document(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("e.key", "e.value", "ord").where(~F.col("key").startswith("_"))
 
 
+def write_map_document(pairs: DataFrame, path: str) -> None:
+    """key and value as one JSON object in one file, in order of key: a small table."""
+    doc = pairs.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("value"))
+    doc.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """text as the one file of a folder, in any store that Spark writes to."""
+    spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int | None = None) -> DataFrame:
     """path, name and size of the files in a folder, those above most_bytes left out; contents aren't read."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
