@@ -5,7 +5,9 @@ orthogonal fits (iterative quantisation). Every vector's code is the signs of it
 into substrings of up to 8 bits, each with a table from value to rows. To find all codes within Hamming radius R of a
 query it is enough, by the pigeonhole principle, to probe table k within R // m or one less; what that retrieves is
 checked against R and ranked by the inner product of the original vectors, in double precision. R is measured, not
-set: some queries are compared with all rows, and R covers COVER of their true neighbours' distances.
+set: some queries are compared with all rows, and R covers COVER of their true neighbours' distances. Queries that get
+fewer rows than they should (isolated ones, where most lie in tight clusters) are searched again with R doubled, up to
+all bits.
 
 Inner products grow with length, so codes are those of vectors completed to equal length by one more coordinate, and
 of queries completed by 0: the order of cosines is then that of inner products. Equal vectors are one class with its
@@ -20,6 +22,7 @@ no candidates give an empty result. Further columns stay out of the result, so t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -168,13 +171,22 @@ def nearest(table: DataFrame, every: int = EVERY, most: int = NEAREST, sample: i
     true = true.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("rank") <= most)
     radius = int(true.agg(F.percentile("far", COVER)).first()[0] or 0) + 1
 
-    parts, blocks = max(1, -(-n // PART)), max(1, -(-queries.count() // QUERIES))
-    left = classes.select("*", F.pmod(F.xxhash64("class", F.lit(3)), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select("class", "v", F.pmod(F.xxhash64("class", F.lit(4)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(
-        _searched(mean, turn, longest, radius, keep), "query long, class long, ids array<long>, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = met.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).drop("rank")
-    found = written(found, "found").join(asked.select(F.col("vec_id").alias("query_id"), F.col("class").alias("query")), "query").where("query_id <> vec_id")
+    need = min(keep, classes.agg(F.sum(F.size("ids"))).first()[0])
+    parts, best, done = max(1, -(-n // PART)), Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"), []
+    while True:
+        blocks = max(1, -(-queries.count() // QUERIES))
+        left = classes.select("*", F.pmod(F.xxhash64("class", F.lit(3)), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        right = queries.select("class", "v", F.pmod(F.xxhash64("class", F.lit(4)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+        met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(
+            _searched(mean, turn, longest, radius, keep), "query long, class long, ids array<long>, score double")
+        found = met.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).drop("rank")
+        found = written(found, "found")
+        full = found.groupBy("query").count().where(F.col("count") >= need).select("query")
+        if radius >= turn.shape[1] or (short := written(queries.join(full.withColumnRenamed("query", "class"), "class", "left_anti"), "short")).isEmpty():
+            done.append(found)
+            break
+        done.append(found.join(full, "query", "left_semi"))
+        queries, radius = short, min(turn.shape[1], 2 * radius)
+    found = reduce(DataFrame.unionByName, done).join(asked.select(F.col("vec_id").alias("query_id"), F.col("class").alias("query")), "query").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= most)

@@ -132,6 +132,21 @@ def test_recall_and_scores(spark):
     assert len(got) == sum(map(len, want.values())) and hits >= 0.9 * len(got)
 
 
+def test_isolated_queries_get_all_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(mih, "PART", 500)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 64))
+    centres /= np.sqrt((centres * centres).sum(1, keepdims=True))
+    rows = [(k, (centres[k // 60] + rng.normal(0, 0.01, 64)).astype(np.float32).tolist(), 0) for k in range(2400)]
+    rows += [(2400, (-centres.mean(0) / np.sqrt((centres.mean(0) ** 2).sum())).astype(np.float32).tolist(), 0)]
+    got = {}
+    for r in mih.nearest(table(spark, rows)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    want = brute_nearest(rows)
+    assert {q: [k for k, _ in sorted(found)] for q, found in got.items()} == {q: list(range(1, len(w) + 1)) for q, w in want.items()}
+    assert sum(len({j for _, j in got[q]} & {j for j, _ in w}) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_probing_finds_all_within_the_radius():
     rng = random.Random(5)
     code = np.frombuffer(rng.randbytes(8 * 2000), np.uint8).reshape(2000, 8)
