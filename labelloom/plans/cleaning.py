@@ -120,6 +120,14 @@ def c11(t):
     return t.orders.where("o_orderkey % 5 = 0").join(meta, keys, "left").select("o_orderkey", "priority")
 
 
+@query("C11_composite_key_join_all_orders", """WITH m AS (SELECT o_custkey, o_orderstatus, max_by(o_orderpriority, o_orderkey) AS priority FROM orders GROUP BY ALL)
+SELECT o_orderkey, priority FROM orders JOIN m USING (o_custkey, o_orderstatus)""")
+def c11_all(t):
+    keys = ["o_custkey", "o_orderstatus"]
+    meta = t.orders.groupBy(*keys).agg(F.max_by("o_orderpriority", "o_orderkey").alias("priority"))
+    return t.orders.join(meta, keys, "left").select("o_orderkey", "priority")
+
+
 @query("C16_dimension_lookup", "SELECT s_suppkey, coalesce(r_name, 'unknown') AS scope FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_name <> 'CHINA' LEFT JOIN region ON n_regionkey = r_regionkey")
 def c16(t):
     scope = t.nation.where("n_name <> 'CHINA'").join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
@@ -184,6 +192,11 @@ def h1(t):
     return t.documents.select("doc_id", tx.text_or_null(F.substring("text", 1, 200)).alias("s"))
 
 
+@query("H1_text_or_null_whole", "SELECT doc_id, nullif(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '') AS s FROM documents")
+def h1_whole(t):
+    return t.documents.select("doc_id", tx.text_or_null("text").alias("s"))
+
+
 @query("H2_label_text", "SELECT p_partkey, lower(p_name) AS s FROM part")
 def h2(t):
     return t.part.select("p_partkey", tx.label_text(F.concat(F.lit("  "), F.regexp_replace("p_name", " ", "   "), F.lit("\t"))).alias("s"))

@@ -102,6 +102,15 @@ def h18(t):
     return rows.select("doc_id", sc.overlap_score("q", "k").alias("score"))
 
 
+@query("H18_overlap_score_all_entries", f"""WITH p AS (SELECT d.doc_id, {WORDS.format(c='d.text')} AS q, {WORDS.format(c='b.text')} AS k FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
+SELECT doc_id, round(round(least(len(list_distinct(list_intersect(q, k)))::DOUBLE / len(list_distinct(list_concat(q, k))) + len(list_distinct(list_intersect(q[1:5], k)))::DOUBLE / len(list_distinct(q[1:5])) * 0.3, 1.0), 4), 4) AS score FROM p WHERE len(q) > 0""")
+def h18_all(t):
+    known = t.benchmark.select("item_id", words("text").alias("k"))
+    size = F.broadcast(t.benchmark.agg(F.count("*").alias("size")))  # one row
+    rows = t.documents.select("doc_id", words("text").alias("q")).crossJoin(size).join(known, F.col("doc_id") % F.col("size") == F.col("item_id")).where(F.size("q") > 0)
+    return rows.select("doc_id", sc.overlap_score("q", "k").alias("score"))
+
+
 @query("H19_tissue_bonus", "SELECT * FROM (VALUES (1, 0.2::DOUBLE), (2, 0.1), (3, 0.1), (4, 0.0), (5, 0.0)) v(k, b)")
 def h19(t):
     rows = values(t.spark, [(1, "Blood", ["lung", " blood"]), (2, "blood", ["peripheral blood", "blood"]), (3, "left lung", ["lung"]), (4, "", ["lung"]), (5, "skin", ["lung"])], "k int, q string, known array<string>")

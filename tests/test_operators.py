@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -305,3 +306,16 @@ def test_hash_rank_with_null_parts(spark):
     for p, found in got.items():
         ids = sorted((k for k, q in rows if q == p), key=lambda k: hashlib.md5(f"7|{k}".encode()).hexdigest())
         assert sorted(found) == [(k + 1, i, len(ids)) for k, i in enumerate(ids)]
+
+
+def test_whole_tables_reach_the_join_and_the_normalisation(spark):
+    from labelloom.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey")
+    assert sorted(catalog.QUERIES["C11_composite_key_join_all_orders"](spark, folder).select("o_orderkey").collect()) == sorted(orders.collect())
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["s"] for r in catalog.QUERIES["H1_text_or_null_whole"](spark, folder).collect()}
+    assert got == {k: " ".join(re.split(r"[ \t-\r]+", v.strip(" \t\n\v\f\r"))) or None for k, v in texts.items()}
+    n = spark.read.parquet(f"{folder}/benchmark.parquet").count()
+    assert catalog.QUERIES["H18_overlap_score_all_entries"](spark, folder).count() == sum(bool(v.strip(" \t\n\v\f\r")) for v in texts.values()) and n > 0
