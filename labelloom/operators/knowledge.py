@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.functions.text import col, folded, label_text, short_id
+from labelloom.functions.text import col, folded, label_text, plain_label, short_id
 
 
 def external_entries(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -101,22 +101,45 @@ def lookup_keys(index: DataFrame) -> DataFrame:
     return index.select(F.explode(F.concat(F.array(F.struct(label_text("label").alias("key"), F.lit(0).alias("priority"))), F.transform("synonyms", lambda s: F.struct(label_text(s).alias("key"), F.lit(1).alias("priority"))))).alias("k"), "id").select("k.*", "id").where("key is not null")
 
 
+def _grams(c: str, least: int = 1) -> Column:
+    """The substrings of `least` to 3 characters, each once."""
+    def of(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.col(c).substr(i, F.lit(k)))
+        return F.when(F.length(c) >= k, every).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*(of(k) for k in range(least, 4))))
+
+
+def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (inner, outer) of distinct texts where inner is within outer; an empty inner is within all.
+
+    Each inner meets the outers on one of its grams of three characters, the rarest among them, or, if shorter, on itself.
+    """
+    grams = outer.select("outer", F.explode(F.concat(F.array(F.lit("")), _grams("outer"))).alias("g"))
+    own = inner.select("inner", F.explode(F.when(F.length("inner") < 3, F.array("inner")).otherwise(_grams("inner", 3))).alias("g"))
+    rarest = own.join(grams.groupBy("g").count(), "g", "left").groupBy("inner").agg(F.min_by("g", F.coalesce("count", F.lit(0))).alias("g"))
+    return rarest.join(grams, "g").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
 def rule_mapped(labels: DataFrame, index: DataFrame) -> DataFrame:
-    """label and the id it maps to: exact label, then synonym, then the first id in file order where one is part of the other.
+    """label and the id it maps to: exact label, then synonym, then the first label in file order where one is part of the other.
 
-    The part-of rule needs no cross join: labels and index are cut into words and meet on a word they share, which
-    finds whatever agrees on whole words; the substring test then decides.
+    Labels meet as plain_label and once each; of equal index keys the last row's id holds. A blank label is part of the
+    first one, as the original has it. Labels of one key stay rows of their own.
     """
-    keys = lookup_keys(index)
-    want = labels.select("label", label_text("label").alias("key")).where("key is not null")
-    exact = want.join(keys.groupBy("key").agg(F.min(F.struct("priority", "id")).alias("m")), "key", "left")
-    found = exact.where("m is not null").select("label", F.col("m.id").alias("id"), F.when(F.col("m.priority") == 0, "exact").otherwise("synonym").alias("rule"))
-    left = exact.where("m is null").select("label", "key")
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    names = index.select("id", "ord", label_text("label").alias("name")).where("name is not null")
-    met = left.select("label", "key", F.explode(words(F.col("key"))).alias("w")).join(names.select("id", "ord", "name", F.explode(words(F.col("name"))).alias("w")), "w")
-    part = met.where(F.col("key").contains(F.col("name")) | F.col("name").contains(F.col("key"))).groupBy("label").agg(F.min_by("id", "ord").alias("id"))
-    return found.unionByName(left.join(part, "label", "left").select("label", "id", F.when(F.col("id").isNull(), "none").otherwise("part").alias("rule")))
+    index = index.where(F.coalesce("id", F.lit("")) != "").withColumn("_name", plain_label("label"))
+    names = index.where("_name <> ''").groupBy(F.col("_name").alias("name")).agg(F.max_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
+    other = index.select("id", "ord", F.explode("synonyms").alias("s")).select(plain_label("s").alias("key"), "id", "ord").where("key <> ''")
+    other = other.groupBy("key").agg(F.max_by("id", "ord").alias("other"))
+    rows = labels.select("label", plain_label("label").alias("key"))
+    met = rows.select("key").distinct().join(names.select(F.col("name").alias("key"), "id"), "key", "left").join(other, "key", "left")
+    left, known = met.where("id is null and other is null").select("key"), names.select("name")
+    within = containing(left.withColumnRenamed("key", "inner"), known.withColumnRenamed("name", "outer")).select(F.col("inner").alias("key"), F.col("outer").alias("name"))
+    around = containing(known.withColumnRenamed("name", "inner"), left.withColumnRenamed("key", "outer")).select(F.col("outer").alias("key"), F.col("inner").alias("name"))
+    part = within.union(around).join(names, "name").groupBy("key").agg(F.min_by("id", "ord").alias("part"))
+    met = met.join(part, "key", "left")
+    rule = F.when(F.col("id").isNotNull(), "exact").when(F.col("other").isNotNull(), "synonym").when(F.col("part").isNotNull(), "part").otherwise("none")
+    return rows.join(met.select("key", F.coalesce("id", "other", "part").alias("id"), rule.alias("rule")), "key").select("label", "id", "rule")
 
 
 def entries_by_label(entries: DataFrame, label: Column) -> DataFrame:

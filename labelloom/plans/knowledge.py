@@ -81,6 +81,15 @@ def c6(t):
     return op.rule_mapped(values(t.spark, [("T cell",), ("cd3",), ("memory b cell",), ("cell",), ("neuron",)], "label string"), index)
 
 
+@query("C6_rule_mapper_column", """WITH i AS (SELECT p_partkey AS ord, 'X:' || p_partkey AS id, lower(substr(p_name, 2, len(p_name) - 2)) AS name FROM part),
+n AS (SELECT name, max_by(id, ord) AS id, min(ord) AS ord FROM i GROUP BY name), l AS (SELECT DISTINCT lower(p_name) AS key FROM part UNION SELECT DISTINCT lower(split_part(p_name, ' ', 1)) FROM part),
+m AS (SELECT key, min_by(id, ord) AS id FROM l JOIN n ON contains(key, name) OR contains(name, key) GROUP BY key), r AS (SELECT p_name AS label FROM part UNION ALL SELECT split_part(p_name, ' ', 1) FROM part)
+SELECT label, coalesce(n.id, m.id) AS id, CASE WHEN n.id IS NOT NULL THEN 'exact' WHEN m.id IS NOT NULL THEN 'part' ELSE 'none' END AS rule FROM r LEFT JOIN n ON lower(label) = name LEFT JOIN m ON lower(label) = m.key""")
+def c6_column(t):
+    index = t.part.select(F.concat(F.lit("X:"), "p_partkey").alias("id"), F.expr("substr(p_name, 2, length(p_name) - 2)").alias("label"), F.array().cast("array<string>").alias("synonyms"), F.col("p_partkey").alias("ord"))
+    return op.rule_mapped(t.part.select(F.col("p_name").alias("label")).union(t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)))), index)
+
+
 @query("H48_external_entries", "SELECT * FROM (VALUES ('t cell', 'CL:1', 'lymphocyte', 'CD3|CD4', 0.1235::DOUBLE, 'external')) v(label, id, parent_label, genes, weight, entry_type)")
 def h48(t):
     rows = values(t.spark, [("human", "Blood", " T  cell", "", [" CD3", "", "CD4 "], 0.12345)], "species string, tissue string, label string, id string, marker_genes array<string>, weight double")

@@ -319,3 +319,14 @@ def test_whole_tables_reach_the_join_and_the_normalisation(spark):
     assert got == {k: " ".join(re.split(r"[ \t-\r]+", v.strip(" \t\n\v\f\r"))) or None for k, v in texts.items()}
     n = spark.read.parquet(f"{folder}/benchmark.parquet").count()
     assert catalog.QUERIES["H18_overlap_score_all_entries"](spark, folder).count() == sum(bool(v.strip(" \t\n\v\f\r")) for v in texts.values()) and n > 0
+
+
+def test_rule_mapper_finds_every_containment(spark):
+    from labelloom.operators import knowledge as kn
+
+    index = [("CL:1", "T-cell", ["cd3"], 1), ("CL:2", "lymphocyte", [], 2), ("CL:3", "megakaryocyte", [], 3), ("", "neuron", [], 4), ("CL:5", "NK", [], 5), ("CL:6", "t cell", [], 6)]
+    labels = ["lymphocytes", "karyocyte", "t cell", "CD3", "Human T_cell", "cyte", "n", "xnkx", "neuron", "zz", None, "zz", "T cells, lymphocytes"]
+    got = kn.rule_mapped(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame(index, "id string, label string, synonyms array<string>, ord int")).collect()
+    want = [("lymphocytes", "CL:2", "part"), ("karyocyte", "CL:3", "part"), ("t cell", "CL:6", "exact"), ("CD3", "CL:1", "synonym"), ("Human T_cell", "CL:6", "exact"), ("cyte", "CL:2", "part"), ("n", "CL:5", "part"),
+            ("xnkx", "CL:5", "part"), ("neuron", None, "none"), ("zz", None, "none"), ("zz", None, "none"), (None, "CL:6", "part"), ("T cells, lymphocytes", "CL:6", "part")]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
