@@ -10,7 +10,8 @@ The trees are learnt from pages of known structure: the texts of at most `most`
 anew in many ways, with menus, notices, adverts, forms, comments and so on around an article.
 
 Nulls and blanks: a null or empty html has an empty text. Unclosed tags, stray ends, comments, scripts and bare text
-are handled; nothing is cut. Repeated rows each come back. An empty table gives an empty result. Further columns stay
+are handled; nothing is cut but what isn't shown (scripts, forms' choices, drawings, media), and of that, if its end
+tag is missing, only what comes before its parent's end or the next block. Repeated rows each come back. An empty table gives an empty result. Further columns stay
 out of the result, so their names can't clash.
 """
 
@@ -33,7 +34,9 @@ from labelloom.llm.common import hash_sample, in_small_batches
 # Elements of HTML by kind.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table thead tbody tfoot tr td th blockquote pre figure figcaption address details summary hgroup search dialog menu center".split())
 VOID = frozenset("br hr img input meta link area base col embed param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg select option button math object canvas audio video".split())
+RAW = frozenset("script style textarea title".split())
+HIDDEN = frozenset("noscript template iframe svg select option button math object canvas audio video".split())
+NESTED = frozenset("template svg math object canvas".split())
 ENDS_P = BLOCKS - {"html", "body"} | {"hr"}
 INSIDE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 GROUPS = [frozenset(x.split()) for x in ("p blockquote pre", "h1 h2 h3 h4 h5 h6 hgroup", "li ul ol menu dl dt dd", "div section center", "article main", "nav header footer aside form fieldset address dialog search", "table thead tbody tfoot tr td th", "figure figcaption details summary")]
@@ -47,6 +50,33 @@ WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
+def marks(html: str) -> list[tuple]:
+    """Tags and comments of html: (start, end, closing, tag, attributes, matched); the content of RAW belongs to its tag.
+
+    matched: for a start of HIDDEN that has an end tag, the number of tags up to and with it; else 0.
+    """
+    out: list[list] = []
+    starts: dict[str, list[int]] = {}
+    at, last = 0, html.rfind(">")
+    while at <= last and (m := TOKEN.search(html, at)):
+        at, tag = m.end(), (m[2] or "").lower()
+        out.append([m.start(), at, bool(m[1]), tag, m[3] or "", 0])
+        if tag in RAW:
+            if tag == "title" and (starts.get("svg") or starts.get("math")):
+                out[-1][3] = ""
+            elif not m[1] and not m[3].endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                at = out[-1][1] = end.end() if end else len(html)
+        elif tag in HIDDEN and m[1]:
+            if starts.get(tag):
+                out[starts[tag].pop()][5] = len(out)
+        elif tag in HIDDEN and not m[3].endswith("/"):
+            if tag not in NESTED:
+                starts[tag] = []
+            starts.setdefault(tag, []).append(len(out) - 1)
+    return [tuple(x) for x in out]
+
+
 class Page:
     """Block elements of html in page order, and its blocks of text as (node, text, characters of links)."""
 
@@ -55,23 +85,50 @@ class Page:
         self.html, self._open, self._links = html, [0], 0
         self._text: list[str] = []
         self._linked = 0
-        at, last = 0, html.rfind(">")
-        while at <= last and (m := TOKEN.search(html, at)):
-            self._say(html[at : m.start()])
-            at = m.end()
-            if m[2]:
-                tag = m[2].lower()
-                if tag in RAW and not m[1] and not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
-                    at = end.end() if end else len(html)
-                    self._text.append(" ")
-                elif m[1]:
-                    self._end(tag)
-                else:
-                    self._start(tag, m[3])
+        tags, at, k = marks(html), 0, 0
+        while k < len(tags):
+            start, end, closing, tag, attributes, matched = tags[k]
+            self._say(html[at:start])
+            at, k = end, k + 1
+            if tag in RAW:
+                self._text.append(" ")
+            elif tag in HIDDEN and not closing and not attributes.endswith("/"):
+                k = self._hidden(tags, k, tag, matched)
+                at = tags[k - 1][1] if k == matched else tags[k][0] if k < len(tags) else len(html)
+                self._text.append(" ")
+            elif tag and closing:
+                self._end(tag)
+            elif tag:
+                self._start(tag, attributes)
         self._say(UNENDED.sub("", html[at:]))
         self._flush()
 
+    def _hidden(self, tags: list[tuple], k: int, own: str, matched: int) -> int:
+        """The first of tags behind an element whose text is left out, tags[k:] being what follows its start.
+
+        It ends with its end tag or its parent's; without an end tag also before the next block, the next of its kind
+        and, if it is an option, the next group.
+        """
+        above, inside = None, []
+        while k < len(tags):
+            _, _, closing, tag, attributes, _ = tags[k]
+            if k + 1 == matched:
+                return matched
+            if not tag or tag in RAW or tag in VOID or attributes.endswith("/"):
+                pass
+            elif closing and tag in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(tag) :]
+            elif closing:
+                above = above or {self.tags[x] for x in self._open}
+                if tag in above or not matched:
+                    return k
+            else:
+                if not matched and (tag in BLOCKS or tag == own or (own == "option" and tag == "optgroup")):
+                    return k
+                inside.append(tag)
+            k += 1
+        return k
+
     def _say(self, raw: str) -> None:
         if raw:
             self._text.append(raw)

@@ -21,6 +21,15 @@ def test_parser(html, want):
     assert [text for _, text, _ in hx.Page(html).blocks] == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<datalist><option value=a><option value=b></datalist><article><p>a</article>", ["a"]), ("<div><button>menu</div><p>a", ["a"]), ("<button>menu<article>a</article><button>x</button><p>b", ["a", "b"]),
+    ("<svg><title>logo</svg><p>a", ["a"]), ("<svg><path d=1><p>a", ["a"]), ("<span><video>old</span> a", ["a"]), ("<select><option>x<option>y</select><p>a", ["a"]), ("<svg><svg>x</svg>y</svg>a", ["a"]),
+    ("<button><div>x</div></button>a", ["a"]), ("<noscript><p>x</p></noscript>a", ["a"]), ("<div><object>x</div><p>a</p></object>b", ["a", "b"]), ("<textarea><p>x", []), ("<canvas>x</canvas>a<audio src=1>b", ["a"]),
+])
+def test_what_is_not_shown_ends_with_its_parent_or_the_next_block(html, want):
+    assert [text for _, text, _ in hx.Page(html).blocks] == want
+
+
 def test_decoding_is_the_best_consistent_choice():
     rng = random.Random(2)
     for _ in range(200):
