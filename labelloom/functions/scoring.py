@@ -57,6 +57,23 @@ def hardness(n_cells: str | Column, quality: str | Column, known_id: str | Colum
     )
 
 
+def feature_vector(positive: str, negative: str, n_cells: str | Column, quality: str | Column, flags: str) -> list[Column]:
+    """The 14 features of a marker record: counts, means of the first five markers, specificity, quality and flags as 0 or 1.
+
+    positive: array of structs with lfc, pct_in, pct_out and score; null arrays count as empty.
+    """
+    first = lambda name: F.transform(F.slice(F.col(positive), 1, 5), lambda m: m[name])
+    apart = F.filter(F.transform(F.slice(F.col(positive), 1, 5), lambda m: m["pct_in"] - m["pct_out"]), lambda x: x.isNotNull())
+    count = lambda c: F.coalesce(F.array_size(F.col(c)), F.lit(0))
+    flag = lambda name: F.coalesce(F.col(f"{flags}.{name}"), F.lit(False)).cast("int")
+    return [
+        count(positive).alias("n_positive_markers"), count(negative).alias("n_negative_markers"), col(n_cells).alias("n_cells"), F.round(F.ln(col(n_cells) + 1), 4).alias("log_n_cells"),
+        *(mean_of_first(first(name)).alias(f"mean_{said}_top5") for name, said in (("lfc", "logfc"), ("pct_in", "pct_in"), ("pct_out", "pct_out"), ("score", "score"))),
+        F.when(F.size(apart) > 0, F.round(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x) / F.size(apart), 4)).alias("specificity_score"), col(quality).alias("marker_quality_score"),
+        flag("low_cells").alias("flag_low_cells"), flag("low_marker_quality").alias("flag_low_quality"), flag("ontology_unmapped").alias("flag_ontology_unmapped"), flag("rare_label_in_dataset").alias("flag_rare_label"),
+    ]
+
+
 def any_flag(flags: str, names=("low_cells", "low_marker_quality", "ontology_unmapped", "rare_label_in_dataset")) -> Column:
     return F.coalesce(F.greatest(*(F.col(f"{flags}.{n}") for n in names)), F.lit(False))
 

@@ -151,3 +151,14 @@ def h17(t):
 @query("H16_feature_vector", "SELECT p_partkey, round(ln(p_size + 1), 6) AS log_n, (p_size < 20)::INT AS low, round(p_retailprice / 2000, 6) AS q FROM part")
 def h16(t):
     return t.part.select("p_partkey", F.round(F.ln(F.col("p_size") + 1), 6).alias("log_n"), (F.col("p_size") < 20).cast("int").alias("low"), F.round(F.col("p_retailprice") / 2000, 6).alias("q"))
+
+
+@query("H16_feature_vector_of_records")
+def h16_records(t):
+    stats, shares = named(t)
+    rows = op.marker_records(ten(t), op.group_sizes(t.embeddings.where("label is not null").select(F.col("vec_id").alias("cell"), "label")))
+    rows = rows.join(op.negative_markers(stats, shares, 5).groupBy("label").agg(F.collect_list("gene").alias("negative")), "label", "left")
+    share = F.col("n_in") / F.col("n")
+    rows = rows.crossJoin(F.broadcast(t.embeddings.where("label is not null").agg(F.count("*").alias("n"))))  # one row
+    rows = rows.withColumn("f", sc.hardness("n_in", "quality", F.lit(None).cast("string"), share))
+    return rows.select("label", *sc.feature_vector("markers", "negative", "n_in", "quality", "f"))

@@ -330,3 +330,12 @@ def test_rule_mapper_finds_every_containment(spark):
     want = [("lymphocytes", "CL:2", "part"), ("karyocyte", "CL:3", "part"), ("t cell", "CL:6", "exact"), ("CD3", "CL:1", "synonym"), ("Human T_cell", "CL:6", "exact"), ("cyte", "CL:2", "part"), ("n", "CL:5", "part"),
             ("xnkx", "CL:5", "part"), ("neuron", None, "none"), ("zz", None, "none"), ("zz", None, "none"), (None, "CL:6", "part"), ("T cells, lymphocytes", "CL:6", "part")]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_feature_vector_has_all_features(spark):
+    ddl = "pos array<struct<gene:string,lfc:double,pct_in:double,pct_out:double,score:double>>, neg array<string>, n int, q double, f struct<low_cells:boolean,low_marker_quality:boolean,ontology_unmapped:boolean,rare_label_in_dataset:boolean>"
+    pos = [(f"g{k}", float(k), 0.9 if k != 2 else None, 0.1 * k, None) for k in range(1, 8)]
+    rows = spark.createDataFrame([(pos, ["x", "y"], 99, 0.5, (True, False, None, True)), ([], None, 0, None, None)], ddl)
+    got = rows.select(*sc.feature_vector("pos", "neg", "n", "q", "f")).collect()
+    assert tuple(got[0]) == (7, 2, 99, 4.6052, 3.0, 0.9, 0.3, None, 0.575, 0.5, 1, 0, 0, 1)
+    assert tuple(got[1]) == (0, 0, 0, 0.0, None, None, None, None, None, None, 0, 0, 0, 0)
