@@ -114,9 +114,8 @@ def a21(t):
 )
 def a24(t):
     """A report as its lines, by way of the file."""
-    text = fs.report("Regions", nations_by_region=t.nation.groupBy("n_regionkey").agg(F.count("*").alias("n")).orderBy("n_regionkey"))
     path = fs.scratch(t.spark, "report")
-    fs.write_text(t.spark, text, path)
+    fs.write_report(path, "Regions", nations_by_region=t.nation.groupBy("n_regionkey").agg(F.count("*").alias("n")).orderBy("n_regionkey"))
     return t.spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("ord", "line"))
 
 

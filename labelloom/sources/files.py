@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,35 @@ def _schema(spark: SparkSession, ddl: str) -> StructType:
     return spark.createDataFrame([], ddl).schema
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where that is unset)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may do without it.
+
+    A local session without that setting gets a temporary folder, one for the application; on a cluster executors
+    couldn't see it, so there the setting is required.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="labelloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _temporary(spark.sparkContext.applicationId)
+
+
+@cache
+def _temporary(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="labelloom-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, below one folder for each application."""
+    return f"{shared_dir(spark)}/labelloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that scratch named, once nothing needs to be computed from them any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
@@ -38,10 +61,16 @@ def read_csv(spark: SparkSession, path: str, ddl: str, key: str | None = None, w
 
 
 def read_tsv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """TSV with a header, all columns text, missing values empty, and the row's place in the file as ord."""
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    df = spark.read.schema(schema).option("header", True).option("sep", "\t").option("quote", "").csv(path)
-    return df.na.fill("").withColumn("ord", F.monotonically_increasing_id())
+    """TSV with a header, all columns text, missing values empty, and the row's place in the file as ord.
+
+    ord counts lines from the file's beginning, so a file is read whole by one task: these are hand-kept alias tables.
+    Of several files those with smaller names come first. Columns are found by the header's names, whatever their order.
+    """
+    files_ = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.split("value", "\r?\n").alias("lines"))
+    rows = files_.select("_file", F.split(F.element_at("lines", 1), "\t").alias("names"), F.posexplode("lines").alias("_at", "line")).where("_at > 0 and trim(line) <> ''")
+    cells = F.split("line", "\t")
+    found = [F.coalesce(F.try_element_at(cells, F.nullif(F.array_position("names", F.lit(c)), F.lit(0)).cast("int")), F.lit("")).alias(c) for c in columns]
+    return rows.select(*found, F.struct("_file", "_at").alias("ord"))
 
 
 def read_json_lines(spark: SparkSession, path: str, ddl: str, strict: bool = False) -> DataFrame:
@@ -134,10 +163,21 @@ def write_sidecars(df: DataFrame, path: str, group: str, label: str, clean: str)
         write_partitions(profile(df, group, clean, "tissue", "disease"), f"{path}/profile", group)
 
 
-def report(title: str, **tables: DataFrame) -> str:
-    """Markdown of small tables (a hundred rows each at most)."""
-    out = [f"# {title}"]
-    for name, df in tables.items():
-        out += ["", f"## {name.replace('_', ' ')}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in df.limit(100).collect()]
-    return "\n".join(out) + "\n"
+def report_lines(title: str, **tables: DataFrame) -> DataFrame:
+    """Markdown of tables as rows (ord, value), every row of them: a part's lines are made where its rows are.
+
+    ord: number of the table, then its partition and place, so `orderBy("ord")` keeps the order of a sorted table.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame([(0, 0, 0, f"# {title}")], "t int, k int, at long, value string")
+    for t, (name, df) in enumerate(tables.items(), 1):
+        head = ["", f"## {name.replace('_', ' ')}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+        cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+        lines = df.select(F.lit(t).alias("t"), F.lit(1).alias("k"), F.monotonically_increasing_id().alias("at"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+        out = out.unionByName(spark.createDataFrame([(t, 0, k, x) for k, x in enumerate(head)], out.schema)).unionByName(lines)
+    return out.select(F.struct("t", "k", "at").alias("ord"), "value")
+
+
+def write_report(path: str, title: str, **tables: DataFrame) -> None:
+    """The report as the one text file of a folder: a task of its own streams the sorted lines, none pass the driver."""
+    report_lines(title, **tables).orderBy("ord").select("value").coalesce(1).write.mode("overwrite").text(path)

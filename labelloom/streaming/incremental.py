@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.operators.manifest import best_status
-from labelloom.sources.files import write_partitions
+from labelloom.sources.files import discard, write_partitions
 
 
 def ingest(spark: SparkSession, source: str, ddl: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, kind: str = "json", per_batch: int = 1000, **options: str) -> None:
@@ -31,9 +32,10 @@ def ingest_upserts(spark: SparkSession, source: str, ddl: str, target: str, chec
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             rows = batch
-        staged = f"{target.rstrip('/')}-staged"  # what is read can't be overwritten in one step
-        best_status(rows, key, order=order).write.mode("overwrite").parquet(staged)
+        staged = f"{target.rstrip('/')}-staged-{uuid.uuid4().hex}"  # what is read can't be overwritten in one step
+        best_status(rows, key, order=order).write.parquet(staged)
         write_partitions(session.read.parquet(staged), target, group)
+        discard(session, staged)
 
     stream = spark.readStream.schema(ddl).json(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -220,7 +220,37 @@ def test_partition_overwrite_keeps_the_others(spark, tmp_path):
 
 
 def test_report(spark):
-    assert "| 1 |" in files.report("R", part_one=spark.createDataFrame([(1,)], "a int"))
+    many = spark.range(300).select(F.col("id").alias("a"), F.when(F.col("id") > 5, "x").alias("b")).orderBy("a")
+    lines = [r["value"] for r in files.report_lines("R", part_one=many, none=many.where("false")).orderBy("ord").collect()]
+    assert lines[:6] == ["# R", "", "## part one", "", "| a | b |", "| --- | --- |"]
+    assert lines[6:306] == [f"| {k} | {'x' if k > 5 else ''} |" for k in range(300)]
+    assert lines[306:] == ["", "## none", "", "| a | b |", "| --- | --- |"]
+
+
+def test_text_tables_keep_the_order_of_the_file(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("id\traw\n" + "".join(f"{k}\tx{k % 3}\n" for k in range(500)))
+    (tmp_path / "b.tsv").write_text("raw\tid\nx0\tlast\n\n")
+    rows = files.read_tsv_text(spark, str(tmp_path), ["raw", "id", "more"]).orderBy("ord").collect()
+    assert [(r["raw"], r["id"], r["more"]) for r in rows] == [(f"x{k % 3}", str(k), "") for k in range(500)] + [("x0", "last", "")]
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        files.shared_dir(Session)
+    Context.master = "local[4]"
+    assert files.shared_dir(Session) == files.shared_dir(Session)
+    path = files.scratch(spark, "gone")
+    spark.range(3).write.parquet(path)
+    files.discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
 
 
 def test_ingestion_reads_each_file_once(spark, tmp_path):
