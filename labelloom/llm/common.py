@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset) a temporary one."""
-    name = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not name:
-        name = "file://" + tempfile.mkdtemp(prefix="labelloom-")
-        spark.conf.set("spark.checkpoint.dir", name)
-    return name.rstrip("/")
+from labelloom.sources.files import discard, scratch
 
 
 def written(df: DataFrame, name: str, *cols: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: lineage ends there, and lost executors cost no rework.
 
-    cols: columns by which to hash-partition before writing.
+    cols: columns by which to hash-partition before writing. The tables of an application lie below one folder (see
+    `scratch`), which may go when its results have been taken.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.repartition(*cols) if cols else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved(df.repartition(*cols) if cols else df, scratch(df.sparkSession, name))
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """df written to path as Parquet and read again, for tables that are discarded before the application ends."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_small_batches(df: DataFrame, most: int = 1_000) -> DataFrame:
@@ -126,8 +120,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     aggregations and equi-joins, run until nothing changes. A node with very many edges is only a skewed join key,
     which adaptive execution splits. Nodes without an edge are not returned.
     """
+    spark, paths = edges.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        """df, written; of the tables before it only the last is needed any more."""
+        paths.append(scratch(spark, "edges"))
+        out = saved(df, paths[-1])
+        discard(spark, *paths[:-1])
+        del paths[:-1]
+        return out
+
     e = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    e = written(e.mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
+    e = kept(e.mapInArrow(_local_forest, "a long, b long").distinct())
     mark = None
     for _ in range(most_rounds):
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(b)")).first()
@@ -136,10 +140,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = tuple(now)
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        e = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        e = written(e, "edges")
+        e = kept(both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         met = e.join(low, F.col("a") == F.col("u"))
-        e = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m")).distinct()
-        e = written(e, "edges")
+        e = kept(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m")).distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def same_rows(df: DataFrame, keys: list[str], chunk: int = 10_000) -> DataFrame:
+    """keys, and nth from 0: as many rows as df has for each value of keys, told apart by nth.
+
+    For operators whose result depends on the keys alone: equal rows are counted before the shuffle, so a hot group is
+    one row, and dealt in chunks afterwards, so that no task has to give out a hot group by itself.
+    """
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    parts = n.select(*keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))).alias("_from"))
+    parts = parts.where("_n = 1").union(parts.where("_n > 1").repartition(*keys, "_from"))
+    return parts.select(*keys, F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + chunk) - 1)).alias("nth"))

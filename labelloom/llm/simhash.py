@@ -6,12 +6,15 @@ bits. So the first three segments of that chain agree, and of the next three at
 segments, about half of the bits, agree. Those five are the join key (3 m keys a fingerprint); candidates must then
 keep within the budget of the longer chains before the whole distance is counted.
 
-Equal fingerprints are one node, so copies never meet each other in a join. Keys with few fingerprints are
-self-joined; those of a dense group are compared in pairs of bounded blocks that give back a forest, not the pairs.
-
-Nulls and blanks: a null or blank text has fingerprint 0, linked like any other; a null doc_id takes part but is
-never a component_id unless all of its component are null. Repeated rows each come back. Further columns of the
-input stay out of the result, so their names can't clash.
+The nodes are the fingerprints themselves: copies never meet each other in a join, and what a doc_id stands for
+doesn't matter. Keys with few fingerprints are self-joined; those of a dense group are compared in pairs of bounded
+blocks that give back a forest, not the pairs.
+
+Nulls and blanks: a null or blank text has fingerprint 0, linked like any other. A row without a doc_id links as any
+other does; it is never a component_id, unless no row of its component has one (then that is null). Repeated rows each
+come back. Different texts under one doc_id are rows of their own, which belong to the components of their texts. Very
+long texts are hashed whole, in pieces of bounded memory. An empty table gives an empty result. Further columns of the
+input stay out of the result of `near_duplicates` and pass `deduplicated` unchanged; names that clash do no harm.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import components, fresh, in_small_batches, written
+from labelloom.llm.common import components, fresh, in_small_batches, small, written
 
 SEED = 42
 #: Keys with more fingerprints than FEW are compared in blocks of about BLOCK.
@@ -56,6 +59,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], ["doc_id", "key", "fp"])
+
+
 def segments(distance: int) -> list[int]:
     """Masks of the 3 distance + 1 segments of 64 bits, in order."""
     m = 3 * distance + 1
@@ -124,25 +133,46 @@ def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return pairs.select(F.col("node2").alias("a"), F.col("node").alias("b")).union(dense)
 
 
+def _components(fps: DataFrame, distance: int) -> DataFrame:
+    """own (each fingerprint) and root (one fingerprint of its component) for distinct fingerprints (fp)."""
+    links = near_links(fps.select("fp", F.col("fp").alias("node")), distance)
+    roots = components(links).withColumnRenamed("node", "of")
+    return fps.join(roots, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("own"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of docs."""
     rows = written(in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(near_links(nodes.where("node is not null"), distance)).withColumnRenamed("node", "of")
-    classes = nodes.join(roots, F.col("node") == F.col("of"), "left").select(F.col("fp").alias("own"), F.coalesce("root", "node").alias("component_id"))
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    roots = written(_components(nodes.select("fp"), distance).join(nodes, F.col("own") == F.col("fp")).select("own", "root", "low"), "roots")
+    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    classes = roots.select("own", "root").join(lows, "root").select("own", "component_id")
     return rows.join(classes, F.col("fp") == F.col("own")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Most kept documents whose ids are sent to every executor; beyond that they are joined with a shuffle of the texts.
+SENT = 500_000
+
+
 def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """docs with one document of each near-duplicate component kept: the one with the smallest doc_id.
+    """docs with one row of each near-duplicate component kept: the smallest doc_id, nulls last; then a hash of the text.
 
-    Rows that repeat a kept doc_id are one document; the first by text stays. Rows without a doc_id all stay.
+    Rows are told apart by doc_id and that hash, so unrelated texts under one doc_id both stay, and rows without a
+    doc_id are deduplicated like any others. Of rows alike in both, the smallest by all columns stays.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), distance).where("doc_id = component_id").select("doc_id").distinct()
-    found = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    twice = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if twice.isEmpty():
-        return found
-    nth = fresh(docs, "nth")
-    firsts = found.join(twice, "doc_id", "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return found.join(twice, "doc_id", "left_anti").unionByName(firsts.where(F.col(nth) == 1).drop(nth))
+    key, id_, n = (fresh(docs, c) for c in ("_key", "_id", "_n"))
+    keyed = docs.withColumns({key: F.xxhash64("text"), id_: F.col("doc_id").cast("long")})
+    rows = in_small_batches(keyed.select(F.col(id_).alias("doc_id"), F.col("text"), F.col(key).alias("key"))).mapInArrow(_keyed_fingerprints, "doc_id long, key long, fp long")
+    rows = written(rows, "fingerprints")
+    roots = _components(written(rows.select("fp").distinct(), "nodes"), distance)
+    firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first"))
+    firsts = firsts.join(roots, F.col("fp") == F.col("own")).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    counts = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    kept = firsts.alias("f").join(counts.alias("c"), F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.key") == F.col("c.key")))
+    kept = written(kept.select(F.col("f.doc_id").alias("_of"), F.col("f.key").alias("_with"), F.col("n").alias(n)), "kept")
+    found = keyed.join(small(kept, SENT), F.col(id_).eqNullSafe(F.col("_of")) & (F.col(key) == F.col("_with"))).drop("_of", "_with")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if kept.where(F.col(n) > 1).isEmpty():
+        return found.select(*names)
+    one = found.where(F.col(n) > 1).groupBy(id_, key).agg(F.min(F.struct(*names)).alias(n)).select(f"{n}.*")
+    return found.where(F.col(n) == 1).select(*names).unionByName(one)

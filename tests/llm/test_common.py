@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.llm import common
+from labelloom.sources.files import shared_dir
 
 
 def roots(edges):
@@ -54,7 +55,7 @@ def test_fold(spark):
 
 def test_written_tables_lie_in_the_shared_folder(spark):
     df = common.written(spark.range(3), "x")
-    assert all(f.startswith(common.shared_dir(spark)) for f in df.inputFiles())
+    assert all(f.startswith(shared_dir(spark)) for f in df.inputFiles())
     assert df.count() == 3
 
 
@@ -80,3 +81,11 @@ def test_hash_sample_takes_the_smallest_hashes(spark):
 def test_small_batches(spark):
     common.in_small_batches(spark.range(1))
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
+def test_same_rows(spark):
+    rows = [(1, "a")] * 25 + [(2, None), (None, "a"), (None, "a")]
+    got = common.same_rows(spark.createDataFrame(rows, "i long, s string"), ["i", "s"], chunk=10).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, [*(type(got[0])(i=1, s="a", nth=k) for k in range(25)), *(type(got[0])(i=i, s=s, nth=k) for i, s, k in ((2, None, 0), (None, "a", 0), (None, "a", 1)))]))
+    hot = common.same_rows(spark.range(200_000).select(F.lit(7).alias("i")), ["i"], chunk=1000)
+    assert hot.select("nth").distinct().count() == 200_000

@@ -43,16 +43,49 @@ def test_chain_keys_find_every_pair(distance):
 
 
 def check(rows):
-    fp = {}
+    """Components of rows (positions) by brute force over the fingerprints, whatever their ids."""
+    fps = sorted({int(r["fingerprint"], 16) for r in rows})
+    top = edges.plain_components(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    low = {}
     for r in rows:
-        fp.setdefault(int(r["fingerprint"], 16), []).append(r)
-    ids = {f: min((r["doc_id"] for r in rs if r["doc_id"] is not None), default=None) for f, rs in fp.items()}
-    known = [f for f, i in ids.items() if i is not None]
-    by_id = {ids[f]: f for f in known}
-    want = edges.plain_components(list(by_id), lambda a, b: (by_id[a] ^ by_id[b]).bit_count() <= 3)
+        low.setdefault(top[int(r["fingerprint"], 16)], []).append(r["doc_id"])
     for r in rows:
-        i = ids[int(r["fingerprint"], 16)]
-        assert r["component_id"] == (want[i] if i is not None else None)
+        assert r["component_id"] == min((i for i in low[top[int(r["fingerprint"], 16)]] if i is not None), default=None)
+
+
+def a_pair(word):
+    """A text, and the same with one word changed, whose fingerprints differ in 1 to 3 bits."""
+    words = [f"{word}{k * k % 997}" for k in range(300)]
+    for k in range(300):
+        other = " ".join([*words[:k], "other", *words[k + 1 :]])
+        if 0 < (plain_fingerprint(" ".join(words)) ^ plain_fingerprint(other)).bit_count() <= 3:
+            return " ".join(words), other
+
+
+(TEXT, NEAR), (FAR, FAR_NEAR) = a_pair("w"), a_pair("x")
+
+
+def two_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, own string, _key int, `a.b` int")
+
+
+def test_rows_without_an_id_link(spark):
+    docs = two_rows(spark, [(1, TEXT, "x", 1, 1), (None, NEAR, "x", 1, 1)])
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {1}
+    assert [r["doc_id"] for r in simhash.deduplicated(docs).collect()] == [1]
+    alone = two_rows(spark, [(None, TEXT, "x", 1, 1), (None, NEAR, "x", 1, 1), (None, FAR, "x", 1, 1), (None, FAR, "x", 1, 2)])
+    assert {r["component_id"] for r in simhash.near_duplicates(alone).collect()} == {None}
+    got = [(r["text"], r["a.b"]) for r in simhash.deduplicated(alone).collect()]
+    assert len(got) == 2 and (FAR, 1) in got
+
+
+def test_unrelated_texts_under_one_id_stay_apart(spark):
+    docs = two_rows(spark, [(5, TEXT, "x", 1, 1), (5, FAR, "x", 1, 1), (7, FAR_NEAR, "x", 1, 1), (3, TEXT, "x", 1, 1)])
+    rows = simhash.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(3, 3), (5, 3), (5, 5), (7, 5)]
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, TEXT), (5, FAR)]
 
 
 def test_odd_documents(spark):
@@ -87,11 +120,16 @@ def test_empty(spark):
     assert simhash.deduplicated(edges.empty(spark)).count() == 0
 
 
-def test_one_of_each_group_stays(spark):
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_one_of_each_group_stays(spark, sent, monkeypatch):
+    monkeypatch.setattr(simhash, "SENT", sent)
     docs = edges.documents(spark)
-    rows = simhash.near_duplicates(docs).collect()
+    fps = {plain_fingerprint(r["text"]) for r in docs.collect()}
+    top = edges.plain_components(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 3)
+    first = {}
+    for r in docs.collect():
+        mine = top[plain_fingerprint(r["text"])]
+        first[mine] = min(first.get(mine, (True, 0)), (r["doc_id"] is None, r["doc_id"] or 0))
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
-    got = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    assert got == sorted({r["component_id"] for r in rows if r["component_id"] is not None})
-    assert kept.where("doc_id is null").count() == docs.where("doc_id is null").count()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted(first.values())
