@@ -7,8 +7,10 @@ the emptiest sequence tries to pass its documents on: it moves one, swaps one fo
 the sequence where the sum of squared fills grows most, until it is empty or no exchange helps. What lies in
 sequences with much room left is dealt again over fewer groups, and packed once more.
 
-Nulls and blanks: a null or empty text is the closing id alone. Repeated rows are documents of their own. An empty
-table gives an empty result. Further columns stay out of the result, so their names can't clash.
+Nulls and blanks: a null or empty text is the closing id alone; a null doc_id stays null in each piece. Repeated rows
+are documents of their own. A text that holds the tokenizer's added tokens has their ids. Very long texts are many
+whole pieces, each a sequence. Sizes that tie are taken in order of doc_id, piece and checksum. An empty table gives an
+empty result. Further columns stay out of the result, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -39,24 +41,25 @@ RUN = regex.compile(r"\S{2000}|\s{2000}")
 
 @cache
 def tokenizers(vocabulary: str | None = None, ranks: str | None = None):
-    """The tokenizer in the file vocabulary, and a faster one of the same vocabulary by ranks; default: the public files."""
+    """The tokenizer in the file vocabulary, a pattern of the tokens added to it, and a faster tokenizer of the same
+    vocabulary by ranks, which knows no added tokens; default: the public files."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-    full.encode_special_tokens = True
+    added = regex.compile("|".join(regex.escape(t.content) for t in full.get_added_tokens_decoder().values()) or r"(?!)")
     lines = open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb")
     with lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return full, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return full, added, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
 def tokens(text: str | None) -> np.ndarray:
     """Ids of text and the closing id."""
-    full, fast = tokenizers()
+    full, added, fast = tokenizers()
     text = text or ""
-    if PLAIN.fullmatch(text) and not RUN.search(text):
+    if PLAIN.fullmatch(text) and not RUN.search(text) and not added.search(text):
         ids = fast.encode_ordinary(text)
     else:
         ids = full.encode(text, add_special_tokens=False).ids

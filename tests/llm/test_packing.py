@@ -5,16 +5,21 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from labelloom.llm import packing
 from tests.llm import edges
 
 
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def plain_tokens(text):
-    return np.array([*packing.tokenizers()[0].encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+    return np.array([*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
 @given(st.one_of(st.text(max_size=60), st.text("aB1 \n\t'.sé ßÿ ’", max_size=60)))
@@ -24,7 +29,7 @@ def test_tokens(text):
     assert packing.tokens(text).tolist() == plain_tokens(text).tolist()
 
 
-@pytest.mark.parametrize("text", [None, "", "x" * 5000, " " * 5000, "\n" * 3000 + "a", "a " * 3000, "<|endoftext|>", "漢字かな 한국어 😀", "é", "don't DON'T"])
+@pytest.mark.parametrize("text", [None, "", "x" * 5000, " " * 5000, "\n" * 3000 + "a", "a " * 3000, "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endoftext |>", "漢字かな 한국어 😀", "é", "don't DON'T"])
 def test_known_tokens(text):
     assert packing.tokens(text).tolist() == plain_tokens(text).tolist()
 
@@ -47,6 +52,10 @@ def check(docs, rows, length=1024):
     return len(got), -(-sum(r["length"] for r in rows) // length)
 
 
+def test_added_tokens_have_their_ids():
+    assert packing.tokens("a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 2]
+
+
 def test_odd_documents(spark):
     docs = edges.documents(spark)
     check(docs, packing.packed(docs).collect())
