@@ -12,7 +12,9 @@ them like any rows.
 
 Nulls and blanks: a null text has size 1 (no bytes, plus 1) and checksum 0; a null doc_id is a row like any other.
 Fewer rows than shards leave the last shards empty; an empty table gives an empty result. Repeated rows are rows of
-their own. Every draw is a hash, so reruns agree. Further columns stay out of the result, so names can't clash.
+their own: they are counted and numbered, and the number goes into every hash, so they lie in all blocks. Very long
+texts count by size and checksum, which read them whole. Rows whose hashes tie are ordered by id, size, checksum and
+number. Every draw is a hash, so reruns agree. Further columns stay out of the result, so names can't clash.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import uniform, written
+from labelloom.llm.common import same_rows, small, uniform, written
 
 SHARDS = 8
-#: Rows of a block or of a piece of a shard, about; the tree has 2 ** DEPTHS[0] to 2 ** DEPTHS[1] blocks.
-ROWS, DEPTHS = 20_000, (4, 13)
+#: Rows of a block or of a piece of a shard, about; the tree has 2 ** DEPTHS[0] to 2 ** DEPTHS[1] blocks, so that beyond
+#: 2e10 rows blocks grow with the table. Tables by block of more than SENT rows are joined with a shuffle, not sent.
+ROWS, DEPTHS, SENT = 20_000, (4, 20), 1 << 17
 
 
 def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
@@ -112,21 +115,21 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = 5) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs, by the law `rows`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = written(rows, "rows")
+    rows = written(same_rows(rows, ["doc_id", "size", "text_crc32"]), "rows")
     depth = max(DEPTHS[0], min(DEPTHS[1], (max(rows.count() // ROWS, 1) - 1).bit_length()))
     blocks = 1 << depth
-    own = lambda n: F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed + n))
+    own = lambda n: F.xxhash64("doc_id", "size", "text_crc32", "nth", F.lit(seed + n))
     rows = rows.withColumn("block", F.pmod(own(0), F.lit(blocks)))
     matrix = communication_matrix(rows.groupBy("block").agg(F.count("*").alias("n")), depth, shards, seed)
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.slice("counts", 1, j), F.lit(0).cast("long"), lambda s, c: s + c))
-    matrix = F.broadcast(matrix.select("block", ends.alias("ends")))  # one short row a block, 2 ** DEPTHS[1] at most
-    mixed = rows.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy(own(1), "doc_id", "size", "text_crc32")))
-    dealt = mixed.join(matrix, "block").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("nth"))))
-    dealt = written(dealt.select("doc_id", "size", "text_crc32", "shard", F.pmod(own(2), F.lit(blocks)).alias("piece")), "dealt")
+    matrix = written(matrix.select("block", ends.alias("ends")), "matrix")
+    place = F.row_number().over(Window.partitionBy("block").orderBy(own(1), "doc_id", "size", "text_crc32", "nth"))
+    dealt = rows.withColumn("place", place).join(small(matrix, SENT), "block").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))))
+    dealt = written(dealt.select("doc_id", "size", "text_crc32", "nth", "shard", F.pmod(own(2), F.lit(blocks)).alias("piece")), "dealt")
     pieces = dealt.groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pieces = F.broadcast(pieces.select("shard", "piece", before.alias("before")))  # shards times blocks short rows
-    order = Window.partitionBy("shard", "piece").orderBy(own(3), "doc_id", "size", "text_crc32")
-    return dealt.join(pieces, ["shard", "piece"]).select(
+    pieces = written(pieces.select("shard", "piece", before.alias("before")), "pieces")
+    order = Window.partitionBy("shard", "piece").orderBy(own(3), "doc_id", "size", "text_crc32", "nth")
+    return dealt.join(small(pieces, SENT), ["shard", "piece"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         (F.col("before") + F.row_number().over(order) - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
