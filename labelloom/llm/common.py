@@ -134,7 +134,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = kept(e.mapInArrow(_local_forest, "a long, b long").distinct())
     mark = None
     for _ in range(most_rounds):
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(b)")).first()
+        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b))")).first()
         if tuple(now) == mark or now[0] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(now)

@@ -31,6 +31,7 @@ GRAPHS = {
     "star": [(5, k) for k in range(10, 2000)],
     "two cliques": [(a, b) for a in range(20) for b in range(a)] + [(a, b) for a in range(50, 70) for b in range(50, a)],
     "random": [(RNG.randrange(-500, 500), RNG.randrange(-500, 500)) for _ in range(400)],
+    "numbers of all sizes": [(k, k // 2) for k in range(-(2**63), 2**63 - 1, 2**54 + 1)] + [(2**63 - 1, 2**63 - 2), (2**63 - 2, 2**63 - 3)],
     "loops and repeats": [(1, 1), (2, 3), (3, 2), (2, 3), (4, 4)],
     "none": [],
 }
