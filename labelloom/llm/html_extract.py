@@ -7,12 +7,15 @@ is exact on the tree: a rejected node takes its whole subtree with it, an accept
 of all such choices the one with the best sum of log odds wins, so no ancestor contradicts a descendant.
 
 The trees are learnt from pages of known structure: the texts of at most `most` pages (a documented bound) laid out
-anew in many ways, with menus, notices, adverts, forms, comments and so on around an article.
-
-Nulls and blanks: a null or empty html has an empty text. Unclosed tags, stray ends, comments, scripts and bare text
-are handled; nothing is cut but what isn't shown (scripts, forms' choices, drawings, media), and of that, if its end
-tag is missing, only what comes before its parent's end or the next block. Repeated rows each come back. An empty table gives an empty result. Further columns stay
-out of the result, so their names can't clash.
+anew in many ways, with menus, notices, adverts, forms, comments and so on around an article. No page is labelled, so
+these layouts, with the names in GOOD and BAD that sites commonly give their parts, are the only supervision.
+
+Nulls and blanks: a null or empty html has an empty text; a null page_id or url stays null. Unclosed tags and quotes,
+stray ends, comments, scripts and bare text are handled as browsers do; nothing is cut but what isn't shown (scripts,
+forms' choices, drawings, media), and of that, if its end tag is missing, only what comes before its parent's end or
+the next block. Very long pages are read whole, in linear time. A node whose odds tie stays with its parent. Repeated
+rows each come back. An empty table gives an empty result. Further columns stay out of the result, so their names
+can't clash.
 """
 
 from __future__ import annotations
@@ -35,16 +38,17 @@ from labelloom.llm.common import hash_sample, in_small_batches
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table thead tbody tfoot tr td th blockquote pre figure figcaption address details summary hgroup search dialog menu center".split())
 VOID = frozenset("br hr img input meta link area base col embed param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
-HIDDEN = frozenset("noscript template iframe svg select option button math object canvas audio video".split())
-NESTED = frozenset("template svg math object canvas".split())
+HIDDEN = frozenset("noscript template iframe svg select option button object canvas audio video".split())
+NESTED = frozenset("template svg object canvas".split())
 ENDS_P = BLOCKS - {"html", "body"} | {"hr"}
 INSIDE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 GROUPS = [frozenset(x.split()) for x in ("p blockquote pre", "h1 h2 h3 h4 h5 h6 hgroup", "li ul ol menu dl dt dd", "div section center", "article main", "nav header footer aside form fieldset address dialog search", "table thead tbody tfoot tr td th", "figure figcaption details summary")]
 GOOD = frozenset("article content post entry main story body text prose markdown page blog read".split())
 BAD = frozenset("ad ads advert advertisement banner promo sponsor sponsored nav navigation navbar menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside related widget share social comment comments reply replies respond discussion disqus cookie cookies consent notice alert popup modal newsletter subscribe signup login form search pagination pager tags tag copyright legal toolbar skip rail recommended".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Quotes delimit a value only behind "="; a tag whose quote is never closed ends at the next ">".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|([^>]*+)>)", re.S)
+ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))", re.I)
 UNENDED = re.compile(r"<[a-zA-Z/!?].*", re.S)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -59,18 +63,18 @@ def marks(html: str) -> list[tuple]:
     starts: dict[str, list[int]] = {}
     at, last = 0, html.rfind(">")
     while at <= last and (m := TOKEN.search(html, at)):
-        at, tag = m.end(), (m[2] or "").lower()
-        out.append([m.start(), at, bool(m[1]), tag, m[3] or "", 0])
+        at, tag, attributes = m.end(), (m[2] or "").lower(), m[3] or m[4] or ""
+        out.append([m.start(), at, bool(m[1]), tag, attributes, 0])
         if tag in RAW:
-            if tag == "title" and (starts.get("svg") or starts.get("math")):
+            if tag == "title" and starts.get("svg"):
                 out[-1][3] = ""
-            elif not m[1] and not m[3].endswith("/"):
+            elif not m[1] and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
                 at = out[-1][1] = end.end() if end else len(html)
         elif tag in HIDDEN and m[1]:
             if starts.get(tag):
                 out[starts[tag].pop()][5] = len(out)
-        elif tag in HIDDEN and not m[3].endswith("/"):
+        elif tag in HIDDEN and not attributes.endswith("/"):
             if tag not in NESTED:
                 starts[tag] = []
             starts.setdefault(tag, []).append(len(out) - 1)
@@ -394,17 +398,17 @@ def rendered(rng: random.Random, prose: list[str], short: list[str]) -> tuple[st
     return f"<html><head><title>x</title></head><body>{body}</body></html>", blocks
 
 
-def _learn(layouts: int):
+def _learn(layouts: int, texts: int = 2_000, menus: int = 500, longest: int = 1_500):
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         prose, short = list(PROSE), list(MENU)
         for html in pdf.sort_values("page_id")["html"]:
             for k, text, linked in (page := Page(html)).blocks:
                 if page.tags[k] in ("p", "td", "div") and len(text) > 80:
-                    prose.append(text[:1500])
+                    prose.append(text[:longest])
                 elif len(text) <= 80 and linked:
                     short.append(text)
         rng, xs, ys = random.Random(13), [], []
-        prose, short = rng.sample(prose, min(len(prose), 2000)), rng.sample(short, min(len(short), 500))
+        prose, short = rng.sample(prose, min(len(prose), texts)), rng.sample(short, min(len(short), menus))
         for _ in range(layouts):
             html, said = rendered(rng, prose, short)
             known = dict(said)
@@ -429,12 +433,17 @@ def _learn(layouts: int):
     return learn
 
 
-def train(pages: DataFrame, most: int = 200, layouts: int = 900) -> Trees:
-    """Trees learnt from `layouts` layouts of the texts of at most `most` pages, chosen by hash of the url."""
+def train(pages: DataFrame, most: int = 200, layouts: int = 900, page_chars: int = 200_000, texts: int = 2_000, menus: int = 500, text_chars: int = 1_500) -> Trees:
+    """Trees learnt from `layouts` layouts of the texts of at most `most` pages, chosen by hash of page_id and html.
+
+    The sample's bounds: pages of fewer than page_chars characters, texts and menus of them at most, and of each text
+    the first text_chars characters. They bound what one task learns from, not what is extracted.
+    """
+    learn = _learn(layouts, texts, menus, text_chars)
     rows = pages.select(F.coalesce("page_id", F.lit(0)).alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = hash_sample(rows.where(F.length("html") < 200_000), most, 23, "page_id", "html")
-    got = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_learn(layouts), "model string").first()
-    cuts, trees = json.loads(got[0]) if got else json.loads(_learn(layouts)(pd.DataFrame({"page_id": [], "html": []}))["model"][0])
+    rows = hash_sample(rows.where(F.length("html") < page_chars), most, 23, "page_id", "html")
+    got = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "model string").first()
+    cuts, trees = json.loads(got[0]) if got else json.loads(learn(pd.DataFrame({"page_id": [], "html": []}))["model"][0])
     return Trees(cuts, trees)
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -21,6 +22,28 @@ def test_parser(html, want):
     assert [text for _, text, _ in hx.Page(html).blocks] == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<p data-x=it's>Hello</p>", ["Hello"]), ('<p class="x>Hello</p>', ["Hello"]), ("<p class='x>Hello</p><p>b", ["Hello", "b"]), ('<p class="x>Hello</p><p class="y">World</p>', ["World"]),
+    ('<p title="a>b" x=\'c>d\'>e', ["e"]), ('<p "a>b">c', ['b">c']), ("<p don't>x</p><p>isn't y", ["x", "isn't y"]), ('<p a = "1>2">x', ["x"]), ('<p a="b', []), ('<p a=">b</p><i>c', ["b", "c"]), ("<a href=x>l</a \">m", ["lm"]),
+    ("Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is", ["Energy E=m is"]), ("<p>a <math>x</p><p>b</p>", ["a x", "b"]),
+])
+def test_quotes_and_formulas(html, want):
+    assert [text for _, text, _ in hx.Page(html).blocks] == want
+
+
+def test_names_behind_odd_quotes_are_read():
+    assert hx.Page("<p data-x=it's class=\"ad box\">a").tokens[1] == {"ad", "box"}
+    assert hx.Page("<p class=o'hara>a").tokens[1] == {"o", "hara"}
+
+
+@pytest.mark.parametrize("part", ["<a x=\"", "<a x='y", "<p a=b'\"", "<", "<a =\"'", "<!-", "<math>", "\"'=<b"])
+def test_odd_markup_takes_linear_time(part):
+    began = time.time()
+    hx.Page(part * 60_000 + ">")
+    hx.Page(part * 60_000)
+    assert time.time() - began < 20
+
+
 @pytest.mark.parametrize("html,want", [
     ("<datalist><option value=a><option value=b></datalist><article><p>a</article>", ["a"]), ("<div><button>menu</div><p>a", ["a"]), ("<button>menu<article>a</article><button>x</button><p>b", ["a", "b"]),
     ("<svg><title>logo</svg><p>a", ["a"]), ("<svg><path d=1><p>a", ["a"]), ("<span><video>old</span> a", ["a"]), ("<select><option>x<option>y</select><p>a", ["a"]), ("<svg><svg>x</svg>y</svg>a", ["a"]),
