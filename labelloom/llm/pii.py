@@ -1,24 +1,27 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms that reveal it.
 
 Base spans are e-mail addresses, IPv4 addresses, card and phone numbers. The corpus then tells which terms reveal a
-protected value e: a term t standing within WINDOW words of e discloses the share PMI(t; e) / IC(e) of e's
-information, PMI(t; e) = log(N n(t, e) / (n(t) n(e))) and IC(e) = log(N / n(e)), all n counts of documents. A share of
-1 means that e stands in every document with t. Terms whose share reaches THRESHOLD, and that stand beside e in at
-least SUPPORT different texts, are spans too (kind `term`) wherever they occur: generalised by `sanitised`, as the
-base spans are. Copies of one text give no support of their own, so a repeated page doesn't make its words telling.
+protected entity. Entities are the values themselves and what they share with others (`entities`): an address's
+mailbox name and its domain, an IP network, a card's issuer, a phone's prefix. A term t standing within WINDOW words of
+entity e, or being a word of a mailbox's name, discloses the share PMI(t; e) / IC(e) of e's information, with
+PMI(t; e) = log(N n(t, e) / (n(t) n(e))) and IC(e) = log(N / n(e)), all n counts of documents. A share of 1 means that
+e stands in every document with t. Terms whose share reaches THRESHOLD, and that stand beside e in at least SUPPORT
+different texts, are spans too (kind `term`) wherever they occur: generalised by `sanitised`, as the base spans are.
+Copies of one text give no support of their own, so a repeated page doesn't make its words telling.
 
 Only documents with protected values give pairs. Pairs and counts are aggregated before they are shuffled; counts of
 terms are taken over all documents, for terms that could still pass.
 
-Nulls and blanks: a null text is an empty one and has no span. Repeated rows each come back. `personal_data` leaves
-further columns out, and `sanitised` passes them on, so clashing names can't matter. Long runs of letters, digits or
-blanks take linear time.
+Nulls and blanks: a null text is an empty one and has no span; a null doc_id stays null. Repeated rows each come back.
+Shares that tie with THRESHOLD pass. An empty table gives an empty result. `personal_data` leaves further columns out,
+and `sanitised` passes them on, so clashing names can't matter. Very long texts are read whole, and long runs of
+letters, digits or blanks take linear time.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import fresh, in_small_batches, written
 
-WINDOW, SUPPORT, THRESHOLD = 6, 3, 0.9
+WINDOW, SUPPORT, THRESHOLD = 6, 2, 0.9
 #: Most hashed terms that are sent to every executor (8 bytes each); beyond that terms and documents are joined.
 SENT = 1 << 20
 # The patterns, without what backtracking could retry in vain.
@@ -100,16 +103,29 @@ class Covered:
         return k < len(self.ends) and self.starts[k] < b
 
 
-def _beside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """(value, term) hashes for each protected value and each term within WINDOW words of it."""
-    covered = Covered(spans)
+def entities(kind: str, value: str) -> list[str]:
+    """What a value stands for, the narrowest first: itself, then what it shares with other values."""
+    if kind == "email":
+        name, domain = value.lower().rsplit("@", 1)
+        return [f"email:{name}@{domain}", f"mailbox:{name}", f"domain:{domain}"]
+    if kind == "ip":
+        return [f"ip:{value}", "network:" + value.rsplit(".", 1)[0]]
+    digits = re.sub(r"\D", "", value)
+    return [f"{kind}:{digits}", f"{kind} prefix:{digits[:6]}"]
+
+
+def _beside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, set[str]]]:
+    """Each entity of each span with the terms that stand within WINDOW words of it or in its mailbox's name."""
+    covered, words = Covered(spans), list(TERM.finditer(text))
+    starts, ends = [m.start() for m in words], [m.end() for m in words]
     for kind, a, b in spans:
-        value = _hash(kind + ":" + (re.sub(r"\D", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()))
-        left = [m for m in TERM.finditer(text, max(0, a - 200), a)][-WINDOW:]
-        right = [m for m, _ in zip(TERM.finditer(text, b, b + 200), range(WINDOW), strict=False)]
-        for m in left + right:
-            if not covered.meets(m.start(), m.end()):
-                yield value, _hash(m[0].lower())
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        near = words[max(0, before - WINDOW) : before] + words[after : after + WINDOW]
+        terms = {m[0].lower() for m in near if not covered.meets(m.start(), m.end())}
+        if kind == "email":
+            terms |= {t for t in TERM.findall(text[a:b].lower().rsplit("@", 1)[0]) if not t.isdigit()}
+        for entity in entities(kind, text[a:b]):
+            yield entity, terms
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +136,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py() or ""
             spans = base_spans(text)
             if spans:
-                found = set(_beside(text, spans))
+                found: dict[str, set[str]] = {}
+                for entity, terms in _beside(text, spans):
+                    found.setdefault(entity, set()).update(terms)
                 own = _hash(text)
-                rows += [(v, t, own) for v, t in found] + [(v, None, own) for v in {v for v, _ in found}]
+                for entity, terms in found.items():
+                    e = _hash(entity)
+                    rows += [(e, None, own), *((e, _hash(t), own) for t in terms)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["value", "term", "own"])
 
 
@@ -147,7 +167,7 @@ def _sent(terms: DataFrame) -> Broadcast:
 
 
 def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """Hashed terms that reveal a protected value: one column, term."""
+    """Hashed terms that reveal a protected entity: one column, term."""
     texts = in_small_batches(docs.select("text"))
     by_text = texts.mapInArrow(_pairs, "value long, term long, own long").groupBy("value", "term", "own").agg(F.count("*").alias("n"))
     pairs = written(by_text.groupBy("value", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
@@ -161,7 +181,7 @@ def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUP
     counts = texts.mapInArrow(_counted(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     log_n = float(np.log(max(2, docs.count())))
     share = (log_n + F.log("n") - F.log("n_term") - F.log("n_value")) / (log_n - F.log("n_value"))
-    told = pairs.join(counts, "term").where((F.col("n_value") < np.exp(log_n)) & (share >= threshold))
+    told = pairs.join(counts, "term").where((F.col("n_value") < np.exp(log_n)) & (share >= threshold - 1e-12))
     return written(told.select("term").distinct(), "disclosing")
 
 

@@ -1,6 +1,8 @@
 """Personal data: spans against the plain patterns, telling terms, sanitised texts."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -57,7 +59,7 @@ def test_very_many_values_in_one_text():
     text = " ".join(f"write to user{k}@mail.example or call" for k in range(20_000))
     spans = pii.base_spans(text)
     assert len(spans) == 20_000
-    assert len(list(pii._beside(text, spans))) > 20_000
+    assert len(list(pii._beside(text, spans))) == 60_000
     assert len(pii._term_spans(text, {pii._hash("write")}, spans)) == 20_000
 
 
@@ -84,9 +86,62 @@ def corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def test_telling_terms(spark):
-    import math
+def plain_terms(texts, threshold, support):
+    """Disclosing terms by the definitions, over sets of positions."""
+    with_term, with_entity, pairs = {}, {}, {}
+    for k, text in enumerate(texts):
+        spans = plain_spans(text)
+        inside = {at for _, a, b in spans for at in range(a, b)}
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text)]
+        for _, _, w in words:
+            with_term.setdefault(w, set()).add(k)
+        for kind, a, b in spans:
+            near = [x for x in words if x[1] <= a][-6:] + [x for x in words if x[0] >= b][:6]
+            terms = {w for x, y, w in near if not inside & set(range(x, y))}
+            if kind == "email":
+                terms |= {w for w in re.findall(r"[^\W_]+", text[a:b].lower().rsplit("@", 1)[0]) if not w.isdigit()}
+            for e in pii.entities(kind, text[a:b]):
+                with_entity.setdefault(e, set()).add(k)
+                for w in terms:
+                    pairs.setdefault((w, e), set()).add(k)
+    out, n = set(), len(texts)
+    for (w, e), both in pairs.items():
+        n_e = len(with_entity[e])
+        if n_e < n and len({texts[k] for k in both}) >= support:
+            pmi = math.log(n * len(both) / (len(with_term[w]) * n_e))
+            if pmi / math.log(n / n_e) >= threshold - 1e-12:
+                out.add(w)
+    return out
+
 
+@pytest.mark.parametrize("seed", range(3))
+def test_terms_of_random_corpora(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(60)] + ["rare", "Éclair", "x_y", "9"]
+    values = ["joe.rare@corp.example", "ann@corp.example", "10.1.2.3", "10.1.2.77", "4111 1111 1111 1111", "+1 (017) 555-7713", "a" * 300]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.93 else rng.choice(values) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    texts += [f"w{k} zork joe.rare@corp.example" for k in range(5)] + ["secret of 10.1.2.3"] * 4 + ["", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for threshold, support in ((0.9, 2), (0.6, 2), (0.5, 3)):
+        want = plain_terms(texts, threshold, support)
+        some += len(want)
+        assert {r["term"] for r in pii.disclosing(docs, threshold, support).collect()} == {pii._hash(w) for w in want}
+        for r in pii.personal_data(docs, threshold, support).collect():
+            text = texts[r["doc_id"]]
+            inside = {at for _, a, b in plain_spans(text) for at in range(a, b)}
+            terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in want and not inside & set(range(*m.span()))]
+            assert [x for x in r["spans"].split(",") if x.startswith("term:")] == terms and r["n_term"] == len(terms)
+    assert some > 3
+
+
+def test_words_are_counted_not_characters():
+    text = "one " + "b" * 300 + " joe@corp.example " + "c" * 500 + " seven"
+    near = dict(pii._beside(text, pii.base_spans(text)))["email:joe@corp.example"]
+    assert near == {"one", "b" * 300, "c" * 500, "seven", "joe"}
+
+
+def test_telling_terms(spark):
     docs = corpus(spark)
     rows = {r["doc_id"]: r for r in pii.personal_data(docs, threshold=0.85).collect()}
     n, n_value, n_term, both = docs.count(), 5, 5, 4
