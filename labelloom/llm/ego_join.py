@@ -6,13 +6,16 @@ intervals of at most BLOCK vectors. Two intervals need comparing only if they sh
 direction, which an equi-join finds, and if their bounding boxes come within eps. Inside a pair the intervals are
 halved recursively, and blocks that are provably too far apart are skipped; what is left is compared in double
 precision. Each pair of intervals gives back link counts and a forest, so the result of a dense group is as large as
-the group, not as its pairs.
+the group, not as its pairs. A vector is copied once for each interval that its own meets, so intervals are as large
+as a task holds well (FLOATS numbers), and the halving inside does the fine work.
 
 Equal vectors are one class before any of this: a class of copies is one row with a multiplicity.
 
 Nulls: vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing
-and are components of their own. Vectors of different lengths don't link. Repeated vec_ids link as vectors of their
-own. An empty table gives an empty result. Further columns stay out of the result, so their names can't clash.
+and are components of their own. A row without a vec_id links as any other does; it is never a component_id unless its
+component has none (then that is null, and all its rows are kept). Vectors of different lengths don't link. Repeated
+vec_ids link as vectors of their own. Of vectors whose cosine ties with the bound all link. An empty table gives an
+empty result. Further columns stay out of the result, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import components, written
 
-COSINE, BLOCK, LEAF, LEADING = 0.93, 2048, 64, 6
+COSINE, FLOATS, LEAF, LEADING = 0.93, 1 << 20, 128, 6
 
 
 def usable(v: str | Column) -> Column:
@@ -37,6 +40,12 @@ def usable(v: str | Column) -> Column:
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def numbers(df: DataFrame, name: str) -> Column:
+    """An array column as floats, if its components are no wider, else as doubles."""
+    kind = df.schema[name].dataType.elementType.typeName()
+    return F.col(name).cast("array<float>" if kind in ("float", "byte", "short") else "array<double>")
+
+
 def vectors(column: pa.Array) -> np.ndarray:
     """A list column without nulls as rows of doubles; all lists as long as the first."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -73,7 +82,8 @@ def _placed(turn: np.ndarray, side: float):
             x = unit(v) @ turn if len(v) else np.zeros((0, turn.shape[1]))
             at = pa.array(x.tolist(), pa.list_(pa.float64()))
             cells = pa.array(np.floor(x / side).astype(np.int32).tolist(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("label"), batch.column("v"), batch.column("n"), at, cells], ["class", "label", "v", "n", "at", "cells"])
+            own = [batch.column(c) for c in ("class", "label", "v", "n")]
+            yield pa.RecordBatch.from_arrays([*own, at, cells], ["class", "label", "v", "n", "at", "cells"])
 
     return place
 
@@ -128,20 +138,20 @@ def _joined(reach: float, least: float):
 
 def linked_classes(classes: DataFrame, cosine: float, width: int) -> DataFrame:
     """class, links (vectors of other classes linked directly) and to (a class it is connected with), in parts."""
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
+    reach, block = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6, max(16, FLOATS // width)
     turn = directions(classes, width)
-    placed = written(classes.mapInArrow(_placed(turn, reach), "class long, label string, v array<float>, n long, at array<double>, cells array<int>"), "placed")
+    placed = written(classes.mapInArrow(_placed(turn, reach), f"class long, label string, v {dict(classes.dtypes)['v']}, n long, at array<double>, cells array<int>"), "placed")
 
     # The order of (label, cells), cut into intervals: strips of (label, first cell) are ranked piece by piece.
     strip = placed.withColumn("first", F.col("cells")[0]).withColumn("rest", F.slice("cells", 2, LEADING))
     sizes = strip.groupBy("label", "first").agg(F.count("*").alias("strip_n"))
     strip = strip.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, ["label", "first"])
     # A strip with many vectors is cut again by the second cell, and a piece of one cell by hash: bounded windows.
-    piece = F.when(F.col("strip_n") > 16 * BLOCK, F.col("cells")[1]).otherwise(0) if LEADING > 1 else F.lit(0)
-    deal = F.when(F.col("strip_n") > 256 * BLOCK, F.pmod(F.xxhash64("class"), F.ceil(F.col("strip_n") / (256 * BLOCK)))).otherwise(0)
+    piece = F.when(F.col("strip_n") > 16 * block, F.col("cells")[1]).otherwise(0) if LEADING > 1 else F.lit(0)
+    deal = F.when(F.col("strip_n") > 256 * block, F.pmod(F.xxhash64("class"), F.ceil(F.col("strip_n") / (256 * block)))).otherwise(0)
     nth = F.row_number().over(Window.partitionBy("label", "first", "piece", "deal").orderBy("rest", "class")) - 1
     ordered = strip.withColumn("piece", piece).withColumn("deal", deal).withColumn("nth", nth)
-    ordered = ordered.withColumn("interval", F.xxhash64("label", "first", "piece", "deal", F.floor(F.col("nth") / BLOCK)))
+    ordered = ordered.withColumn("interval", F.xxhash64("label", "first", "piece", "deal", F.floor(F.col("nth") / block)))
     ordered = written(ordered.select("interval", "nth", "label", "first", "class", "v", "n", "at"), "ordered")
 
     dims = range(min(LEADING, width))
@@ -158,13 +168,13 @@ def linked_classes(classes: DataFrame, cosine: float, width: int) -> DataFrame:
 
 def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of table (vec_id, embedding, label)."""
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<float>").alias("v"))
-    good = usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), numbers(table, "embedding").alias("v"))
+    good = usable("v") & F.col("label").isNotNull()
     classes = rows.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("class"), F.count("*").alias("n"))
     classes = written(classes.withColumn("width", F.size("v")), "classes")
     widths = sorted(r[0] for r in classes.select("width").distinct().collect())
-    # A repeated vec_id may stand for different vectors: classes then need names of their own.
-    twice = not classes.groupBy("class").count().where("count > 1").isEmpty()
+    # A repeated vec_id may stand for different vectors, a missing one for any: classes then need names of their own.
+    twice = not classes.groupBy("class").count().where("count > 1 or class is null").isEmpty()
     if twice:
         classes = written(classes.withColumn("id", F.col("class")).withColumn("class", F.monotonically_increasing_id()), "classes")
     else:
@@ -187,4 +197,4 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     known = known.select(F.col("label").alias("label2"), F.col("v").alias("v2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
     found = rows.where(good).join(known, (F.col("label") == F.col("label2")) & (F.col("v") == F.col("v2"))).select("vec_id", F.col("links").alias("n_links"), "component_id")
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return found.union(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return found.union(alone).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

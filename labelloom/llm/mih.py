@@ -1,40 +1,43 @@
 """Nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-A rotation is learnt on at most `most` vectors (a documented bound): principal directions, then alternating signs and
-orthogonal fits (iterative quantisation). Every vector's code is the signs of its rotated coordinates. Codes are cut
-into substrings of up to 8 bits, each with a table from value to rows. To find all codes within Hamming radius R of a
-query it is enough, by the pigeonhole principle, to probe table k within R // m or one less; what that retrieves is
-checked against R and ranked by the inner product of the original vectors, in double precision. R is measured, not
-set: some queries are compared with all rows, and R covers COVER of their true neighbours' distances. Queries that get
-fewer rows than they should (isolated ones, where most lie in tight clusters) are searched again with R doubled, up to
-all bits.
+A rotation is learnt on at most `sample` vectors (a documented bound): principal directions, then alternating signs and
+orthogonal fits (iterative quantisation). Every vector's code is the signs of its rotated coordinates, 64 at most.
+Codes are cut into substrings of about 16 bits, each with a table from value to rows. To find all codes within Hamming
+radius R of a query it is enough, by the pigeonhole principle, to probe table k within R // m or one less; what that
+retrieves is checked against R and ranked by the inner product of the original vectors, in double precision. R is
+measured, not set: some queries are compared with all rows, and R covers COVER of their true neighbours' distances.
+Queries that get fewer rows than they should (isolated ones, where most lie in tight clusters) are searched again with
+R doubled, up to all bits.
 
 Inner products grow with length, so codes are those of vectors completed to equal length by one more coordinate, and
 of queries completed by 0: the order of cosines is then that of inner products. Equal vectors are one class with its
-smallest ids. Rows are dealt by hash into index parts of about PART classes and queries into blocks; a task holds one
-part and one block and returns the best of each query, so memory stays bounded and no candidate pairs are shuffled.
-
-Nulls: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without a vec_id
-or of another length than most (ties: the longest). Repeated vec_ids with one vector are one candidate. No queries or
-no candidates give an empty result. Further columns stay out of the result, so their names can't clash.
+smallest ids. Classes are dealt by hash into parts of at most FLOATS numbers; a task indexes one part, and the queries
+stream past it in batches and take their best from it. So the index is shuffled once, a query once for each part, and
+memory holds one part and one batch.
+
+Nulls: vectors that are null, zero or hold null or non-finite components take no part. A row without a vec_id is never
+a query, but a candidate, after all others of its score; such rows of one vector are one. Vectors of other lengths have
+no inner product with a query's, so each length is searched for itself. Repeated vec_ids with one vector are one
+candidate; with different vectors they are several, and a query once for each, whose rows are ranked together. Ties go
+to the smaller vec_id. Float columns stay floats on the way, others travel as doubles. No queries or no candidates give
+an empty result. Further columns stay out of the result, so their names can't clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import hash_sample, written
-from labelloom.llm.ego_join import usable, vectors
+from labelloom.llm.ego_join import numbers, usable, vectors
 
-NEAREST, EVERY, PART, QUERIES, COVER, PROBES = 20, 20, 16_384, 512, 0.985, 96
-COUNT = np.array([bin(x).count("1") for x in range(256)])
+NEAREST, EVERY, FLOATS, COVER, PROBES = 20, 20, 1 << 22, 0.985, 96
+SUBSTRING = 16
 
 
 def completed(x: np.ndarray, longest: float) -> np.ndarray:
@@ -57,40 +60,56 @@ def learn(x: np.ndarray, turns: int = 20) -> tuple[np.ndarray, np.ndarray]:
 
 
 def codes(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """One byte a substring, lowest bits first."""
-    return np.packbits((x - mean) @ turn >= 0, axis=1, bitorder="little")
+    """The code of each row as a 64-bit number, first coordinate lowest."""
+    packed = np.packbits((x - mean) @ turn >= 0, axis=1, bitorder="little")
+    return np.pad(packed, ((0, 0), (0, 8 - packed.shape[1]))).copy().view(np.uint64).ravel()
+
+
+def substrings(bits: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each substring: as many as SUBSTRING bits each need, of about equal lengths."""
+    m = max(1, -(-bits // SUBSTRING))
+    cuts = [round(bits * k / m) for k in range(m + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def near_values(radius: int) -> list[np.ndarray]:
-    """For each byte the bytes that differ from it in at most radius bits."""
-    far = COUNT[np.arange(256)[:, None] ^ np.arange(256)]
-    return [np.flatnonzero(row <= radius) for row in far]
+@cache
+def ball(bits: int, radius: int) -> np.ndarray:
+    """All numbers of so many bits with at most radius ones."""
+    x = np.arange(1 << bits, dtype=np.int64)
+    return x[np.bitwise_count(x) <= radius]
 
 
 class Index:
-    """Tables of one part: for each substring the rows in order of its value."""
+    """Tables of one part: for each substring the rows in order of its value, and where each value's rows begin."""
 
-    def __init__(self, code: np.ndarray) -> None:
-        self.code, self.width = code, code.shape[1]
-        self.word = np.pad(code, ((0, 0), (0, 8 - self.width))).copy().view(np.uint64).ravel()
-        self.order = [np.argsort(code[:, k], kind="stable") for k in range(self.width)]
-        self.starts = [np.searchsorted(code[o, k], np.arange(257)) for k, o in enumerate(self.order)]
+    def __init__(self, code: np.ndarray, bits: int) -> None:
+        self.code, self.parts = code, substrings(bits)
+        values = [self._value(code, k) for k in range(len(self.parts))]
+        self.order = [np.argsort(v, kind="stable") for v in values]
+        self.starts = [np.searchsorted(v[o], np.arange((1 << n) + 1)) for v, o, (_, n) in zip(values, self.order, self.parts, strict=True)]
+        self.probed = 0
 
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
+    def _value(self, code: np.ndarray, k: int) -> np.ndarray:
+        at, n = self.parts[k]
+        return (code >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)
+
+    def within(self, query: np.uint64, radius: int) -> np.ndarray:
         """Rows whose code differs from query's in at most radius bits."""
-        seen, least, more = np.zeros(len(self.code), bool), radius // self.width, radius % self.width
-        for k in range(self.width):
-            reach = least if k <= more else least - 1
+        m = len(self.parts)
+        seen = np.zeros(len(self.code), bool)
+        for k, (_, n) in enumerate(self.parts):
+            reach = radius // m if k <= radius % m else radius // m - 1
             if reach < 0:
                 continue
-            for v in NEAR[min(reach, 8)][query[k]]:
-                seen[self.order[k][self.starts[k][v] : self.starts[k][v + 1]]] = True
+            near = ball(n, min(reach, n)) ^ self._value(query, k)
+            first = self.starts[k][near]
+            size = self.starts[k][near + 1] - first
+            first, size = first[size > 0], size[size > 0]
+            at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            seen[self.order[k][at]] = True
         rows = np.flatnonzero(seen)
-        word = np.pad(query, (0, 8 - self.width)).view(np.uint64)
-        return rows[np.bitwise_count(self.word[rows] ^ word) <= radius]
-
-
-NEAR = [near_values(r) for r in range(9)]
+        self.probed += len(rows)
+        return rows[np.bitwise_count(self.code[rows] ^ query) <= radius]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -104,21 +123,37 @@ def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
 
 
 def _searched(mean: np.ndarray, turn: np.ndarray, longest: float, radius: int, most: int):
-    def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        rows: list[pd.DataFrame] = []
-        if len(index) and len(queries):
-            v, ids = np.stack(index["v"].to_numpy()).astype(np.float64), index["class"].to_numpy()
-            lists = index["ids"].to_numpy()
-            q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-            table = Index(codes(completed(v, longest), mean, turn))
-            norm = np.sqrt((q * q).sum(1, keepdims=True))
-            asked = codes(np.column_stack([q / norm, np.zeros(len(q))]), mean, turn)
-            for k, name in enumerate(queries["class"].to_numpy()):
-                got = table.within(asked[k], radius)
-                scores = v[got] @ q[k]
-                at = _best(scores, ids[got], most)
-                rows.append(pd.DataFrame({"query": name, "class": ids[got][at], "ids": lists[got][at], "score": scores[at]}))
-        return pd.concat(rows) if rows else pd.DataFrame({"query": [], "class": [], "ids": [], "score": []})
+    """Of a partition in order of (part, asks): the index rows of each part, then the queries that stream past them."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, table, v, ids, low = None, [], None, None, None, None
+        for batch in batches:
+            parts, asks = batch.column("part").to_numpy(), batch.column("asks").to_numpy()
+            out: list[tuple] = []
+            for p in np.unique(parts):
+                own = parts == p
+                if p != part:
+                    part, held, table = p, [], None
+                rows = batch.filter(pa.array(own & (asks == 0)))
+                if len(rows):
+                    held.append((vectors(rows.column("v")), rows.column("class").to_numpy(), rows.column("low").to_numpy()))
+                asking = batch.filter(pa.array(own & (asks == 1)))
+                if not len(asking) or not (held or table):
+                    continue
+                if table is None:
+                    v, ids, low = (np.concatenate(x) for x in zip(*held, strict=True))
+                    table, held = Index(codes(completed(v, longest), mean, turn), turn.shape[1]), []
+                q = vectors(asking.column("v"))
+                top = np.abs(q).max(axis=1, keepdims=True)
+                norm = np.sqrt((q / top * (q / top)).sum(1, keepdims=True)) * top
+                asked = codes(np.column_stack([q / norm, np.zeros(len(q))]), mean, turn)
+                for k, name in enumerate(asking.column("class").to_numpy()):
+                    got = table.within(asked[k], radius)
+                    scores = v[got] @ q[k]
+                    at = _best(scores, low[got], most)
+                    out.append((np.full(len(at), name), ids[got][at], scores[at], low[got][at]))
+            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "class", "score", "low"])
 
     return search
 
@@ -129,64 +164,82 @@ def _true_distances(mean: np.ndarray, turn: np.ndarray, longest: float, names: n
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, v = batch.column(0).to_numpy(), vectors(batch.column(1))
+            ids, v, low = batch.column(0).to_numpy(), vectors(batch.column(1)), batch.column(2).to_numpy()
             if not len(v):
                 continue
             scores, code = v @ q.T, codes(completed(v, longest), mean, turn)
             out = []
             for k, name in enumerate(names):
                 own = np.where(ids == name, -np.inf, scores[:, k])
-                at = _best(own, ids, most)
-                out.append((np.full(len(at), name), own[at], COUNT[code[at] ^ asked[k]].sum(1)))
+                at = _best(own, low, most)
+                out.append((np.full(len(at), name), own[at], np.bitwise_count(code[at] ^ asked[k]).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query", "score", "far"])
 
     return compare
 
 
-def nearest(table: DataFrame, every: int = EVERY, most: int = NEAREST, sample: int = 20_000) -> DataFrame:
-    """query_id, rank, vec_id and score: of each query (vec_id divisible by every) the `most` nearest rows found."""
-    spark = table.sparkSession
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).where(usable("v") & F.col("vec_id").isNotNull())
-    main = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if main is None:
-        return nothing
-    n, keep = main["count"], most + 1
-    salted = rows.where(F.size("v") == main["d"]).groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // 10_000))).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep).alias("ids"))
-    classes = salted.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
-    classes = written(classes.select(F.xxhash64("v").alias("class"), "v", "ids"), "classes")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    longest = classes.agg(F.max(norm)).first()[0]
-    asked = rows.where((F.size("v") == main["d"]) & (F.pmod("vec_id", F.lit(every)) == 0)).select("vec_id", F.xxhash64("v").alias("class"))
-    asked = written(asked.distinct(), "asked")
-    queries = written(classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v"), "queries")
+def _length(v: str) -> Column:
+    """The length of an array of numbers, without overflow."""
+    top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    return F.transform(F.array(top), lambda t: t * F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x.cast("double") / t) * (x.cast("double") / t))))[0]
+
+
+#: Stands for a missing vec_id inside, so that it comes after all others.
+NO_ID = 2**63 - 1
 
+
+def _nearest_classes(classes: DataFrame, queries: DataFrame, width: int, need: int, keep: int, sample: int) -> DataFrame:
+    """query, class, score and low: of each query (class, v) its best `keep` classes of vectors with so many components, or more."""
+    spark = classes.sparkSession
+    n = classes.count()
+    longest = classes.agg(F.max(_length("v"))).first()[0]
     part = lambda df, k: hash_sample(df, sample if k else PROBES, k, "class").toPandas()  # noqa: E731  bounded
     mean, turn = learn(completed(np.stack(part(classes.select("class", "v"), 1)["v"].to_numpy()).astype(np.float64), longest))
-    probes = part(queries, 0)
-    if not len(probes):
-        return nothing
-    compare = _true_distances(mean, turn, longest, probes["class"].to_numpy(), np.stack(probes["v"].to_numpy()).astype(np.float64), most)
-    true = classes.select("class", "v").mapInArrow(compare, "query long, score double, far long")
-    true = true.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("rank") <= most)
+    probes = part(queries.select("class", "v"), 0)
+    compare = _true_distances(mean, turn, longest, probes["class"].to_numpy(), np.stack(probes["v"].to_numpy()).astype(np.float64), keep - 1)
+    true = classes.select("class", "v", "low").mapInArrow(compare, "query long, score double, far long")
+    true = true.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("rank") < keep)
     radius = int(true.agg(F.percentile("far", COVER)).first()[0] or 0) + 1
 
-    need = min(keep, classes.agg(F.sum(F.size("ids"))).first()[0])
-    parts, best, done = max(1, -(-n // PART)), Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"), []
+    # Parts no larger than a task should hold; in a small table as many as there are cores.
+    parts = max(-(-n * width // FLOATS), min(spark.sparkContext.defaultParallelism, -(-n // 2048)))
+    held = classes.select(F.pmod(F.xxhash64("class", F.lit(3)), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("asks"), "class", "low", "v")
+    best, done = Window.partitionBy("query").orderBy(F.desc("score"), "low"), []
     while True:
-        blocks = max(1, -(-queries.count() // QUERIES))
-        left = classes.select("*", F.pmod(F.xxhash64("class", F.lit(3)), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        right = queries.select("class", "v", F.pmod(F.xxhash64("class", F.lit(4)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-        met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(
-            _searched(mean, turn, longest, radius, keep), "query long, class long, ids array<long>, score double")
-        found = met.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).drop("rank")
-        found = written(found, "found")
-        full = found.groupBy("query").count().where(F.col("count") >= need).select("query")
+        asking = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "class", F.lit(0).cast("long").alias("low"), "v")
+        met = held.union(asking).repartitionById(parts, "part").sortWithinPartitions("part", "asks")
+        found = met.mapInArrow(_searched(mean, turn, longest, radius, keep), "query long, class long, score double, low long")
+        found = written(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).drop("rank"), "found")
+        got = found.join(classes.select("class", "n"), "class").groupBy("query").agg(F.sum("n").alias("n"))
+        full = got.where(F.col("n") >= need).select("query")
         if radius >= turn.shape[1] or (short := written(queries.join(full.withColumnRenamed("query", "class"), "class", "left_anti"), "short")).isEmpty():
             done.append(found)
             break
         done.append(found.join(full, "query", "left_semi"))
         queries, radius = short, min(turn.shape[1], 2 * radius)
-    found = reduce(DataFrame.unionByName, done).join(asked.select(F.col("vec_id").alias("query_id"), F.col("class").alias("query")), "query").where("query_id <> vec_id")
+    return reduce(DataFrame.unionByName, done)
+
+
+def nearest(table: DataFrame, every: int = EVERY, most: int = NEAREST, sample: int = 20_000) -> DataFrame:
+    """query_id, rank, vec_id and score: of each query (vec_id divisible by every) the `most` nearest rows found."""
+    spark, keep = table.sparkSession, most + 1
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), numbers(table, "embedding").alias("v")).where(usable("v"))
+    id_, n = F.coalesce("vec_id", F.lit(NO_ID)), max(1, rows.count())
+    # A hot vector's ids are cut to the smallest ones in two turns, so no task collects them all.
+    salted = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // 10_000))).alias("salt")).agg(F.slice(F.array_sort(F.collect_set(id_)), 1, keep).alias("ids"))
+    classes = salted.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
+    classes = written(classes.select(F.xxhash64("v").alias("class"), F.size("v").alias("width"), "v", "ids", F.col("ids")[0].alias("low"), F.size("ids").alias("n")), "classes")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", F.xxhash64("v").alias("class")).distinct()
+    asked = written(asked, "asked")
+    queries = written(classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "width", "v"), "queries")
+    found = []
+    for width, all_ in sorted(tuple(r) for r in classes.groupBy("width").agg(F.sum("n")).collect()):  # one row a length
+        own = queries.where(F.col("width") == width)
+        if not own.isEmpty():
+            found.append(_nearest_classes(classes.where(F.col("width") == width), own.select("class", "v"), width, min(keep, all_), keep, sample))
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, found).join(asked.select(F.col("vec_id").alias("query_id"), F.col("class").alias("query")), "query")
+    found = found.join(classes.select("class", "ids"), "class").select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= most)
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

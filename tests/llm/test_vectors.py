@@ -34,28 +34,34 @@ def brute_links(rows, least):
     for a in range(len(rows)):
         for b in range(a):
             (i, v, x), (j, w, y) = rows[a], rows[b]
-            if i is None or j is None or x is None or x != y or not good(v) or not good(w) or len(v) != len(w):
+            if x is None or x != y or not good(v) or not good(w) or len(v) != len(w):
                 continue
-            v, w = np.array(v, float), np.array(w, float)
+            v, w = (x / np.abs(x).max() for x in (np.array(v, float), np.array(w, float)))
             if v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= least:
                 out[a].add(b)
                 out[b].add(a)
     return out
 
 
-def check_links(rows, got, least=0.93):
-    links = brute_links(rows, least)
+def brute_roots(rows, links):
+    """For each position the smallest id reachable; null if there is none."""
     root = {}
-    for start in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
+    for start in range(len(rows)):
         if start not in root:
-            front = [start]
-            root[start] = rows[start][0]
+            front, all_ = [start], {start}
             while front:
-                for y in links[front.pop()]:
-                    if y not in root:
-                        root[y] = rows[start][0]
-                        front.append(y)
-    want = sorted(edges.key((rows[k][0], len(links[k]), root[k], rows[k][0] is None or rows[k][0] == root[k])) for k in range(len(rows)))
+                for y in links[front.pop()] - all_:
+                    all_.add(y)
+                    front.append(y)
+            low = min((rows[k][0] for k in all_ if rows[k][0] is not None), default=None)
+            root.update(dict.fromkeys(all_, low))
+    return root
+
+
+def check_links(rows, got, least=0.93):
+    links = brute_links(rows, least)
+    root = brute_roots(rows, links)
+    want = sorted(edges.key((rows[k][0], len(links[k]), root[k], rows[k][0] == root[k])) for k in range(len(rows)))
     assert want == sorted(edges.key((r["vec_id"], r["n_links"], r["component_id"], r["kept"])) for r in got)
 
 
@@ -64,6 +70,25 @@ def test_odd_vectors(spark):
     check_links(rows, ego_join.near_vectors(table(spark, rows)).collect())
 
 
+def test_vectors_without_an_id_link(spark):
+    v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1]
+    for rows in ([(1, v, 0), (None, v, 0)], [(1, v, 0), (None, w, 0), (None, w, 0)], [(None, v, 0), (None, w, 0), (2, [-1.0, 0.0, 0.0], 0)]):
+        check_links(rows, ego_join.near_vectors(table(spark, rows)).collect())
+
+
+def test_doubles_stay_doubles(spark):
+    rows = [(k, [1.0, x, 0.0], 0) for k, x in enumerate([0.0, 0.395, 0.3952273992, 0.3952273993, 0.39522740, 1e-9])] + [(20, [3e200, 1e200, 2e199], 0), (40, [3.1e200, 1e200, 1e199], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    check_links(rows, ego_join.near_vectors(df).collect())
+    third = [(k, [1 / 3 + k / 7, k / 3, -1 / 3], 0) for k in range(25)]
+    got = mih.nearest(spark.createDataFrame(third, "vec_id long, embedding array<double>, label int")).collect()
+    want = brute_nearest(third)
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == {(q, k): j for q, found in want.items() for k, (j, _) in enumerate(found, 1)}
+    assert all(r["score"] == pytest.approx(dict(want[r["query_id"]])[r["vec_id"]], rel=1e-13, abs=1e-13) for r in got)
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e-300, 2e-300]), (2, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in sorted(mih.nearest(huge).collect())] == [(2, 3e300 + 4), (1, 1.0)]
+
+
 def test_repeated_ids(spark):
     rows = odd_rows() + [(5, [9.0] + [0.0] * 7, 0)]
     got = ego_join.near_vectors(table(spark, rows)).collect()
@@ -75,12 +100,12 @@ def test_many_intervals_and_halves(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(5, 6))
     rows = [(k, (centres[k % 5] + rng.normal(0, 0.25, 6)).astype(np.float32).tolist(), k % 2) for k in range(500)]
-    old = ego_join.BLOCK, ego_join.LEAF
-    ego_join.BLOCK, ego_join.LEAF = 16, 4
+    old = ego_join.FLOATS, ego_join.LEAF
+    ego_join.FLOATS, ego_join.LEAF = 16 * 6, 4
     try:
         check_links(rows, ego_join.near_vectors(table(spark, rows)).collect())
     finally:
-        ego_join.BLOCK, ego_join.LEAF = old
+        ego_join.FLOATS, ego_join.LEAF = old
 
 
 def test_no_vectors(spark):
@@ -89,15 +114,15 @@ def test_no_vectors(spark):
 
 
 def brute_nearest(rows, every=20, most=20):
-    use = sorted({(i, tuple(v)) for i, v, _ in rows if i is not None and good(v)})
-    width = max({len(v) for _, v in use}, key=lambda d: (sum(len(v) == d for _, v in use), d))
-    use = [(i, np.array(v, float)) for i, v in use if len(v) == width]
+    """Each query id's nearest (id, score) among all rows of its vectors' lengths; ids missing come last, once a vector."""
+    use = sorted({(i is None, i or 0, tuple(v)) for i, v, _ in rows if good(v)})
+    use = [(None if none else i, np.array(v, float)) for none, i, v in use]
     out = {}
     for i, v in use:
-        if i % every == 0:
-            scored = sorted(((-float(v @ w), j) for j, w in use if j != i))
-            out[i] = [(j, -s) for s, j in scored[:most]]
-    return out
+        if i is not None and i % every == 0:
+            scored = [(-float(v @ w), j is None, j or 0) for j, w in use if j != i and len(w) == len(v)]
+            out[i] = out.get(i, []) + scored
+    return {i: [(None if none else j, -s) for s, none, j in sorted(scored)[:most]] for i, scored in out.items() if scored}
 
 
 @pytest.mark.parametrize("radius", ["measured", "all"])
@@ -114,7 +139,7 @@ def test_nearest_of_odd_vectors(spark, radius, monkeypatch):
     for q, found in got.items():
         found.sort(key=lambda r: r["rank"])
         assert [r["rank"] for r in found] == list(range(1, len(found) + 1))
-        pairs = [(-r["score"], r["vec_id"]) for r in found]
+        pairs = [(-r["score"], r["vec_id"] is None, r["vec_id"] or 0) for r in found]
         assert pairs == sorted(pairs) and q not in {r["vec_id"] for r in found}
         hits += len({r["vec_id"] for r in found} & {j for j, _ in want[q]})
         total += len(want[q])
@@ -133,7 +158,7 @@ def test_recall_and_scores(spark):
 
 
 def test_isolated_queries_get_all_their_rows(spark, monkeypatch):
-    monkeypatch.setattr(mih, "PART", 500)
+    monkeypatch.setattr(mih, "FLOATS", 500 * 64)
     rng = np.random.default_rng(11)
     centres = rng.normal(size=(40, 64))
     centres /= np.sqrt((centres * centres).sum(1, keepdims=True))
@@ -147,16 +172,28 @@ def test_isolated_queries_get_all_their_rows(spark, monkeypatch):
     assert sum(len({j for _, j in got[q]} & {j for j, _ in w}) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
-def test_probing_finds_all_within_the_radius():
+@pytest.mark.parametrize("bits", [1, 8, 21, 64])
+def test_probing_finds_all_within_the_radius(bits):
     rng = random.Random(5)
-    code = np.frombuffer(rng.randbytes(8 * 2000), np.uint8).reshape(2000, 8)
-    index = mih.Index(code)
-    for radius in (0, 3, 7, 8, 15, 20, 27, 33):
-        q = np.frombuffer(rng.randbytes(8), np.uint8)
-        want = [k for k in range(2000) if sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(code[k], q, strict=True)) <= radius]
+    code = np.array([rng.getrandbits(bits) for _ in range(2000)], np.uint64)
+    index = mih.Index(code, bits)
+    for radius in (0, 3, 7, 8, 15, 20, 27, 33, 64):
+        q = np.uint64(rng.getrandbits(bits))
+        want = [k for k in range(2000) if (int(code[k]) ^ int(q)).bit_count() <= radius]
         assert index.within(q, radius).tolist() == want
 
 
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8 if k < 200 else 4).astype(np.float32).tolist(), 0) for k in range(300)] + [(None, [1.0, 2.0, 3.0, 4.0], 0), (None, [1.0, 2.0, 3.0, 4.0], 0)]
+    got = {}
+    for r in mih.nearest(table(spark, rows)).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    want = brute_nearest(rows)
+    assert {q: len(w) for q, w in want.items()} == {q: len(g) for q, g in got.items()} and len(want) == 15
+    assert sum(len({j for j, _ in w} & set(got[q].values())) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_nothing_to_search(spark):
     assert mih.nearest(table(spark, [])).count() == 0
     assert mih.nearest(table(spark, [(1, [1.0], 0), (2, [2.0], 0)])).count() == 0
