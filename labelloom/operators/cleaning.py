@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.labels import ambiguous, label_status, leaf_or_broad
 from labelloom.functions.text import canonical_label, col, first_filled, label_text
+from labelloom.operators.sides import small
 
 
 def alias_index(aliases: DataFrame, order: str = "ord") -> DataFrame:
@@ -22,7 +23,7 @@ def mapped_labels(df: DataFrame, label: str, aliases: DataFrame) -> DataFrame:
     The distinct labels are looked up, not the rows; the result is joined back.
     """
     known = alias_index(aliases)
-    found = df.select(label).distinct().withColumn("_clean", label_text(label)).join(F.broadcast(known) if known.limit(100_001).count() <= 100_000 else known, F.col("_clean") == F.col("key"), "left")
+    found = df.select(label).distinct().withColumn("_clean", label_text(label)).join(small(known), F.col("_clean") == F.col("key"), "left")
     id_, parent = F.nullif("id", F.lit("")), F.nullif("parent_label", F.lit(""))
     found = found.select(
         F.col(label).alias("_label"), F.col("_clean").alias("clean_label"), id_.alias("ontology_id"),
@@ -93,7 +94,7 @@ def rewritten_labels(df: DataFrame, label: str, fixes: DataFrame) -> DataFrame:
     fixes: key, action (FIX or DROP), canonical_label, id, parent_label, ord; of rows with one key the last counts.
     """
     last = fixes.groupBy(canonical_label("key").alias("_key")).agg(F.max_by(F.struct("action", "canonical_label", "id", "parent_label"), "ord").alias("fix"))
-    met = df.join(F.broadcast(last) if last.limit(100_001).count() <= 100_000 else last, canonical_label(label) == F.col("_key"), "left")
+    met = df.join(small(last), canonical_label(label) == F.col("_key"), "left")
     kept = met.where(F.coalesce(F.col("fix.action"), F.lit("")) != "DROP")
     return kept.withColumn("fixed_label", F.coalesce("fix.canonical_label", label)).withColumn("fixed_id", F.col("fix.id")).withColumn("was_fixed", F.col("fix").isNotNull()).drop("fix", "_key")
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import col, folded, has_any, token_count, truth
+from labelloom.operators.sides import small
+from labelloom.sources.files import scratch
 
 
 @dataclass(frozen=True)
@@ -148,3 +150,18 @@ def template_selection(scored: DataFrame, key: str, tissues: str, targets: list[
 def with_token_counts(df: DataFrame, **columns: str) -> DataFrame:
     """df with a count of the ;-separated parts of each column: new name = column."""
     return df.withColumns({new: token_count(c) for new, c in columns.items()})
+
+
+def placed(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df with each row's place, from 1, in the given order.
+
+    Rows are sorted in ranges and written, so each knows its part and its row in it; places follow from the parts'
+    counts, one row a part, which are all that one window sees.
+    """
+    path = scratch(df.sparkSession, "placed")
+    df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(small(parts), "_part").withColumn("place", place.cast("int")).drop("_part", "_at", "_before")

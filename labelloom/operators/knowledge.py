@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import col, folded, label_text, plain_label, short_id
+from labelloom.operators.sides import small
 
 
 def external_entries(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -45,20 +46,30 @@ def merged_entries(entries: DataFrame, most_genes: int = 20) -> DataFrame:
 def in_scope(species: str | Column, tissue: str | Column, want_species: Column, want_tissue: Column) -> Column:
     """Whether an entry is of the species and, if it names one, of the tissue."""
     t = folded(tissue)
-    return (folded(species) == folded(want_species)) & (t.isin("", "unknown", "all") | (t == folded(want_tissue)))
+    return (folded(species) == folded(want_species)) & (t.isin(*ANY_TISSUE) | (t == folded(want_tissue)))
 
 
-def overlaps(queries: DataFrame, entries: DataFrame, query: str = "query_id", entry: str = "entry_id") -> DataFrame:
-    """query, entry, shared and Jaccard of every pair with a gene in common, by an equi-join on the genes.
+def _genes(df: DataFrame, *carried: str | Column) -> DataFrame:
+    """The carried columns, size (of the row's genes, as a set, whatever their case) and each gene of it."""
+    rows = df.select(*carried, F.array_distinct(F.transform("genes", F.lower)).alias("_g"))
+    return rows.select(*[c for c in rows.columns if c != "_g"], F.size("_g").alias("_size"), F.explode("_g").alias("gene"))
+
+
+#: Most rows of genes of a knowledge base that are sent to every executor; beyond that they are joined with a shuffle.
+SENT = 1_000_000
+
+
+def overlaps(queries: DataFrame, entries: DataFrame, query: str = "query_id", entry: str = "entry_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """query, entry, shared and Jaccard (and carried columns of queries) of every pair with a gene in common.
 
     queries and entries: id and array genes. Genes count as sets, whatever the case. Genes are joined, not ids, so
-    nothing is compared that shares nothing; sizes are joined afterwards.
+    nothing is compared that shares nothing; sizes travel with the genes. A small knowledge base is sent: the genes of
+    a query then stay in its task, and its pairs are counted there, before they are shuffled.
     """
-    up = lambda df, key: df.select(key, F.array_distinct(F.transform("genes", F.lower)).alias("g"))
-    q, e = up(queries, query), up(entries, entry)
-    shared = q.select(query, F.explode("g").alias("gene")).join(e.select(entry, F.explode("g").alias("gene")), "gene").groupBy(query, entry).agg(F.count("*").alias("shared"))
-    sized = shared.join(q.select(query, F.size("g").alias("nq")), query).join(e.select(entry, F.size("g").alias("ne")), entry)
-    return sized.select(query, entry, "shared", (F.col("shared") / (F.col("nq") + F.col("ne") - F.col("shared"))).alias("jaccard"))
+    q = _genes(queries, query, *carried).withColumnRenamed("_size", "_nq")
+    e = _genes(entries, entry).withColumnRenamed("_size", "_ne")
+    met = q.join(small(e, SENT), "gene").groupBy(query, *carried, "_nq", entry, "_ne").agg(F.count("*").alias("shared"))
+    return met.select(query, *carried, entry, "shared", (F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared"))).alias("jaccard"))
 
 
 def retrieved(queries: DataFrame, entries: DataFrame, k: int = 5, bonus: Column | None = None) -> DataFrame:
@@ -66,20 +77,49 @@ def retrieved(queries: DataFrame, entries: DataFrame, k: int = 5, bonus: Column
 
     A blank tissue of an entry is part of any tissue and gets the bonus too.
     """
-    met = overlaps(queries, entries).join(queries.select("query_id", F.col("tissue").alias("_qt")), "query_id").join(entries.select("entry_id", "label", F.col("tissue").alias("_et")), "entry_id")
-    q, e = folded("_qt"), folded("_et")
-    score = F.col("jaccard") + (bonus if bonus is not None else F.when(q.contains(e) | e.contains(q), 0.2).otherwise(0.0))
-    met = met.withColumn("score", F.round(score, 4))
+    met = overlaps(queries.withColumn("_qt", folded("tissue")), entries, carried=("_qt",))
+    met = met.join(small(entries.select("entry_id", "label", folded("tissue").alias("_et"))), "entry_id")
+    score = F.col("jaccard") + (bonus if bonus is not None else F.when(F.col("_qt").contains(F.col("_et")) | F.col("_et").contains(F.col("_qt")), 0.2).otherwise(0.0))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).drop("_qt", "_et")
+    return met.withColumn("score", F.round(score, 4)).withColumn("rank", rank).where(F.col("rank") <= k).drop("_qt", "_et")
+
 
+#: Tissues of an entry that stand for any.
+ANY_TISSUE = ("", "unknown", "all")
 
-def retrieved_labels(queries: DataFrame, entries: DataFrame, k: int = 5) -> DataFrame:
-    """The k best labels of each query by Jaccard with all genes of the label, with its heaviest entry."""
-    by = entries.groupBy("label").agg(F.flatten(F.collect_list("genes")).alias("genes"), F.max_by(F.struct("entry_id", "weight"), F.struct("weight", "entry_id")).alias("best"))
-    met = overlaps(queries, by.withColumn("entry_id", F.col("label"))).join(by.select(F.col("label").alias("entry_id"), "best"), "entry_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("jaccard", 4)), "entry_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("entry_id").alias("label"), "shared", F.round("jaccard", 4).alias("score"), "best.entry_id", "rank")
+
+def _scopes(queries: DataFrame, entries: DataFrame, scoped: bool) -> tuple[DataFrame, DataFrame]:
+    """queries with their scope (species and tissue, folded), and for each scope the entries in it."""
+    if not scoped:
+        return queries.withColumn("scope", F.lit("")), entries.withColumn("scope", F.lit(""))
+    species, tissue = folded("species"), folded("tissue")
+    queries = queries.withColumn("scope", F.struct(species.alias("species"), tissue.alias("tissue")))
+    scopes = queries.select("scope").distinct()
+    e = entries.withColumns({"_species": species, "_tissue": tissue})
+    any_ = F.col("_tissue").isin(*ANY_TISSUE)
+    of_species = F.col("scope.species") == F.col("_species")
+    wide = scopes.join(e.where(any_), of_species).unionByName(scopes.where("scope.tissue = ''").join(e.where(~any_), of_species))
+    own = scopes.where("scope.tissue <> ''").join(e.where(~any_), of_species & (F.col("scope.tissue") == F.col("_tissue")))
+    return queries, wide.unionByName(own).drop("_species", "_tissue")
+
+
+def retrieved_labels(queries: DataFrame, entries: DataFrame, k: int = 5, scoped: bool = False) -> DataFrame:
+    """The k best labels of each query by Jaccard with all genes of the label, with its heaviest entry.
+
+    scoped: only entries of the query's species and of its tissue (or of no tissue in particular) count, for the genes
+    of a label and for its heaviest entry; a query without a tissue takes those of any. The genes of each label are
+    put together once for each species and tissue asked for, as distinct rows, not as one list.
+    """
+    queries, entries = _scopes(queries, entries, scoped)
+    genes = entries.select("scope", "label", F.explode("genes").alias("g")).select("scope", "label", F.lower("g").alias("gene")).distinct()
+    sizes = genes.groupBy("scope", "label").agg(F.count("*").alias("_ne"))
+    best = entries.groupBy("scope", "label").agg(F.max_by("entry_id", F.struct("weight", "entry_id")).alias("entry_id"))
+    q = _genes(queries, "query_id", "scope").withColumnRenamed("_size", "_nq")
+    met = q.join(small(genes, SENT), ["scope", "gene"]).groupBy("query_id", "scope", "_nq", "label").agg(F.count("*").alias("shared"))
+    met = met.join(small(sizes.join(best, ["scope", "label"])), ["scope", "label"])
+    met = met.withColumn("score", F.round(F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared")), 4))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "label"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "label", "shared", "score", "entry_id", "rank")
 
 
 def ontology_index(aliases: DataFrame) -> DataFrame:

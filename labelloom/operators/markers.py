@@ -5,14 +5,11 @@ Input is a long table (cell, label, gene, value). Zeros may be left out where a
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.scoring import listed_out, marker_quality, marker_score, negative_reason, positive_effect
+from labelloom.functions.tails import normal_tail, student_tail
 from labelloom.functions.text import finite
 
 
@@ -69,16 +66,22 @@ def welch(cells: DataFrame) -> DataFrame:
     return by.withColumn("t", t).withColumn("df", df).drop("a", "b")
 
 
-def rank_sums(cells: DataFrame, tie_correction: bool = False) -> DataFrame:
+def rank_sums(cells: DataFrame, tie_correction: bool = False, ranges: int = 64) -> DataFrame:
     """label, gene, rank_sum and z of the label's cells against the rest (normal approximation). Zeros must be there.
 
-    Equal values are counted before they are ranked, so the window of a gene holds its distinct values, and a hot
-    value (zero) is one row of it.
+    Equal values are counted before they are ranked, so a hot value (zero) is one row. A gene's values are cut into
+    about `ranges` ranges at approximate percentiles; counts of ranges give the ranks at which each begins, and only
+    the values of one range are ranked in one window, so a gene of continuous values is spread over tasks.
     """
     by = cells.groupBy("gene", "value", "label").agg(F.count("*").alias("n"))
     values = by.groupBy("gene", "value").agg(F.sum("n").alias("same"))
-    before = F.coalesce(F.sum("same").over(Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    values = values.withColumn("rank", before + (F.col("same") + 1) / 2.0)
+    shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    cuts = values.groupBy("gene").agg(F.array_distinct(F.percentile_approx("value", shares, F.lit(10 * ranges))).alias("_cuts"))
+    values = values.join(cuts, "gene").withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("value"))), F.lit(0))).drop("_cuts")
+    before = lambda n, *keys: F.coalesce(F.sum(n).over(Window.partitionBy("gene", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = values.groupBy("gene", "_range").agg(F.sum("same").alias("_all")).select("gene", "_range", before("_all", "_range").alias("_start"))
+    values = values.withColumn("_before", before("same", "_range", "value")).join(starts, ["gene", "_range"])
+    values = values.select("gene", "value", "same", (F.col("_start") + F.col("_before") + (F.col("same") + 1) / 2.0).alias("rank"))
     sums = by.join(values, ["gene", "value"]).groupBy("label", "gene").agg(F.sum("n").alias("n1"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
     total = values.groupBy("gene").agg(F.sum("same").alias("n"), F.sum(F.pow("same", F.lit(3.0)) - F.col("same")).alias("ties"))
     out = sums.join(total, "gene")
@@ -87,15 +90,22 @@ def rank_sums(cells: DataFrame, tie_correction: bool = False) -> DataFrame:
     return out.select("label", "gene", "n1", "n", "rank_sum", F.try_divide(F.col("rank_sum") - n1 * (n + 1) / 2.0, F.sqrt(spread)).alias("z"))
 
 
-def _two_sided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(p=[math.erfc(abs(x) / math.sqrt(2)) if x == x else float("nan") for x in pdf["z"]])
+def with_p(df: DataFrame) -> DataFrame:
+    """df with the two-sided p of its statistic: of t with df degrees of freedom where it has both, else of z."""
+    return df.withColumn("p", student_tail("t", "df") if {"t", "df"} <= set(df.columns) else normal_tail("z"))
 
 
-def with_p(df: DataFrame) -> DataFrame:
-    """df (with z) and the two-sided normal p, which SQL functions lack."""
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInPandas(_two_sided, f"{fields}, p double")
+def differential(cells: DataFrame, method: str = "rank sums", tie_correction: bool = False, most: int = 50) -> DataFrame:
+    """label, gene, statistic, p, p_adj and de_rank: the first `most` genes of each label against the rest.
+
+    method: "rank sums" (normal approximation) or "t" (Welch). p is two-sided and adjusted over all genes of a label,
+    before the cut; genes are ranked by the statistic, highest first, those without one last. Zeros must be there.
+    """
+    if method not in ("rank sums", "t"):
+        raise ValueError(f"no such method: {method}")
+    stats = welch(cells) if method == "t" else rank_sums(cells, tie_correction)
+    stats = adjusted(with_p(stats).withColumnRenamed("t" if method == "t" else "z", "statistic"), "label")
+    return ranked(stats.select("label", "gene", "statistic", "p", "p_adj"), F.col("statistic").desc_nulls_last(), most)
 
 
 def adjusted(df: DataFrame, group: str, p: str = "p", key: str = "gene") -> DataFrame:

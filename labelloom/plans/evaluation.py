@@ -132,66 +132,18 @@ def d37(t):
     return t.documents.groupBy("lang").agg(F.round(F.avg(i.startswith("CL:").cast("double")), 4).alias("share"))
 
 
-PAIRS = [(1, "CD4 T cell", "cd4-positive alpha beta T cell"), (2, "NK cell", "natural killer cell"), (3, "B cell", "T cell"), (4, "memory T cell", "naive T cell"), (5, "T cell", "regulatory T cell"), (6, None, "T cell"), (7, "hepatocyte", "Hepatocyte"), (8, "neuron", "astrocyte"), (9, "gamma delta T cell", "T cell"), (10, "platelet", "megakaryocyte")]
-
-
-def pairs(t: Tables) -> DataFrame:
-    return values(t.spark, PAIRS, "k int, p string, g string")
-
-
-@query("H25_lineage", "SELECT * FROM (VALUES (1, 't_cell', 't_cell'), (2, 'nk', 'nk'), (3, 'b_cell', 'b_cell'), (4, 't_cell', 't_cell'), (5, 't_cell', 't_cell'), (6, 'unknown', 'unknown'), (7, 'hepatocyte', 'other'), (8, 'other', 'other'), (9, 'gamma_delta_t', 'gamma_delta_t'), (10, 'megakaryocyte_platelet', 'megakaryocyte_platelet')) v(k, a, b)")
-def h25(t):
-    return pairs(t).select("k", lb.lineage("p").alias("a"), lb.lineage_long("p").alias("b"))
-
-
-@query("H26_granularity", "SELECT * FROM (VALUES (1, 'same', false), (2, 'same', false), (3, 'same', false), (4, 'same', true), (5, 'same', false), (6, 'same', false), (7, 'same', false), (8, 'same', false), (9, 'finer_than_gold', false), (10, 'same', false)) v(k, g, c)")
-def h26(t):
-    return pairs(t).select("k", lb.granularity("p", "g").alias("g"), lb.subtype_conflict("p", "g").alias("c"))
-
-
-@query("H27_compare_as_written", "SELECT * FROM (VALUES (1, false, 0.5::DOUBLE, true, false), (2, false, 0.3333, true, false), (3, false, 0.5, false, true), (4, false, 0.6667, true, false), (5, false, 0.6667, true, false), (6, false, 0.0, false, false), (7, true, 1.0, true, false), (8, false, 0.0, true, false), (9, false, 0.5, false, true), (10, false, 0.0, true, false)) v(k, exact, token_overlap, same_lineage, severe_error)")
-def h27(t):
-    c = lb.compared("p", "g")
-    return pairs(t).select("k", *(c[n].alias(n) for n in ("exact", "token_overlap", "same_lineage", "severe_error")))
-
-
-@query("H28_compare_match_level", "SELECT * FROM (VALUES (1, 'normalized_exact'), (2, 'normalized_exact'), (3, 'cross_lineage_error'), (4, 'same_lineage_conflict'), (5, 'same_lineage_close'), (6, 'unavailable'), (7, 'exact'), (8, 'same_lineage_broad'), (9, 'cross_lineage_error'), (10, 'same_lineage_broad')) v(k, match_level)")
-def h28(t):
-    return pairs(t).select("k", lb.compared_long("p", "g")["match_level"].alias("match_level"))
-
-
-@query("H29_list_overlap", "SELECT * FROM (VALUES (1, 0.3333::DOUBLE), (2, NULL), (3, 0.0), (4, 1.0)) v(k, o)")
-def h29(t):
-    rows = values(t.spark, [(1, ["CD3", "cd4"], ["cd4 ", "CD8"]), (2, [], None), (3, ["a"], []), (4, ["A", "a"], ["a"])], "k int, a array<string>, b array<string>")
-    return rows.select("k", lb.list_overlap("a", "b").alias("o"))
-
-
 @query("H30_three_valued_match", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS m FROM documents")
 def h30(t):
     a = F.when(F.col("doc_id") % 5 != 0, F.upper("lang"))
     return t.documents.select("doc_id", lb.three_valued(a, F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("x")).alias("m"))
 
 
-@query("H32_record_metrics", "SELECT * FROM (VALUES (1, false, true, true, true), (2, true, NULL, NULL, false), (3, NULL, NULL, false, true), (4, false, false, false, false)) v(k, exact_match, parent_match, id_match, ontology_mapped)")
-def h32(t):
-    rows = values(t.spark, [(1, "T cell", "memory t cell", "cl:1", "CL:1"), (2, "b cell", " B cell", "x", ""), (3, "nk", None, "CL:2", "CL:3"), (4, "", "t cell", None, "CL:1")], "k int, p string, g string, pi string, gi string")
-    m = op.record_metrics("p", "g", "pi", "gi")
-    return rows.select("k", *(c.alias(n) for n, c in m.items()))
-
-
 @query("H34_seen_status", "WITH n AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) SELECT c_custkey, CASE WHEN n IS NULL THEN 'zero_shot' WHEN n = 1 THEN 'singleton' WHEN n <= 4 THEN 'rare' ELSE 'frequent' END AS seen FROM customer LEFT JOIN n ON c_custkey = o_custkey")
 def h34(t):
     n = t.orders.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     return t.customer.select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", dg.seen_status("n").alias("seen"))
 
 
-@query("D30_match_histogram", "SELECT * FROM (VALUES ('normalized_exact', 2::BIGINT, 1.0::DOUBLE), ('cross_lineage_error', 2, 0.417), ('same_lineage_conflict', 1, 0.5), ('same_lineage_close', 1, 0.667), ('unavailable', 1, NULL), ('exact', 1, 1.0), ('same_lineage_broad', 2, 0.0)) v(match_level, n, mean_overlap)")
-def d30(t):
-    c = lb.compared_long("p", "g")
-    rows = pairs(t).select(c["match_level"].alias("match_level"), c["token_overlap"].alias("o"))
-    return rows.groupBy("match_level").agg(F.count("*").alias("n"), F.round(F.avg("o"), 3).alias("mean_overlap"))
-
-
 @query("E9_rank_in_group", "SELECT c_custkey, c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INT) AS rank FROM customer")
 def e9(t):
     return t.customer.select("c_custkey", "c_nationkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")).alias("rank"))

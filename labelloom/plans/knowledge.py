@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from labelloom.functions import scoring as sc
 from labelloom.operators import hierarchy as hi
 from labelloom.operators import knowledge as op
-from labelloom.plans.registry import Tables, query, values
+from labelloom.operators.sides import small
+from labelloom.plans.registry import Tables, query
 
 
 def words(c: str):
@@ -37,16 +38,28 @@ def c9(t):
     return op.retrieved(asked(t), entries(t), 5).select("query_id", "entry_id", "shared", "score", "rank")
 
 
-@query("C10_label_union_topk", f"""WITH {ASKED}, e0 AS (SELECT item_id, 'L' || (item_id % 7) AS label, {WORDS.format(c='text')} AS genes, item_id % 5 / 5 AS weight FROM benchmark),
-b AS (SELECT label, item_id AS entry_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, item_id DESC) AS k FROM e0) WHERE k = 1),
-eg AS (SELECT DISTINCT label, g FROM (SELECT label, unnest(genes) AS g FROM e0)), n AS (SELECT label, count(*) AS ne FROM eg GROUP BY label), qg AS (SELECT DISTINCT query_id, g FROM (SELECT query_id, unnest(genes) AS g FROM q)),
-s AS (SELECT query_id, label, count(*) AS shared FROM qg JOIN eg USING (g) GROUP BY ALL),
-x AS (SELECT query_id, label, shared, round(shared::DOUBLE / (len(list_distinct(genes)) + ne - shared), 4) AS score FROM s JOIN q USING (query_id) JOIN n USING (label)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM x) SELECT query_id, label, shared, score, entry_id, CAST(rank AS INT) AS rank FROM r JOIN b USING (label) WHERE rank <= 3""")
+def label_topk(scope: str) -> str:
+    """SQL of the three best labels of each query, of the entries in its scope: a condition on entry e0 and tissue w."""
+    return f"""WITH {ASKED}, {ENTRIES}, w AS (SELECT DISTINCT tissue AS w FROM q), e0 AS (SELECT w, e.* FROM e JOIN w ON {scope}),
+b AS (SELECT w, label, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY w, label ORDER BY weight DESC, entry_id DESC) AS k FROM e0) WHERE k = 1),
+eg AS (SELECT DISTINCT w, label, unnest(genes) AS g FROM e0), n AS (SELECT w, label, count(*) AS ne FROM eg GROUP BY ALL), qg AS (SELECT DISTINCT query_id, tissue AS w, unnest(genes) AS g FROM q),
+s AS (SELECT query_id, w, label, count(*) AS shared FROM qg JOIN eg USING (w, g) GROUP BY ALL),
+x AS (SELECT query_id, w, label, shared, round(shared::DOUBLE / (len(list_distinct(genes)) + ne - shared), 4) AS score FROM s JOIN q USING (query_id) JOIN n USING (w, label)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rank FROM x) SELECT query_id, label, shared, score, entry_id, CAST(rank AS INT) AS rank FROM r JOIN b USING (w, label) WHERE rank <= 3"""
+
+
+@query("C10_label_union_topk", label_topk("true"))
 def c10(t):
     return op.retrieved_labels(asked(t), entries(t), 3)
 
 
+@query("C10_label_union_in_scope", label_topk("tissue IN ('', 'unknown', 'all') OR tissue = w.w"))
+def c10_scoped(t):
+    """Of each query only entries of its species, and of its tissue or of none, count."""
+    human = F.lit("Homo sapiens")
+    return op.retrieved_labels(asked(t).withColumn("species", human), entries(t).withColumn("species", human), 3, scoped=True)
+
+
 @query("B17_scope_filter", f"WITH {ENTRIES} SELECT entry_id FROM e WHERE tissue IN ('', 'unknown', 'all', 'en')")
 def b17(t):
     return entries(t).where(op.in_scope(F.lit("Human"), "tissue", F.lit("human "), F.lit("EN"))).select("entry_id")
@@ -68,20 +81,7 @@ def d12(t):
     return op.merged_entries(e).select("tissue", "label", "entry_id", "entry_type", F.array_join("genes", "|").alias("genes"), "n_sources")
 
 
-@query("D11_ontology_index", "SELECT * FROM (VALUES ('CL:1', 't cell', 'cd3|t lymphocyte', 'lymphocyte'), ('CL:2', 'b cell', '', 'lymphocyte')) v(id, label, synonyms, parent_label)")
-def d11(t):
-    a = [("T cells", "t cell", "CL:1", "", 1), ("T lymphocyte", "T-cell", "CL:1", "lymphocyte", 2), ("CD3", "t cell", "CL:1", "other", 3), ("B cells", "b cell", "CL:2", "lymphocyte", 4), ("junk", "junk", "", "", 5)]
-    rows = op.ontology_index(values(t.spark, a, "raw_label string, normalized_label string, id string, parent_label string, ord int"))
-    return rows.select("id", "label", F.array_join("synonyms", "|").alias("synonyms"), "parent_label")
-
-
-@query("C6_rule_mapper", "SELECT * FROM (VALUES ('T cell', 'CL:1', 'exact'), ('cd3', 'CL:1', 'synonym'), ('memory b cell', 'CL:2', 'part'), ('cell', 'CL:1', 'part'), ('neuron', NULL, 'none')) v(label, id, rule)")
-def c6(t):
-    index = values(t.spark, [("CL:1", "t cell", ["cd3", "t lymphocyte"], 1), ("CL:2", "b cell", [], 2)], "id string, label string, synonyms array<string>, ord int")
-    return op.rule_mapped(values(t.spark, [("T cell",), ("cd3",), ("memory b cell",), ("cell",), ("neuron",)], "label string"), index)
-
-
-@query("C6_rule_mapper_column", """WITH i AS (SELECT p_partkey AS ord, 'X:' || p_partkey AS id, lower(substr(p_name, 2, len(p_name) - 2)) AS name FROM part),
+@query("C6_rule_mapper", """WITH i AS (SELECT p_partkey AS ord, 'X:' || p_partkey AS id, lower(substr(p_name, 2, len(p_name) - 2)) AS name FROM part),
 n AS (SELECT name, max_by(id, ord) AS id, min(ord) AS ord FROM i GROUP BY name), l AS (SELECT DISTINCT lower(p_name) AS key FROM part UNION SELECT DISTINCT lower(split_part(p_name, ' ', 1)) FROM part),
 m AS (SELECT key, min_by(id, ord) AS id FROM l JOIN n ON contains(key, name) OR contains(name, key) GROUP BY key), r AS (SELECT p_name AS label FROM part UNION ALL SELECT split_part(p_name, ' ', 1) FROM part)
 SELECT label, coalesce(n.id, m.id) AS id, CASE WHEN n.id IS NOT NULL THEN 'exact' WHEN m.id IS NOT NULL THEN 'part' ELSE 'none' END AS rule FROM r LEFT JOIN n ON lower(label) = name LEFT JOIN m ON lower(label) = m.key""")
@@ -90,42 +90,15 @@ def c6_column(t):
     return op.rule_mapped(t.part.select(F.col("p_name").alias("label")).union(t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)))), index)
 
 
-@query("H48_external_entries", "SELECT * FROM (VALUES ('t cell', 'CL:1', 'lymphocyte', 'CD3|CD4', 0.1235::DOUBLE, 'external')) v(label, id, parent_label, genes, weight, entry_type)")
-def h48(t):
-    rows = values(t.spark, [("human", "Blood", " T  cell", "", [" CD3", "", "CD4 "], 0.12345)], "species string, tissue string, label string, id string, marker_genes array<string>, weight double")
-    labels = values(t.spark, [("t cell", "CL:1", "lymphocyte")], "key string, id string, parent_label string")
-    return op.external_entries(rows, labels).select("label", "id", "parent_label", F.array_join("genes", "|").alias("genes"), "weight", "entry_type")
-
-
-@query("H49_derived_entries", "SELECT * FROM (VALUES ('b cell', 'MS4A1', 1.0::DOUBLE)) v(label, genes, weight)")
-def h49(t):
-    rows = values(t.spark, [("human", "Blood", "B cell", [("MS4A1",)], 1.7), ("human", "Blood", " ", [("X",)], 0.5), ("human", "Blood", "nk cell", [], 0.5)], "species string, tissue string, label string, markers array<struct<gene:string>>, quality double")
-    return op.derived_entries(rows).select("label", F.array_join("genes", "|").alias("genes"), "weight")
-
-
-@query("H18_overlap_score", f"""WITH p AS (SELECT d.doc_id, {WORDS.format(c='d.text')} AS q, {WORDS.format(c='b.text')} AS k FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
+@query("H18_overlap_score", f"""WITH p AS (SELECT d.doc_id, {WORDS.format(c='d.text')} AS q, {WORDS.format(c='b.text')} AS k FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
 SELECT doc_id, round(round(least(len(list_distinct(list_intersect(q, k)))::DOUBLE / len(list_distinct(list_concat(q, k))) + len(list_distinct(list_intersect(q[1:5], k)))::DOUBLE / len(list_distinct(q[1:5])) * 0.3, 1.0), 4), 4) AS score FROM p WHERE len(q) > 0""")
 def h18(t):
-    known = t.benchmark.select("item_id", words("text").alias("k"))
-    rows = t.documents.select("doc_id", words("text").alias("q")).join(known, F.col("doc_id") % 40 == F.col("item_id")).where(F.size("q") > 0)
-    return rows.select("doc_id", sc.overlap_score("q", "k").alias("score"))
-
-
-@query("H18_overlap_score_all_entries", f"""WITH p AS (SELECT d.doc_id, {WORDS.format(c='d.text')} AS q, {WORDS.format(c='b.text')} AS k FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
-SELECT doc_id, round(round(least(len(list_distinct(list_intersect(q, k)))::DOUBLE / len(list_distinct(list_concat(q, k))) + len(list_distinct(list_intersect(q[1:5], k)))::DOUBLE / len(list_distinct(q[1:5])) * 0.3, 1.0), 4), 4) AS score FROM p WHERE len(q) > 0""")
-def h18_all(t):
     known = t.benchmark.select("item_id", words("text").alias("k"))
     size = F.broadcast(t.benchmark.agg(F.count("*").alias("size")))  # one row
     rows = t.documents.select("doc_id", words("text").alias("q")).crossJoin(size).join(known, F.col("doc_id") % F.col("size") == F.col("item_id")).where(F.size("q") > 0)
     return rows.select("doc_id", sc.overlap_score("q", "k").alias("score"))
 
 
-@query("H19_tissue_bonus", "SELECT * FROM (VALUES (1, 0.2::DOUBLE), (2, 0.1), (3, 0.1), (4, 0.0), (5, 0.0)) v(k, b)")
-def h19(t):
-    rows = values(t.spark, [(1, "Blood", ["lung", " blood"]), (2, "blood", ["peripheral blood", "blood"]), (3, "left lung", ["lung"]), (4, "", ["lung"]), (5, "skin", ["lung"])], "k int, q string, known array<string>")
-    return rows.select("k", sc.tissue_bonus("q", "known").alias("b"))
-
-
 PARTS = "p AS (SELECT p_partkey AS k, (p_partkey % 11)::DOUBLE / 19 AS o, p_size % 8 AS n, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_partkey % 10) / 10.0 END AS q, p_size * 4 AS c FROM part)"
 EVIDENCE = "CASE WHEN o >= 0.4 AND n >= 5 AND NOT coalesce(q < 0.2, false) THEN 'strong' WHEN (o >= 0.4 AND n >= 5) OR ((o >= 0.2 OR n >= 3) AND NOT coalesce(q < 0.2, false)) THEN 'moderate' WHEN o >= 0.2 OR n >= 3 OR o > 0 OR n >= 1 THEN 'weak' ELSE 'conflicting' END"
 
@@ -150,55 +123,8 @@ def h21(t):
     return rows.select("k", "score", "label", sc.action("label", F.col("k") % 13 == 0, "level").alias("action"))
 
 
-@query("H24_decision_blend", "SELECT * FROM (VALUES (1, 0.825::DOUBLE, 'accept', 'matched'), (2, 0.64, 'review', 'unmatched'), (3, 0.425, 'review', 'no_retrieval'), (4, 0.525, 'novel_candidate', 'parent_match'), (5, 0.72, 'review', 'missing')) v(k, score, decision, status)")
-def h24(t):
-    c = "array<struct<overlap_score:double,label:string,id:string,parent:string>>"
-    rows = values(t.spark, [
-        (1, "T cell", "CL:1", 0.8, "strong", [(0.6, "t cell", "CL:1", "lymphocyte"), (0.3, "b cell", "CL:2", "lymphocyte")]),
-        (2, "neuron", "CL:9", 0.8, "strong", [(0.6, "t cell", "CL:1", "lymphocyte")]),
-        (3, "neuron", "CL:9", 0.5, "weak", []),
-        (4, "lymphocyte", "CL:3", 0.6, "strong", [(0.2, "memory lymphocyte", "CL:1", "lymphocyte"), (0.1, "x", "", "")]),
-        (5, "t cell", "", 0.9, "weak", [(0.4, "neuron", "CL:9", "")]),
-    ], f"k int, label string, id string, m double, e string, cands {c}")
-    rows = rows.withColumn("top", sc.best_candidate("cands")).withColumn("s", F.coalesce("top.overlap_score", F.lit(0.0)))
-    agrees = F.coalesce(sc.retrieval_agrees(F.col("label"), F.col("top.label")), F.lit(False))
-    rows = rows.withColumn("score", sc.blended_confidence(F.col("m"), F.col("s"), agrees))
-    novel = (F.col("s") < 0.25) & (F.col("s") > 0)
-    status = sc.ontology_status(F.col("id"), F.col("label"), F.col("top").isNotNull(), F.col("top.id"), F.col("top.label"), F.col("top.parent"))
-    return rows.select("k", "score", sc.decision(F.col("score"), F.col("e"), novel).alias("decision"), status.alias("status"))
-
-
-EDGES = [("memory t cell", "t cell", 1), ("t cell", "lymphocyte", 2), ("lymphocyte", "leukocyte", 3), ("leukocyte", "cell", 4), ("loop a", "loop b", 5), ("loop b", "loop a", 6), ("self", "self", 7), ("b cell", "wrong", 8)]
-
-
-def edges(t: Tables) -> DataFrame:
-    base = values(t.spark, EDGES, "child string, parent string, ord int")
-    more = values(t.spark, [("B-cell", "Lymphocyte", 1)], "child string, parent string, ord int")
-    return hi.merged_edges(base, more)
-
-
-EDGE_SQL = "e(child, parent) AS (VALUES ('memory t cell', 't cell'), ('t cell', 'lymphocyte'), ('lymphocyte', 'leukocyte'), ('leukocyte', 'cell'), ('loop a', 'loop b'), ('loop b', 'loop a'), ('self', 'self'), ('b cell', 'lymphocyte'))"
-CLOSURE_SQL = EDGE_SQL + ", u(label, ancestor, level) AS (SELECT child, parent, 1 FROM e WHERE child <> parent UNION SELECT u.label, e.parent, level + 1 FROM u JOIN e ON u.ancestor = e.child WHERE level < 3 AND e.child <> e.parent AND u.label <> e.parent)"
-
-
-@query("C15_merged_edges", f"WITH {EDGE_SQL} SELECT child, parent FROM e")
-def c15(t):
-    return edges(t)
-
-
-@query("C13_ancestors", f"WITH RECURSIVE {CLOSURE_SQL} SELECT label, ancestor, min(level) AS level FROM u GROUP BY label, ancestor")
-def c13(t):
-    return hi.ancestors(edges(t), 3)
-
-
-@query("C14_compatibility", "SELECT * FROM (VALUES (1, 'pred_is_parent'), (2, 'pred_is_child'), (3, 'exact'), (4, 'incompatible'), (5, 'exact'), (6, 'incompatible')) v(k, compat_type)")
-def c14(t):
-    pairs = values(t.spark, [(1, "lymphocyte", "Memory T-cell"), (2, "t cell", "leukocyte"), (3, "B cell", "b_cell"), (4, "b cell", "t cell"), (5, "", None), (6, "cell", "memory t cell")], "k int, pred string, gold string")
-    return hi.with_compatibility(pairs, hi.ancestors(edges(t), 3)).select("k", "compat_type")
-
-
 @query("C13_region_closure", "SELECT n_name AS label, r_name AS ancestor, 1 AS level FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'world', 2 FROM nation UNION ALL SELECT r_name, 'world', 1 FROM region")
 def c13r(t):
-    up = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    up = t.nation.join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     e = up.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")).union(t.region.select("r_name", F.lit("world")))
     return hi.ancestors(e, 3)

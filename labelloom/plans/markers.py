@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import scoring as sc
+from labelloom.functions.tails import normal_tail_sql, student_tail_sql
 from labelloom.operators import markers as op
 from labelloom.plans.registry import Tables, query
 
@@ -50,12 +51,40 @@ def d14w(t):
     return op.rank_sums(cells(t)).select("label", "gene", "rank_sum", F.round("z", 6).alias("z"))
 
 
-@query("D14_adjusted_p", f"""WITH {CELLS}, {RANKS}, p AS (SELECT label, gene, round(1 / (1 + abs(z)), 9) AS p FROM z),
-k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p, gene) AS k, count(*) OVER (PARTITION BY label) AS m FROM p)
-SELECT label, gene, round(least(1.0, min(p * m / k) OVER (PARTITION BY label ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adj FROM k""")
+P = f"p AS (SELECT label, gene, z, {normal_tail_sql('z')} AS p FROM z)"
+WELCH = """g AS (SELECT label, gene, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM cells GROUP BY ALL),
+o AS (SELECT *, sum(n) OVER w - n AS n2, sum(s) OVER w - s AS s2, sum(q) OVER w - q AS q2 FROM g WINDOW w AS (PARTITION BY gene)),
+v AS (SELECT *, (q - s * s / n) / (n - 1) / n AS a, (q2 - s2 * s2 / n2) / (n2 - 1) / n2 AS b FROM o WHERE n > 1 AND n2 > 1),
+x AS (SELECT label, gene, (s / n - s2 / n2) / sqrt(a + b) AS t, pow(a + b, 2) / (a * a / (n - 1) + b * b / (n2 - 1)) AS df FROM v)"""
+ADJUSTED = "k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p, gene) AS k, count(*) OVER (PARTITION BY label) AS m FROM p), a AS (SELECT *, least(1.0, min(p * m / k) OVER (PARTITION BY label ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING)) AS p_adj FROM k)"
+
+
+@query("D14_rank_sum_p", f"WITH {CELLS}, {RANKS}, {P} SELECT label, gene, round(p, 9) AS p FROM p")
+def d14p(t):
+    return op.with_p(op.rank_sums(cells(t))).select("label", "gene", F.round("p", 9).alias("p"))
+
+
+@query("D14_welch_p", f"WITH {CELLS}, {WELCH} SELECT label, gene, round({student_tail_sql('t', 'df')}, 9) AS p FROM x")
+def d14tp(t):
+    return op.with_p(op.welch(cells(t)).where("n_in > 1 and n_out > 1")).select("label", "gene", F.round("p", 9).alias("p"))
+
+
+@query("D14_adjusted_p", f"WITH {CELLS}, {RANKS}, {P}, {ADJUSTED} SELECT label, gene, round(p_adj, 8) AS p_adj FROM a")
 def d14bh(t):
-    p = op.rank_sums(cells(t)).select("label", "gene", F.round(1 / (1 + F.abs("z")), 9).alias("p"))
-    return op.adjusted(p, "label").select("label", "gene", F.round("p_adj", 6).alias("p_adj"))
+    return op.adjusted(op.with_p(op.rank_sums(cells(t))), "label").select("label", "gene", F.round("p_adj", 8).alias("p_adj"))
+
+
+@query("D14_candidates", f"""WITH {CELLS}, {RANKS}, {P}, {ADJUSTED}, top AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY z DESC, gene) AS de_rank FROM a)
+SELECT label, gene, round(z, 6) AS statistic, round(p_adj, 8) AS p_adj, CAST(de_rank AS INT) AS de_rank FROM top WHERE de_rank <= 50""")
+def d14top(t):
+    """The 50 genes of each label with the highest rank statistic, with their adjusted p."""
+    return op.differential(cells(t)).select("label", "gene", F.round("statistic", 6).alias("statistic"), F.round("p_adj", 8).alias("p_adj"), "de_rank")
+
+
+@query("D14_candidates_by_t", f"""WITH {CELLS}, {WELCH}, p AS (SELECT label, gene, t, {student_tail_sql('t', 'df')} AS p FROM x), {ADJUSTED}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY t DESC, gene) AS de_rank FROM a)
+SELECT label, gene, round(t, 6) AS statistic, round(p_adj, 8) AS p_adj, CAST(de_rank AS INT) AS de_rank FROM r WHERE de_rank <= 50""")
+def d14topt(t):
+    return op.differential(cells(t), "t").select("label", "gene", F.round("statistic", 6).alias("statistic"), F.round("p_adj", 8).alias("p_adj"), "de_rank")
 
 
 @query("D15_depth_normalised", f"WITH {COUNTS} SELECT gene, count(*) AS n, round(sum(x), 4) AS s FROM (SELECT gene, round(ln(1 + value / sum(value) OVER (PARTITION BY cell) * 10000), 6) AS x FROM counts) GROUP BY gene")

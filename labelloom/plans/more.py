@@ -9,19 +9,18 @@ from labelloom.functions import scoring as sc
 from labelloom.functions.text import has_any
 from labelloom.operators import calibration as cal
 from labelloom.operators import evaluation as ev
-from labelloom.operators import knowledge as kn
 from labelloom.operators import markers as mk
 from labelloom.operators.curation import best_per_key
-from labelloom.operators.records import answer_json, json_text
+from labelloom.operators.sides import small
 from labelloom.plans.evaluation import JUDGED, judged
 from labelloom.plans.knowledge import ENTRIES, entries
 from labelloom.plans.markers import CELLS, NAMED, RANKS, SHARES, named
-from labelloom.plans.registry import Tables, query, values
+from labelloom.plans.registry import Tables, query
 
 
 @query("A2_dimension_scan", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def a2(t):
-    return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    return t.nation.join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
 @query("A18_missing_outputs", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id < 10)")
@@ -35,42 +34,11 @@ def b2(t):
     return t.documents.select("doc_id", has_any("text", ("Idiot", "a.b", "$$$")).alias("hit"))
 
 
-@query("B10_positive_effect", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, false)) v(k, p)")
-def b10(t):
-    rows = values(t.spark, [(1, 0.5), (2, float("inf")), (3, float("nan")), (4, None), (5, -1.0)], "k int, x double")
-    return rows.select("k", sc.positive_effect("x").alias("p"))
-
-
 @query("B18_sub_record", "SELECT conv_id, turn, role FROM conversations WHERE role = 'user'")
 def b18(t):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", "role")
 
 
-INDEX = [("CL:1", "T cell", ["cd3"], "lymphocyte"), ("CL:2", "B cell", ["t cell", "b lymphocyte"], "lymphocyte")]
-
-
-def index(t: Tables) -> DataFrame:
-    return values(t.spark, INDEX, "id string, label string, synonyms array<string>, parent_label string")
-
-
-@query("C4_prioritised_lookup", "SELECT * FROM (VALUES ('T cell', 'CL:1'), ('cd3', 'CL:1'), ('b lymphocyte', 'CL:2'), ('nk', 'CL:7'), ('none', NULL)) v(label, id)")
-def c4(t):
-    first = kn.lookup_keys(index(t)).groupBy("key").agg(F.min_by("id", "priority").alias("a"))
-    second = values(t.spark, [("nk", "CL:7"), ("cd3", "CL:8")], "key string, b string")
-    want = values(t.spark, [("T cell",), ("cd3",), ("b lymphocyte",), ("nk",), ("none",)], "label string").withColumn("key", F.lower("label"))
-    return want.join(first, "key", "left").join(second, "key", "left").select("label", F.coalesce("a", "b").alias("id"))
-
-
-@query("C5_store_lookup", "SELECT * FROM (VALUES ('t cell', 'CL:2', 1), ('cd3', 'CL:1', 1), ('b lymphocyte', 'CL:2', 1), ('b cell', 'CL:2', 0)) v(key, id, priority)")
-def c5(t):
-    return kn.lookup_keys(index(t)).groupBy("key").agg(F.max_by(F.struct("id", "priority"), F.struct("priority", "id")).alias("v")).select("key", "v.id", "v.priority")
-
-
-@query("C19_valid_sets", "SELECT * FROM (VALUES ('t cell'), ('cd3'), ('b cell'), ('b lymphocyte')) v(key)")
-def c19(t):
-    return kn.lookup_keys(index(t)).select("key").distinct()
-
-
 @query("C17_kept_on_one_row", "SELECT conv_id, max(text) FILTER (turn = 0) AS question, max(text) FILTER (turn = 1) AS answer FROM conversations GROUP BY conv_id")
 def c17(t):
     at = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
@@ -136,40 +104,6 @@ def h14(t):
     return t.part.select("p_partkey", sc.negative_reason(F.when(F.col("p_size") % 4 == 0, -0.6).otherwise(-0.5), F.when(F.col("p_partkey") % 5 == 0, 0.1).otherwise(0.2), F.col("p_size") / 50.0).alias("r"))
 
 
-ANSWERS = [(1, "t cell", "CL:1", 10, 0.9, 500, False, False, False), (2, "b cell", "", 4, 0.5, 50, True, True, False), (3, "nk", None, 1, 0.1, 20, True, True, True)]
-
-
-@query("H22_training_answer", "SELECT * FROM (VALUES (1, 'high', 'accept', 'strong', false, false), (2, 'low', 'unresolved', 'moderate', true, false), (3, 'low', 'novel_candidate', 'weak', true, true)) v(k, confidence_label, decision, evidence_support_level, need_manual_review, novelty_flag)")
-def h22(t):
-    a = answers(t)
-    return a.select("k", "a.confidence_label", "a.decision", "a.evidence_support_level", "a.need_manual_review", "a.novelty_flag")
-
-
-def answers(t: Tables) -> DataFrame:
-    rows = values(t.spark, ANSWERS, "k int, label string, id string, n int, q double, c int, low boolean, un boolean, rare boolean")
-    rows = rows.withColumn("f", F.struct(F.col("low").alias("low_cells"), F.col("un").alias("ontology_unmapped"), F.col("rare").alias("rare_label_in_dataset")))
-    return rows.withColumn("a", sc.training_answer("label", "id", "label", F.array(F.lit("CD3")), "n", "q", "c", "f"))
-
-
-@query("H23_training_confidence", "SELECT * FROM (VALUES (1, 0.83::DOUBLE), (2, 0.2632), (3, 0.0419)) v(k, s)")
-def h23(t):
-    return answers(t).select("k", "a.confidence_score").withColumnRenamed("confidence_score", "s")
-
-
-@query("H45_rescored_outputs", "SELECT * FROM (VALUES (1, true), (2, false), (3, false)) v(k, is_right)")
-def h45(t):
-    rows = values(t.spark, [(1, 'out: {"label": "T-cell"}', "t cell"), (2, '{"label": "x"}', "y"), (3, "none", "y")], "k int, s string, gold string")
-    from labelloom.functions.text import plain_label
-
-    return rows.select("k", F.coalesce(plain_label(F.get_json_object(json_text("s"), "$.label")) == plain_label("gold"), F.lit(False)).alias("is_right"))
-
-
-@query("H37_answer_struct_json", "SELECT * FROM (VALUES (1, 't cell', 'accept'), (2, 'b cell', 'unresolved'), (3, 'nk', 'novel_candidate')) v(k, label, decision)")
-def h37s(t):
-    j = answers(t).select("k", answer_json(label="a.cell_type", decision="a.decision").alias("j"))
-    return j.select("k", F.get_json_object("j", "$.label").alias("label"), F.get_json_object("j", "$.decision").alias("decision"))
-
-
 @query("D14_first_fifty", f"WITH {CELLS}, {SHARES}, {RANKS}, {NAMED}, f AS (SELECT label, gene, row_number() OVER (PARTITION BY label ORDER BY zr DESC, gene) AS k FROM named) SELECT label, gene, CAST(k AS INT) AS de_rank FROM f WHERE k <= 50")
 def d14f(t):
     return mk.ranked(named(t)[0], F.desc("lfc"), 50).select("label", "gene", "de_rank")

@@ -97,36 +97,6 @@ def g8(t):
     return chats(t).select("conv_id", op.sound_messages("messages").alias("ok"))
 
 
-@query("H42_content_text", "SELECT * FROM (VALUES (1, 'plain'), (2, 'a' || chr(10) || 'b'), (3, '[not json')) v(k, s)")
-def h42(t):
-    rows = values(t.spark, [(1, "plain"), (2, '[{"type":"text","text":"a"},{"type":"text","text":"b"}]'), (3, "[not json")], "k int, c string")
-    return rows.select("k", op.content_text("c").alias("s"))
-
-
-NOISY = [
-    (1, '{"cell_type":"t cell","confidence_score":0.5}'),
-    (2, '<think>{x}</think> {"cell_type":"b cell","novelty_flag":"yes"}'),
-    (3, 'Sure: {"cell_type":"nk {cell}","supporting_markers":"A, B"} and {"cell_type":"other"}'),
-    (4, "none here"),
-    (5, '```json\n{"cell_type":"monocyte","confidence_label":"Very High","confidence_score":1.7}\n```'),
-    (6, '{"cell_type":"broken"'),
-    (7, '{"cell_type":"q \\" }","supporting_markers":["X","Y"],"decision":"ACCEPT"}'),
-    (8, ""),
-]
-
-
-@query("H35_json_extract", """SELECT * FROM (VALUES (1, 't cell'), (2, 'b cell'), (3, 'nk {cell}'), (4, NULL), (5, 'monocyte'), (6, NULL), (7, 'q " }'), (8, NULL)) v(k, cell_type)""")
-def h35(t):
-    return values(t.spark, NOISY, "k int, s string").select("k", F.get_json_object(op.json_text("s"), "$.cell_type").alias("cell_type"))
-
-
-@query("H36_parsed_answer", """SELECT * FROM (VALUES (1, true, 't cell', 0.5::DOUBLE, 'low', 'review', false, ''), (2, true, 'b cell', 0, 'low', 'review', true, ''), (3, true, 'nk {cell}', 0, 'low', 'review', false, 'A|B'), (4, false, '', 0, 'low', 'review', false, ''),
- (5, true, 'monocyte', 1, 'high', 'review', false, ''), (6, false, '', 0, 'low', 'review', false, ''), (7, true, 'q " }', 0, 'low', 'accept', false, 'X|Y'), (8, false, '', 0, 'low', 'review', false, '')) v(k, parse_ok, cell_type, confidence_score, confidence_label, decision, novelty_flag, markers)""")
-def h36(t):
-    rows = values(t.spark, NOISY, "k int, s string").select("k", op.parsed_answer("s").alias("a"))
-    return rows.select("k", "a.parse_ok", "a.cell_type", "a.confidence_score", "a.confidence_label", "a.decision", "a.novelty_flag", F.array_join("a.supporting_markers", "|").alias("markers"))
-
-
 @query("H37_answer_json", "SELECT c_custkey, c_mktsegment AS label, CAST(NULL AS VARCHAR) AS parent FROM customer")
 def h37(t):
     j = t.customer.select("c_custkey", op.answer_json(label="c_mktsegment", parent=F.lit(None).cast("string")).alias("j"))

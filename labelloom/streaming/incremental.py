@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.operators.manifest import best_status
+from labelloom.operators.sides import small
 from labelloom.sources.files import discard, write_partitions
 
 
@@ -26,7 +27,7 @@ def ingest_upserts(spark: SparkSession, source: str, ddl: str, target: str, chec
         session = batch.sparkSession
         groups = batch.select(group).distinct()
         try:
-            old = session.read.parquet(target).join(F.broadcast(groups) if groups.limit(10_001).count() <= 10_000 else groups, group, "left_semi")
+            old = session.read.parquet(target).join(small(groups), group, "left_semi")
             rows = old.unionByName(batch, allowMissingColumns=True)
         except Exception as e:  # the first batch has no table yet
             if "PATH_NOT_FOUND" not in str(e):
