@@ -1,6 +1,12 @@
 """From raw documents to packed sequences: quality filter, near-duplicates, personal data, mixing, packing.
 
 Each stage takes the rows its predecessor kept, in the columns of documents; the last returns the packed pieces.
+
+Nulls in any column pass: a null text is scored, hashed and packed as an empty one, rows without a doc_id are documents
+like any others, and a null source is a source of its own. Blank texts are near-duplicates of each other, so one stays
+if the classifier keeps it. Repeated rows are copies, of which one stays; different texts under one doc_id all stay.
+Ties go to the smallest doc_id, then to a hash of the text. Very long texts are read whole in every stage. An empty
+table stays empty through all stages. Extra columns pass every stage but the last, whatever their names.
 """
 
 from __future__ import annotations

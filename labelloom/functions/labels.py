@@ -177,16 +177,30 @@ def compared_long(pred: str | Column, gold: str | Column) -> dict[str, Column]:
         "match_level": level,
         "severe_error": only(~exact & ~normal & ~same),
         "token_overlap": only(overlap),
+        "pred_lineage": only(lineage_long(p)),
+        "gold_lineage": only(lineage_long(g)),
+        "pred_label": only(p),
+        "gold_label": only(g),
     }
 
 
+def _item_sets(a: str | Column, b: str | Column) -> tuple[Column, Column]:
+    """Two lists as sets of plain labels, blank ones left out."""
+    return tuple(F.array_distinct(F.filter(F.transform(F.coalesce(col(c), F.array().cast("array<string>")), plain_label), lambda s: s != "")) for c in (a, b))
+
+
 def list_overlap(a: str | Column, b: str | Column) -> Column:
-    """Jaccard of two lists as sets of folded strings; null if both are empty."""
-    x, y = (F.array_distinct(F.filter(F.transform(F.coalesce(col(c), F.array().cast("array<string>")), folded), lambda s: s != "")) for c in (a, b))
+    """Jaccard of two lists as sets of plain labels; null if both are empty."""
+    x, y = _item_sets(a, b)
     n = F.size(F.array_union(x, y))
     return F.when(n > 0, F.round(F.size(F.array_intersect(x, y)) / n, 4))
 
 
+def shared_items(a: str | Column, b: str | Column) -> Column:
+    """Number of plain labels that two lists share."""
+    return F.size(F.array_intersect(*_item_sets(a, b)))
+
+
 def three_valued(a: str | Column, b: str | Column) -> Column:
     """Whether a and b agree as folded text; null if either is missing."""
     return F.when(col(a).isNotNull() & col(b).isNotNull(), folded(a) == folded(b))

@@ -164,4 +164,4 @@ def placed(df: DataFrame, *order: str | Column) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
     place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return rows.join(small(parts), "_part").withColumn("place", place.cast("int")).drop("_part", "_at", "_before")
+    return rows.join(small(parts), "_part").withColumn("place", place).drop("_part", "_at", "_before")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.functions.text import col, folded, partial_match
+from labelloom.functions.labels import compared_long, list_overlap, shared_items
+from labelloom.functions.text import col, folded, partial_match, plain_label, truth
 
 
 def rate(flag: str | Column, digits: int = 4) -> Column:
@@ -115,6 +116,59 @@ def record_metrics(pred: str, gold: str, pred_id: str, gold_id: str) -> dict[str
     }
 
 
+def record_report(pred: str, gold: str, parsed: str | Column, candidates: str | Column, flagged: str | Column, n_cells: str | Column, split: str | Column, tissue: str | Column, status: str | Column, final: str | Column, final_score: str | Column) -> dict[str, Column]:
+    """All columns about one record: its matches, null where the true value is missing, and what groups it for rates.
+
+    pred and gold: struct columns of answers (cell_type, cell_ontology_id, confidence_label, need_manual_review,
+    decision, evidence_support_level, confidence_score). candidates: an array of structs with label, of which any may
+    hit. flagged: whether a hardness flag is set. status: of the id's validation; final: decision and score after it.
+    """
+    p, g = (lambda c: F.col(f"{pred}.{c}")), (lambda c: F.col(f"{gold}.{c}"))
+    filled = lambda *cs: F.coalesce(*(F.nullif(col(c), F.lit("")) for c in cs), F.lit(""))
+    has = filled(g("cell_type")) != ""
+    hits = F.exists(F.coalesce(col(candidates), F.array()), lambda c: folded(c["label"]) == folded(g("cell_type")))
+    m = record_metrics(f"{pred}.cell_type", f"{gold}.cell_type", f"{pred}.cell_ontology_id", f"{gold}.cell_ontology_id")
+    return {
+        "parse_ok": F.coalesce(col(parsed), F.lit(True)),
+        **{k: m[k] for k in ("exact_match", "parent_match", "id_match", "ontology_mapped")},
+        "confidence_match": F.when(filled(g("confidence_label")) != "", folded(p("confidence_label")) == folded(g("confidence_label"))),
+        "review_match": F.when(g("need_manual_review").isNotNull(), F.coalesce(p("need_manual_review"), F.lit(False)) == g("need_manual_review")),
+        "is_hard": F.coalesce(col(flagged), F.lit(False)) | (F.coalesce(col(n_cells), F.lit(9999)) < 80),
+        "topk_hit": F.when(has, hits),
+        "split": F.coalesce(F.nullif(col(split), F.lit("")), F.lit("test")),
+        "tissue": F.coalesce(F.nullif(col(tissue), F.lit("")), F.lit("unknown")),
+        "cell_type": folded(g("cell_type")),
+        "final_decision": filled(final, p("decision")),
+        "ontology_status": filled(status),
+        "evidence_level": filled(p("evidence_support_level")),
+        "final_confidence_score": col(final_score),
+        "confidence_score": p("confidence_score"),
+    }
+
+
+def compared_answers(pred: str, gold: str) -> dict[str, Column]:
+    """Matches of two answers, each null where it can't be told: of labels, of closed fields (null if both are blank), of
+    yes-or-no fields (null if either is missing) and of marker lists. All are null if an answer is missing as a whole."""
+    here = F.col(pred).isNotNull() & F.col(gold).isNotNull()
+    p, g = (lambda c: F.col(f"{pred}.{c}")), (lambda c: F.col(f"{gold}.{c}"))
+    labels = compared_long(p("cell_type"), g("cell_type"))
+
+    def closed(c: str) -> Column:
+        a, b = plain_label(p(c)), plain_label(g(c))
+        return F.when((a != "") | (b != ""), a == b)
+
+    def flag(c: str) -> Column:
+        return truth(p(c).cast("string")) == truth(g(c).cast("string"))
+
+    out = {f"cell_type_{k}": labels[k] for k in ("exact_match", "normalized_exact_match", "same_lineage", "granularity_relation", "severe_error", "token_overlap")}
+    out |= {k: labels[k] for k in ("pred_lineage", "gold_lineage", "pred_label", "gold_label")}
+    out |= {f"{c}_match": closed(c) for c in ("confidence_label", "decision", "evidence_support_level")}
+    out |= {f"{c}_match": flag(c) for c in ("need_manual_review", "novelty_flag")}
+    out["supporting_markers_jaccard"] = list_overlap(p("supporting_markers"), g("supporting_markers"))
+    out["supporting_markers_shared"] = shared_items(p("supporting_markers"), g("supporting_markers"))
+    return {"cell_type_match_level": F.when(here, labels["match_level"]).otherwise("unavailable")} | {k: F.when(here, c) for k, c in out.items()}
+
+
 def id_checks(df: DataFrame, pred_id: str, known: DataFrame, key: str = "id") -> DataFrame:
     """n, ids that aren't of the form CL:, and ids of that form that known lacks."""
     rows = df.select(F.col(pred_id).alias("_id")).join(known.select(F.col(key).alias("_id")).distinct().withColumn("_known", F.lit(True)), "_id", "left")

@@ -175,7 +175,7 @@ def c2(t):
 
 @query("F1_candidate_order", f"WITH {STATS} SELECT dataset_id, CAST(row_number() OVER (ORDER BY tissues, n_types DESC, n_rows DESC, dataset_id) AS INT) AS place FROM stats")
 def f1(t):
-    return op.placed(stats(t).withColumn("tissues", F.array_join("tissues", ";")), "tissues", F.desc("n_types"), F.desc("n_rows"), "dataset_id").select("dataset_id", "place")
+    return op.placed(stats(t).withColumn("tissues", F.array_join("tissues", ";")), "tissues", F.desc("n_types"), F.desc("n_rows"), "dataset_id").select("dataset_id", F.col("place").cast("int").alias("place"))
 
 
 @query("H9_token_counts", f"WITH {STATS} SELECT dataset_id, CAST(len(list_filter(string_split(diseases, ';'), lambda x: trim(x) <> '')) AS INT) AS n FROM stats")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from labelloom.functions import scoring as sc
 from labelloom.functions.text import has_any
@@ -11,6 +13,7 @@ from labelloom.operators import calibration as cal
 from labelloom.operators import evaluation as ev
 from labelloom.operators import markers as mk
 from labelloom.operators.curation import best_per_key
+from labelloom.operators.inference import with_outputs
 from labelloom.operators.sides import small
 from labelloom.plans.evaluation import JUDGED, judged
 from labelloom.plans.knowledge import ENTRIES, entries
@@ -123,3 +126,22 @@ def j1(t):
 @query("J_calibrator_isotonic")
 def j2(t):
     return calibrated(t, "isotonic")
+
+
+def load_model():
+    """A stand-in for a language model: it answers a prompt with its longest word, and tells how long the prompt was."""
+
+    def answer(prompts: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+        words = [max(p.split(" "), key=len) for p in prompts]
+        return {"answer": np.array(words, dtype=object), "cost": np.array([len(p) for p in prompts]) + sizes.astype(np.int64)}
+
+    return answer
+
+
+@query("J_batch_inference", """WITH p AS (SELECT p_partkey, 'find ' || p_name || ' of ' || p_brand AS prompt, p_size FROM part), w AS (SELECT *, string_split(prompt, ' ') AS words FROM p),
+m AS (SELECT *, list_max(list_transform(words, lambda x: length(x))) AS most FROM w) SELECT p_partkey, list_filter(words, lambda x: length(x) = most)[1] AS answer, length(prompt) + p_size AS cost FROM m""")
+def j3(t):
+    """Outputs of a model for each part's prompt, in batches."""
+    rows = t.part.select("p_partkey", F.concat(F.lit("find "), "p_name", F.lit(" of "), "p_brand").alias("prompt"), "p_size")
+    kind = StructType([StructField("answer", StringType()), StructField("cost", LongType())])
+    return with_outputs(rows, load_model, ["prompt", "p_size"], "said", kind, batch=100).select("p_partkey", "said.answer", "said.cost")

@@ -121,10 +121,11 @@ def d30(t):
     return rows.groupBy("match_level").agg(F.count("*").alias("n"), F.round(F.avg("o"), 3).alias("mean_overlap"))
 
 
-FOLDED = "list_distinct(list_filter(list_transform(string_split({c}, ' '), lambda w: lower(trim(w))), lambda w: w <> ''))"
+def items_sql(c: str) -> str:
+    return f"list_distinct(list_filter(list_transform(string_split({c}, ' '), lambda w: {plain('w')}), lambda w: w <> ''))"
 
 
-@query("H29_list_overlap", f"""WITH {RAW}, w AS (SELECT k, {FOLDED.format(c="coalesce(p, '')")} AS a, CASE WHEN k % 7 = 0 THEN [] ELSE {FOLDED.format(c="coalesce(g, '')")} END AS b FROM raw)
+@query("H29_list_overlap", f"""WITH {RAW}, w AS (SELECT k, {items_sql("coalesce(p, '')")} AS a, CASE WHEN k % 7 = 0 THEN [] ELSE {items_sql("coalesce(g, '')")} END AS b FROM raw)
 SELECT k, CASE WHEN len(a) + len(b) > 0 THEN round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 4) END AS o FROM w""")
 def h29(t):
     a, b = F.split(F.coalesce("p", F.lit("")), " "), F.split(F.upper(F.coalesce("g", F.lit(""))), " ")
@@ -155,6 +156,58 @@ def h32(t):
     return with_ids(pairs(t)).select("k", *(c.alias(n) for n, c in m.items()))
 
 
+WORDS = ("high", "High ", "low", "", None, "medium")
+
+
+def two_answers(t: Tables) -> DataFrame:
+    """with_ids as two answers, pred and gold, with closed fields, flags and lists; some are missing as a whole."""
+    k = F.col("k")
+    bit = lambda n: F.when(n % 5 == 2, None).otherwise(n % 5 % 3 == 0)
+    answer = lambda label, id_, n: F.struct(
+        F.col(label).alias("cell_type"), F.col(id_).alias("cell_ontology_id"), picked(WORDS, n).alias("confidence_label"), picked(WORDS, n + 1).alias("decision"), picked(WORDS, n + 2).alias("evidence_support_level"),
+        bit(n).alias("need_manual_review"), bit(n + 1).alias("novelty_flag"), F.split(label, " ").alias("supporting_markers"), (n % 10 / 10.0).alias("confidence_score"))
+    return with_ids(pairs(t)).withColumns({"pred": F.when(k % 23 != 0, answer("p", "pi", k)), "gold": F.when(k % 29 != 0, answer("g", "gi", F.floor(k / 6)))})
+
+
+def bit_sql(n: str) -> str:
+    return f"CASE WHEN ({n}) % 5 = 2 THEN NULL ELSE ({n}) % 5 % 3 = 0 END"
+
+
+def closed_sql(n: int) -> str:
+    a, b = plain(picked_sql(WORDS, f"k + {n}")), plain(picked_sql(WORDS, f"k // 6 + {n}"))
+    return f"CASE WHEN here AND ({a} <> '' OR {b} <> '') THEN {a} = {b} END"
+
+
+@query("H30_compared_answers", f"""WITH {COMPARED}, h AS (SELECT *, k % 23 <> 0 AND k % 29 <> 0 AS here, k % 23 <> 0 AND k % 29 <> 0 AND match_level <> 'unavailable' AS told, {items_sql("coalesce(p, '')")} AS a, {items_sql("coalesce(g, '')")} AS b FROM levels)
+SELECT k, CASE WHEN here THEN match_level ELSE 'unavailable' END AS cell_type_match_level, CASE WHEN told THEN pp = gp END AS cell_type_exact_match, CASE WHEN told THEN pl = gl END AS cell_type_normalized_exact_match, CASE WHEN told THEN pb = gb END AS cell_type_same_lineage,
+  CASE WHEN told THEN CASE WHEN ps = gs THEN 'same' WHEN ps < gs THEN 'coarser_than_gold' ELSE 'finer_than_gold' END END AS cell_type_granularity_relation, CASE WHEN told THEN pp <> gp AND pl <> gl AND pb <> gb END AS cell_type_severe_error, CASE WHEN told THEN shared END AS cell_type_token_overlap,
+  CASE WHEN told THEN pb END AS pred_lineage, CASE WHEN told THEN gb END AS gold_lineage, CASE WHEN told THEN pl END AS pred_label, CASE WHEN told THEN gl END AS gold_label,
+  {closed_sql(0)} AS confidence_label_match, {closed_sql(1)} AS decision_match, {closed_sql(2)} AS evidence_support_level_match,
+  CASE WHEN here THEN {bit_sql('k')} = {bit_sql('k // 6')} END AS need_manual_review_match, CASE WHEN here THEN {bit_sql('k + 1')} = {bit_sql('k // 6 + 1')} END AS novelty_flag_match,
+  CASE WHEN here AND len(a) + len(b) > 0 THEN round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 4) END AS supporting_markers_jaccard, CASE WHEN here THEN len(list_intersect(a, b))::INT END AS supporting_markers_shared FROM h""")
+def h30(t):
+    return two_answers(t).select("k", *(c.alias(n) for n, c in ev.compared_answers("pred", "gold").items()))
+
+
+@query("H32_record_report", f"""WITH {IDS}, v AS (SELECT k, k % 23 <> 0 AS hp, k % 29 <> 0 AS hg, k // 6 AS j, CASE WHEN k % 23 <> 0 THEN p END AS p, CASE WHEN k % 29 <> 0 THEN g END AS g, CASE WHEN k % 23 <> 0 THEN pi END AS pi, CASE WHEN k % 29 <> 0 THEN gi END AS gi, p AS raw_p, p_size, p_type, p_brand FROM ids),
+f AS (SELECT *, {fold('p')} AS fp, {fold('g')} AS fg, {fold('pi')} AS fpi, {fold('gi')} AS fgi, coalesce(g, '') <> '' AS has, CASE WHEN hp THEN {picked_sql(WORDS, 'k')} END AS pc, CASE WHEN hg THEN {picked_sql(WORDS, 'j')} END AS gc, CASE WHEN hp THEN {bit_sql('k')} END AS pr, CASE WHEN hg THEN {bit_sql('j')} END AS gr FROM v)
+SELECT k, k % 9 <> 4 AS parse_ok, CASE WHEN has THEN fp = fg END AS exact_match, CASE WHEN has AND fp <> fg THEN fp <> '' AND fg <> '' AND (contains(fp, fg) OR contains(fg, fp)) END AS parent_match,
+  CASE WHEN coalesce(gi, '') <> '' THEN fpi <> '' AND fpi = fgi END AS id_match, starts_with(upper(coalesce(pi, '')), 'CL:') AS ontology_mapped,
+  CASE WHEN coalesce(gc, '') <> '' THEN {fold('pc')} = {fold('gc')} END AS confidence_match, CASE WHEN gr IS NOT NULL THEN coalesce(pr, false) = gr END AS review_match, k % 5 = 0 OR p_size * 10 < 80 AS is_hard,
+  CASE WHEN has THEN k % 4 > 0 AND ({fold('raw_p')} = fg OR {fold(picked_sql(LABELS, 'k * 5 + 3'))} = fg) END AS topk_hit,
+  CASE WHEN k % 3 = 0 THEN 'test' ELSE 'val' END AS split, CASE WHEN k % 7 = 0 THEN 'unknown' ELSE p_type END AS tissue, fg AS cell_type,
+  CASE WHEN k % 2 = 0 THEN p_brand WHEN hp THEN coalesce({picked_sql(WORDS, 'k + 1')}, '') ELSE '' END AS final_decision, CASE WHEN k % 2 = 0 THEN 'ok' ELSE '' END AS ontology_status, CASE WHEN hp THEN coalesce({picked_sql(WORDS, 'k + 2')}, '') ELSE '' END AS evidence_level,
+  p_size / 100.0::DOUBLE AS final_confidence_score, CASE WHEN hp THEN k % 10 / 10.0::DOUBLE END AS confidence_score FROM f""")
+def h32_report(t):
+    k = F.col("k")
+    label = lambda c: F.struct(c.alias("label"))
+    rows = two_answers(t).withColumns({
+        "parsed": F.when(k % 9 == 4, False).when(k % 9 == 5, None).otherwise(True), "candidates": F.when(k % 4 > 0, F.array(label(F.col("p")), label(picked(LABELS, k * 5 + 3)))), "flagged": F.when(k % 5 != 1, k % 5 == 0),
+        "n_cells": F.col("p_size") * 10, "of": F.when(k % 3 == 0, F.when(k % 2 == 0, "")).otherwise("val"), "place": F.when(k % 7 != 0, F.col("p_type")), "state": F.when(k % 2 == 0, "ok"), "final": F.when(k % 2 == 0, F.col("p_brand")).otherwise(""), "score": F.col("p_size") / 100.0})
+    m = ev.record_report("pred", "gold", "parsed", "candidates", "flagged", "n_cells", "of", "place", "state", "final", "score")
+    return rows.select("k", *(c.alias(n) for n, c in m.items()))
+
+
 FLAGS = (" Yes", "0", "maybe", "TRUE", None, "no", "1", "False ", "", "y", "2")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelloom.operators import manifest as mf
 from labelloom.plans.registry import query, values
 from labelloom.sources import files as fs
+from labelloom.sources.config import read_config, with_paths
 from labelloom.streaming import incremental
 
 
@@ -128,3 +129,13 @@ def each_file_once(t):
         fs.write_json_lines(rows.where(part), inbox, append=True)
         incremental.ingest(t.spark, inbox, "n_nationkey int, n_name string", out, marks)
     return t.spark.read.parquet(out)
+
+
+@query("A15_settings", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 5 AND n_nationkey < 20")
+def a15(t):
+    """Bounds and a table's place from a YAML file: its relative path is taken from the folder of the tables."""
+    path = fs.scratch(t.spark, "settings")
+    fs.write_text(t.spark, "table: nation.parquet\nbounds:\n  least: 5\n  below: 20\n", path)
+    settings = with_paths(read_config(t.spark, path), t.folder, "table")
+    bounds = settings["bounds"]
+    return fs.read_table(t.spark, settings["table"], ["n_nationkey", "n_name"], f"n_nationkey >= {bounds['least']} and n_nationkey < {bounds['below']}")

@@ -5,15 +5,17 @@ import json
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from labelloom.functions import labels as lb
 from labelloom.functions import scoring as sc
 from labelloom.functions import tails
 from labelloom.functions import text as tx
 from labelloom.operators import cleaning, curation, diagnosis, evaluation, hierarchy, knowledge, manifest, markers, records, splits
-from labelloom.sources import files
+from labelloom.sources import config, files
 from labelloom.streaming import incremental
 
 
@@ -421,3 +423,59 @@ def test_feature_vector_has_all_features(spark):
     got = rows.select(*sc.feature_vector("pos", "neg", "n", "q", "f")).collect()
     assert tuple(got[0]) == (7, 2, 99, 4.6052, 3.0, 0.9, 0.3, None, 0.575, 0.5, 1, 0, 0, 1)
     assert tuple(got[1]) == (0, 0, 0, 0.0, None, None, None, None, None, None, 0, 0, 0, 0)
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "run.yaml").write_text("model_size: 4B\ntrain: data/train.parquet\nval: s3a://b/val\noutput: ''\nleast_rows: 5\nprefer: [atlas, map]\nweights: {cells: 0.9}\n")
+    (tmp_path / "empty.yaml").write_text("")
+    (tmp_path / "list.yaml").write_text("- 1\n")
+    read = config.read_config(spark, str(tmp_path / "run.yaml"))
+    got = config.with_paths(read, "/base/", "train", "val", "absent", output="output", made_of="out/{model_size}_{now:%Y}", now=datetime.datetime(2024, 5, 1))
+    assert (got["train"], got["val"], got["output"]) == ("/base/data/train.parquet", "s3a://b/val", "/base/out/4B_2024") and "absent" not in got
+    assert read["output"] == "" and config.resolved("/a/b", "/base") == "/a/b"
+    made = config.made_from(curation.Curation, read, strict=False)
+    assert made.least_rows == 5 and made.prefer == ("atlas", "map") and made.weights["cells"] == 0.9 and made.weights["celltype"] == 1.0
+    with pytest.raises(ValueError, match="model_size"):
+        config.made_from(curation.Curation, read)
+    assert config.read_config(spark, str(tmp_path / "empty.yaml")) == {}
+    with pytest.raises(ValueError, match="mapping"):
+        config.read_config(spark, str(tmp_path / "list.yaml"))
+
+
+def test_places(spark):
+    rows = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(700))).alias("a"), "id").repartition(7)
+    got = {r["id"]: r["place"] for r in curation.placed(rows, F.desc("a"), "id").collect()}
+    want = sorted(((-r["a"], r["id"]) for r in rows.collect()))
+    assert got == {i: k for k, (_, i) in enumerate(want, 1)}
+    assert curation.placed(rows.where("false"), "id").count() == 0
+
+
+def test_labels_in_scope(spark):
+    q = [(1, "Human", "Blood", ["A", "b"]), (2, "human", None, ["a", "c"]), (3, "mouse", "blood", ["a"]), (4, "human", "skin", ["x"]), (5, "human", "lung", [])]
+    e = [(1, "human", "blood", "t", ["a"], 0.5), (2, "human", "lung", "t", ["c"], 0.9), (3, " HUMAN ", "all", "b", ["B", "b", "z"], 0.1), (4, "mouse", "", "m", ["a"], 0.1), (5, "human", "unknown", "t", ["q"], 0.7)]
+    got = knowledge.retrieved_labels(spark.createDataFrame(q, "query_id int, species string, tissue string, genes array<string>"), spark.createDataFrame(e, "entry_id int, species string, tissue string, label string, genes array<string>, weight double"), 3, scoped=True).collect()
+    want = [(1, "b", 1, 0.3333, 3, 2), (1, "t", 1, 0.3333, 5, 3), (2, "t", 2, 0.6667, 2, 1), (3, "m", 1, 1.0, 4, 1)]
+    want[0:2] = [(1, "b", 1, 0.3333, 3, 1), (1, "t", 1, 0.3333, 5, 2)]
+    assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_retrieval_does_not_depend_on_what_is_sent(spark, sent, monkeypatch):
+    monkeypatch.setattr(knowledge, "SENT", sent)
+    q = spark.createDataFrame([(1, "blood", ["a", "B", "b"]), (2, None, ["c"]), (3, "x", [])], "query_id int, tissue string, genes array<string>")
+    e = spark.createDataFrame([(1, "t", "blood", ["A", "c"]), (2, "b", "", ["b"]), (3, "n", "lung", ["q"])], "entry_id int, label string, tissue string, genes array<string>")
+    got = sorted((r["query_id"], r["entry_id"], r["shared"], r["score"], r["rank"]) for r in knowledge.retrieved(q, e, 2).collect())
+    assert got == [(1, 1, 1, 0.5333, 2), (1, 2, 1, 0.7, 1), (2, 1, 1, 0.7, 1)]
+
+
+def test_model_outputs(spark):
+    from labelloom.operators.inference import with_outputs
+
+    def load():
+        return lambda texts, numbers: {"s": np.array([t.upper() for t in texts], dtype=object), "n": numbers * 2}
+
+    rows = spark.createDataFrame([(k, f"t{k}", float(k)) for k in range(25)], "k int, t string, x double")
+    got = with_outputs(rows, load, ["t", F.col("x") + 1], "m", StructType([StructField("s", StringType()), StructField("n", DoubleType())]), batch=4).collect()
+    assert [(r["m"]["s"], r["m"]["n"]) for r in sorted(got)] == [(f"T{k}", 2.0 * k + 2) for k in range(25)]
+    means = with_outputs(rows.withColumn("v", F.array("x", "x", F.lit(1.0))), lambda: lambda v: v.mean(axis=1), ["v"], "m", DoubleType(), shapes=[[3]]).collect()
+    assert [r["m"] for r in sorted(means)] == pytest.approx([(2 * k + 1) / 3 for k in range(25)])
