@@ -155,5 +155,4 @@ def same_rows(df: DataFrame, keys: list[str], chunk: int = 10_000) -> DataFrame:
     """
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     parts = n.select(*keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))).alias("_from"))
-    parts = parts.where("_n = 1").union(parts.where("_n > 1").repartition(*keys, "_from"))
-    return parts.select(*keys, F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + chunk) - 1)).alias("nth"))
+    return parts.repartition(*keys, "_from").select(*keys, F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + chunk) - 1)).alias("nth"))
