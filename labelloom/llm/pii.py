@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import fresh, in_small_batches, written
 
-WINDOW, SUPPORT, THRESHOLD = 6, 2, 0.9
+WINDOW, SUPPORT, THRESHOLD = 6, 2, 0.95
 #: Most hashed terms that are sent to every executor (8 bytes each); beyond that terms and documents are joined.
 SENT = 1 << 20
 # The patterns, without what backtracking could retry in vain.
