@@ -8,8 +8,9 @@ rounds: groups of documents, dealt by hash, each run Adam from the shared parame
 
 Nulls and blanks: a null or blank text is one passage of zeros and gets a score too. Without labels of both kinds
 every score is the share of label 1 (0.5 without any label). Repeated rows each come back; label rows that repeat
-count once. Very long texts are scored whole, in linear time. Labels that tie for one id are
-the larger one, texts that tie for one the smaller. An empty table gives an empty result. Further columns stay out of the result, so their names can't clash.
+count once. Very long texts are scored whole, in linear time. Labels that tie for one id are the larger one, texts
+that tie for one the smaller. An empty table gives an empty result. Further columns stay out of the result, so their
+names can't clash.
 """
 
 from __future__ import annotations

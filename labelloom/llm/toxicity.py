@@ -1,17 +1,18 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the words (ASCII case and punctuation removed), the stems of longer ones (their first STEM
-bytes, which endings leave alone), neighbouring pairs, and pairs with one or two words between them, hashed to
-2 ** BITS coordinates and counted once a text. Training takes at most `most` labelled
-documents (a documented bound, 10,000): one task runs FTRL-proximal with per-coordinate rates and L1 over them, as
-its updates are sequential; averaging models of parts of so small a sample found a third of the toxic texts where one
-sequence finds nine tenths. L1 leaves a few hundred weights, at most 2 ** BITS, which fit a broadcast whatever the size
-of the corpus. Scoring is one pass over the texts without a shuffle.
+bytes, which endings leave alone), neighbouring pairs, and pairs with one or two words between them, hashed to 2 **
+BITS coordinates and counted once a text. Training takes at most `most` labelled documents (a documented bound,
+10,000), whose features, 2 ** BITS at most, are made where the texts are: one task runs FTRL-proximal with
+per-coordinate rates and L1 over them, as its updates are sequential; averaging models of parts of so small a sample
+found a third of the toxic texts where one sequence finds nine tenths. L1 leaves a few hundred weights, at most 2 **
+BITS, which fit a broadcast whatever the size of the corpus. Scoring is one pass over the texts without a shuffle.
 
 Nulls and blanks: a null or blank text has only the bias; its score is a number too. Without labels of both kinds
 every score is the share of label 1 (0.5 without any label). Repeated rows each come back; label rows that repeat
-count once. Very long texts are scored whole, in linear time. Labels that tie for one id are
-the larger one, texts that tie for one the smaller. An empty table gives an empty result. Further columns stay out of the result, so their names can't clash.
+count once. Very long texts are scored whole, in linear time. Labels that tie for one id are the larger one, texts
+that tie for one the smaller. An empty table gives an empty result. Further columns stay out of the result, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -61,10 +62,16 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = [np.unique(features(t.as_py())).astype("<u4").tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(at, pa.binary())], ["doc_id", "label", "at"])
+
+
 def _learn(passes: int):
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
-        rows = [(np.append(np.unique(features(t)), 1 << BITS), y) for t, y in zip(pdf["text"], pdf["label"], strict=True)]
+        rows = [(np.append(np.frombuffer(at, "<u4").astype(np.int64), 1 << BITS), y) for at, y in zip(pdf["at"], pdf["label"], strict=True)]
         model, order = Ftrl(), np.random.default_rng(3)
         for _ in range(passes):
             for k in order.permutation(len(rows)):
@@ -78,7 +85,8 @@ def _learn(passes: int):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 10_000, passes: int = 6, folds: int = 3, held: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights of the model, learnt from at most `most` labelled texts outside the held-out fold."""
-    rows = written(labelled_sample(docs, labels, label, folds, held, most), "labelled")
+    rows = in_small_batches(labelled_sample(docs, labels, label, folds, held, most).select("doc_id", "label", "text"))
+    rows = written(rows.mapInArrow(_feature_rows, f"doc_id {dict(rows.dtypes)['doc_id']}, label int, at binary"), "labelled")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or ones in (0, n):
         share = ones / n if n else 0.5
