@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.operators.sides import small
 from labelloom.sources.files import discard, scratch
 
 
@@ -26,18 +27,16 @@ def saved(df: DataFrame, path: str) -> DataFrame:
 
 
 def in_small_batches(df: DataFrame, most: int = 1_000) -> DataFrame:
-    """df, whose session from now on sends Python at most `most` rows at once: rows that hold whole texts are large."""
+    """df, whose session from now on sends Python at most `most` rows at once: rows that hold whole texts are large.
+
+    Spark reads this setting when a plan is made, so it stays for the session; README tells users so.
+    """
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(name)) <= most:
         conf.set(name, str(most))
     return df
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most most_rows rows (counted); otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, or the first of name_, name__ and so on that df has no column of, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import same_rows, small, uniform, word_count, written
+from labelloom.operators.curation import placed
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK = 64
@@ -33,15 +34,6 @@ UNIT = "struct<doc_id:bigint,size:bigint,h:bigint,own:bigint,p:double>"
 DONE = "array<struct<doc_id:bigint,size:bigint,h:bigint,up:boolean>>"
 
 
-def _places(by: DataFrame, key: Column) -> DataFrame:
-    """by, written in the order of key, with each row's place (from 0), by counts of the parts of a distributed sort."""
-    rows = written(by.orderBy(key).withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).select("_part", before.alias("_before"))  # one row a partition
-    return rows.withColumn("_part", part).join(F.broadcast(parts), "_part").withColumn("place", F.col("_before") + row).drop("_part", "_before", "_at")
-
-
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, target, n for each source of sizes (source, size).
 
@@ -50,8 +42,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     one aggregation over the sources, and the next level (words per unit of weight) comes from its three sums.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
-    by = _places(by, F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights)).cast("int") + 1)
+    by = placed(by, F.col("source").asc_nulls_last())
+    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights)).cast("int") + 1)
     by = written(by.select("source", "source_size", "n", w.alias("w"), (F.col("source_size") * most).alias("stop")), "weighed")
     whole, open_w = by.agg(F.sum("source_size"), F.sum("w")).first()
     level, before = share * (whole or 0) / (open_w or 1.0), 0
