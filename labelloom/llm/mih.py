@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache, reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -75,38 +76,54 @@ def substrings(bits: int) -> list[tuple[int, int]]:
 @cache
 def ball(bits: int, radius: int) -> np.ndarray:
     """All numbers of so many bits with at most radius ones."""
-    x = np.arange(1 << bits, dtype=np.int64)
+    x = np.arange(1 << bits, dtype=np.uint16 if bits <= 16 else np.uint32)
     return x[np.bitwise_count(x) <= radius]
 
 
 class Index:
-    """Tables of one part: for each substring the rows in order of its value, and where each value's rows begin."""
+    """Tables of one part: for each substring its values in the part, the rows in their order, and where each begins."""
 
     def __init__(self, code: np.ndarray, bits: int) -> None:
-        self.code, self.parts = code, substrings(bits)
-        values = [self._value(code, k) for k in range(len(self.parts))]
-        self.order = [np.argsort(v, kind="stable") for v in values]
-        self.starts = [np.searchsorted(v[o], np.arange((1 << n) + 1)) for v, o, (_, n) in zip(values, self.order, self.parts, strict=True)]
-        self.probed = 0
+        self.code, self.parts, self.probed = code, substrings(bits), 0
+        self.order, self.values, self.starts, self.place = [], [], [], []
+        for k, (_, n) in enumerate(self.parts):
+            own = self._value(code, k)
+            order = np.argsort(own, kind="stable")
+            values, starts = np.unique(own[order], return_index=True)
+            place = np.full(1 << n, -1, np.int32)
+            place[values] = np.arange(len(values))
+            self.order.append(order)
+            self.values.append(values)
+            self.starts.append(np.append(starts, len(code)))
+            self.place.append(place)
 
     def _value(self, code: np.ndarray, k: int) -> np.ndarray:
         at, n = self.parts[k]
-        return (code >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)
+        return (code >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.uint16)
 
     def within(self, query: np.uint64, radius: int) -> np.ndarray:
-        """Rows whose code differs from query's in at most radius bits."""
+        """Rows whose code differs from query's in at most radius bits.
+
+        A table is probed at each value within its share of the radius: those are listed if they are few, and else
+        picked from the values that the part has.
+        """
         m = len(self.parts)
         seen = np.zeros(len(self.code), bool)
         for k, (_, n) in enumerate(self.parts):
-            reach = radius // m if k <= radius % m else radius // m - 1
+            reach = min(n, radius // m if k <= radius % m else radius // m - 1)
             if reach < 0:
                 continue
-            near = ball(n, min(reach, n)) ^ self._value(query, k)
-            first = self.starts[k][near]
-            size = self.starts[k][near + 1] - first
-            first, size = first[size > 0], size[size > 0]
-            at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-            seen[self.order[k][at]] = True
+            values, own = self.values[k], self._value(query, k)
+            if 4 * sum(comb(n, r) for r in range(reach + 1)) < len(values):
+                at = self.place[k][ball(n, reach) ^ own]
+                at = at[at >= 0]
+            else:
+                at = np.flatnonzero(np.bitwise_count(values ^ own) <= reach)
+            first = self.starts[k][at]
+            if len(values) < len(self.code):
+                size = self.starts[k][at + 1] - first
+                first = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            seen[self.order[k][first]] = True
         rows = np.flatnonzero(seen)
         self.probed += len(rows)
         return rows[np.bitwise_count(self.code[rows] ^ query) <= radius]
