@@ -173,9 +173,14 @@ def g7(t):
     return sp.routed(t.documents.select("doc_id", "source"), sp.group_split(groups(t), "source"), "source").select("doc_id", "split")
 
 
-@query("G3_no_overlap", "SELECT CAST(NULL AS VARCHAR) AS source WHERE false")
+@query("G3_no_overlap", "SELECT 'by language' AS kind, source FROM documents GROUP BY source HAVING count(DISTINCT lang = 'de') > 1")
 def g3(t):
-    return sp.overlapping_groups(sp.routed(t.documents.select("doc_id", "source"), sp.group_split(groups(t), "source"), "source"), "source").select("source")
+    """Sources that lie in more than one split: none of a split by source, and those with German and other texts of one by language."""
+    docs = t.documents.select("doc_id", "source", "lang")
+    sound = sp.routed(docs, sp.group_split(groups(t), "source"), "source")
+    leaky = docs.withColumn("split", F.when(F.col("lang") == "de", "val").otherwise("train"))
+    found = lambda df, kind: sp.overlapping_groups(df, "source").select(F.lit(kind).alias("kind"), "source")
+    return found(sound, "by source").union(found(leaky, "by language"))
 
 
 @query("D36_split_manifest", f"WITH {SPLIT} SELECT split, count(*) AS n_records, count(DISTINCT source) AS n_groups FROM documents JOIN sp USING (source) GROUP BY split")
@@ -194,10 +199,10 @@ def b13(t):
     return sp.hard_subset(t.part, conf, "p_retailprice", "p_type", 1000).select("p_partkey")
 
 
-@query("B14_rare_subset", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer GROUP BY c_nationkey HAVING count(*) <= 6)")
+@query("B14_rare_subset", "SELECT p_partkey FROM part WHERE p_name || p_brand IN (SELECT p_name || p_brand FROM part GROUP BY 1 HAVING count(*) <= 2)")
 def b14(t):
-    test = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("k"))
-    return sp.rare_subset(test, t.customer.select(F.col("c_nationkey").alias("k")), "k", 6).select("s_suppkey")
+    rows = t.part.select("p_partkey", F.concat("p_name", "p_brand").alias("k"))
+    return sp.rare_subset(rows, rows.select("k"), "k", 2).select("p_partkey")
 
 
 @query("B15_unmapped_subset", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 OR o_orderstatus = 'P' OR o_totalprice > 400000")
