@@ -479,3 +479,23 @@ def test_model_outputs(spark):
     assert [(r["m"]["s"], r["m"]["n"]) for r in sorted(got)] == [(f"T{k}", 2.0 * k + 2) for k in range(25)]
     means = with_outputs(rows.withColumn("v", F.array("x", "x", F.lit(1.0))), lambda: lambda v: v.mean(axis=1), ["v"], "m", DoubleType(), shapes=[[3]]).collect()
     assert [r["m"] for r in sorted(means)] == pytest.approx([(2 * k + 1) / 3 for k in range(25)])
+
+
+def test_small_sides_only_are_sent(spark):
+    from labelloom.operators.sides import small
+
+    plan = lambda n: spark.range(1000).join(small(spark.range(50), n), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(50) and "broadcast" not in plan(49)
+
+
+def test_compared_answers_that_are_missing(spark):
+    kind = "struct<cell_type:string,confidence_label:string,decision:string,evidence_support_level:string,need_manual_review:string,novelty_flag:boolean,supporting_markers:array<string>>"
+    full = ("T cell", "High", None, "weak", " yes", None, ["CD3-E", "cd4"])
+    rows = spark.createDataFrame([(1, full, ("t-cell", "high ", None, None, "true", True, ["cd3 e"])), (2, None, full), (3, ("", "", "", "", "", False, []), ("", None, "", "", None, False, None))], f"k int, p {kind}, g {kind}")
+    got = {r["k"]: r for r in rows.select("k", *(c.alias(n) for n, c in evaluation.compared_answers("p", "g").items())).collect()}
+    one = got[1]
+    assert (one["cell_type_match_level"], one["cell_type_exact_match"], one["confidence_label_match"], one["decision_match"], one["evidence_support_level_match"]) == ("exact", True, True, None, False)
+    assert (one["need_manual_review_match"], one["novelty_flag_match"], one["supporting_markers_jaccard"], one["supporting_markers_shared"]) == (True, None, 0.5, 1)
+    assert got[2]["cell_type_match_level"] == "unavailable" and all(v is None for n, v in got[2].asDict().items() if n not in ("k", "cell_type_match_level"))
+    three = got[3].asDict()
+    assert three["cell_type_match_level"] == "unavailable" and three["cell_type_exact_match"] is None and three["novelty_flag_match"] is True and three["supporting_markers_jaccard"] is None and three["supporting_markers_shared"] == 0
