@@ -160,7 +160,7 @@ def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
     Rows are told apart by doc_id and that hash, so unrelated texts under one doc_id both stay, and rows without a
     doc_id are deduplicated like any others. Of rows alike in both, the smallest by all columns stays.
     """
-    key, id_, n = (fresh(docs, c) for c in ("_key", "_id", "_n"))
+    key, id_, n, of, with_ = (fresh(docs, c) for c in ("_key", "_id", "_n", "_of", "_with"))
     keyed = docs.withColumns({key: F.xxhash64("text"), id_: F.col("doc_id").cast("long")})
     rows = in_small_batches(keyed.select(F.col(id_).alias("doc_id"), F.col("text"), F.col(key).alias("key"))).mapInArrow(_keyed_fingerprints, "doc_id long, key long, fp long")
     rows = written(rows, "fingerprints")
@@ -169,8 +169,8 @@ def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
     firsts = firsts.join(roots, F.col("fp") == F.col("own")).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
     counts = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
     kept = firsts.alias("f").join(counts.alias("c"), F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.key") == F.col("c.key")))
-    kept = written(kept.select(F.col("f.doc_id").alias("_of"), F.col("f.key").alias("_with"), F.col("n").alias(n)), "kept")
-    found = keyed.join(small(kept, SENT), F.col(id_).eqNullSafe(F.col("_of")) & (F.col(key) == F.col("_with"))).drop("_of", "_with")
+    kept = written(kept.select(F.col("f.doc_id").alias(of), F.col("f.key").alias(with_), F.col("n").alias(n)), "kept")
+    found = keyed.join(small(kept, SENT), F.col(id_).eqNullSafe(F.col(of)) & (F.col(key) == F.col(with_))).drop(of, with_)
     names = [F.col(f"`{c}`") for c in docs.columns]
     if kept.where(F.col(n) > 1).isEmpty():
         return found.select(*names)

@@ -66,7 +66,7 @@ def a_pair(word):
 
 
 def two_rows(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string, own string, _key int, `a.b` int")
+    return spark.createDataFrame(rows, "doc_id long, text string, _of string, _key int, `a.b` int")
 
 
 def test_rows_without_an_id_link(spark):
