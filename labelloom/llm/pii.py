@@ -9,8 +9,9 @@ e stands in every document with t. Terms whose share reaches THRESHOLD, and that
 different texts, are spans too (kind `term`) wherever they occur: generalised by `sanitised`, as the base spans are.
 Copies of one text give no support of their own, so a repeated page doesn't make its words telling.
 
-Only documents with protected values give pairs. Pairs and counts are aggregated before they are shuffled; counts of
-terms are taken over all documents, for terms that could still pass.
+Only documents with protected values give pairs. Pairs and counts are aggregated before they are shuffled. A term that
+stands beside many other entities can't disclose nearly all of one, whatever its count: the documents in which it stands
+beside any entity are a lower bound of n(t). Terms that could still pass are counted over all documents.
 
 Nulls and blanks: a null text is an empty one and has no span; a null doc_id stays null. Repeated rows each come back.
 Shares that tie with THRESHOLD pass. An empty table gives an empty result. `personal_data` leaves further columns out,
@@ -38,6 +39,8 @@ from labelloom.llm.common import fresh, in_small_batches, written
 WINDOW, SUPPORT, THRESHOLD = 6, 2, 0.95
 #: Most hashed terms that are sent to every executor (8 bytes each); beyond that terms and documents are joined.
 SENT = 1 << 20
+#: The hash that stands for an entity of any kind.
+ANY = 0
 # The patterns, without what backtracking could retry in vain.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
@@ -129,7 +132,7 @@ def _beside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str,
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document and value (term null), and for each document, value and term."""
+    """One row for each document and entity (term null), and for each document, entity and term; ANY is every entity."""
     for batch in batches:
         rows = []
         for text in batch.column(0):
@@ -140,9 +143,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for entity, terms in _beside(text, spans):
                     found.setdefault(entity, set()).update(terms)
                 own = _hash(text)
-                for entity, terms in found.items():
-                    e = _hash(entity)
-                    rows += [(e, None, own), *((e, _hash(t), own) for t in terms)]
+                found = {_hash(entity): set(map(_hash, terms)) for entity, terms in found.items()}
+                found[ANY] = set().union(*found.values())
+                for e, terms in found.items():
+                    rows += [(e, None, own), *((e, t, own) for t in terms)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["value", "term", "own"])
 
 
@@ -171,15 +175,18 @@ def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUP
     texts = in_small_batches(docs.select("text"))
     by_text = texts.mapInArrow(_pairs, "value long, term long, own long").groupBy("value", "term", "own").agg(F.count("*").alias("n"))
     pairs = written(by_text.groupBy("value", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
-    values = pairs.where("term is null").select("value", F.col("n").alias("n_value"))
-    pairs = pairs.where("term is not null").join(values, "value")
+    values = pairs.where((F.col("value") != ANY) & F.col("term").isNull()).select("value", F.col("n").alias("n_value"))
+    least = pairs.where((F.col("value") == ANY) & F.col("term").isNotNull()).select("term", F.col("n").alias("least"))
+    log_n = float(np.log(max(2, docs.count())))
+    most = F.log("n") + (1 - threshold) * (log_n - F.log("n_value"))  # of the logarithm of n(t), for a share of threshold
+    pairs = pairs.where((F.col("value") != ANY) & F.col("term").isNotNull()).join(values, "value").join(least, "term").where(F.log("least") <= most + 1e-9)
+    pairs = written(pairs.select("value", "term", "n", "n_value"), "candidates")
     sought = written(pairs.select("term").distinct(), "sought")
     few = sought.limit(SENT + 1).count()
     if not few:
         return sought
     wanted = _sent(sought) if few <= SENT else None
     counts = texts.mapInArrow(_counted(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    log_n = float(np.log(max(2, docs.count())))
     share = (log_n + F.log("n") - F.log("n_term") - F.log("n_value")) / (log_n - F.log("n_value"))
     told = pairs.join(counts, "term").where((F.col("n_value") < np.exp(log_n)) & (share >= threshold - 1e-12))
     return written(told.select("term").distinct(), "disclosing")
