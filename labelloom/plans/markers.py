@@ -177,17 +177,20 @@ def h17(t):
     return t.part.select("p_partkey", sc.confidence_by_size(F.col("p_size") * 10, F.col("p_retailprice") / 500).alias("c"))
 
 
-@query("H16_feature_vector", "SELECT p_partkey, round(ln(p_size + 1), 6) AS log_n, (p_size < 20)::INT AS low, round(p_retailprice / 2000, 6) AS q FROM part")
+@query("H16_feature_vector", f"""WITH {POSITIVE}, s AS (SELECT label, count(*) AS n_in, count(*) / sum(count(*)) OVER () AS share FROM embeddings WHERE label IS NOT NULL GROUP BY label),
+neg AS (SELECT label, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY zr, gene) AS k FROM named WHERE zr <= 0 AND NOT regexp_matches(upper(gene), '^(MT-|RPL|RPS|HB|IGJ)')) WHERE k <= 5 GROUP BY label),
+rec AS (SELECT label, count(*) AS n, round((0.4 * least(count(*), 10) / 10.0 + 0.5 * least(avg(score) / 3.0, 1.0) + 0.1) * CASE WHEN any_value(n_in) >= 100 THEN 1.0 ELSE greatest(0.3, any_value(n_in) / 100.0) END, 4) AS q, any_value(n_in) AS n_in, any_value(share) AS share,
+  avg(round(lfc, 6)) FILTER (rank <= 5) AS lfc, avg(pct_in) FILTER (rank <= 5) AS pin, avg(pct_out) FILTER (rank <= 5) AS pout, avg(score) FILTER (rank <= 5) AS sc, avg(pct_in - pct_out) FILTER (rank <= 5) AS spec FROM ten JOIN s USING (label) GROUP BY label)
+SELECT rec.label, CAST(rec.n AS INT) AS n_positive_markers, CAST(coalesce(neg.n, 0) AS INT) AS n_negative_markers, n_in AS n_cells, round(ln(n_in + 1), 4) AS log_n_cells, round(lfc, 5) AS mean_logfc_top5, round(pin, 5) AS mean_pct_in_top5, round(pout, 5) AS mean_pct_out_top5, round(sc, 5) AS mean_score_top5,
+  round(spec, 3) AS specificity_score, round(least(q, 1.0), 3) AS marker_quality_score, (n_in < 100)::INT AS flag_low_cells, (q < 0.3)::INT AS flag_low_quality, 1 AS flag_ontology_unmapped, (share < 0.02)::INT AS flag_rare_label FROM rec LEFT JOIN neg USING (label)""")
 def h16(t):
-    return t.part.select("p_partkey", F.round(F.ln(F.col("p_size") + 1), 6).alias("log_n"), (F.col("p_size") < 20).cast("int").alias("low"), F.round(F.col("p_retailprice") / 2000, 6).alias("q"))
-
-
-@query("H16_feature_vector_of_records")
-def h16_records(t):
+    """The 14 features of each label's marker record, means and quality with a digit less, as engines round halves apart."""
     stats, shares = named(t)
-    rows = op.marker_records(ten(t), op.group_sizes(t.embeddings.where("label is not null").select(F.col("vec_id").alias("cell"), "label")))
+    cells_ = t.embeddings.where("label is not null")
+    rows = op.marker_records(ten(t), op.group_sizes(cells_.select(F.col("vec_id").alias("cell"), "label")))
     rows = rows.join(op.negative_markers(stats, shares, 5).groupBy("label").agg(F.collect_list("gene").alias("negative")), "label", "left")
-    share = F.col("n_in") / F.col("n")
-    rows = rows.crossJoin(F.broadcast(t.embeddings.where("label is not null").agg(F.count("*").alias("n"))))  # one row
-    rows = rows.withColumn("f", sc.hardness("n_in", "quality", F.lit(None).cast("string"), share))
-    return rows.select("label", *sc.feature_vector("markers", "negative", "n_in", "quality", "f"))
+    rows = rows.crossJoin(F.broadcast(cells_.agg(F.count("*").alias("n"))))  # one row
+    rows = rows.withColumn("f", sc.hardness("n_in", "quality", F.lit(None).cast("string"), F.col("n_in") / F.col("n")))
+    out = rows.select("label", *sc.feature_vector("markers", "negative", "n_in", "quality", "f"))
+    digits = {"specificity_score": 3, "marker_quality_score": 3} | {f"mean_{c}_top5": 5 for c in ("logfc", "pct_in", "pct_out", "score")}
+    return out.select(*(F.round(c, digits[c]).alias(c) if c in digits else c for c in out.columns))
