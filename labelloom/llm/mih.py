@@ -1,13 +1,17 @@
 """Nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-A rotation is learnt on at most `sample` vectors (a documented bound): principal directions, then alternating signs and
-orthogonal fits (iterative quantisation). Every vector's code is the signs of its rotated coordinates, 64 at most.
-Codes are cut into substrings of about 16 bits, each with a table from value to rows. To find all codes within Hamming
-radius R of a query it is enough, by the pigeonhole principle, to probe table k within R // m or one less; what that
-retrieves is checked against R and ranked by the inner product of the original vectors, in double precision. R is
-measured, not set: some queries are compared with all rows, and R covers COVER of their true neighbours' distances.
-Queries that get fewer rows than they should (isolated ones, where most lie in tight clusters) are searched again with
-R doubled, up to all bits.
+ROTATIONS rotations are learnt on at most `sample` vectors (a documented bound): principal directions, then alternating
+signs and orthogonal fits (iterative quantisation) from different beginnings. A vector's code is the signs of its
+rotated coordinates, up to 64 a rotation: with one rotation, neighbours and others overlap too much where vectors
+spread in all directions. Codes are cut into m substrings, each with a table. To find all codes within Hamming radius R
+of a query it is enough, by the pigeonhole principle, to probe table k within R // m or one less; what that retrieves is
+checked against R and ranked by the inner product of the original vectors, in double precision. Where R is small,
+substrings have 16 bits, and the values within reach are listed and looked up. Where R is large that would list most of
+the table, so there are two long substrings, whose values in the part are compared.
+
+R is measured, not set: some queries are compared with all rows, and R covers COVER of their true neighbours'
+distances. Queries that get fewer rows than they should (isolated ones, where most lie in tight clusters) are searched
+again with R doubled, up to all bits.
 
 Inner products grow with length, so codes are those of vectors completed to equal length by one more coordinate, and
 of queries completed by 0: the order of cosines is then that of inner products. Equal vectors are one class with its
@@ -27,7 +31,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache, reduce
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,9 @@ from pyspark.sql import functions as F
 from labelloom.llm.common import hash_sample, written
 from labelloom.llm.ego_join import numbers, usable, vectors
 
-NEAREST, EVERY, FLOATS, COVER, PROBES = 20, 20, 1 << 22, 0.985, 96
-SUBSTRING = 16
+NEAREST, EVERY, FLOATS, COVER, PROBES, ROTATIONS = 20, 20, 1 << 22, 0.985, 96, 4
+#: Most bits that may differ in a substring of 16 bits for its values to be listed.
+LISTED = 2
 
 
 def completed(x: np.ndarray, longest: float) -> np.ndarray:
@@ -47,86 +51,86 @@ def completed(x: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))])
 
 
-def learn(x: np.ndarray, turns: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and rotation whose signs quantise the rows of x well; up to 64 bits."""
+def learn(x: np.ndarray, turns: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Mean, and side by side the rotations whose signs quantise the rows of x well; up to 64 bits each."""
     mean = x.mean(0)
     bits = min(64, x.shape[1])
     main = np.linalg.eigh(np.cov((x - mean).T) if len(x) > 1 else np.eye(x.shape[1]))[1][:, ::-1][:, :bits]
-    z = (x - mean) @ main
-    turn = np.linalg.qr(np.random.default_rng(29).normal(size=(bits, bits)))[0]
-    for _ in range(turns):
-        u, _, w = np.linalg.svd(np.where(z @ turn >= 0, 1.0, -1.0).T @ z)
-        turn = (u @ w).T
-    return mean, main @ turn
+    z, out = (x - mean) @ main, []
+    for k in range(ROTATIONS):
+        turn = np.linalg.qr(np.random.default_rng(29 + k).normal(size=(bits, bits)))[0]
+        for _ in range(turns):
+            u, _, w = np.linalg.svd(np.where(z @ turn >= 0, 1.0, -1.0).T @ z)
+            turn = (u @ w).T
+        out.append(main @ turn)
+    return mean, np.concatenate(out, axis=1)
 
 
-def codes(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """The code of each row as a 64-bit number, first coordinate lowest."""
-    packed = np.packbits((x - mean) @ turn >= 0, axis=1, bitorder="little")
-    return np.pad(packed, ((0, 0), (0, 8 - packed.shape[1]))).copy().view(np.uint64).ravel()
+def packed(signs: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words; each half of the bits fills half of the words, zeros behind it."""
+    cut = -(-signs.shape[1] // 2)
+    words = -(-cut // 64)
+    halves = [np.pad(h, ((0, 0), (0, 64 * words - h.shape[1]))) for h in (signs[:, :cut], signs[:, cut:])]
+    return np.concatenate([np.packbits(h, axis=1, bitorder="little").view(np.uint64) for h in halves], axis=1)
 
 
-def substrings(bits: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each substring: as many as SUBSTRING bits each need, of about equal lengths."""
-    m = max(1, -(-bits // SUBSTRING))
-    cuts = [round(bits * k / m) for k in range(m + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def codes(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """The code of each row, as `packed` lays it out."""
+    return packed((x - mean) @ turn >= 0)
 
 
 @cache
-def ball(bits: int, radius: int) -> np.ndarray:
-    """All numbers of so many bits with at most radius ones."""
-    x = np.arange(1 << bits, dtype=np.uint16 if bits <= 16 else np.uint32)
+def ball(radius: int) -> np.ndarray:
+    """All numbers of 16 bits with at most radius ones."""
+    x = np.arange(1 << 16, dtype=np.uint16)
     return x[np.bitwise_count(x) <= radius]
 
 
 class Index:
-    """Tables of one part: for each substring its values in the part, the rows in their order, and where each begins."""
-
-    def __init__(self, code: np.ndarray, bits: int) -> None:
-        self.code, self.parts, self.probed = code, substrings(bits), 0
-        self.order, self.values, self.starts, self.place = [], [], [], []
-        for k, (_, n) in enumerate(self.parts):
-            own = self._value(code, k)
-            order = np.argsort(own, kind="stable")
-            values, starts = np.unique(own[order], return_index=True)
-            place = np.full(1 << n, -1, np.int32)
-            place[values] = np.arange(len(values))
-            self.order.append(order)
-            self.values.append(values)
-            self.starts.append(np.append(starts, len(code)))
-            self.place.append(place)
-
-    def _value(self, code: np.ndarray, k: int) -> np.ndarray:
-        at, n = self.parts[k]
-        return (code >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.uint16)
-
-    def within(self, query: np.uint64, radius: int) -> np.ndarray:
-        """Rows whose code differs from query's in at most radius bits.
-
-        A table is probed at each value within its share of the radius: those are listed if they are few, and else
-        picked from the values that the part has.
-        """
-        m = len(self.parts)
-        seen = np.zeros(len(self.code), bool)
-        for k, (_, n) in enumerate(self.parts):
-            reach = min(n, radius // m if k <= radius % m else radius // m - 1)
-            if reach < 0:
-                continue
-            values, own = self.values[k], self._value(query, k)
-            if 4 * sum(comb(n, r) for r in range(reach + 1)) < len(values):
-                at = self.place[k][ball(n, reach) ^ own]
-                at = at[at >= 0]
-            else:
-                at = np.flatnonzero(np.bitwise_count(values ^ own) <= reach)
-            first = self.starts[k][at]
-            if len(values) < len(self.code):
-                size = self.starts[k][at + 1] - first
-                first = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-            seen[self.order[k][first]] = True
+    """Tables of one part for searches within a radius: of 16-bit substrings, if their values can be listed, or of halves."""
+
+    def __init__(self, code: np.ndarray, bits: int, radius: int) -> None:
+        self.radius, self.rows, self.probed = radius, len(code), 0
+        half = code.shape[1] // 2
+        self.words = [[np.ascontiguousarray(code[:, k]) for k in ks] for ks in (range(half), range(half, 2 * half))]
+        cut = -(-bits // 2)
+        self.short = [(h, k) for h, n in enumerate((cut, bits - cut)) for k in range(-(-n // 16))]
+        self.listed = radius // len(self.short) <= LISTED
+        if self.listed:
+            self.tables = []
+            for h, k in self.short:
+                own = self._short(code[:, h * half + k // 4], k)
+                order = np.argsort(own, kind="stable")
+                self.tables.append((order, np.searchsorted(own[order], np.arange((1 << 16) + 1))))
+
+    @staticmethod
+    def _short(word: np.ndarray, k: int) -> np.ndarray:
+        return (word >> np.uint64(16 * (k % 4)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+    def _far(self, h: int, query: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Bits of half h in which rows differ from query."""
+        first = h * len(self.words[0])
+        return sum(np.bitwise_count(w[rows] ^ query[first + k]).astype(np.uint16) for k, w in enumerate(self.words[h]))
+
+    def within(self, query: np.ndarray) -> np.ndarray:
+        """Rows whose code differs from query's in at most radius bits."""
+        m = len(self.short) if self.listed else 2
+        reach = [self.radius // m - (k > self.radius % m) for k in range(m)]
+        if not self.listed:
+            far = [self._far(h, query) for h in (0, 1)]
+            rows = np.flatnonzero((far[0].astype(np.int64) <= reach[0]) | (far[1].astype(np.int64) <= reach[1]))
+            self.probed += len(rows)
+            return rows[far[0][rows] + far[1][rows] <= self.radius]
+        seen = np.zeros(self.rows, bool)
+        half = len(self.words[0])
+        for (h, k), (order, starts), r in zip(self.short, self.tables, reach, strict=True):
+            if r >= 0:
+                near = (ball(r) ^ self._short(query[h * half + k // 4], k)).astype(np.int64)
+                first, size = starts[near], starts[near + 1] - starts[near]
+                seen[order[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
         rows = np.flatnonzero(seen)
         self.probed += len(rows)
-        return rows[np.bitwise_count(self.code[rows] ^ query) <= radius]
+        return rows[self._far(0, query, rows) + self._far(1, query, rows) <= self.radius]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -159,13 +163,13 @@ def _searched(mean: np.ndarray, turn: np.ndarray, longest: float, radius: int, m
                     continue
                 if table is None:
                     v, ids, low = (np.concatenate(x) for x in zip(*held, strict=True))
-                    table, held = Index(codes(completed(v, longest), mean, turn), turn.shape[1]), []
+                    table, held = Index(codes(completed(v, longest), mean, turn), turn.shape[1], radius), []
                 q = vectors(asking.column("v"))
                 top = np.abs(q).max(axis=1, keepdims=True)
                 norm = np.sqrt((q / top * (q / top)).sum(1, keepdims=True)) * top
                 asked = codes(np.column_stack([q / norm, np.zeros(len(q))]), mean, turn)
                 for k, name in enumerate(asking.column("class").to_numpy()):
-                    got = table.within(asked[k], radius)
+                    got = table.within(asked[k])
                     scores = v[got] @ q[k]
                     at = _best(scores, low[got], most)
                     out.append((np.full(len(at), name), ids[got][at], scores[at], low[got][at]))
@@ -189,7 +193,7 @@ def _true_distances(mean: np.ndarray, turn: np.ndarray, longest: float, names: n
             for k, name in enumerate(names):
                 own = np.where(ids == name, -np.inf, scores[:, k])
                 at = _best(own, low, most)
-                out.append((np.full(len(at), name), own[at], np.bitwise_count(code[at] ^ asked[k]).astype(np.int64)))
+                out.append((np.full(len(at), name), own[at], np.bitwise_count(code[at] ^ asked[k]).sum(1, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query", "score", "far"])
 
     return compare
@@ -237,7 +241,7 @@ def _nearest_classes(classes: DataFrame, queries: DataFrame, width: int, need: i
     return reduce(DataFrame.unionByName, done)
 
 
-def nearest(table: DataFrame, every: int = EVERY, most: int = NEAREST, sample: int = 20_000) -> DataFrame:
+def nearest(table: DataFrame, every: int = EVERY, most: int = NEAREST, sample: int = 10_000) -> DataFrame:
     """query_id, rank, vec_id and score: of each query (vec_id divisible by every) the `most` nearest rows found."""
     spark, keep = table.sparkSession, most + 1
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), numbers(table, "embedding").alias("v")).where(usable("v"))

@@ -172,15 +172,20 @@ def test_isolated_queries_get_all_their_rows(spark, monkeypatch):
     assert sum(len({j for _, j in got[q]} & {j for j, _ in w}) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
-@pytest.mark.parametrize("bits", [1, 8, 21, 64])
+@pytest.mark.parametrize("bits", [1, 8, 21, 64, 128, 130, 256])
 def test_probing_finds_all_within_the_radius(bits):
-    rng = random.Random(5)
-    code = np.array([rng.getrandbits(bits) for _ in range(2000)], np.uint64)
-    index = mih.Index(code, bits)
-    for radius in (0, 3, 7, 8, 15, 20, 27, 33, 64):
-        q = np.uint64(rng.getrandbits(bits))
-        want = [k for k in range(2000) if (int(code[k]) ^ int(q)).bit_count() <= radius]
-        assert index.within(q, radius).tolist() == want
+    rng = np.random.default_rng(5)
+    signs = rng.random((2000, bits)) < 0.5
+    signs[1000:] = signs[:1000] ^ (rng.random((1000, bits)) < 0.05)
+    code = mih.packed(signs)
+    for radius in (0, 1, 3, 7, 8, 15, 20, 33, 47, 64, 110, 256):
+        index = mih.Index(code, bits, radius)
+        assert index.listed == (radius // len(index.short) <= mih.LISTED)
+        for q in (0, 1500):
+            want = np.flatnonzero((signs ^ signs[q]).sum(1) <= radius).tolist()
+            assert index.within(code[q]).tolist() == want
+        if index.listed and bits == 256:
+            assert index.probed < 400
 
 
 def test_each_length_is_searched(spark):
