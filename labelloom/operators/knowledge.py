@@ -59,25 +59,26 @@ def _genes(df: DataFrame, *carried: str | Column) -> DataFrame:
 SENT = 1_000_000
 
 
-def overlaps(queries: DataFrame, entries: DataFrame, query: str = "query_id", entry: str = "entry_id", carried: tuple[str, ...] = ()) -> DataFrame:
-    """query, entry, shared and Jaccard (and carried columns of queries) of every pair with a gene in common.
+def overlaps(queries: DataFrame, entries: DataFrame, query: str = "query_id", entry: str = "entry_id") -> DataFrame:
+    """query, entry, shared and Jaccard of every pair with a gene in common, by an equi-join on the genes.
 
     queries and entries: id and array genes. Genes count as sets, whatever the case. Genes are joined, not ids, so
     nothing is compared that shares nothing; sizes travel with the genes. A small knowledge base is sent: the genes of
     a query then stay in its task, and its pairs are counted there, before they are shuffled.
     """
-    q = _genes(queries, query, *carried).withColumnRenamed("_size", "_nq")
+    q = _genes(queries, query).withColumnRenamed("_size", "_nq")
     e = _genes(entries, entry).withColumnRenamed("_size", "_ne")
-    met = q.join(small(e, SENT), "gene").groupBy(query, *carried, "_nq", entry, "_ne").agg(F.count("*").alias("shared"))
-    return met.select(query, *carried, entry, "shared", (F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared"))).alias("jaccard"))
+    met = q.join(small(e, SENT), "gene").groupBy(query, "_nq", entry, "_ne").agg(F.count("*").alias("shared"))
+    return met.select(query, entry, "shared", (F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared"))).alias("jaccard"))
 
 
 def retrieved(queries: DataFrame, entries: DataFrame, k: int = 5, bonus: Column | None = None) -> DataFrame:
     """The k best entries of each query (query_id, genes, tissue) by Jaccard and a bonus where the tissues share text.
 
-    A blank tissue of an entry is part of any tissue and gets the bonus too.
+    A blank tissue of an entry is part of any tissue and gets the bonus too. Tissues are joined to pairs, which are
+    partitioned by query for the ranking anyway.
     """
-    met = overlaps(queries.withColumn("_qt", folded("tissue")), entries, carried=("_qt",))
+    met = overlaps(queries, entries).join(queries.select("query_id", folded("tissue").alias("_qt")), "query_id")
     met = met.join(small(entries.select("entry_id", "label", folded("tissue").alias("_et"))), "entry_id")
     score = F.col("jaccard") + (bonus if bonus is not None else F.when(F.col("_qt").contains(F.col("_et")) | F.col("_et").contains(F.col("_qt")), 0.2).otherwise(0.0))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id"))
@@ -111,12 +112,13 @@ def retrieved_labels(queries: DataFrame, entries: DataFrame, k: int = 5, scoped:
     put together once for each species and tissue asked for, as distinct rows, not as one list.
     """
     queries, entries = _scopes(queries, entries, scoped)
-    genes = entries.select("scope", "label", F.explode("genes").alias("g")).select("scope", "label", F.lower("g").alias("gene")).distinct()
-    sizes = genes.groupBy("scope", "label").agg(F.count("*").alias("_ne"))
-    best = entries.groupBy("scope", "label").agg(F.max_by("entry_id", F.struct("weight", "entry_id")).alias("entry_id"))
+    entries = entries.withColumn("_label", F.xxhash64("scope", "label"))  # names a scope's label in one number
+    genes = entries.select("scope", "_label", F.explode("genes").alias("g")).select("scope", "_label", F.lower("g").alias("gene")).distinct()
+    sizes = genes.groupBy("_label").agg(F.count("*").alias("_ne"))
+    best = entries.groupBy("_label", "label").agg(F.max_by("entry_id", F.struct("weight", "entry_id")).alias("entry_id"))
     q = _genes(queries, "query_id", "scope").withColumnRenamed("_size", "_nq")
-    met = q.join(small(genes, SENT), ["scope", "gene"]).groupBy("query_id", "scope", "_nq", "label").agg(F.count("*").alias("shared"))
-    met = met.join(small(sizes.join(best, ["scope", "label"])), ["scope", "label"])
+    met = q.join(small(genes, SENT), ["scope", "gene"]).groupBy("query_id", "_nq", "_label").agg(F.count("*").alias("shared"))
+    met = met.join(small(sizes.join(best, "_label")), "_label")
     met = met.withColumn("score", F.round(F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared")), 4))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "label"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "label", "shared", "score", "entry_id", "rank")

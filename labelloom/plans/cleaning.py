@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from labelloom.functions import labels as lb
 from labelloom.functions import text as tx
 from labelloom.operators import cleaning as op
-from labelloom.operators.sides import small
 from labelloom.plans.registry import Tables, query, values
 
 #: raw_label, normalized_label, id, parent_label, notes, ord: a later row with the same key wins.
@@ -42,7 +41,7 @@ SELECT label, CASE WHEN coalesce(trim(label), '') = '' THEN 'empty' WHEN regexp_
 def h7(t):
     extra = values(t.spark, [("",), (None,), ("Unknown cell",), ("doublet T",), ("Another one",)], "label string")
     rows = t.orders.select(F.col("o_orderpriority").alias("label")).distinct().union(t.customer.select("c_mktsegment").distinct()).union(extra)
-    rows = rows.withColumn("key", tx.label_text("label")).join(small(op.alias_index(aliases(t))), "key", "left")
+    rows = rows.withColumn("key", tx.label_text("label")).join(op.alias_index(aliases(t)), "key", "left")
     return rows.select("label", lb.label_status("label", "id", F.col("normalized_label").isNotNull(), "notes").alias("status"))
 
 
@@ -79,7 +78,7 @@ def b12(t):
 @query("B19_target_label", f"""WITH {ALIAS_SQL} SELECT o_orderkey, coalesce(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN normalized_label END), ''), nullif(trim(parent_label), ''), nullif(trim(o_orderpriority), '')) AS target
 FROM orders LEFT JOIN al ON lower(o_orderpriority) = key""")
 def b19(t):
-    rows = t.orders.select("o_orderkey", "o_orderpriority", tx.label_text("o_orderpriority").alias("key")).join(small(op.alias_index(aliases(t))), "key", "left")
+    rows = t.orders.select("o_orderkey", "o_orderpriority", tx.label_text("o_orderpriority").alias("key")).join(op.alias_index(aliases(t)), "key", "left")
     return rows.select("o_orderkey", op.target_label("ontology", F.when(F.col("o_orderkey") % 3 == 0, F.col("normalized_label")), "parent_label", "o_orderpriority").alias("target"))
 
 
@@ -123,8 +122,8 @@ def c11(t):
 
 @query("C16_dimension_lookup", "SELECT s_suppkey, coalesce(r_name, 'unknown') AS scope FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_name <> 'CHINA' LEFT JOIN region ON n_regionkey = r_regionkey")
 def c16(t):
-    scope = t.nation.where("n_name <> 'CHINA'").join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
-    return t.supplier.join(small(scope), "s_nationkey", "left").select("s_suppkey", F.coalesce("r_name", F.lit("unknown")).alias("scope"))
+    scope = t.nation.where("n_name <> 'CHINA'").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
+    return t.supplier.join(scope, "s_nationkey", "left").select("s_suppkey", F.coalesce("r_name", F.lit("unknown")).alias("scope"))
 
 
 @query("D3_frequency_table", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.text import token_count
 from labelloom.operators import curation as op
-from labelloom.operators.sides import small
 from labelloom.plans.registry import Tables, query
 
 CFG = op.Curation(
@@ -19,7 +18,7 @@ TARGETS = ["F", "O", "P"]
 def obs(t: Tables) -> DataFrame:
     """One row a line item, with the columns of an observation."""
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    places = t.customer.select("c_custkey", "c_nationkey").join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    places = t.customer.select("c_custkey", "c_nationkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     parts = t.part.select("p_partkey", "p_type")
     rows = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(places, F.col("o_custkey") == F.col("c_custkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
@@ -55,8 +54,8 @@ def stats(t: Tables) -> DataFrame:
 
 def titled(t: Tables) -> DataFrame:
     """stats with title and collection from the dimension tables, by a left join."""
-    names = t.nation.join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("dataset_id"), F.col("n_name").alias("title"), F.col("r_name").alias("collection"))
-    return stats(t).join(small(names), "dataset_id", "left").withColumns({"n_tissues": F.size("tissues"), "n_diseases": F.size("diseases")})
+    names = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("dataset_id"), F.col("n_name").alias("title"), F.col("r_name").alias("collection"))
+    return stats(t).join(names, "dataset_id", "left").withColumns({"n_tissues": F.size("tissues"), "n_diseases": F.size("diseases")})
 
 
 @query("A1_pushed_scan", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 30 AND l_linestatus = 'F'")

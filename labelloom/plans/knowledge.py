@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from labelloom.functions import scoring as sc
 from labelloom.operators import hierarchy as hi
 from labelloom.operators import knowledge as op
-from labelloom.operators.sides import small
 from labelloom.plans.registry import Tables, query
 
 
@@ -125,6 +124,6 @@ def h21(t):
 
 @query("C13_region_closure", "SELECT n_name AS label, r_name AS ancestor, 1 AS level FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'world', 2 FROM nation UNION ALL SELECT r_name, 'world', 1 FROM region")
 def c13r(t):
-    up = t.nation.join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    up = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     e = up.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")).union(t.region.select("r_name", F.lit("world")))
     return hi.ancestors(e, 3)

@@ -14,7 +14,6 @@ from labelloom.operators import evaluation as ev
 from labelloom.operators import markers as mk
 from labelloom.operators.curation import best_per_key
 from labelloom.operators.inference import with_outputs
-from labelloom.operators.sides import small
 from labelloom.plans.evaluation import JUDGED, judged
 from labelloom.plans.knowledge import ENTRIES, entries
 from labelloom.plans.markers import CELLS, NAMED, RANKS, SHARES, named
@@ -23,7 +22,7 @@ from labelloom.plans.registry import Tables, query
 
 @query("A2_dimension_scan", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def a2(t):
-    return t.nation.join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
 @query("A18_missing_outputs", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id < 10)")
