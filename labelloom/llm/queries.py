@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelloom.llm import ego_join, html_extract, mih, mixing, packing, pii, quality, sharding, simhash, toxicity
+from labelloom.llm import ego_join, html_extract, mih, mixing, packing, pii, quality, repeats, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +54,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return repeats.with_digests(repeats.repetitions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), repeats.planted("text", "doc_id").alias("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_mixing, op3_pii, op4_quality, op5_packing, op6_neighbours, op7_html, op8_sharding, op9_embedding_dedup, op10_simhash)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_mixing, op3_pii, op4_quality, op5_packing, op6_neighbours, op7_html, op8_sharding, op9_embedding_dedup, op10_simhash,
+        op11_periodic_runs,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_embedding_dedup": """
