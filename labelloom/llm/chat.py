@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from labelloom.llm import turns
+from labelloom.llm import packing, turns
 from labelloom.llm.common import in_small_batches
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -67,6 +67,50 @@ def tokenizer(vocabulary: str | None = None):
     return full
 
 
+@cache
+def _lengths(vocabulary: str | None, ranks: str | None) -> np.ndarray:
+    """Bytes of each token, by id; marks have those of their strings."""
+    fast, full = packing.tokenizers(vocabulary, ranks)[2], tokenizer(vocabulary)
+    out = np.zeros(full.get_vocab_size(), np.int64)
+    for k in range(fast.n_vocab):
+        try:
+            out[k] = len(fast.decode_single_token_bytes(k))
+        except KeyError:
+            continue  # an id without a token
+    for x in (START, SEP, END):
+        out[full.token_to_id(x)] = len(x)
+    return out
+
+
+def encoded(text: str, spans: list[tuple[str, int, int]], vocabulary: str | None = None, ranks: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, starts and ends (in code points) of the tokens of a rendered text.
+
+    Texts that both tokenizer libraries surely cut alike go through the faster one, a role or text at a time, which is the
+    same as encoding the whole, as marks keep them apart; its offsets follow from the bytes of its tokens.
+    """
+    full = tokenizer(vocabulary)
+    if packing.RUN.search(text) or not packing.PLAIN.fullmatch(text):
+        found = full.encode(text, add_special_tokens=False)
+        starts, ends = np.asarray(found.offsets, np.int32).reshape(-1, 2).T
+        return np.asarray(found.ids, np.int32), starts, ends
+    fast = packing.tokenizers(vocabulary, ranks)[2]
+    start, sep, end = (full.token_to_id(x) for x in (START, SEP, END))
+    ids: list[int] = []
+    for role, a, b in spans:
+        ids.append(start)
+        ids += fast.encode_ordinary(escaped(role))
+        ids.append(sep)
+        ids += fast.encode_ordinary(text[a:b])
+        ids.append(end)
+    out = np.asarray(ids, np.int32)
+    ends = np.cumsum(_lengths(vocabulary, ranks)[out])
+    starts = ends - _lengths(vocabulary, ranks)[out]
+    if not text.isascii():
+        begun = np.r_[0, np.cumsum(np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80)]  # code points begun before each byte
+        starts, ends = begun[starts + 1] - 1, begun[ends]
+    return out, starts.astype(np.int32), ends.astype(np.int32)
+
+
 def masked(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Which tokens lie in one of spans (begin, end), both in order: from the first that ends behind a begin to the last that starts before its end."""
     first = np.searchsorted(ends, spans[:, 0], "right")
@@ -90,7 +134,7 @@ def covered(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -
 FORMATTED = "text string, turns array<struct<role:string,start:int,end:int>>, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
 
 
-def _formatted(schema: StructType, roles: tuple[str, ...], vocabulary: str | None):
+def _formatted(schema: StructType, roles: tuple[str, ...], vocabulary: str | None, ranks: str | None):
     out = to_arrow_schema(schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +142,9 @@ def _formatted(schema: StructType, roles: tuple[str, ...], vocabulary: str | Non
             first, size, rows = 0, 0, []
             for k in range(batch.num_rows):
                 text, spans = rendered([(t["role"], t["text"]) for t in batch.column(2)[k].as_py()])
-                found = tokenizer(vocabulary).encode(text, add_special_tokens=False)
-                starts, ends = np.asarray(found.offsets, np.int32).reshape(-1, 2).T
+                ids, starts, ends = encoded(text, spans, vocabulary, ranks)
                 loss = masked(starts, ends, np.asarray([(a, b) for role, a, b in spans if role in roles and a < b], np.int64).reshape(-1, 2))
-                rows.append((text, [{"role": role, "start": a, "end": b} for role, a, b in spans], found.ids, starts, ends, loss))
+                rows.append((text, [{"role": role, "start": a, "end": b} for role, a, b in spans], ids, starts, ends, loss))
                 size += len(text)
                 if size >= AT_ONCE or k == batch.num_rows - 1:
                     columns = [*batch.slice(first, len(rows)).columns[:2], *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(out)[2:], strict=True))]
@@ -115,15 +158,15 @@ def _schema(df: DataFrame, ddl: str) -> StructType:
     return StructType(df.select("conv_id", "stretch").schema.fields + df.sparkSession.createDataFrame([], ddl).schema.fields)
 
 
-def formatted(conversations: DataFrame, roles: tuple[str, ...] = LOSS, vocabulary: str | None = None, most_rows: int = turns.MOST_ROWS, most_bytes: int = turns.MOST_BYTES) -> tuple[DataFrame, DataFrame | None]:
+def formatted(conversations: DataFrame, roles: tuple[str, ...] = LOSS, vocabulary: str | None = None, ranks: str | None = None, most_rows: int = turns.MOST_ROWS, most_bytes: int = turns.MOST_BYTES) -> tuple[DataFrame, DataFrame | None]:
     """Of each conversation: conv_id, stretch, text, turns (role, start and end of its text), and of each token its id,
-    start, end and whether it counts for the loss, as texts of `roles` do. First those that are one row each, then the
+    start, end and whether it counts for the loss, as texts of `roles` do (vocabulary, ranks: files of the tokenizer). First those that are one row each, then the
     stretches of longer ones, None if there are none."""
     whole, long = turns.split(turns.plain(conversations, ""), most_rows, most_bytes)
 
     def each(rows: DataFrame) -> DataFrame:
         schema = _schema(rows, FORMATTED)
-        return in_small_batches(rows).mapInArrow(_formatted(schema, roles, vocabulary), schema)
+        return in_small_batches(rows).mapInArrow(_formatted(schema, roles, vocabulary, ranks), schema)
 
     return each(turns.gathered(whole)), None if long is None else each(turns.cut(long))
 

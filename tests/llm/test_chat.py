@@ -27,7 +27,8 @@ def test_escape_is_reversible(text):
 def test_mask_covers_assistant_texts(rows):
     text, spans = chat.rendered(rows)
     found = chat.tokenizer().encode(text, add_special_tokens=False)
-    starts, ends = np.asarray(found.offsets, np.int32).reshape(-1, 2).T
+    ids, starts, ends = chat.encoded(text, spans)
+    assert ids.tolist() == found.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == found.offsets
     own = [(a, b) for role, a, b in spans if role == "assistant" and a < b]
     loss = chat.masked(starts, ends, np.asarray(own, np.int64).reshape(-1, 2))
     assert loss.tolist() == [any(a < e and s < b for a, b in own) for s, e in found.offsets]
@@ -37,6 +38,14 @@ def test_mask_covers_assistant_texts(rows):
     assert all(s >= 0 for s in starts) and (np.diff(starts) >= 0).all() and (np.diff(ends) >= 0).all()
 
 
+@pytest.mark.parametrize("body", ["plain", "élan Über ﬁ ß", "a\u00a0b €5 don't\n\n  x", "漢字 \U0001f600", "q" * 3000, "", " ", "\n\n", "1,234.5 — ok"])
+def test_both_tokenizers_have_the_same_tokens_and_offsets(body):
+    text, spans = chat.rendered([("user", body), ("assistant", body + body), ("tool é", "x")])
+    found = chat.tokenizer().encode(text, add_special_tokens=False)
+    ids, starts, ends = chat.encoded(text, spans)
+    assert ids.tolist() == found.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == found.offsets
+
+
 def plain(rows):
     """Rows of the query by conversation, of (conv_id, turn, role, text)."""
     out, sha = {}, lambda s: hashlib.sha256(s.encode()).hexdigest()
