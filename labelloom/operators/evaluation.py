@@ -92,18 +92,6 @@ def delta(base: DataFrame, variant: DataFrame, *metrics: str) -> DataFrame:
     return both.select(F.explode(items).alias("x")).select("x.*", F.round(F.col("x.variant") - F.col("x.base"), 4).alias("delta"))
 
 
-def nearest_percentiles(df: DataFrame, group: str, value: str, shares=(0.5, 0.95, 0.99)) -> DataFrame:
-    """For each group the values at positions floor(n q) of the sorted values, from 0, and the largest.
-
-    Equal values are counted first, so the window of a group holds its distinct values, not its rows.
-    """
-    w = Window.partitionBy(group)
-    by = df.groupBy(group, value).agg(F.count("*").alias("_same"))
-    by = by.withColumn("_end", F.sum("_same").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_same").over(w))
-    at = lambda q: F.min(F.when(F.col("_end") > F.floor(F.col("_n") * q), F.col(value)))
-    return by.groupBy(group).agg(F.sum("_same").alias("n"), *(at(q).alias(f"p{round(q * 100)}") for q in shares), F.max(value).alias("largest"))
-
-
 def record_metrics(pred: str, gold: str, pred_id: str, gold_id: str) -> dict[str, Column]:
     """Matches of one record; null where the true value is missing."""
     has, has_id = F.coalesce(F.col(gold), F.lit("")) != "", F.coalesce(F.col(gold_id), F.lit("")) != ""

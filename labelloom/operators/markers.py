@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labelloom.functions.scoring import listed_out, marker_quality, marker_score, negative_reason, positive_effect
 from labelloom.functions.tails import normal_tail, student_tail
 from labelloom.functions.text import finite
+from labelloom.operators.order import least_of_each, placed
 
 
 def detected_genes(cells: DataFrame, least: int = 10) -> DataFrame:
@@ -27,9 +28,14 @@ def depth_normalised(cells: DataFrame, total: float = 1e4, digits: int | None =
 
 
 def downsampled(cells: DataFrame, label: str, key: str, most: int = 2_000, seed: int = 42) -> DataFrame:
-    """At most `most` rows a label, those with the smallest md5 of seed and key."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    return cells.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).drop("_nth")
+    """At most `most` rows a label (null is one), those with the smallest md5 of seed and key; ties by all columns.
+
+    A label of any size is spread over tasks: see order.least_of_each. md5 values are uniform, and their first eight
+    digits are the unit.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return least_of_each(cells, label, F.struct(digest.alias("digest"), F.col(key), F.xxhash64(*(f"`{c}`" for c in cells.columns)).alias("all")), unit, most)
 
 
 def group_sizes(cells: DataFrame) -> DataFrame:
@@ -53,41 +59,40 @@ def welch(cells: DataFrame) -> DataFrame:
     One aggregation by label and gene; the rest is the gene's total less the label's sums.
     """
     by = cells.groupBy("label", "gene").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    w = Window.partitionBy("gene")
-    rest = {k: F.sum(k).over(w) - F.col(k) for k in ("n", "s", "q")}
-    by = by.withColumns({f"{k}_out": v for k, v in rest.items()})
-    mean_in, mean_out = F.col("s") / F.col("n"), F.try_divide(F.col("s_out"), F.col("n_out"))
+    return with_welch(by, ["gene"]).select("label", "gene", F.col("n").alias("n_in"), "n_out", "mean_in", "mean_out", "t", "df")
+
+
+def with_welch(by: DataFrame, gene: list[str]) -> DataFrame:
+    """by (label, the columns in gene, n, s and q: count, sum and sum of squares) with n_out, mean_in, mean_out, t and df."""
+    w = Window.partitionBy(*gene)
+    by = by.withColumns({f"{k}_out": F.sum(k).over(w) - F.col(k) for k in ("n", "s", "q")})
     var = lambda n, s, q: F.greatest(F.lit(0.0), F.try_divide(q - F.try_divide(s * s, n), n - 1))
     a = var(F.col("n"), F.col("s"), F.col("q")) / F.col("n")
     b = F.try_divide(var(F.col("n_out"), F.col("s_out"), F.col("q_out")), F.col("n_out"))
-    by = by.select("label", "gene", F.col("n").alias("n_in"), "n_out", mean_in.alias("mean_in"), mean_out.alias("mean_out"), a.alias("a"), b.alias("b"))
-    t = F.try_divide(F.col("mean_in") - F.col("mean_out"), F.sqrt(F.col("a") + F.col("b")))
-    df = F.try_divide(F.pow(F.col("a") + F.col("b"), 2), F.col("a") * F.col("a") / (F.col("n_in") - 1) + F.try_divide(F.col("b") * F.col("b"), F.col("n_out") - 1))
-    return by.withColumn("t", t).withColumn("df", df).drop("a", "b")
+    by = by.withColumns({"mean_in": F.col("s") / F.col("n"), "mean_out": F.try_divide(F.col("s_out"), F.col("n_out")), "_a": a, "_b": b})
+    t = F.try_divide(F.col("mean_in") - F.col("mean_out"), F.sqrt(F.col("_a") + F.col("_b")))
+    df = F.try_divide(F.pow(F.col("_a") + F.col("_b"), 2), F.try_divide(F.col("_a") * F.col("_a"), F.col("n") - 1) + F.try_divide(F.col("_b") * F.col("_b"), F.col("n_out") - 1))
+    return by.withColumn("t", t).withColumn("df", df).drop("_a", "_b", "s_out", "q_out")
 
 
 def rank_sums(cells: DataFrame, tie_correction: bool = False, ranges: int = 64) -> DataFrame:
     """label, gene, rank_sum and z of the label's cells against the rest (normal approximation). Zeros must be there.
 
-    Equal values are counted before they are ranked, so a hot value (zero) is one row. A gene's values are cut into
-    about `ranges` ranges at approximate percentiles; counts of ranges give the ranks at which each begins, and only
-    the values of one range are ranked in one window, so a gene of continuous values is spread over tasks.
+    Equal values are counted before they are ranked, so a hot value (zero) is one row, and values are ranked by ranges, so a
+    gene of continuous values is spread over tasks. sparse.statistics has the same for rows without zeros.
     """
-    by = cells.groupBy("gene", "value", "label").agg(F.count("*").alias("n"))
-    values = by.groupBy("gene", "value").agg(F.sum("n").alias("same"))
-    shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
-    cuts = values.groupBy("gene").agg(F.array_distinct(F.percentile_approx("value", shares, F.lit(10 * ranges))).alias("_cuts"))
-    values = values.join(cuts, "gene").withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("value"))), F.lit(0))).drop("_cuts")
-    before = lambda n, *keys: F.coalesce(F.sum(n).over(Window.partitionBy("gene", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = values.groupBy("gene", "_range").agg(F.sum("same").alias("_all")).select("gene", "_range", before("_all", "_range").alias("_start"))
-    values = values.withColumn("_before", before("same", "_range", "value")).join(starts, ["gene", "_range"])
-    values = values.select("gene", "value", "same", (F.col("_start") + F.col("_before") + (F.col("same") + 1) / 2.0).alias("rank"))
-    sums = by.join(values, ["gene", "value"]).groupBy("label", "gene").agg(F.sum("n").alias("n1"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
-    total = values.groupBy("gene").agg(F.sum("same").alias("n"), F.sum(F.pow("same", F.lit(3.0)) - F.col("same")).alias("ties"))
-    out = sums.join(total, "gene")
+    return ranked_counts(cells.groupBy("gene", "value", "label").agg(F.count("*").alias("n")), ["gene"], tie_correction, ranges).select("label", "gene", "n1", "n", "rank_sum", "z")
+
+
+def ranked_counts(by: DataFrame, gene: list[str], tie_correction: bool = False, ranges: int = 64) -> DataFrame:
+    """label, the columns in gene, n1, n, rank_sum and z of counted values: value, label and n, of each gene's cells."""
+    values = placed(by.groupBy(*gene, "value").agg(F.sum("n").alias("same")), gene, "value", "same", ranges)
+    values = values.select(*gene, "value", "same", (F.col("before") + (F.col("same") + 1) / 2.0).alias("rank"))
+    sums = by.join(values, [*gene, "value"]).groupBy("label", *gene).agg(F.sum("n").alias("n1"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
+    total = values.groupBy(*gene).agg(F.sum("same").alias("n"), F.sum(F.pow("same", F.lit(3.0)) - F.col("same")).alias("ties"))
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     spread = n1 * (n - n1) / 12.0 * ((n + 1) - (F.try_divide(F.col("ties"), n * (n - 1)) if tie_correction else 0.0))
-    return out.select("label", "gene", "n1", "n", "rank_sum", F.try_divide(F.col("rank_sum") - n1 * (n + 1) / 2.0, F.sqrt(spread)).alias("z"))
+    return sums.join(total, gene).withColumn("z", F.try_divide(F.col("rank_sum") - n1 * (n + 1) / 2.0, F.sqrt(spread))).drop("ties")
 
 
 def with_p(df: DataFrame) -> DataFrame:

@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.sources.files import scratch
+
 
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has at most most_rows rows (counted); otherwise as it is, for a shuffled join."""
+    """df with a broadcast hint if it has at most most_rows rows (counted); otherwise as it is, for a shuffled join.
+
+    Counting runs df's plan once more, so this is for sides that are read; see `sent` for those that are made.
+    """
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def stored(df: DataFrame, name: str = "side") -> DataFrame:
+    """df written as Parquet into the shared folder and read again: it is made once, and a lost executor costs no rework."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """As small, for a side that takes work to make: it is stored first, so it is made once."""
+    return small(stored(df), most_rows)

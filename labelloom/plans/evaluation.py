@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import labels as lb
 from labelloom.operators import diagnosis as dg
 from labelloom.operators import evaluation as op
+from labelloom.operators import order
 from labelloom.operators.splits import group_split
 from labelloom.plans.registry import Tables, query, values
 
@@ -110,7 +111,7 @@ def h33(t):
 
 @query("D29_percentiles", "WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, any_value(n) AS n, max(n_chars) FILTER (k = floor(n * 0.5)) AS p50, max(n_chars) FILTER (k = floor(n * 0.95)) AS p95, max(n_chars) FILTER (k = floor(n * 0.99)) AS p99, max(n_chars) AS largest FROM r GROUP BY lang")
 def d29(t):
-    return op.nearest_percentiles(t.documents, "lang", "n_chars")
+    return order.nearest_percentiles(t.documents, "lang", "n_chars")
 
 
 @query("D32_metric_delta", f"WITH {JUDGED}, a AS (SELECT round(avg(coalesce(exact, false)::INT), 4) AS e, round(avg(severe::INT), 4) AS s FROM j WHERE lang = 'en'), b AS (SELECT round(avg(coalesce(exact, false)::INT), 4) AS e, round(avg(severe::INT), 4) AS s FROM j WHERE lang <> 'en') SELECT 'exact' AS metric, a.e AS base, b.e AS variant, round(b.e - a.e, 4) AS delta FROM a, b UNION ALL SELECT 'severe', a.s, b.s, round(b.s - a.s, 4) FROM a, b")

@@ -35,8 +35,17 @@ def _temporary(application: str) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, below one folder for each application."""
-    return f"{shared_dir(spark)}/labelloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share, below one folder for each application.
+
+    That folder goes when the driver ends.
+    """
+    own = f"{shared_dir(spark)}/labelloom-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(own)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

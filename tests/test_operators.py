@@ -14,7 +14,7 @@ from labelloom.functions import labels as lb
 from labelloom.functions import scoring as sc
 from labelloom.functions import tails
 from labelloom.functions import text as tx
-from labelloom.operators import cleaning, curation, diagnosis, evaluation, hierarchy, knowledge, manifest, markers, records, splits
+from labelloom.operators import cleaning, curation, diagnosis, evaluation, hierarchy, knowledge, manifest, markers, order, records, splits
 from labelloom.sources import config, files
 from labelloom.streaming import incremental
 
@@ -210,7 +210,7 @@ def test_calibration_counts_but_does_not_bin_one(spark):
 
 def test_percentile_positions(spark):
     df = spark.createDataFrame([("g", k) for k in range(100)], "g string, v int")
-    r = evaluation.nearest_percentiles(df, "g", "v").first()
+    r = order.nearest_percentiles(df, "g", "v").first()
     assert (r["p50"], r["p95"], r["p99"], r["largest"]) == (50, 95, 99, 99)
 
 
