@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from labelloom.functions.tails import normal_tail_sql
 from labelloom.operators import order, sparse
 from labelloom.plans.registry import Tables, query
+from labelloom.sources import matrix
+from labelloom.sources.files import scratch
 
 BY = ("dataset",)
 
@@ -74,3 +76,11 @@ def e7(t):
 def d29(t):
     """Positions in continuous values, sought by ranges in groups of more than 10,000 rows."""
     return order.nearest_percentiles(t.lineitem, "l_returnflag", "l_extendedprice", most=10_000)
+
+
+@query("A5_cell_matrix", f"WITH {FILLED} SELECT cell, label, gene, CAST(value AS DOUBLE) AS value FROM k WHERE label IN ('1-URGENT', '2-HIGH') AND cell >= 1000")
+def a5(t):
+    """Counts of all orders, written as a cell matrix and read again with filters that reach its blocks."""
+    path = scratch(t.spark, "matrix")
+    matrix.write_matrix(cells(t), counts(t), path, ("label",))
+    return matrix.read_matrix(t.spark, path).where("label in ('1-URGENT', '2-HIGH') and cell >= 1000")
