@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from labelloom.functions.text import col, folded, label_text, plain_label, short_id
-from labelloom.operators.sides import small
+from labelloom.operators.sides import sent, small, stored
 
 
 def external_entries(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,17 +77,123 @@ def overlaps(queries: DataFrame, entries: DataFrame, query: str = "query_id", en
     return met.select(query, entry, "shared", (F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared"))).alias("jaccard"))
 
 
-def retrieved(queries: DataFrame, entries: DataFrame, k: int = 5, bonus: Column | None = None) -> DataFrame:
+#: For the best k entries of a query: how many of its rarest genes, times k, name the entries that are scored first; and how
+#: many shared genes an entry must show among its rarest ones to be scored later.
+RAREST, SHOWN = 4, 3
+
+
+def _by_rarity(genes: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
+    """keys and ids: the numbers of their known genes, rarest first."""
+    met = genes.join(known, "gene")
+    return met.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "id"))), lambda g: g["id"]).alias("ids"))
+
+
+def scored_pairs(queries: DataFrame, entries: DataFrame, k: int = 5, bonus: float = 0.2) -> DataFrame:
+    """query_id, entry_id, label, shared, jaccard and score (rounded) of pairs with a gene in common: all that can be among
+    the k best of their query, and few others.
+
+    Genes of an index are in order of rarity. The entries on a query's 4 k rarest genes are scored first; their k-th best
+    score is what others must reach. So they must share a least number of genes, which follows from both sizes, the score
+    and whether the tissues give the bonus; if they do, the rarest three of these lie among all but the last genes of
+    both, as many as the number leaves. Only such prefixes are joined, and only pairs with three hits in them are scored,
+    by the intersection of their gene numbers. A frequent gene is hardly ever in a prefix.
+
+    Query and entry ids are distinct; genes count as sets, whatever the case.
+    """
+    listed = stored(_genes(entries, "entry_id", "label", folded("tissue").alias("_et")).withColumnRenamed("_size", "_ne"), "entries")
+    known = stored(listed.groupBy("gene").agg(F.count("*").alias("df")).withColumn("id", F.monotonically_increasing_id()), "genes")
+    index = stored(_by_rarity(listed, small(known, SENT), "entry_id", "label", "_et", "_ne").withColumnRenamed("ids", "_has").withColumn("_e", F.monotonically_increasing_id()), "index")
+    asked = _genes(queries, "query_id", folded("tissue").alias("_qt")).withColumnRenamed("_size", "_nq")
+    asked = stored(_by_rarity(asked, small(known, SENT), "query_id", "_qt", "_nq").withColumnRenamed("ids", "_asks"), "asked")
+    places = small(stored(index.select("_e", "_et", "_ne", F.posexplode("_has").alias("_at", "id")), "places"), SENT)
+    held = small(index)
+    more = F.when((F.col("_qt") != "") & (F.col("_qt").contains(F.col("_et")) | F.col("_et").contains(F.col("_qt"))), bonus).otherwise(0.0)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(held, "_e").join(asked, "query_id").withColumn("shared", F.size(F.array_intersect("_asks", "_has")).cast("long"))
+        met = met.withColumn("jaccard", F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared")))
+        return met.select("query_id", "_e", "entry_id", "label", "shared", "jaccard", F.round(F.col("jaccard") + more, 4).alias("score"))
+
+    first = asked.select("query_id", F.explode(F.slice("_asks", 1, RAREST * k)).alias("id")).join(places, "id").select("query_id", "_e").distinct()
+    first = stored(scored(first), "first")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    least = first.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k).groupBy("query_id").agg(F.min("score").alias("_least"), F.count("*").alias("_n"))
+    least = least.where(F.col("_n") == k).select("query_id", "_least")
+
+    def wanted(size: Column, jaccard: Column) -> Column:
+        """The least number of shared genes of two sets of `size` genes in all for that similarity; 1 without one."""
+        n = F.ceil(jaccard / (1 + jaccard) * size - 1e-9)
+        return F.coalesce(F.when(jaccard > 0, F.greatest(n, F.lit(1))), F.lit(1)).cast("int")
+
+    slack = 0.5e-4 + 1e-9  # of a rounded score
+    rest = asked.join(least, "query_id", "left")
+    own = wanted(F.col("_nq"), F.col("_least") - bonus - slack)  # whatever the entry
+    rest = rest.select("query_id", "_qt", "_nq", "_least", F.size("_asks").alias("_known"), F.posexplode(F.slice("_asks", F.lit(1), F.greatest(F.lit(0), F.size("_asks") - own + SHOWN))).alias("_of", "id"))
+    met = rest.join(places, "id").withColumn("_want", wanted(F.col("_nq") + F.col("_ne"), F.col("_least") - more - slack)).withColumn("_show", F.least("_want", F.lit(SHOWN)))
+    met = met.where((F.col("_want") <= F.least("_known", "_ne")) & (F.col("_at") < F.col("_ne") - F.col("_want") + F.col("_show")) & (F.col("_of") < F.col("_known") - F.col("_want") + F.col("_show")))
+    later = met.groupBy("query_id", "_e", "_show").agg(F.count("*").alias("_n")).where("_n >= _show").select("query_id", "_e")
+    later = later.join(first.select("query_id", "_e"), ["query_id", "_e"], "left_anti")
+    return first.unionByName(scored(later)).drop("_e")
+
+
+def _counted_in_tasks(queries: DataFrame, entries: DataFrame, k: int, bonus: float) -> DataFrame:
+    """The same columns for each query's entries that score less than a rounding below its k-th best, or more.
+
+    For a knowledge base that is small enough to be sent: its lists of entries by gene go to every worker, and a query
+    adds up those of its genes, so its pairs are numbers in one array and never rows.
+    """
+    rows = entries.select("entry_id", "label", folded("tissue").alias("_et"), F.array_distinct(F.transform("genes", F.lower)).alias("_g")).where(F.size("_g") > 0).toArrow()
+    lists = rows["_g"].combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    order = np.argsort(coded.indices.to_numpy(), kind="stable")
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
+    starts = np.searchsorted(coded.indices.to_numpy()[order], np.arange(len(coded.dictionary) + 1))
+    tissues = rows["_et"].combine_chunks().dictionary_encode()
+    index = queries.sparkSession.sparkContext.broadcast((coded.dictionary, of, starts, sizes, tissues.dictionary.to_pylist(), tissues.indices.to_numpy(), rows.select(["entry_id", "label"])))
+    asked = queries.select("query_id", folded("tissue").alias("_qt"), F.array_distinct(F.transform("genes", F.lower)).alias("_g")).where(F.size("_g") > 0)
+    schema = StructType([asked.schema["query_id"], entries.schema["entry_id"], entries.schema["label"], *(StructField(c, kind) for c, kind in (("shared", LongType()), ("jaccard", DoubleType()), ("_more", DoubleType())))])
+    out = to_arrow_schema(schema)
+
+    def each(batches):
+        genes, of, starts, sizes, names, tissue, known = index.value
+        for batch in batches:
+            ids = pc.index_in(batch.column(2).flatten(), genes).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())
+            found = []
+            for row, (qt, end, size) in enumerate(zip(batch.column(1).to_pylist(), ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)):
+                own = ids[end - size : end]
+                own = own[~np.isnan(own)].astype(np.int64)
+                if not len(own):
+                    continue
+                n = np.bincount(np.concatenate([of[starts[g] : starts[g + 1]] for g in own]), minlength=len(sizes))
+                at = np.flatnonzero(n)
+                jaccard = n[at] / (size + sizes[at] - n[at])
+                more = np.array([bonus if qt and (qt in t or t in qt) else 0.0 for t in names])[tissue[at]]
+                score = jaccard + more
+                best = score >= (np.partition(score, -k)[-k] if len(at) > k else 0) - 1e-4
+                found.append((np.full(int(best.sum()), row), at[best], n[at[best]], jaccard[best], more[best]))
+            if found:
+                of_row, at, n, jaccard, more = (np.concatenate(c) for c in zip(*found, strict=True))
+                entry = known.take(pa.array(at))
+                columns = [batch.column(0).take(pa.array(of_row)), *(entry[c].combine_chunks() for c in ("entry_id", "label")), pa.array(n), pa.array(jaccard), pa.array(more)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    met = asked.mapInArrow(each, schema)
+    return met.select("query_id", "entry_id", "label", "shared", "jaccard", F.round(F.col("jaccard") + F.col("_more"), 4).alias("score"))
+
+
+def retrieved(queries: DataFrame, entries: DataFrame, k: int = 5, bonus: float = 0.2) -> DataFrame:
     """The k best entries of each query (query_id, genes, tissue) by Jaccard and a bonus where the tissues share text.
 
-    A blank tissue of an entry is part of any tissue and gets the bonus too. Tissues are joined to pairs, which are
-    partitioned by query for the ranking anyway.
+    A blank tissue of an entry is part of any tissue and gets the bonus too; a query without a tissue gets none. Scores
+    are rounded, and entries that tie are in order of their id. A knowledge base of up to SENT genes (counted) is sent
+    and pairs are counted in the tasks of the queries; pairs of a larger one are found by prefixes, see scored_pairs.
     """
-    met = overlaps(queries, entries).join(queries.select("query_id", folded("tissue").alias("_qt")), "query_id")
-    met = met.join(small(entries.select("entry_id", "label", folded("tissue").alias("_et"))), "entry_id")
-    score = F.col("jaccard") + (bonus if bonus is not None else F.when(F.col("_qt").contains(F.col("_et")) | F.col("_et").contains(F.col("_qt")), 0.2).otherwise(0.0))
+    n = entries.agg(F.sum(F.size("genes"))).first()[0] or 0
+    pairs = _counted_in_tasks(queries, entries, k, bonus) if n <= SENT else scored_pairs(queries, entries, k, bonus)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id"))
-    return met.withColumn("score", F.round(score, 4)).withColumn("rank", rank).where(F.col("rank") <= k).drop("_qt", "_et")
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 #: Tissues of an entry that stand for any.
@@ -117,8 +228,8 @@ def retrieved_labels(queries: DataFrame, entries: DataFrame, k: int = 5, scoped:
     sizes = genes.groupBy("_label").agg(F.count("*").alias("_ne"))
     best = entries.groupBy("_label", "label").agg(F.max_by("entry_id", F.struct("weight", "entry_id")).alias("entry_id"))
     q = _genes(queries, "query_id", "scope").withColumnRenamed("_size", "_nq")
-    met = q.join(small(genes, SENT), ["scope", "gene"]).groupBy("query_id", "_nq", "_label").agg(F.count("*").alias("shared"))
-    met = met.join(small(sizes.join(best, "_label")), "_label")
+    met = q.join(sent(genes, SENT), ["scope", "gene"]).groupBy("query_id", "_nq", "_label").agg(F.count("*").alias("shared"))
+    met = met.join(sent(sizes.join(best, "_label")), "_label")
     met = met.withColumn("score", F.round(F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared")), 4))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "label"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "label", "shared", "score", "entry_id", "rank")

@@ -31,8 +31,17 @@ ENTRIES = f"e AS (SELECT item_id AS entry_id, 'L' || (item_id % 7) AS label, {WO
 SHARED = "qg AS (SELECT DISTINCT query_id, g FROM (SELECT query_id, unnest(genes) AS g FROM q)), eg AS (SELECT DISTINCT entry_id, g FROM (SELECT entry_id, unnest(genes) AS g FROM e)), s AS (SELECT query_id, entry_id, count(*) AS shared FROM qg JOIN eg USING (g) GROUP BY ALL), j AS (SELECT s.*, q.tissue AS qt, e.tissue AS et, label, shared::DOUBLE / (len(list_distinct(q.genes)) + len(list_distinct(e.genes)) - shared) AS jaccard FROM s JOIN q USING (query_id) JOIN e USING (entry_id))"
 
 
-@query("C9_jaccard_topk", f"""WITH {ASKED}, {ENTRIES}, {SHARED}, x AS (SELECT *, round(jaccard + CASE WHEN contains(qt, et) OR contains(et, qt) THEN 0.2 ELSE 0 END, 4) AS score FROM j),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM x) SELECT query_id, entry_id, shared, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
+TOP = """x AS (SELECT *, round(jaccard + CASE WHEN qt <> '' AND (contains(qt, et) OR contains(et, qt)) THEN 0.2 ELSE 0 END, 4) AS score FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM x) SELECT query_id, entry_id, shared, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5"""
+
+
+@query("C9_without_tissue", f"WITH {ASKED.replace('lang AS tissue', 'CASE WHEN doc_id % 2 = 0 THEN lang END AS tissue')}, {ENTRIES}, {SHARED.replace('q.tissue AS qt', "coalesce(q.tissue, '') AS qt")}, {TOP}")
+def c9_blank(t):
+    """Queries without a tissue get no bonus."""
+    return op.retrieved(asked(t).withColumn("tissue", F.when(F.col("query_id") % 2 == 0, F.col("tissue"))), entries(t), 5).select("query_id", "entry_id", "shared", "score", "rank")
+
+
+@query("C9_jaccard_topk", f"WITH {ASKED}, {ENTRIES}, {SHARED}, {TOP}")
 def c9(t):
     return op.retrieved(asked(t), entries(t), 5).select("query_id", "entry_id", "shared", "score", "rank")
 

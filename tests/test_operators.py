@@ -3,7 +3,9 @@
 import datetime
 import json
 import math
+import random
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -196,6 +198,33 @@ def test_retrieval_gives_blank_tissues_the_bonus(spark):
     assert got == [(1, 0.7), (2, 0.5)]
 
 
+@pytest.mark.parametrize(("k", "sent"), [(1, 10**6), (5, 10**6), (1, 0), (5, 0)])
+def test_retrieval_scores_few_pairs_and_loses_none(spark, monkeypatch, k, sent):
+    monkeypatch.setattr(knowledge, "SENT", sent)
+    rng = random.Random(k)
+    words = [f"w{j}" for j in range(600)]
+    pick = lambda n: [w if rng.random() < 0.8 else w.upper() for w in {words[min(599, int(rng.paretovariate(0.35)) - 1)] for _ in range(n)} | set(rng.sample(words, n // 4))]
+    tissues = ["", "blood", "lung", "whole blood", None]
+    es = [(j, f"l{j % 9}", pick(rng.randint(1, 40)), rng.choice(tissues)) for j in range(250)]
+    qs = [(j, pick(rng.choice([2, 20, 60])), rng.choice(tissues)) for j in range(60)] + [(90, [], "blood"), (91, None, "lung"), (92, ["nowhere"], ""), (93, es[4][2], "lung")]
+    q = spark.createDataFrame(qs, "query_id int, genes array<string>, tissue string")
+    e = spark.createDataFrame(es, "entry_id int, label string, genes array<string>, tissue string")
+    want, every = {}, 0
+    for key, genes, tissue in qs:
+        a, rows = {g.lower() for g in genes or []}, []
+        for id_, _, other, there in es:
+            b = {g.lower() for g in other}
+            if n := len(a & b):
+                extra = 0.2 if tissue and (tissue in (there or "") or (there or "") in tissue) else 0.0
+                rows.append((-float(Decimal(repr(n / len(a | b) + extra)).quantize(Decimal("0.0001"), ROUND_HALF_UP)), id_, n))
+        every += len(rows)
+        want |= {(key, r + 1): (id_, n, -score) for r, (score, id_, n) in enumerate(sorted(rows)[:k])}
+    got = {(r["query_id"], r["rank"]): (r["entry_id"], r["shared"], r["score"]) for r in knowledge.retrieved(q, e, k).collect()}
+    assert got.keys() == want.keys() and all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-9 for g, w in zip((got[x] for x in want), want.values(), strict=True))
+    if not sent:
+        assert knowledge.scored_pairs(q, e, k).count() < every * 0.85
+
+
 def test_ancestors_stop_at_cycles_and_depth(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("s", "s"), ("1", "2"), ("2", "3"), ("3", "4"), ("4", "5")], "child string, parent string")
     got = {(r["label"], r["ancestor"]) for r in hierarchy.ancestors(e, 3).collect()}
@@ -465,7 +494,7 @@ def test_retrieval_does_not_depend_on_what_is_sent(spark, sent, monkeypatch):
     q = spark.createDataFrame([(1, "blood", ["a", "B", "b"]), (2, None, ["c"]), (3, "x", [])], "query_id int, tissue string, genes array<string>")
     e = spark.createDataFrame([(1, "t", "blood", ["A", "c"]), (2, "b", "", ["b"]), (3, "n", "lung", ["q"])], "entry_id int, label string, tissue string, genes array<string>")
     got = sorted((r["query_id"], r["entry_id"], r["shared"], r["score"], r["rank"]) for r in knowledge.retrieved(q, e, 2).collect())
-    assert got == [(1, 1, 1, 0.5333, 2), (1, 2, 1, 0.7, 1), (2, 1, 1, 0.7, 1)]
+    assert got == [(1, 1, 1, 0.5333, 2), (1, 2, 1, 0.7, 1), (2, 1, 1, 0.5, 1)]  # no bonus without a tissue of the query
 
 
 def test_model_outputs(spark):
