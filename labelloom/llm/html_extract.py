@@ -46,8 +46,9 @@ GROUPS = [frozenset(x.split()) for x in ("p blockquote pre", "h1 h2 h3 h4 h5 h6
 GOOD = frozenset("article content post entry main story body text prose markdown page blog read".split())
 BAD = frozenset("ad ads advert advertisement banner promo sponsor sponsored nav navigation navbar menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside related widget share social comment comments reply replies respond discussion disqus cookie cookies consent notice alert popup modal newsletter subscribe signup login form search pagination pager tags tag copyright legal toolbar skip rail recommended".split())
 
+#: Comments also end with --!>, and <!--> and <!---> are whole ones; </ without a name is one up to the next ">".
 #: Quotes delimit a value only behind "="; a tag whose quote is never closed ends at the next ">".
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|([^>]*+)>)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|</(?:[^a-zA-Z>][^>]*+)?>|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|([^>]*+)>)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))", re.I)
 UNENDED = re.compile(r"<[a-zA-Z/!?].*", re.S)
 WORD = re.compile(r"[a-z]+")
@@ -81,12 +82,38 @@ def marks(html: str) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
+class Names(list):
+    """A stack of names that knows where each name is, so a step costs no more however deep it is."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.places: dict[str, list[int]] = {}
+
+    def add(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self))
+        self.append(name)
+
+    def first(self, name: str) -> int:
+        """The place of the lowest one of that name; -1: none."""
+        return self.places[name][0] if self.places.get(name) else -1
+
+    def last(self, name: str) -> int:
+        return self.places[name][-1] if self.places.get(name) else -1
+
+    def cut(self, k: int) -> None:
+        """Without the place k and those above it."""
+        while len(self) > k:
+            self.places[self.pop()].pop()
+
+
 class Page:
     """Block elements of html in page order, and its blocks of text as (node, text, characters of links)."""
 
     def __init__(self, html: str) -> None:
         self.tags, self.up, self.tokens, self.blocks = ["#root"], [-1], [frozenset()], []
         self.html, self._open, self._links = html, [0], 0
+        self._names = Names()  # of what is open
+        self._names.add("#root")
         self._text: list[str] = []
         self._linked = 0
         tags, at, k = marks(html), 0, 0
@@ -113,23 +140,22 @@ class Page:
         It ends with its end tag or its parent's; without an end tag also before the next block, the next of its kind
         and, if it is an option, the next group.
         """
-        above, inside = None, []
+        inside = Names()
         while k < len(tags):
             _, _, closing, tag, attributes, _ = tags[k]
             if k + 1 == matched:
                 return matched
             if not tag or tag in RAW or tag in VOID or attributes.endswith("/"):
                 pass
-            elif closing and tag in inside:
-                del inside[len(inside) - 1 - inside[::-1].index(tag) :]
+            elif closing and inside.last(tag) >= 0:
+                inside.cut(inside.last(tag))
             elif closing:
-                above = above or {self.tags[x] for x in self._open}
-                if tag in above or not matched:
+                if self._names.last(tag) >= 0 or not matched:
                     return k
             else:
                 if not matched and (tag in BLOCKS or tag == own or (own == "option" and tag == "optgroup")):
                     return k
-                inside.append(tag)
+                inside.add(tag)
             k += 1
         return k
 
@@ -148,26 +174,25 @@ class Page:
     def _close(self, k: int) -> None:
         self._flush()
         del self._open[k:]
+        self._names.cut(k)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "head" or tag in BLOCKS or tag == "hr":
             self._flush()
-            names = [self.tags[k] for k in self._open]
-            if tag in ENDS_P and "p" in names:
-                self._close(names.index("p"))
-                names = names[: len(self._open)]
-            if tag in INSIDE and tag in names:
-                k = len(names) - 1 - names[::-1].index(tag)
-                if not INSIDE[tag] & set(names[k:]):
-                    self._close(k)
-            if tag == "body" and "head" in names:
-                self._close(names.index("head"))
+            names = self._names
+            if tag in ENDS_P and names.first("p") >= 0:
+                self._close(names.first("p"))
+            if tag in INSIDE and (k := names.last(tag)) >= 0 and all(names.last(x) < k for x in INSIDE[tag]):
+                self._close(k)
+            if tag == "body" and names.first("head") >= 0:
+                self._close(names.first("head"))
             if tag != "hr":
                 found = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)).lower() if "=" in attributes else ""
                 self.tags.append(tag)
                 self.up.append(self._open[-1])
                 self.tokens.append(frozenset(WORD.findall(found)))
                 self._open.append(len(self.tags) - 1)
+                names.add(tag)
         elif tag in ("br", "img", "input"):
             self._text.append(" ")
         elif tag == "a":
@@ -179,10 +204,8 @@ class Page:
         elif tag == "br":
             self._text.append(" ")
         elif tag in BLOCKS or tag == "head":
-            for k in range(len(self._open) - 1, 0, -1):
-                if self.tags[self._open[k]] == tag:
-                    self._close(k)
-                    break
+            if (k := self._names.last(tag)) > 0:
+                self._close(k)
             else:
                 self._flush()
 

@@ -81,6 +81,24 @@ def test_trees_learn_an_interaction():
     assert ((hx.Trees().learn(x, y).odds(x) > 0) == y).mean() > 0.95
 
 
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!---->", "<!-- a --!>", "<!-- a -->", "<!-- > -- >-->", "<!---!>-->", "</ div>", "</>", "</3>", "<!x>", "<?php ?>", "<!-- <p>no</p> --!>"])
+def test_comments_end_where_browsers_end_them(comment):
+    page = hx.Page(f"<div><p>one</p>{comment}<p>two</p>{comment}three</div>")
+    assert [t for _, t, _ in page.blocks] == ["one", "two", "three"]
+    assert [t for _, t, _ in hx.Page(f"a{comment}b").blocks] == ["ab"]
+
+
+@pytest.mark.parametrize("parts", [("<div>", ""), ("<ul><li>", ""), ("<table><tr><td>", ""), ("<p>", "</div>"), ("<div>", "</section>"), ("<div>", "</div>"), ("<section><p>x", "</b>"), ("<dl><dd>", "<hr>"), ("<select>", "</nav>"), ("<div><template>", "</template>"), ("<template><b>", "</i>"), ("<div><noscript>", "</p>"), ("<blockquote><svg><g>", "</g>")])
+def test_depth_costs_nothing(parts):
+    import time
+
+    opens, closes = parts
+    html = opens * 100_000 + "deep" + closes * 100_000
+    began = time.process_time()
+    page = hx.Page(html)
+    assert time.process_time() - began < 5 and len(page.tags) <= 300_001
+
+
 def plain_article(html):
     inside = re.search(r"<article>(.*?)(</article>|$)", html, re.S)[1]
     parts = re.split(r"</?(?:p|h1|h2|li|ul|div)\b[^>]*>", inside)
