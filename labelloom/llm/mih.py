@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import hash_sample, written
-from labelloom.llm.ego_join import numbers, usable, vectors
+from labelloom.llm.ego_join import numbers, unit, usable, vectors
 
 NEAREST, EVERY, FLOATS, COVER, PROBES, ROTATIONS = 20, 20, 1 << 22, 0.985, 96, 4
 #: Most bits that may differ in a substring of 16 bits for its values to be listed.
@@ -181,7 +181,7 @@ def _searched(mean: np.ndarray, turn: np.ndarray, longest: float, radius: int, m
 
 def _true_distances(mean: np.ndarray, turn: np.ndarray, longest: float, names: np.ndarray, q: np.ndarray, most: int):
     """For each probe query the best rows of a task, with the distance of their codes."""
-    asked = codes(np.column_stack([q / np.sqrt((q * q).sum(1, keepdims=True)), np.zeros(len(q))]), mean, turn)
+    asked = codes(np.column_stack([unit(q), np.zeros(len(q))]), mean, turn)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
