@@ -117,6 +117,11 @@ def entities(kind: str, value: str) -> list[str]:
     return [f"{kind}:{digits}", f"{kind} prefix:{digits[:6]}"]
 
 
+def terms_in(text: str) -> set[str]:
+    """The terms of a text. A match is put in lower case by itself: that of a whole text can cut words elsewhere."""
+    return {t.lower() for t in set(TERM.findall(text))}
+
+
 def _beside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, set[str]]]:
     """Each entity of each span with the terms that stand within WINDOW words of it or in its mailbox's name."""
     covered, words = Covered(spans), list(TERM.finditer(text))
@@ -126,7 +131,7 @@ def _beside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str,
         near = words[max(0, before - WINDOW) : before] + words[after : after + WINDOW]
         terms = {m[0].lower() for m in near if not covered.meets(m.start(), m.end())}
         if kind == "email":
-            terms |= {t for t in TERM.findall(text[a:b].lower().rsplit("@", 1)[0]) if not t.isdigit()}
+            terms |= {t for t in terms_in(text[a:b].rsplit("@", 1)[0]) if not t.isdigit()}
         for entity in entities(kind, text[a:b]):
             yield entity, terms
 
@@ -158,7 +163,7 @@ def _counted(wanted: Broadcast | None):
         for batch in batches:
             n: Counter[int] = Counter()
             for text in batch.column(0):
-                terms = set(map(_hash, set(TERM.findall((text.as_py() or "").lower()))))
+                terms = set(map(_hash, terms_in(text.as_py() or "")))
                 n.update(terms if sought is None else terms & sought)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
@@ -200,7 +205,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, Broadcast
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, t) for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for t in set(map(_hash, set(TERM.findall((text.as_py() or "").lower()))))]
+            rows = [(k, t) for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for t in set(map(_hash, terms_in(text.as_py() or "")))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["own", "term"])
 
     keyed = docs.withColumn(own, F.xxhash64("text"))

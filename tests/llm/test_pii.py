@@ -135,6 +135,32 @@ def test_terms_of_random_corpora(spark, seed):
     assert some > 3
 
 
+@pytest.mark.parametrize("word", ["İstanbul", "ΟΔΟΣ", "ǅungla", "Straße", "ﬁn", "ÀB"])
+def test_words_whose_lower_case_is_odd(spark, word):
+    """A term is the same whether it stands beside a value, is counted, or is found."""
+    texts = [f"note {k} {word} mail x@y.org" for k in range(3)] + [f"other text {k} of words" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    at = texts[0].index(word)
+    assert all(f"term:{at}:{at + len(word)}" in rows[k].split(",") for k in range(3)) and not any("term" in rows[k] for k in range(3, 43))
+
+
+def test_planted_telling_words(spark):
+    """Names that stand beside one entity only, in different texts, are found, and hardly anything else is."""
+    rng = random.Random(12)
+    common = [f"word{k}" for k in range(300)]
+    names = [f"Zorgan{k}" for k in range(60)]
+    line = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    texts = [f"{line(12)} {name} {rng.choice(['writes to', 'of', 'at'])} box{k}@host{k}.example {line(12)}" for k, name in enumerate(names) for _ in range(3)]
+    texts += [f"{line(10)} {name} {line(10)}" for name in names[:20]]  # also without the value: told apart by how much a name discloses
+    texts += [line(30) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold, least in ((0.95, 40), (0.85, 60)):
+        found = {texts[r["doc_id"]][int(a) : int(b)].lower() for r in pii.personal_data(docs, threshold).collect() for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x) if kind == "term"}
+        right = found & {n.lower() for n in names}
+        assert len(right) >= least and len(right) >= 0.97 * len(found)
+
+
 def test_words_are_counted_not_characters():
     text = "one " + "b" * 300 + " joe@corp.example " + "c" * 500 + " seven"
     near = dict(pii._beside(text, pii.base_spans(text)))["email:joe@corp.example"]
