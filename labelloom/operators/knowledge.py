@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -274,6 +276,74 @@ def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return rarest.join(grams, "g").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
 
 
+#: Most names whose automaton is sent to every task; beyond that, or without the library for it, texts meet on grams.
+NAMES = 200_000 if find_spec("ahocorasick") else -1
+
+
+def _automaton(names: list[tuple[str, int]]):
+    """All names at once as a machine that reads a text one time (Aho-Corasick); each knows its least number."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for name, number in names:
+        if name:
+            found.add_word(name, min(number, found.get(name, number)))
+    found.make_automaton()
+    return found
+
+
+def first_inside(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text and ord: of the names (name, ord) that are part of a distinct text, the least ord; texts without one are left out.
+
+    Up to NAMES names (counted) are sent as one automaton, which reads each text once, whatever their number, and gives
+    one row a text; of more, pairs meet on grams.
+    """
+    if names.limit(NAMES + 1).count() > NAMES:
+        pairs = containing(names.select(F.col("name").alias("inner")).distinct(), texts.withColumnRenamed("text", "outer"))
+        return pairs.join(names, F.col("inner") == F.col("name")).groupBy(F.col("outer").alias("text")).agg(F.min("ord").alias("ord"))
+    sent_ = texts.sparkSession.sparkContext.broadcast([(r["name"], r["ord"]) for r in names.collect()])
+    schema = StructType([texts.schema["text"], StructField("ord", LongType())])
+
+    def each(batches):
+        found, blank = _automaton(sent_.value), min((n for name, n in sent_.value if not name), default=None)
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                least = min((n for _, n in found.iter(text)), default=None) if len(found) else None
+                least = blank if least is None else least if blank is None else min(least, blank)
+                if least is not None:
+                    rows.append((text, least))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.string()), (1, pa.int64()))], ["text", "ord"])
+
+    return texts.select("text").mapInArrow(each, schema)
+
+
+def first_around(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text and ord: of the names (name, ord) that a distinct text is part of, the least ord; an empty text is part of all.
+
+    Up to NAMES texts are sent as one automaton, which reads each name once; a task gives one row for each text it has met.
+    """
+    if texts.limit(NAMES + 1).count() > NAMES:
+        pairs = containing(texts.withColumnRenamed("text", "inner"), names.select(F.col("name").alias("outer")).distinct())
+        return pairs.join(names, F.col("outer") == F.col("name")).groupBy(F.col("inner").alias("text")).agg(F.min("ord").alias("ord"))
+    sent_ = texts.sparkSession.sparkContext.broadcast([r["text"] for r in texts.collect()])
+    schema = StructType([texts.schema["text"], StructField("ord", LongType())])
+
+    def each(batches):
+        every = sent_.value
+        found, least = _automaton([(text, k) for k, text in enumerate(every)]), {}
+        blank = [k for k, text in enumerate(every) if not text]
+        for batch in batches:
+            for name, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k in {*blank, *(k for _, k in found.iter(name))} if len(found) else blank:
+                    if number < least.get(k, number + 1):
+                        least[k] = number
+        yield pa.RecordBatch.from_arrays([pa.array([every[k] for k in least], pa.string()), pa.array(list(least.values()), pa.int64())], ["text", "ord"])
+
+    met = names.select("name", F.col("ord").cast("long").alias("ord")).mapInArrow(each, schema)
+    return met.groupBy("text").agg(F.min("ord").alias("ord"))
+
+
 def rule_mapped(labels: DataFrame, index: DataFrame) -> DataFrame:
     """label and the id it maps to: exact label, then synonym, then the first label in file order where one is part of the other.
 
@@ -286,10 +356,11 @@ def rule_mapped(labels: DataFrame, index: DataFrame) -> DataFrame:
     other = other.groupBy("key").agg(F.max_by("id", "ord").alias("other"))
     rows = labels.select("label", plain_label("label").alias("key"))
     met = rows.select("key").distinct().join(names.select(F.col("name").alias("key"), "id"), "key", "left").join(other, "key", "left")
-    left, known = met.where("id is null and other is null").select("key"), names.select("name")
-    within = containing(left.withColumnRenamed("key", "inner"), known.withColumnRenamed("name", "outer")).select(F.col("inner").alias("key"), F.col("outer").alias("name"))
-    around = containing(known.withColumnRenamed("name", "inner"), left.withColumnRenamed("key", "outer")).select(F.col("outer").alias("key"), F.col("inner").alias("name"))
-    part = within.union(around).join(names, "name").groupBy("key").agg(F.min_by("id", "ord").alias("part"))
+    left, known = met.where("id is null and other is null").select("key"), names.select("name", "ord")
+    texts = left.withColumnRenamed("key", "text")
+    numbered = known.withColumn("ord", F.col("ord").cast("long"))
+    first = first_around(texts, numbered).union(first_inside(texts, numbered)).groupBy("text").agg(F.min("ord").alias("_first"))
+    part = first.join(names.select(F.col("ord").alias("_ord"), F.col("id").alias("part")), F.col("_first") == F.col("_ord")).groupBy(F.col("text").alias("key")).agg(F.min("part").alias("part"))
     met = met.join(part, "key", "left")
     rule = F.when(F.col("id").isNotNull(), "exact").when(F.col("other").isNotNull(), "synonym").when(F.col("part").isNotNull(), "part").otherwise("none")
     return rows.join(met.select("key", F.coalesce("id", "other", "part").alias("id"), rule.alias("rule")), "key").select("label", "id", "rule")

@@ -231,6 +231,43 @@ def test_ancestors_stop_at_cycles_and_depth(spark):
     assert ("1", "4") in got and ("1", "5") not in got and ("s", "s") not in got and ("a", "b") in got and ("a", "a") not in got
 
 
+def plain_ancestors(up, depth):
+    out = {}
+    for label in up:
+        now, level = label, 0
+        while level < depth and (nxt := up.get(now)) is not None and nxt != now and nxt != label:
+            now, level = nxt, level + 1
+            out.setdefault((label, now), level)
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 16, 50, 64])
+def test_ancestors_of_any_depth(spark, depth):
+    rng = random.Random(depth)
+    up = {f"c{k}": f"c{k + 1}" for k in range(60)} | {f"t{k}": f"t{rng.randrange(k)}" for k in range(1, 40)}
+    up |= {"x": "y", "y": "z", "z": "x", "in": "x", "in2": "in", "self": "self", "two": "owt", "owt": "two", "side": "two"}
+    got = {(r["label"], r["ancestor"]): r["level"] for r in hierarchy.ancestors(spark.createDataFrame(list(up.items()), "child string, parent string"), depth).collect()}
+    assert got == plain_ancestors(up, depth)
+
+
+def test_intervals_are_the_same_as_the_table_of_ancestors(spark):
+    rng = random.Random(8)
+    up = {f"a{k}": f"a{k + 1}" for k in range(50)} | {f"t{k}": f"t{rng.randrange(max(0, k - 6), k)}" for k in range(1, 60)} | {f"u{k}": "u0" for k in range(1, 9)}
+    edges = spark.createDataFrame(list(up.items()) + [("x", "y"), ("y", "x"), ("in", "x")], "child string, parent string")
+    ranges = hierarchy.intervals(edges)
+    rows = {r["label"]: r for r in ranges.collect()}
+    assert set(rows) == set(up) | set(up.values())
+    every = plain_ancestors(up, 100)
+    assert all((rows[b]["first"] <= rows[a]["first"] <= rows[b]["last"] and a != b) == ((a, b) in every) for a in rows for b in rows)
+    assert sorted(r["first"] for r in rows.values()) == list(range(len(rows)))
+    names = [*rows, "nowhere", ""]
+    pairs = spark.createDataFrame([(rng.choice(names), rng.choice(names)) for _ in range(1500)] + [("", ""), ("t0", "T0")], "pred string, gold string")
+    closure = hierarchy.ancestors(edges, 3)
+    want = sorted(map(tuple, hierarchy.with_compatibility(pairs, closure).collect()))
+    assert sorted(map(tuple, hierarchy.with_compatibility_by_range(pairs, ranges).collect())) == want
+    assert len({r[2] for r in want}) == 4
+
+
 def test_calibration_counts_but_does_not_bin_one(spark):
     df = spark.createDataFrame([(1.0, True), (0.3, False), (0.25, True), (None, True)], "p double, y boolean")
     r = evaluation.calibration(df, "p", "y").first()
@@ -434,6 +471,22 @@ def test_whole_tables_reach_the_join_and_the_normalisation(spark):
     assert catalog.QUERIES["H18_overlap_score"](spark, folder).count() == sum(bool(v.strip(" \t\n\v\f\r")) for v in texts.values()) and n > 0
 
 
+@pytest.mark.parametrize("most", [200_000, 20, -1])
+def test_first_containments_of_any_set(spark, monkeypatch, most):
+    """By automaton, by grams, or one direction each: the same as trying all pairs, short and blank texts included."""
+    monkeypatch.setattr(knowledge, "NAMES", most)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab c") for _ in range(rng.randint(0, n)))
+    names = {word(5): k for k in range(60, 0, -1)}
+    texts = sorted({word(9) for _ in range(120)} | {"", "a", "\U0001f600", "é a"})
+    n, t = spark.createDataFrame(list(names.items()), "name string, ord long").repartition(3), spark.createDataFrame([(x,) for x in texts], "text string").repartition(4)
+    inside = {x: min(k for w, k in names.items() if w in x) for x in texts if any(w in x for w in names)}
+    around = {x: min(k for w, k in names.items() if x in w) for x in texts if any(x in w for w in names)}
+    assert {r["text"]: r["ord"] for r in knowledge.first_inside(t, n).collect()} == inside
+    assert {r["text"]: r["ord"] for r in knowledge.first_around(t, n).collect()} == around
+    assert knowledge.first_inside(t.where("false"), n).count() == 0 and knowledge.first_around(t, n.where("false")).count() == 0
+
+
 def test_rule_mapper_finds_every_containment(spark):
     from labelloom.operators import knowledge as kn
 
