@@ -359,6 +359,26 @@ def c14(t):
     return hi.with_compatibility(rows, hi.ancestors(edges(t), 3)).select("k", "compat_type")
 
 
+@query("C13_deep_ancestors", "SELECT 'n ' || p_partkey AS label, 'n ' || (p_partkey - d) AS ancestor, CAST(d AS INT) AS level FROM (SELECT p_partkey, unnest(range(1, least(50, p_partkey % 60) + 1)) AS d FROM part)")
+def c13_deep(t):
+    """Chains of up to 59 parts, followed 50 levels up."""
+    node = lambda k: F.concat(F.lit("n "), k.cast("string"))
+    return hi.ancestors(t.part.where(key() % 60 > 0).select(node(key()).alias("child"), node(key() - 1).alias("parent")), 50)
+
+
+FOREST = "e AS (SELECT 'n ' || p_partkey AS child, 'n ' || p_partkey // 3 AS parent FROM part)"
+
+
+@query("C14_compatibility_by_range", f"""WITH RECURSIVE {FOREST}, {CLOSURE[len(EDGES) + 2:]}, q AS (SELECT p_partkey AS k, 'n ' || (p_partkey // (1 + p_partkey % 9)) AS p, 'n ' || p_partkey AS g FROM part)
+SELECT k, CASE WHEN p = g THEN 'exact' WHEN a.label IS NOT NULL THEN 'pred_is_parent' WHEN b.label IS NOT NULL THEN 'pred_is_child' ELSE 'incompatible' END AS compat_type FROM q LEFT JOIN up a ON a.label = g AND a.ancestor = p LEFT JOIN up b ON b.label = p AND b.ancestor = g""")
+def c14_range(t):
+    """The same test on a forest, by places and levels instead of a table of ancestors."""
+    node = lambda k: F.concat(F.lit("n "), k.cast("long").cast("string"))
+    ranges = hi.intervals(t.part.select(node(key()).alias("child"), node(F.floor(key() / 3)).alias("parent")))
+    rows = t.part.select(key().alias("k"), node(F.floor(key() / (1 + key() % 9))).alias("pred"), node(key()).alias("gold"))
+    return hi.with_compatibility_by_range(rows, ranges).select("k", "compat_type")
+
+
 def answers(t: Tables) -> DataFrame:
     """k and a: the training answer for each part's numbers and flags."""
     k = F.col("k")

@@ -8,6 +8,7 @@ from labelloom.operators import manifest as mf
 from labelloom.plans.registry import query, values
 from labelloom.sources import files as fs
 from labelloom.sources.config import read_config, with_paths
+from labelloom.sources.extracts import supervised
 from labelloom.streaming import incremental
 
 
@@ -21,6 +22,17 @@ def a3(t):
     return fs.read_table(t.spark, path, ["o_orderkey", "o_totalprice", "o_orderstatus"], "o_orderstatus in ('F', 'O')")
 
 
+@query("A4_supervised_extracts", "SELECT 'priority ' || substr(o_orderpriority, 1, 1) AS name, 'ok' AS status, count(*) AS n_rows FROM orders GROUP BY o_orderpriority UNION ALL SELECT 'broken', 'failed', NULL UNION ALL SELECT 'known', 'skipped', NULL")
+def a4(t):
+    """A dataset for each priority, extracted side by side, beside one that fails and one that is there already."""
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority")
+    names = [r[0] for r in rows.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]  # priorities are a fixed handful
+    datasets = {f"priority {p[0]}": (lambda p=p: rows.where(F.col("o_orderpriority") == p)) for p in names}
+    datasets |= {"broken": lambda: rows.select(F.raise_error(F.lit("no such column")).alias("x")), "known": lambda: rows}
+    status = supervised(t.spark, datasets, fs.scratch(t.spark, "datasets"), seconds=600, done=["known"])
+    return status.select("name", "status", "n_rows")
+
+
 @query("A6_csv_table", "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size % 2 = 1")
 def a6(t):
     """Rows marked for use, one a key, although the file holds each row twice."""
