@@ -7,10 +7,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import col, folded
+from labelloom.operators.sides import stored
 
 # What the closed fields count.
 CONFIDENCE = {"high": 1.0, "medium": 0.5, "low": 0.0}
@@ -36,6 +37,42 @@ def features(confidence: str, score: str, retrieval: str, evidence: str, n_cells
     return dict(zip(FEATURES, values, strict=True))
 
 
+def isotonic_fit(rows: DataFrame, score: str, right: str, most: int = 1_024) -> DataFrame:
+    """score and p: the rising step function nearest to whether rows are right (true, false; nulls count for nothing), at each score.
+
+    By the min-max formula: p at a score is the greatest, over stretches that begin at or below it, of the least mean over
+    their ends at or above it. Scores are counted first, and means come from running sums, so the plan has a row for each
+    pair of scores; of more than `most` distinct scores, neighbours are put together: about `most` parts of equal
+    size, each with its mean score.
+    """
+    known = rows.select(F.col(score).cast("double").alias("score"), F.col(right).cast("double").alias("y")).where("score is not null and y is not null")
+    counted = stored(known.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "scores")
+    if counted.count() > most:
+        cuts = counted.agg(F.array_distinct(F.percentile_approx("score", F.array(*(F.lit(k / most) for k in range(1, most))), F.lit(10 * most))).alias("cuts"))
+        part = counted.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("score"))))  # one row
+        counted = stored(part.groupBy("part").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score"), F.sum("n").alias("n"), F.sum("s").alias("s")).drop("part"), "scores")
+    upto = Window.partitionBy(F.lit(0)).orderBy("score")  # `most` rows
+    sums = counted.select("score", "n", "s", F.sum("n").over(upto).alias("_n"), F.sum("s").over(upto).alias("_s"))
+    begins = sums.select(F.col("score").alias("a"), (F.col("_n") - F.col("n")).alias("_n0"), (F.col("_s") - F.col("s")).alias("_s0"))
+    pairs = sums.join(F.broadcast(begins), F.col("a") <= F.col("score")).select("a", "score", ((F.col("_s") - F.col("_s0")) / (F.col("_n") - F.col("_n0"))).alias("mean"))
+    least = F.min("mean").over(Window.partitionBy("a").orderBy(F.desc("score")))
+    return pairs.select("score", least.alias("least")).groupBy("score").agg(F.max("least").alias("p"))
+
+
+def interpolated(rows: DataFrame, fit: DataFrame, score: str, name: str = "calibrated") -> DataFrame:
+    """rows with the fitted chance of their score, between two known scores on the line between them, rounded; null without a fit.
+
+    fit is one array in one row: a score's place in it is found by counting the smaller ones.
+    """
+    table = fit.agg(F.array_sort(F.collect_list(F.struct("score", "p"))).alias("_fit"))
+    met, s = rows.crossJoin(F.broadcast(table)), F.coalesce(F.col(score).cast("double"), F.lit(0.0))  # one row
+    low = lambda t: F.element_at(F.filter(t, lambda x: x["score"] <= s), -1)
+    met = met.withColumn("_low", F.when(F.exists("_fit", lambda x: x["score"] <= s), low("_fit"))).withColumn("_high", F.get(F.filter("_fit", lambda x: x["score"] >= s), F.lit(0)))
+    share = F.try_divide(s - F.col("_low.score"), F.col("_high.score") - F.col("_low.score"))
+    p = F.coalesce(F.col("_low.p") + (F.col("_high.p") - F.col("_low.p")) * F.coalesce(share, F.lit(0.0)), F.col("_low.p"), F.col("_high.p"))
+    return met.withColumn(name, F.round(p, 4)).select(*rows.columns, name)
+
+
 class Calibrator:
     """The chance that an answer is right: logistic over the scaled features with balanced classes, or isotonic over the score."""
 

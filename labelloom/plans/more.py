@@ -111,9 +111,23 @@ def d14f(t):
     return mk.ranked(named(t)[0], F.desc("lfc"), 50).select("label", "gene", "de_rank")
 
 
-def calibrated(t: Tables, method: str) -> DataFrame:
+ISOTONIC = f"""{JUDGED}, k AS (SELECT coalesce(score, 0) AS score, count(*) AS n, sum(exact::INT) AS s FROM j WHERE exact IS NOT NULL GROUP BY 1),
+c AS (SELECT score, n, s, sum(n) OVER (ORDER BY score) AS nn, sum(s) OVER (ORDER BY score) AS ss FROM k),
+p AS (SELECT a.score AS a, b.score AS score, (b.ss - a.ss + a.s)::DOUBLE / (b.nn - a.nn + a.n)::DOUBLE AS m FROM c a JOIN c b ON a.score <= b.score),
+g AS (SELECT score, min(m) OVER (PARTITION BY a ORDER BY score DESC) AS g FROM p), f AS (SELECT score, max(g) AS p FROM g GROUP BY score),
+u AS (SELECT DISTINCT coalesce(score, 0) AS s FROM j), lo AS (SELECT s, max(score) AS lo FROM u JOIN f ON score <= s GROUP BY s), hi AS (SELECT s, min(score) AS hi FROM u JOIN f ON score >= s GROUP BY s),
+v AS (SELECT u.s, round(coalesce(a.p + (b.p - a.p) * coalesce((u.s - lo) / nullif(hi - lo, 0), 0), a.p, b.p), 4) AS calibrated FROM u LEFT JOIN lo USING (s) LEFT JOIN hi USING (s) LEFT JOIN f a ON a.score = lo LEFT JOIN f b ON b.score = hi)
+SELECT doc_id, calibrated FROM j JOIN v ON coalesce(j.score, 0) = v.s"""
+
+
+def scored(t: Tables) -> DataFrame:
+    """doc_id, the eight features of each document's answer, and whether it is right."""
     rows = judged(t).withColumns({"c": F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.4, "medium").otherwise("low"), "e": F.when(F.col("lineage"), "strong").otherwise("weak"), "r": F.col("score") / 2, "n": F.col("doc_id") % 300, "i": F.when(F.col("doc_id") % 2 == 0, "CL:1"), "x": F.array().cast("array<string>"), "v": F.col("severe")})
-    rows = rows.select("doc_id", "exact", *(c.alias(k) for k, c in cal.features("c", "score", "r", "e", "n", "i", "x", "v").items()))
+    return rows.select("doc_id", "exact", *(c.alias(k) for k, c in cal.features("c", "score", "r", "e", "n", "i", "x", "v").items()))
+
+
+def calibrated(t: Tables, method: str) -> DataFrame:
+    rows = scored(t)
     return cal.Calibrator(method).fit(rows, "exact").calibrated(rows).select("doc_id", "calibrated")
 
 
@@ -122,11 +136,19 @@ def j1(t):
     return calibrated(t, "logistic")
 
 
-@query("J_calibrator_isotonic")
+@query("J_calibrator_isotonic", f"WITH {ISOTONIC}")
 def j2(t):
+    """Spark's own isotonic regression, against the min-max formula."""
     return calibrated(t, "isotonic")
 
 
+@query("J_isotonic_fit", f"WITH {ISOTONIC}")
+def j2_plan(t):
+    """The formula itself as a plan over counted scores."""
+    rows = scored(t)
+    return cal.interpolated(rows, cal.isotonic_fit(rows, "f_score", "exact"), "f_score").select("doc_id", "calibrated")
+
+
 def load_model():
     """A stand-in for a language model: it answers a prompt with its longest word, and tells how long the prompt was."""
 

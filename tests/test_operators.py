@@ -280,6 +280,54 @@ def test_percentile_positions(spark):
     assert (r["p50"], r["p95"], r["p99"], r["largest"]) == (50, 95, 99, 99)
 
 
+def test_isotonic_plan_equals_pooling(spark):
+    from labelloom.operators import calibration
+
+    rng = random.Random(2)
+    rows = [(rng.choice([round(rng.random(), 2), 0.5, None]), rng.choice([True, False, None]) if rng.random() < 0.3 else rng.random() < 0.4) for _ in range(400)]
+    df = spark.createDataFrame(rows, "f_score double, y boolean")
+    blocks = []  # pool adjacent violators
+    for x in sorted({x for x, y in rows if x is not None and y is not None}):
+        own = [y for z, y in rows if z == x and y is not None]
+        blocks.append([sum(own), len(own), [x]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            s, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
+    want = {x: s / n for s, n, xs in blocks for x in xs}
+    fit = calibration.isotonic_fit(df, "f_score", "y")
+    assert {r["score"]: r["p"] for r in fit.collect()} == pytest.approx(want)
+    few = calibration.isotonic_fit(df, "f_score", "y", most=10).orderBy("score").collect()
+    assert len(few) <= 11 and [r["p"] for r in few] == sorted(r["p"] for r in few)
+    asked = spark.createDataFrame([(x,) for x in (-1.0, 0.123456, 0.5, 2.0, None)], "f_score double")
+    xs = sorted(want)
+    got = [r["calibrated"] for r in calibration.interpolated(asked, fit, "f_score").collect()]
+    assert got == [round(float(np.interp(x, xs, [want[k] for k in xs])), 4) for x in (-1.0, 0.123456, 0.5, 2.0, 0.0)]
+    none = calibration.isotonic_fit(df.where("false"), "f_score", "y")
+    assert [r["calibrated"] for r in calibration.interpolated(asked, none, "f_score").collect()] == [None] * 5
+
+
+def test_logistic_calibrator_has_converged(spark):
+    from labelloom.operators import calibration
+
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 2))
+    y = rng.random(600) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1])))
+    df = spark.createDataFrame([(float(a), float(b), bool(c)) for (a, b), c in zip(x, y, strict=True)], "f_score double, f_size double, y boolean")
+    model = calibration.Calibrator(columns=("f_score", "f_size")).fit(df, "y").model.stages[-1]
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    w = np.where(y, 600 / (2 * y.sum()), 600 / (2 * (~y).sum()))
+
+    def loss(c, b):
+        m = z @ c + b
+        return (w * (np.log1p(np.exp(-np.abs(m))) + np.maximum(m, 0) - y * m)).sum() / w.sum() + 0.5 / 600 * (c * c).sum()
+
+    c, b = np.array(model.coefficients), model.intercept
+    for step in (np.array([1.0, 0]), np.array([0, 1.0])):
+        slope = (loss(c + 1e-5 * step, b) - loss(c - 1e-5 * step, b)) / 2e-5
+        assert abs(slope) < 1e-3
+    assert abs(loss(c, b + 1e-5) - loss(c, b - 1e-5)) / 2e-5 < 1e-3
+
+
 @pytest.mark.parametrize("n,want", [(1, {"train": 1}), (2, {"train": 1, "test": 1}), (3, {"train": 1, "val": 1, "test": 1}), (20, {"train": 15, "val": 2, "test": 3})])
 def test_group_split_sizes(spark, n, want):
     got = splits.group_split(spark.range(n), "id").groupBy("split").count().collect()
