@@ -9,7 +9,7 @@ from labelloom.plans.registry import query, values
 from labelloom.sources import files as fs
 from labelloom.sources.config import read_config, with_paths
 from labelloom.sources.extracts import supervised
-from labelloom.streaming import incremental
+from labelloom.streaming import incremental, status
 
 
 @query("A3_extracts", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')")
@@ -151,3 +151,16 @@ def a15(t):
     settings = with_paths(read_config(t.spark, path), t.folder, "table")
     bounds = settings["bounds"]
     return fs.read_table(t.spark, settings["table"], ["n_nationkey", "n_name"], f"n_nationkey >= {bounds['least']} and n_nationkey < {bounds['below']}")
+
+
+@query("A20_status_stream", "WITH r AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'skipped' ELSE 'failed' END AS status, o_orderkey FROM orders), p AS (SELECT *, CASE status WHEN 'ok' THEN 5 WHEN 'skipped' THEN 3 ELSE 1 END AS p FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p DESC, o_orderkey DESC) AS n FROM p) SELECT o_custkey, status, o_orderkey FROM n WHERE n = 1")
+def a20_stream(t):
+    """Status rows of orders in three batches of files: of each customer the best, the last of equals, kept in state."""
+    path = fs.scratch(t.spark, "states")
+    status_ = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "skipped").otherwise("failed")
+    rows = t.orders.select("o_custkey", status_.alias("status"), "o_orderkey", F.lit("2024-01-01 00:00:00").alias("at"))
+    for k in range(3):
+        rows.where(F.col("o_orderkey") % 3 == k).coalesce(1).write.mode("append").json(f"{path}/in")
+    status.follow(t.spark, f"{path}/in", "o_custkey long, status string, o_orderkey long, at timestamp", f"{path}/log", f"{path}/checkpoint", "o_custkey", "o_orderkey", "at", files=1)
+    log = t.spark.read.schema("o_custkey long, status string, o_orderkey long, at timestamp").parquet(f"{path}/log")
+    return status.current(log, "o_custkey", "o_orderkey").select("o_custkey", "status", "o_orderkey")
