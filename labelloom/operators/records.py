@@ -58,31 +58,39 @@ def unfenced(text: str | Column) -> Column:
     return F.when(inside != "", inside).otherwise(col(text))
 
 
+def _once(c: Column, f) -> Column:
+    """f(c), with c worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def first_object(text: str | Column) -> Column:
     """The first whole {...} of text, braces inside strings aside; null without one.
 
-    Character by character in one pass of `aggregate`, which tracks depth, strings and escapes.
+    The text is cut behind each brace, quote and escape, so the fold that tracks depth and strings has a step for each of
+    these, not for each character. A backslash is an escape inside strings only; a piece has one at its last but one place
+    at most.
     """
-    chars = F.split(F.regexp_replace(col(text), r"(?s)^[^{]*", ""), "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+    def found(s: Column) -> Column:
+        pieces = F.regexp_extract_all(s, F.lit(r'[^{}"\\]*+(?:\\[\s\S]|["{}]|\\?\z)'), F.lit(0))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+
+        def step(at: Column, piece: Column) -> Column:
+            last, plain = F.right(piece, F.lit(1)), ~at["quoted"]
+            depth = at["depth"] + F.when(plain & (last == "{"), 1).when(plain & (last == "}"), -1).otherwise(0)
+            turns = (last == '"') & (plain | ~piece.contains("\\"))
+            moved = F.struct(depth.alias("depth"), (at["quoted"] != turns).alias("quoted"), (at["n"] + F.length(piece)).alias("n"), ((depth == 0) & plain & (last == "}")).alias("over"))
+            return F.when(at["over"], at).otherwise(moved)
 
-    def step(s: Column, c: Column) -> Column:
-        plain = ~s["quoted"]
-        depth = s["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
-        quoted = F.when((c == '"') & ~s["escaped"], plain).otherwise(s["quoted"])
-        moved = F.struct(depth.alias("depth"), quoted.alias("quoted"), (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"), (s["n"] + 1).alias("n"), ((depth == 0) & plain & (c == "}")).alias("over"))
-        return F.when(s["over"], s).otherwise(moved)
+        return _once(F.aggregate(pieces, start, step), lambda end: F.when(end["over"], F.substring(s, F.lit(1), end["n"])))
 
-    end = F.aggregate(chars, start, step)
-    return F.when(end["over"], F.substring(F.regexp_replace(col(text), r"(?s)^[^{]*", ""), F.lit(1), end["n"]))
+    return _once(F.regexp_replace(col(text), r"(?s)^[^{]*", ""), found)
 
 
 def json_text(text: str | Column) -> Column:
     """JSON of an object in noisy text: the text itself, else its first whole object, else from the first to the last brace."""
-    s = unfenced(without_thought(text))
-    greedy = F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit(""))
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & stripped(c).startswith("{"), c)
-    return F.coalesce(valid(s), valid(first_object(s)), valid(greedy))
+    valid = lambda c: _once(c, lambda x: F.when(F.try_parse_json(x).isNotNull() & stripped(x).startswith("{"), x))
+    greedy = lambda s: F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit(""))
+    return _once(unfenced(without_thought(text)), lambda s: F.coalesce(valid(s), valid(first_object(s)), valid(greedy(s))))
 
 
 def _listed(c: Column) -> Column:
@@ -102,12 +110,14 @@ def _one_of(c: Column, values: tuple[str, ...], default: str) -> Column:
 
 def parsed_answer(text: str | Column) -> Column:
     """The answer in text as a struct, every field filled, repaired and in its type; parse_ok tells whether there was one."""
-    a = F.from_json(json_text(text), ANSWER)
-    ok = a.isNotNull() & json_text(text).isNotNull()
+    return _once(F.from_json(json_text(text), ANSWER), _repaired)
+
+
+def _repaired(a: Column) -> Column:
     blank = lambda c: F.coalesce(stripped(c), F.lit(""))
     score = F.coalesce(a["confidence_score"].try_cast("double"), F.lit(0.0))
     return F.struct(
-        ok.alias("parse_ok"), blank(a["cell_type"]).alias("cell_type"), blank(a["cell_ontology_id"]).alias("cell_ontology_id"), blank(a["parent_cell_type"]).alias("parent_cell_type"),
+        a.isNotNull().alias("parse_ok"), blank(a["cell_type"]).alias("cell_type"), blank(a["cell_ontology_id"]).alias("cell_ontology_id"), blank(a["parent_cell_type"]).alias("parent_cell_type"),
         _listed(a["supporting_markers"]).alias("supporting_markers"), _listed(a["contradictory_markers"]).alias("contradictory_markers"),
         _one_of(a["confidence_label"], CONFIDENCE, "low").alias("confidence_label"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("confidence_score"),
         F.coalesce(truth(a["need_manual_review"]), F.lit(True)).alias("need_manual_review"), _one_of(a["decision"], DECISIONS, "review").alias("decision"),

@@ -280,6 +280,32 @@ def test_percentile_positions(spark):
     assert (r["p50"], r["p95"], r["p99"], r["largest"]) == (50, 95, 99, 99)
 
 
+def plain_object(text):
+    k = text.find("{")
+    if k < 0:
+        return None
+    depth, quoted, escaped = 0, False, False
+    for at in range(k, len(text)):
+        c = text[at]
+        was = quoted
+        if c == '"' and not escaped:
+            quoted = not quoted
+        escaped = was and c == "\\" and not escaped
+        if not was and c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth == 0 and c == "}":
+                return text[k : at + 1]
+    return None
+
+
+def test_first_object_of_random_text(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice('{}"\\a\n ') for _ in range(rng.randint(0, 25))) for _ in range(1500)] + ['{"a": "' + "\\n" * 20_000 + '"} }', "{" * 5_000, '{"x": "' + "y" * 200_000 + '"}', '\U0001f600 {"é": "}"} {']
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    for r in df.select("s", records.first_object("s").alias("o")).collect():
+        assert r["o"] == plain_object(r["s"]), r["s"]
+
+
 def test_isotonic_plan_equals_pooling(spark):
     from labelloom.operators import calibration
 
