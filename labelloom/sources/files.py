@@ -117,8 +117,10 @@ def read_map_document(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("e.key", "e.value", "ord").where(~F.col("key").startswith("_"))
 
 
-def write_map_document(pairs: DataFrame, path: str) -> None:
-    """key and value as one JSON object in one file, in order of key: a small table."""
+def write_map_document(pairs: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """key and value as one JSON object in one file, in order of key: a table of at most `most` rows, which are counted first."""
+    if pairs.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for one JSON object")
     doc = pairs.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("value"))
     doc.coalesce(1).write.mode("overwrite").text(path)
 

@@ -406,6 +406,14 @@ def test_files_round_trip(spark, tmp_path):
     assert [r["name"] for r in files.files(spark, str(tmp_path), "*.json", 10_000).collect()] == ["m.json"]
 
 
+def test_a_large_table_is_no_json_object(spark, tmp_path):
+    rows = spark.range(5).select(F.col("id").cast("string").alias("key"), F.lit("v").alias("value"))
+    with pytest.raises(ValueError):
+        files.write_map_document(rows, str(tmp_path / "m"), most=4)
+    files.write_map_document(rows, str(tmp_path / "m"), most=5)
+    assert files.read_map_document(spark, str(tmp_path / "m")).count() == 5
+
+
 def test_partition_overwrite_keeps_the_others(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "k string, v int")
     files.write_partitions(rows(("a", 1), ("b", 1)), str(tmp_path / "t"), "k")
