@@ -196,6 +196,7 @@ def test_retrieval_gives_blank_tissues_the_bonus(spark):
     e = spark.createDataFrame([(1, "x", ["A"], ""), (2, "y", ["b"], "lung"), (3, "z", ["q"], "blood")], "entry_id int, label string, genes array<string>, tissue string")
     got = [(r["entry_id"], r["score"]) for r in knowledge.retrieved(q, e, 5).orderBy("rank").collect()]
     assert got == [(1, 0.7), (2, 0.5)]
+    assert knowledge.retrieved(q, e.where("false"), 5).count() == 0
 
 
 @pytest.mark.parametrize(("k", "sent"), [(1, 10**6), (5, 10**6), (1, 0), (5, 0)])
@@ -241,7 +242,7 @@ def plain_ancestors(up, depth):
     return out
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3, 5, 16, 50, 64])
+@pytest.mark.parametrize("depth", [1, 3, 5, 50])
 def test_ancestors_of_any_depth(spark, depth):
     rng = random.Random(depth)
     up = {f"c{k}": f"c{k + 1}" for k in range(60)} | {f"t{k}": f"t{rng.randrange(k)}" for k in range(1, 40)}
