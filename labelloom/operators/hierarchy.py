@@ -33,9 +33,9 @@ def ancestors(edges: DataFrame, depth: int = 3) -> DataFrame:
     reached = step.select(F.col("child").alias("label"), F.col("parent").alias("ancestor"), F.lit(1).alias("level"))
     steps = 1
     while steps < depth:
-        reached = stored(reached, "reached") if steps > 1 else reached
+        reached = stored(reached, "reached") if steps > 2 else reached
         last = reached.where(F.col("level") == steps).select(F.col("label").alias("_label"), F.col("ancestor").alias("_by"))
-        if steps > 1 and last.isEmpty():
+        if steps > 2 and last.isEmpty():
             break
         further = last.join(reached, F.col("_by") == F.col("label")).select(F.col("_label").alias("label"), "ancestor", (F.col("level") + steps).alias("level"))
         # a chain that came back to its label ends there, whatever lies behind

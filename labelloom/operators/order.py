@@ -56,6 +56,13 @@ def nearest_percentiles(df: DataFrame, group: str, value: str, shares=(0.5, 0.95
     what the last one left, and no window holds a large group.
     """
     names = [f"p{round(q * 100)}" for q in shares]
+    size = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if size <= most:
+        w = Window.partitionBy(group)
+        by = df.groupBy(group, value).agg(F.count("*").alias("_same"))
+        by = by.withColumn("_end", F.sum("_same").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_same").over(w))
+        at = (F.min(F.when(F.col("_end") > F.floor(F.col("_n") * q), F.col(value))).alias(name) for q, name in zip(shares, names, strict=True))
+        return by.groupBy(group).agg(F.sum("_same").alias("n"), *at, F.max(value).alias("largest"))
     totals = stored(df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"), F.count(value).alias("_known"), F.max(value).alias("largest")), "totals")
     rows = df.select(F.col(group).alias("_g"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     at = F.array(*(F.struct(F.lit(k).alias("k"), F.greatest(F.lit(0), F.floor(F.col("n") * q) - (F.col("n") - F.col("_known"))).alias("at")) for k, q in enumerate(shares)))
