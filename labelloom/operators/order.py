@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 from labelloom.operators.sides import sent, stored
 
 
-def _ranged(rows: DataFrame, group: list[str], value: str, ranges: int, known: bool = False) -> DataFrame:
-    """rows with _range, by about `ranges` percentiles of the group's values: twice those below the value, and one more for
-    a percentile itself, so a hot value is a range of its own and each cut tells values apart.
-
-    known: rows can be read cheaply, so cuts are sent to them if they are few; otherwise they are joined as usual.
-    """
+def _cut(rows: DataFrame, group: list[str], value: str, ranges: int) -> DataFrame:
+    """group and _cuts: about `ranges` percentiles of each group's values, each once."""
     shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
-    cuts = rows.groupBy(*(F.col(c).alias(f"_cut_{c}") for c in group)).agg(F.array_distinct(F.percentile_approx(value, shares, F.lit(10 * ranges))).alias("_cuts"))
-    met = rows.join(sent(cuts) if known else cuts, same(group, "_cut_"), "left")
-    # few cuts, so a filter over them costs less than a search
+    return rows.groupBy(*group).agg(F.array_distinct(F.percentile_approx(value, shares, F.lit(10 * ranges))).alias("_cuts"))
+
+
+def _ranged(rows: DataFrame, group: list[str], value: str, ranges: int) -> DataFrame:
+    """rows with _range, by percentiles of the group's values: twice those below the value, and one more for a percentile
+    itself, so a hot value is a range of its own and each cut tells values apart. Cuts are sent if they are few."""
+    cuts = _cut(rows, group, value, ranges).select(*(F.col(c).alias(f"_cut_{c}") for c in group), "_cuts")
+    met = rows.join(sent(cuts), same(group, "_cut_"), "left")
     below = lambda test: F.coalesce(F.size(F.filter("_cuts", test)), F.lit(0))
-    return met.withColumn("_range", below(lambda c: c < F.col(value)) + below(lambda c: c <= F.col(value))).drop("_cuts", *(f"_cut_{c}" for c in group))
+    met = met.withColumn("_range", below(lambda c: c < F.col(value)) + below(lambda c: c <= F.col(value)))
+    return met.drop("_cuts", *(f"_cut_{c}" for c in group))
 
 
 def same(columns: list[str], prefix: str) -> Column:
@@ -39,12 +41,15 @@ def _before(n: str, keys: list[str], order: str) -> Column:
 
 
 def placed(values: DataFrame, group: list[str], value: str, n: str, ranges: int = 64) -> DataFrame:
-    """values (distinct in each group, n times each) with before: how many rows of the group have smaller values."""
-    rows = _ranged(values, group, value, ranges)
-    starts = rows.groupBy(*(F.col(c).alias(f"_at_{c}") for c in group), F.col("_range").alias("_at__range")).agg(F.sum(n).alias("_all"))
-    starts = starts.withColumn("_start", _before("_all", [f"_at_{c}" for c in group], "_at__range")).drop("_all")
-    rows = rows.withColumn("_inner", _before(n, [*group, "_range"], value)).join(starts, same([*group, "_range"], "_at_"))
-    return rows.withColumn("before", F.col("_start") + F.col("_inner")).drop("_start", "_inner", "_range", *(f"_at_{c}" for c in [*group, "_range"]))
+    """values (distinct in each group, n times each) with before: how many rows of the group have smaller values.
+
+    Groups with a null are left out, so that joins and windows share one partitioning.
+    """
+    below = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0))
+    rows = values.join(_cut(values, group, value, ranges), group).withColumn("_range", below).drop("_cuts")
+    starts = rows.groupBy(*group, "_range").agg(F.sum(n).alias("_all")).select(*group, "_range", _before("_all", group, "_range").alias("_start"))
+    rows = rows.withColumn("_inner", _before(n, [*group, "_range"], value)).join(starts, [*group, "_range"])
+    return rows.withColumn("before", F.col("_start") + F.col("_inner")).drop("_start", "_inner", "_range")
 
 
 def nearest_percentiles(df: DataFrame, group: str, value: str, shares=(0.5, 0.95, 0.99), most: int = 1_000_000, ranges: int = 256) -> DataFrame:
@@ -70,7 +75,7 @@ def nearest_percentiles(df: DataFrame, group: str, value: str, shares=(0.5, 0.95
     rows = rows.withColumn("_path", F.array().cast("array<int>"))
     size = totals.agg(F.max("_known")).first()[0] or 0
     while size > most:
-        rows = _ranged(rows, ["_g", "_path"], "_v", ranges, known=True).select("_g", F.concat("_path", F.array("_range")).alias("_path"), "_v")
+        rows = _ranged(rows, ["_g", "_path"], "_v", ranges).select("_g", F.concat("_path", F.array("_range")).alias("_path"), "_v")
         counts = stored(rows.groupBy("_g", "_path").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "ranges")
         upper = F.slice("_path", 1, F.size("_path") - 1)
         counts = counts.withColumn("_upper", upper).withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy("_g", "_upper").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

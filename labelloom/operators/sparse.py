@@ -2,7 +2,8 @@
 
 counts: a long table (cell, label, gene, value) of stored values, one row at most for each cell and gene; cells: one row
 a cell (cell, label), with those that have no stored value at all. A stored zero or null counts like one that isn't
-stored. by: columns of both tables that set apart independent datasets. Cells without a label belong to no group and are left out.
+stored. by: columns of both tables that set apart independent datasets. Cells without a label belong to no
+group and are left out, as are rows without a gene or dataset.
 
 So the long table has as many rows as values are stored, and zeros add one row for each gene and label: their number is
 the label's cells less its stored ones, all of one rank, between negative and positive values. Input with all zeros
@@ -31,10 +32,10 @@ def with_zeros(counts: DataFrame, cells: DataFrame, by: tuple[str, ...] = ()) ->
     stored_ = counts.where("label is not null and value is not null and value <> 0").withColumn("value", F.col("value").cast("double"))
     counted = stored_.groupBy(*gene, "label", "value").agg(F.count("*").alias("n"))
     genes = counts.where("label is not null").select(*gene).distinct()
-    groups = sent(sizes(cells, by).select(*(F.col(c).alias(f"_of_{c}") for c in by), "label", "n_label"))
-    every = genes.join(groups, same(list(by), "_of_")) if by else genes.crossJoin(groups)  # the result has a row for each
-    held = counted.groupBy(*gene, "label").agg(F.sum("n").alias("_held")).select(*(F.col(c).alias(f"_held_{c}") for c in [*gene, "label"]), "_held")
-    zeros = every.join(held, same([*gene, "label"], "_held_"), "left").select(*gene, "label", F.lit(0.0).alias("value"), (F.col("n_label") - F.coalesce("_held", F.lit(0))).alias("n"))
+    groups = sent(sizes(cells, by).select(*by, "label", "n_label"))
+    every = genes.join(groups, list(by)) if by else genes.crossJoin(groups)  # the result has a row for each
+    held = counted.groupBy(*gene, "label").agg(F.sum("n").alias("_held"))
+    zeros = every.join(held, [*gene, "label"], "left").select(*gene, "label", F.lit(0.0).alias("value"), (F.col("n_label") - F.coalesce("_held", F.lit(0))).alias("n"))
     return counted.unionByName(zeros.where("n > 0"))
 
 
@@ -49,8 +50,8 @@ def statistics(counts: DataFrame, cells: DataFrame, by: tuple[str, ...] = (), ti
     sums = counted.groupBy("label", *gene).agg(F.sum("n").alias("n"), F.sum(value * n).alias("s"), F.sum(value * value * n).alias("q"), F.sum(F.when(value > 0, n).otherwise(0)).alias("k"))
     moments = markers.with_welch(sums, gene).withColumn("_k_out", F.sum("k").over(Window.partitionBy(*gene)) - F.col("k"))
     share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)), 4)
-    ranks = markers.ranked_counts(counted, gene, tie_correction, ranges).select(*(F.col(c).alias(f"_z_{c}") for c in ["label", *gene]), "rank_sum", "z")
-    met = moments.join(ranks, same(["label", *gene], "_z_"))
+    ranks = markers.ranked_counts(counted, gene, tie_correction, ranges).select("label", *gene, "rank_sum", "z")
+    met = moments.join(ranks, ["label", *gene])
     return met.select(*by, "label", "gene", F.col("n").alias("n_in"), "n_out", "mean_in", "mean_out", share("k", "n").alias("pct_in"), share("_k_out", "n_out").alias("pct_out"), "t", "df", "rank_sum", "z")
 
 
