@@ -110,11 +110,14 @@ def _linked(distance: int):
 
 def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints (fp, distinct) differ in 1 to distance bits: enough of them to
-    connect whatever is linked, not all pairs of a dense group."""
+    connect whatever is linked, not all pairs of a dense group.
+
+    Spark takes exploded rows to be as large as those they come from, so it would send them; the hints forbid that.
+    """
     keys = chain_keys(distance)
     probes = F.array(*(F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits")) for k, (mask, _) in enumerate(keys)))
     rows = fps.select("fp", "node", F.explode(probes).alias("p")).select("fp", "node", "p.k", F.xxhash64("p.k", "p.bits").alias("key"))
-    shared = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "chains")
+    shared = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "key"), "chains")
 
     few = shared.where(F.col("n") <= FEW).select("key", "k", "fp", "node")
     x, other = F.col("fp").bitwiseXOR(F.col("fp2")), few.select("key", F.col("fp").alias("fp2"), F.col("node").alias("node2"))
@@ -122,7 +125,7 @@ def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     for at in range(len(keys[0][1])):
         mask = F.element_at(F.array(*(F.lit(_signed(chains[at][0])) for _, chains in keys)), F.col("k") + 1)
         within = within & (F.bit_count(x.bitwiseAND(mask)) <= keys[0][1][at][1])
-    pairs = few.join(other, "key").where("node < node2").where(within & (F.bit_count(x) <= distance))
+    pairs = few.join(other.hint("merge"), "key").where("node < node2").where(within & (F.bit_count(x) <= distance))
 
     many = shared.where(F.col("n") > FEW).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
@@ -137,17 +140,17 @@ def _components(fps: DataFrame, distance: int) -> DataFrame:
     """own (each fingerprint) and root (one fingerprint of its component) for distinct fingerprints (fp)."""
     links = near_links(fps.select("fp", F.col("fp").alias("node")), distance)
     roots = components(links).withColumnRenamed("node", "of")
-    return fps.join(roots, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("own"), F.coalesce("root", "fp").alias("root"))
+    return fps.join(roots.hint("merge"), F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("own"), F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of docs."""
     rows = written(in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = written(_components(nodes.select("fp"), distance).join(nodes, F.col("own") == F.col("fp")).select("own", "root", "low"), "roots")
+    roots = written(_components(nodes.select("fp"), distance).join(nodes.hint("merge"), F.col("own") == F.col("fp")).select("own", "root", "low"), "roots")
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = roots.select("own", "root").join(lows, "root").select("own", "component_id")
-    return rows.join(classes, F.col("fp") == F.col("own")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = roots.select("own", "root").join(lows.hint("merge"), "root").select("own", "component_id")
+    return rows.join(classes.hint("merge"), F.col("fp") == F.col("own")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Most kept documents whose ids are sent to every executor; beyond that they are joined with a shuffle of the texts.
@@ -166,9 +169,9 @@ def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
     rows = written(rows, "fingerprints")
     roots = _components(written(rows.select("fp").distinct(), "nodes"), distance)
     firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first"))
-    firsts = firsts.join(roots, F.col("fp") == F.col("own")).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    firsts = firsts.join(roots.hint("merge"), F.col("fp") == F.col("own")).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
     counts = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    kept = firsts.alias("f").join(counts.alias("c"), F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.key") == F.col("c.key")))
+    kept = firsts.alias("f").join(counts.alias("c").hint("merge"), F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.key") == F.col("c.key")))
     kept = written(kept.select(F.col("f.doc_id").alias(of), F.col("f.key").alias(with_), F.col("n").alias(n)), "kept")
     found = keyed.join(small(kept, SENT), F.col(id_).eqNullSafe(F.col(of)) & (F.col(key) == F.col(with_))).drop(of, with_)
     names = [F.col(f"`{c}`") for c in docs.columns]

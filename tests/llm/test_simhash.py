@@ -133,3 +133,19 @@ def test_one_of_each_group_stays(spark, sent, monkeypatch):
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted(first.values())
+
+
+def test_exploded_keys_are_never_sent(spark, monkeypatch):
+    """Keys are 30 times the fingerprints, which Spark's estimate doesn't see: no join of theirs may go through the driver."""
+    plans, plain = [], simhash.written
+
+    def seen(df, name, *cols):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, *cols)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    docs = spark.createDataFrame([(k, f"one two three four w{k // 2}") for k in range(40)], "doc_id long, text string")
+    for out in (simhash.near_duplicates(docs), simhash.deduplicated(docs)):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [p for p in plans if "Join" in p]
+    assert joins and not any("BroadcastHashJoin" in p and "_of" not in p for p in joins)  # _of: the kept ids, counted before
