@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelloom.functions.text import col, folded, has_any, label_text, long_label, plain_label, tokens
+from labelloom.functions.text import bound, col, folded, has_any, label_text, long_label, plain_label, tokens
 
 # Parts of labels that name no class.
 AMBIGUOUS = ("unknown", "unassigned", "ambiguous", "doublet", "multiplet", "low quality", "low-quality", "debris", "artifact", "other")
@@ -95,41 +95,53 @@ def _lineage(s: Column, rules) -> Column:
 
 def lineage(c: str | Column) -> Column:
     """Lineage of a label as it is written."""
-    return _lineage(plain_label(c), LINEAGES)
+    return bound(plain_label(c), lambda s: _lineage(s, LINEAGES))
 
 
 def lineage_long(c: str | Column) -> Column:
     """Lineage of a label with abbreviations written out."""
-    return _lineage(long_label(c), LINEAGES_LONG)
+    return bound(long_label(c), lambda s: _lineage(s, LINEAGES_LONG))
 
 
-def subtype_flags(c: str | Column) -> Column:
-    s = long_label(c)
+def _flags(s: Column) -> Column:
     return F.struct(*(has_any(s, parts).alias(name) for name, parts in SUBTYPES))
 
 
-def subtype_conflict(pred: str | Column, gold: str | Column) -> Column:
-    p, g = subtype_flags(pred), subtype_flags(gold)
+def _conflict(p: Column, g: Column) -> Column:
     out = F.lit(False)
     for a, b in CONFLICTS:
         out = out | (p[a] & g[b]) | (p[b] & g[a])
     return out
 
 
-def specificity(c: str | Column) -> Column:
-    """Number of specific words in the label, and up to 2 more for its length."""
-    s = long_label(c)
+def _specificity(s: Column) -> Column:
     score = F.least(F.floor(F.size(tokens(s)) / 4), F.lit(2)).cast("int")
     for word in SPECIFIC:
         score = score + s.contains(word).cast("int")
     return F.when(s == "", 0).otherwise(score)
 
 
-def granularity(pred: str | Column, gold: str | Column) -> Column:
-    p, g = specificity(pred), specificity(gold)
+def _granularity(p: Column, g: Column) -> Column:
     return F.when(p == g, "same").when(p < g, "coarser_than_gold").otherwise("finer_than_gold")
 
 
+def subtype_flags(c: str | Column) -> Column:
+    return bound(long_label(c), _flags)
+
+
+def subtype_conflict(pred: str | Column, gold: str | Column) -> Column:
+    return bound(F.struct(subtype_flags(pred).alias("p"), subtype_flags(gold).alias("g")), lambda x: _conflict(x["p"], x["g"]))
+
+
+def specificity(c: str | Column) -> Column:
+    """Number of specific words in the label, and up to 2 more for its length."""
+    return bound(long_label(c), _specificity)
+
+
+def granularity(pred: str | Column, gold: str | Column) -> Column:
+    return bound(F.struct(specificity(pred).alias("p"), specificity(gold).alias("g")), lambda x: _granularity(x["p"], x["g"]))
+
+
 def overlap_by_longer(pred: str | Column, gold: str | Column) -> Column:
     """Shared words over the words of the longer label; 0 if either has none."""
     p, g = F.array_distinct(tokens(pred)), F.array_distinct(tokens(gold))
@@ -139,7 +151,10 @@ def overlap_by_longer(pred: str | Column, gold: str | Column) -> Column:
 
 def overlap_by_union(pred: str | Column, gold: str | Column) -> Column:
     """Shared words over all words."""
-    p, g = tokens(pred), tokens(gold)
+    return bound(F.struct(tokens(pred).alias("p"), tokens(gold).alias("g")), lambda x: _overlap_by_union(x["p"], x["g"]))
+
+
+def _overlap_by_union(p: Column, g: Column) -> Column:
     return F.round(F.size(F.array_intersect(p, g)) / F.greatest(F.lit(1), F.size(F.array_union(p, g))), 4)
 
 
@@ -157,48 +172,65 @@ def compared(pred: str | Column, gold: str | Column) -> dict[str, Column]:
     }
 
 
+#: The parts of a comparison.
+PARTS = ("exact_match", "normalized_exact_match", "same_lineage", "granularity_relation", "match_level", "severe_error", "token_overlap", "pred_lineage", "gold_lineage", "pred_label", "gold_label")
+
+
+def comparison(pred: str | Column, gold: str | Column) -> Column:
+    """Match level and its parts, as a struct, of labels with abbreviations written out; null parts where either is empty.
+
+    Each step is bound before the next names it: written out, the label's rules would be repeated a thousandfold.
+    """
+
+    def side(plain: Column, long: Column, again: Column) -> Column:
+        return F.struct(
+            plain.alias("plain"), long.alias("label"), _lineage(again, LINEAGES_LONG).alias("lineage"), _flags(again).alias("flags"),
+            _specificity(again).alias("specificity"), tokens(long).alias("words"))
+
+    def read(c: str | Column) -> Column:
+        return bound(long_label(c), lambda s: bound(F.struct(plain_label(c).alias("plain"), s.alias("long"), long_label(s).alias("again")), lambda x: side(x["plain"], x["long"], x["again"])))
+
+    def told(p: Column, g: Column, overlap: Column) -> Column:
+        here = (p["label"] != "") & (g["label"] != "")
+        exact, normal, same = p["plain"] == g["plain"], p["label"] == g["label"], p["lineage"] == g["lineage"]
+        level = (
+            F.when(~here, "unavailable").when(exact, "exact").when(normal, "normalized_exact")
+            .when(same & _conflict(p["flags"], g["flags"]), "same_lineage_conflict").when(same & (overlap >= 0.5), "same_lineage_close")
+            .when(same, "same_lineage_broad").otherwise("cross_lineage_error")
+        )
+        values = (exact, normal, same, _granularity(p["specificity"], g["specificity"]), level, ~exact & ~normal & ~same, overlap, p["lineage"], g["lineage"], p["label"], g["label"])
+        return F.struct(*((c if name == "match_level" else F.when(here, c)).alias(name) for name, c in zip(PARTS, values, strict=True)))
+
+    both = F.struct(read(pred).alias("p"), read(gold).alias("g"))
+    with_overlap = lambda x: F.struct(x["p"].alias("p"), x["g"].alias("g"), _overlap_by_union(x["p"]["words"], x["g"]["words"]).alias("overlap"))
+    return bound(bound(both, with_overlap), lambda x: told(x["p"], x["g"], x["overlap"]))
+
+
 def compared_long(pred: str | Column, gold: str | Column) -> dict[str, Column]:
-    """Match level and its parts of labels with abbreviations written out; null parts where either is empty."""
-    p, g = long_label(pred), long_label(gold)
-    here = (p != "") & (g != "")
-    exact, normal, same = plain_label(pred) == plain_label(gold), p == g, lineage_long(p) == lineage_long(g)
-    overlap = overlap_by_union(p, g)
-    level = (
-        F.when(~here, "unavailable").when(exact, "exact").when(normal, "normalized_exact")
-        .when(same & subtype_conflict(p, g), "same_lineage_conflict").when(same & (overlap >= 0.5), "same_lineage_close")
-        .when(same, "same_lineage_broad").otherwise("cross_lineage_error")
-    )
-    only = lambda c: F.when(here, c)
-    return {
-        "exact_match": only(exact),
-        "normalized_exact_match": only(normal),
-        "same_lineage": only(same),
-        "granularity_relation": only(granularity(p, g)),
-        "match_level": level,
-        "severe_error": only(~exact & ~normal & ~same),
-        "token_overlap": only(overlap),
-        "pred_lineage": only(lineage_long(p)),
-        "gold_lineage": only(lineage_long(g)),
-        "pred_label": only(p),
-        "gold_label": only(g),
-    }
+    """The parts of a comparison by name. A column of the whole struct, selected first, is worked out once for all of them."""
+    whole = comparison(pred, gold)
+    return {name: whole[name] for name in PARTS}
 
 
-def _item_sets(a: str | Column, b: str | Column) -> tuple[Column, Column]:
-    """Two lists as sets of plain labels, blank ones left out."""
-    return tuple(F.array_distinct(F.filter(F.transform(F.coalesce(col(c), F.array().cast("array<string>")), plain_label), lambda s: s != "")) for c in (a, b))
+def _item_sets(a: str | Column, b: str | Column) -> Column:
+    """Two lists as sets of plain labels, blank ones left out: struct(x, y)."""
+    sets = (F.array_distinct(F.filter(F.transform(F.coalesce(col(c), F.array().cast("array<string>")), plain_label), lambda s: s != "")) for c in (a, b))
+    return F.struct(*(s.alias(name) for s, name in zip(sets, "xy", strict=True)))
 
 
 def list_overlap(a: str | Column, b: str | Column) -> Column:
     """Jaccard of two lists as sets of plain labels; null if both are empty."""
-    x, y = _item_sets(a, b)
-    n = F.size(F.array_union(x, y))
-    return F.when(n > 0, F.round(F.size(F.array_intersect(x, y)) / n, 4))
+
+    def share(s: Column) -> Column:
+        n = F.size(F.array_union(s["x"], s["y"]))
+        return F.when(n > 0, F.round(F.size(F.array_intersect(s["x"], s["y"])) / n, 4))
+
+    return bound(_item_sets(a, b), share)
 
 
 def shared_items(a: str | Column, b: str | Column) -> Column:
     """Number of plain labels that two lists share."""
-    return F.size(F.array_intersect(*_item_sets(a, b)))
+    return bound(_item_sets(a, b), lambda s: F.size(F.array_intersect(s["x"], s["y"])))
 
 
 def three_valued(a: str | Column, b: str | Column) -> Column:

@@ -14,6 +14,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f) -> Column:
+    """f of value, which is worked out once for each row, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def stripped(c: str | Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(col(c), ENDS, "")

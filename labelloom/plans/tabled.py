@@ -110,8 +110,7 @@ def h27(t):
 
 @query("H28_compare_match_level", f"WITH {COMPARED} SELECT k, match_level, CASE WHEN match_level <> 'unavailable' THEN shared END AS token_overlap, CASE WHEN match_level <> 'unavailable' THEN pp <> gp AND pl <> gl AND pb <> gb END AS severe_error FROM levels")
 def h28(t):
-    c = lb.compared_long("p", "g")
-    return pairs(t).select("k", *(c[n].alias(n) for n in ("match_level", "token_overlap", "severe_error")))
+    return pairs(t).select("k", lb.comparison("p", "g").alias("c")).select("k", "c.match_level", "c.token_overlap", "c.severe_error")
 
 
 @query("D30_match_histogram", f"WITH {COMPARED} SELECT match_level, count(*) AS n, round(avg(CASE WHEN match_level <> 'unavailable' THEN shared END), 3) AS mean_overlap FROM levels GROUP BY match_level")

@@ -664,3 +664,14 @@ def test_compared_answers_that_are_missing(spark):
     assert got[2]["cell_type_match_level"] == "unavailable" and all(v is None for n, v in got[2].asDict().items() if n not in ("k", "cell_type_match_level"))
     three = got[3].asDict()
     assert three["cell_type_match_level"] == "unavailable" and three["cell_type_exact_match"] is None and three["novelty_flag_match"] is True and three["supporting_markers_jaccard"] is None and three["supporting_markers_shared"] == 0
+
+
+def test_comparison_binds_each_step(spark):
+    """A label's rules are named a few times in the plan, not once for each use of what they give."""
+    from labelloom.functions import labels as lb
+
+    rows = spark.createDataFrame([("Treg", "T cell")], "p string, g string")
+    plan = rows.select(lb.comparison("p", "g").alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("natural killer") < 40
+    old = lb.compared_long("p", "g")
+    assert rows.select(*(old[n].alias(n) for n in lb.PARTS)).first() == rows.select(lb.comparison("p", "g").alias("c")).select("c.*").first()
