@@ -115,8 +115,7 @@ def h28(t):
 
 @query("D30_match_histogram", f"WITH {COMPARED} SELECT match_level, count(*) AS n, round(avg(CASE WHEN match_level <> 'unavailable' THEN shared END), 3) AS mean_overlap FROM levels GROUP BY match_level")
 def d30(t):
-    c = lb.compared_long("p", "g")
-    rows = pairs(t).select(c["match_level"].alias("match_level"), c["token_overlap"].alias("o"))
+    rows = pairs(t).select(lb.comparison("p", "g").alias("c")).select("c.match_level", F.col("c.token_overlap").alias("o"))
     return rows.groupBy("match_level").agg(F.count("*").alias("n"), F.round(F.avg("o"), 3).alias("mean_overlap"))
 
 
