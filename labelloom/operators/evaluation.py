@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.functions.labels import compared_long, list_overlap, shared_items
-from labelloom.functions.text import col, folded, partial_match, plain_label, truth
+from labelloom.functions.labels import PARTS, compared_long, list_overlap, shared_items
+from labelloom.functions.text import bound, col, folded, partial_match, plain_label, truth
 
 
 def rate(flag: str | Column, digits: int = 4) -> Column:
@@ -134,16 +134,16 @@ def record_report(pred: str, gold: str, parsed: str | Column, candidates: str |
     }
 
 
-def compared_answers(pred: str, gold: str) -> dict[str, Column]:
+def compared_answers(pred: str, gold: str, labels: str | None = None) -> dict[str, Column]:
     """Matches of two answers, each null where it can't be told: of labels, of closed fields (null if both are blank), of
-    yes-or-no fields (null if either is missing) and of marker lists. All are null if an answer is missing as a whole."""
+    yes-or-no fields (null if either is missing) and of marker lists. All are null if an answer is missing as a whole.
+    labels: a column with the comparison of both cell_type fields, if there is one: it is worked out once for all."""
     here = F.col(pred).isNotNull() & F.col(gold).isNotNull()
     p, g = (lambda c: F.col(f"{pred}.{c}")), (lambda c: F.col(f"{gold}.{c}"))
-    labels = compared_long(p("cell_type"), g("cell_type"))
+    labels = {name: F.col(f"{labels}.{name}") for name in PARTS} if labels else compared_long(p("cell_type"), g("cell_type"))
 
     def closed(c: str) -> Column:
-        a, b = plain_label(p(c)), plain_label(g(c))
-        return F.when((a != "") | (b != ""), a == b)
+        return bound(F.struct(plain_label(p(c)).alias("a"), plain_label(g(c)).alias("b")), lambda x: F.when((x["a"] != "") | (x["b"] != ""), x["a"] == x["b"]))
 
     def flag(c: str) -> Column:
         return truth(p(c).cast("string")) == truth(g(c).cast("string"))

@@ -184,7 +184,8 @@ SELECT k, CASE WHEN here THEN match_level ELSE 'unavailable' END AS cell_type_ma
   CASE WHEN here THEN {bit_sql('k')} = {bit_sql('k // 6')} END AS need_manual_review_match, CASE WHEN here THEN {bit_sql('k + 1')} = {bit_sql('k // 6 + 1')} END AS novelty_flag_match,
   CASE WHEN here AND len(a) + len(b) > 0 THEN round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 4) END AS supporting_markers_jaccard, CASE WHEN here THEN len(list_intersect(a, b))::INT END AS supporting_markers_shared FROM h""")
 def h30(t):
-    return two_answers(t).select("k", *(c.alias(n) for n, c in ev.compared_answers("pred", "gold").items()))
+    rows = two_answers(t).withColumn("labels", lb.comparison("pred.cell_type", "gold.cell_type"))
+    return rows.select("k", *(c.alias(n) for n, c in ev.compared_answers("pred", "gold", "labels").items()))
 
 
 @query("H32_record_report", f"""WITH {IDS}, v AS (SELECT k, k % 23 <> 0 AS hp, k % 29 <> 0 AS hg, k // 6 AS j, CASE WHEN k % 23 <> 0 THEN p END AS p, CASE WHEN k % 29 <> 0 THEN g END AS g, CASE WHEN k % 23 <> 0 THEN pi END AS pi, CASE WHEN k % 29 <> 0 THEN gi END AS gi, p AS raw_p, p_size, p_type, p_brand FROM ids),
