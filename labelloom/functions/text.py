@@ -19,6 +19,13 @@ def bound(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def rounded(c: str | Column, digits: int) -> Column:
+    """c scaled up, rounded with halves away from 0, and scaled down, as SQL engines round doubles. F.round goes by the
+    shortest decimal form of c instead: 69 / 800 prints as 0.08625, but scaled it is less than 862.5."""
+    unit = 10.0**digits
+    return F.round(col(c) * unit) / unit
+
+
 def stripped(c: str | Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(col(c), ENDS, "")

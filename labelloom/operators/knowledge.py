@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from labelloom.functions.text import col, folded, label_text, plain_label, short_id
+from labelloom.functions.text import col, folded, label_text, plain_label, rounded, short_id
 from labelloom.operators.sides import sent, small, stored
 
 
@@ -114,7 +114,7 @@ def scored_pairs(queries: DataFrame, entries: DataFrame, k: int = 5, bonus: floa
     def scored(pairs: DataFrame) -> DataFrame:
         met = pairs.join(held, "_e").join(asked, "query_id").withColumn("shared", F.size(F.array_intersect("_asks", "_has")).cast("long"))
         met = met.withColumn("jaccard", F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared")))
-        return met.select("query_id", "_e", "entry_id", "label", "shared", "jaccard", F.round(F.col("jaccard") + more, 4).alias("score"))
+        return met.select("query_id", "_e", "entry_id", "label", "shared", "jaccard", rounded(F.col("jaccard") + more, 4).alias("score"))
 
     first = asked.select("query_id", F.explode(F.slice("_asks", 1, RAREST * k)).alias("id")).join(places, "id").select("query_id", "_e").distinct()
     first = stored(scored(first), "first")
@@ -182,7 +182,7 @@ def _counted_in_tasks(queries: DataFrame, entries: DataFrame, k: int, bonus: flo
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     met = asked.mapInArrow(each, schema)
-    return met.select("query_id", "entry_id", "label", "shared", "jaccard", F.round(F.col("jaccard") + F.col("_more"), 4).alias("score"))
+    return met.select("query_id", "entry_id", "label", "shared", "jaccard", rounded(F.col("jaccard") + F.col("_more"), 4).alias("score"))
 
 
 def retrieved(queries: DataFrame, entries: DataFrame, k: int = 5, bonus: float = 0.2) -> DataFrame:
@@ -232,7 +232,7 @@ def retrieved_labels(queries: DataFrame, entries: DataFrame, k: int = 5, scoped:
     q = _genes(queries, "query_id", "scope").withColumnRenamed("_size", "_nq")
     met = q.join(sent(genes, SENT), ["scope", "gene"]).groupBy("query_id", "_nq", "_label").agg(F.count("*").alias("shared"))
     met = met.join(sent(sizes.join(best, "_label")), "_label")
-    met = met.withColumn("score", F.round(F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared")), 4))
+    met = met.withColumn("score", rounded(F.col("shared") / (F.col("_nq") + F.col("_ne") - F.col("shared")), 4))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "label"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "label", "shared", "score", "entry_id", "rank")
 

@@ -675,3 +675,12 @@ def test_comparison_binds_each_step(spark):
     assert plan.count("natural killer") < 40
     old = lb.compared_long("p", "g")
     assert rows.select(*(old[n].alias(n) for n in lb.PARTS)).first() == rows.select(lb.comparison("p", "g").alias("c")).select("c.*").first()
+
+
+def test_scores_on_a_half_round_as_in_sql(spark):
+    from labelloom.operators.knowledge import retrieved_labels
+
+    genes = [f"g{k}" for k in range(800)]
+    asked = spark.createDataFrame([(1, genes[:69]), (2, genes[:57])], "query_id long, genes array<string>")
+    entry = spark.createDataFrame([(7, "L", genes, 1.0)], "entry_id long, label string, genes array<string>, weight double")
+    assert {r["query_id"]: r["score"] for r in retrieved_labels(asked, entry).collect()} == {1: 0.0862, 2: 0.0712}
