@@ -12,6 +12,7 @@ from labelloom.functions.scoring import listed_out, marker_quality, marker_score
 from labelloom.functions.tails import normal_tail, student_tail
 from labelloom.functions.text import finite
 from labelloom.operators.order import least_of_each, placed
+from labelloom.operators.sides import stored
 
 
 def detected_genes(cells: DataFrame, least: int = 10) -> DataFrame:
@@ -81,7 +82,7 @@ def rank_sums(cells: DataFrame, tie_correction: bool = False, ranges: int = 64)
     Equal values are counted before they are ranked, so a hot value (zero) is one row, and values are ranked by ranges, so a
     gene of continuous values is spread over tasks. sparse.statistics has the same for rows without zeros.
     """
-    return ranked_counts(cells.groupBy("gene", "value", "label").agg(F.count("*").alias("n")), ["gene"], tie_correction, ranges).select("label", "gene", "n1", "n", "rank_sum", "z")
+    return ranked_counts(stored(cells.groupBy("gene", "value", "label").agg(F.count("*").alias("n")), "counted"), ["gene"], tie_correction, ranges).select("label", "gene", "n1", "n", "rank_sum", "z")
 
 
 def ranked_counts(by: DataFrame, gene: list[str], tie_correction: bool = False, ranges: int = 64) -> DataFrame:

@@ -43,10 +43,11 @@ def _before(n: str, keys: list[str], order: str) -> Column:
 def placed(values: DataFrame, group: list[str], value: str, n: str, ranges: int = 64) -> DataFrame:
     """values (distinct in each group, n times each) with before: how many rows of the group have smaller values.
 
-    Groups with a null are left out, so that joins and windows share one partitioning.
+    Groups with a null are left out, so that joins and windows share one partitioning. Cuts are approximate, and made again
+    they may differ: they are stored, as rows and the starts of their ranges must be cut alike. So values are read twice.
     """
     below = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0))
-    rows = values.join(_cut(values, group, value, ranges), group).withColumn("_range", below).drop("_cuts")
+    rows = values.join(stored(_cut(values, group, value, ranges), "cuts"), group).withColumn("_range", below).drop("_cuts")
     starts = rows.groupBy(*group, "_range").agg(F.sum(n).alias("_all")).select(*group, "_range", _before("_all", group, "_range").alias("_start"))
     rows = rows.withColumn("_inner", _before(n, [*group, "_range"], value)).join(starts, [*group, "_range"])
     return rows.withColumn("before", F.col("_start") + F.col("_inner")).drop("_start", "_inner", "_range")

@@ -684,3 +684,12 @@ def test_scores_on_a_half_round_as_in_sql(spark):
     asked = spark.createDataFrame([(1, genes[:69]), (2, genes[:57])], "query_id long, genes array<string>")
     entry = spark.createDataFrame([(7, "L", genes, 1.0)], "entry_id long, label string, genes array<string>, weight double")
     assert {r["query_id"]: r["score"] for r in retrieved_labels(asked, entry).collect()} == {1: 0.0862, 2: 0.0712}
+
+
+def test_ranks_are_cut_once(spark):
+    """Approximate cuts made twice may differ: the plan of ranks reads them."""
+    from labelloom.operators.order import placed
+
+    rows = spark.createDataFrame([("g", float(k), 1) for k in range(50)], "gene string, value double, n long")
+    plan = placed(rows, ["gene"], "value", "n", ranges=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan and "cuts" in plan
