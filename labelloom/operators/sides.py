@@ -26,3 +26,15 @@ def stored(df: DataFrame, name: str = "side") -> DataFrame:
 def sent(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """As small, for a side that takes work to make: it is stored first, so it is made once."""
     return small(stored(df), most_rows)
+
+
+def spread(df: DataFrame, rows: int, *keys: str, most_rows: int = 500_000) -> DataFrame:
+    """df, of about `rows` rows, in partitions by keys of about most_rows rows, that later groups and joins by keys share.
+
+    Adaptive execution joins partitions by their compressed bytes, which for narrow rows are millions of groups in one
+    task; partitions of a stated number stay. Few rows stay as they are.
+    """
+    if rows <= 4 * most_rows:
+        return df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // most_rows)), *keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import scoring as sc
 from labelloom.functions.tails import normal_tail_sql, student_tail_sql
 from labelloom.operators import markers as op
+from labelloom.operators.sides import spread
 from labelloom.plans.registry import Tables, query
 
 
@@ -18,6 +19,7 @@ def cells(t: Tables) -> DataFrame:
 def counts(t: Tables) -> DataFrame:
     """Sparse counts: order, brand and quantity, labelled by priority."""
     rows = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity").join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(rows, t.lineitem.count(), "l_orderkey")
     rows = rows.join(t.orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy(F.col("l_orderkey").alias("cell"), F.col("o_orderpriority").alias("label"), F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("value"))
 

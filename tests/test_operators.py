@@ -693,3 +693,13 @@ def test_ranks_are_cut_once(spark):
     rows = spark.createDataFrame([("g", float(k), 1) for k in range(50)], "gene string, value double, n long")
     plan = placed(rows, ["gene"], "value", "n", ranges=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile_approx" not in plan and "cuts" in plan
+
+
+def test_many_rows_are_spread_by_key(spark):
+    """A stated number of partitions, one shuffle for a group within the key; few rows take none."""
+    from labelloom.operators.sides import spread
+
+    df = spark.range(1000).withColumn("k", F.col("id") % 100)
+    many = spread(df, 1000, "k", most_rows=100)
+    assert many.rdd.getNumPartitions() == 10 and spread(df, 1000, "k", most_rows=250).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    assert many.groupBy("k", "id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
