@@ -91,7 +91,7 @@ def d14topt(t):
 
 @query("D15_depth_normalised", f"WITH {COUNTS} SELECT gene, count(*) AS n, round(sum(x), 4) AS s FROM (SELECT gene, round(ln(1 + value / sum(value) OVER (PARTITION BY cell) * 10000), 6) AS x FROM counts) GROUP BY gene")
 def d15(t):
-    return op.depth_normalised(counts(t), digits=6).groupBy("gene").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s"))
+    return op.depth_normalised(counts(t), digits=6).groupBy("gene").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,6)")), 4).cast("double").alias("s"))  # exact, in whatever order
 
 
 @query("E7_downsample", "WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS k FROM embeddings) SELECT vec_id, label FROM r WHERE k <= 20")
