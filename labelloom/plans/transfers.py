@@ -159,8 +159,8 @@ def a20_stream(t):
     path = fs.scratch(t.spark, "states")
     status_ = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "skipped").otherwise("failed")
     rows = t.orders.select("o_custkey", status_.alias("status"), "o_orderkey", F.lit("2024-01-01 00:00:00").alias("at"))
-    for k in range(3):
-        rows.where(F.col("o_orderkey") % 3 == k).coalesce(1).write.mode("append").json(f"{path}/in")
-    status.follow(t.spark, f"{path}/in", "o_custkey long, status string, o_orderkey long, at timestamp", f"{path}/log", f"{path}/checkpoint", "o_custkey", "o_orderkey", "at", files=1)
+    for k in range(3):  # each call goes on where the last one was
+        rows.where(F.col("o_orderkey") % 3 == k).write.mode("append").json(f"{path}/in")
+        status.follow(t.spark, f"{path}/in", "o_custkey long, status string, o_orderkey long, at timestamp", f"{path}/log", f"{path}/checkpoint", "o_custkey", "o_orderkey", "at")
     log = t.spark.read.schema("o_custkey long, status string, o_orderkey long, at timestamp").parquet(f"{path}/log")
     return status.current(log, "o_custkey", "o_orderkey").select("o_custkey", "status", "o_orderkey")
