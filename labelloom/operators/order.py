@@ -20,13 +20,22 @@ def _cut(rows: DataFrame, group: list[str], value: str, ranges: int) -> DataFram
     return rows.groupBy(*group).agg(F.array_distinct(F.percentile_approx(value, shares, F.lit(10 * ranges))).alias("_cuts"))
 
 
+def _upto(rows: DataFrame, value: str, name: str, ranges: int) -> DataFrame:
+    """rows with name: how many of _cuts are at most the value. A binary search in steps that are compiled, each a column
+    of its own; a lambda over the cuts runs for each of them, and copies them for each row."""
+    rows = rows.withColumn(name, F.lit(0))
+    for k in reversed(range((ranges - 1).bit_length())):
+        rows = rows.withColumn(name, F.when(F.get("_cuts", F.col(name) + F.lit((1 << k) - 1)) <= F.col(value), F.col(name) + F.lit(1 << k)).otherwise(F.col(name)))
+    return rows
+
+
 def _ranged(rows: DataFrame, group: list[str], value: str, ranges: int) -> DataFrame:
     """rows with _range, by percentiles of the group's values: twice those below the value, and one more for a percentile
     itself, so a hot value is a range of its own and each cut tells values apart. Cuts are sent if they are few."""
     cuts = _cut(rows, group, value, ranges).select(*(F.col(c).alias(f"_cut_{c}") for c in group), "_cuts")
     met = rows.join(sent(cuts), same(group, "_cut_"), "left")
-    below = lambda test: F.coalesce(F.size(F.filter("_cuts", test)), F.lit(0))
-    met = met.withColumn("_range", below(lambda c: c < F.col(value)) + below(lambda c: c <= F.col(value)))
+    met = _upto(met, value, "_at", ranges)
+    met = met.withColumn("_range", F.col("_at") * 2 - F.when(F.get("_cuts", F.col("_at") - 1) == F.col(value), 1).otherwise(0)).drop("_at")
     return met.drop("_cuts", *(f"_cut_{c}" for c in group))
 
 
@@ -46,8 +55,7 @@ def placed(values: DataFrame, group: list[str], value: str, n: str, ranges: int
     Groups with a null are left out, so that joins and windows share one partitioning. Cuts are approximate, and made again
     they may differ: they are stored, as rows and the starts of their ranges must be cut alike. So values are read twice.
     """
-    below = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(0))
-    rows = values.join(stored(_cut(values, group, value, ranges), "cuts"), group).withColumn("_range", below).drop("_cuts")
+    rows = _upto(values.join(stored(_cut(values, group, value, ranges), "cuts"), group), value, "_range", ranges).drop("_cuts")
     starts = rows.groupBy(*group, "_range").agg(F.sum(n).alias("_all")).select(*group, "_range", _before("_all", group, "_range").alias("_start"))
     rows = rows.withColumn("_inner", _before(n, [*group, "_range"], value)).join(starts, [*group, "_range"])
     return rows.withColumn("before", F.col("_start") + F.col("_inner")).drop("_start", "_inner", "_range")
@@ -76,15 +84,15 @@ def nearest_percentiles(df: DataFrame, group: str, value: str, shares=(0.5, 0.95
     rows = rows.withColumn("_path", F.array().cast("array<int>"))
     size = totals.agg(F.max("_known")).first()[0] or 0
     while size > most:
-        rows = _ranged(rows, ["_g", "_path"], "_v", ranges).select("_g", F.concat("_path", F.array("_range")).alias("_path"), "_v")
-        counts = stored(rows.groupBy("_g", "_path").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "ranges")
-        upper = F.slice("_path", 1, F.size("_path") - 1)
-        counts = counts.withColumn("_upper", upper).withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy("_g", "_upper").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        ranged = _ranged(rows, ["_g", "_path"], "_v", ranges).groupBy("_g", F.col("_path").alias("_upper"), "_range")
+        counts = stored(ranged.agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "ranges")
+        counts = counts.withColumn("_path", F.concat("_upper", F.array("_range"))).withColumn("_start", _before("_n", ["_g", "_upper"], "_range"))
         met = counts.join(wanted.select(F.col("_g").alias("_wg"), F.col("_path").alias("_w_upper"), "k", "at"), F.col("_g").eqNullSafe(F.col("_wg")) & (F.col("_upper") == F.col("_w_upper")))
-        met = stored(met.where("at >= _start and at < _start + _n").select("_g", "_path", "k", (F.col("at") - F.col("_start")).alias("at"), "_n", "_low", "_high"), "wanted")
+        met = stored(met.where("at >= _start and at < _start + _n").select("_g", "_upper", "_path", "k", (F.col("at") - F.col("_start")).alias("at"), "_n", "_low", "_high"), "wanted")
         wanted = met.select("_g", "_path", "k", "at")
-        held = sent(met.select(F.col("_g").alias("_hg"), F.col("_path").alias("_h_path")).distinct())
-        rows = stored(rows.join(held, F.col("_g").eqNullSafe(F.col("_hg")) & (F.col("_path") == F.col("_h_path")), "left_semi"), "held")
+        held = sent(met.select(F.col("_g").alias("_hg"), "_upper", F.col("_path").alias("_h_path"), "_low", "_high").distinct())
+        within = F.col("_g").eqNullSafe(F.col("_hg")) & (F.col("_path") == F.col("_upper")) & F.col("_v").between(F.col("_low"), F.col("_high"))  # a value lies in one range
+        rows = stored(rows.join(held, within).select("_g", F.col("_h_path").alias("_path"), "_v"), "held")
         size = met.where("_low < _high").agg(F.max("_n")).first()[0] or 0
     by = rows.groupBy("_g", "_path", "_v").agg(F.count("*").alias("_n"))
     by = by.withColumn("_end", F.sum("_n").over(Window.partitionBy("_g", "_path").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_begin", F.col("_end") - F.col("_n"))

@@ -695,6 +695,24 @@ def test_ranks_are_cut_once(spark):
     assert "percentile_approx" not in plan and "cuts" in plan
 
 
+def test_cuts_are_searched_by_halves(spark):
+    """Compiled steps, not a lambda run for each cut; as many cuts at most a value as bisection finds."""
+    from bisect import bisect_right
+
+    from labelloom.operators.order import _ranged, _upto, placed
+
+    rows = spark.createDataFrame([("g", float(k), 1) for k in range(50)], "gene string, value double, n long")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (placed(rows, ["gene"], "value", "n", ranges=4), _ranged(rows, ["gene"], "value", 4))]
+    assert all("lambda" not in plan for plan in plans)
+    nan, inf = float("nan"), float("inf")
+    values = [-inf, -1.0, -0.0, 0.0, 0.5, 1.0, 2.0, 6.0, 7.0, 99.0, inf, nan]
+    tables = [[float(k) for k in range(n)] for n in range(8)] + [[-inf, 0.0, inf, nan], [0.0, 1.0, nan]]
+    df = spark.createDataFrame([(k, cuts, v) for k, cuts in enumerate(tables) for v in [*values, None]], "k int, _cuts array<double>, v double")
+    of = lambda v: (v != v, 0.0 if v != v else v)
+    for r in _upto(df, "v", "at", 8).collect():
+        assert r["at"] == (0 if r["v"] is None else bisect_right([of(c) for c in tables[r["k"]]], of(r["v"]))), r
+
+
 def test_many_rows_are_spread_by_key(spark):
     """A stated number of partitions, one shuffle for a group within the key; few rows take none."""
     from labelloom.operators.sides import spread
